@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import REQUIRED_FIELDS
 from .text import strip
-from .tokens import col
+from .tokens import col, let
 
 # Fence of a frontmatter block, prompt texts, prompt size limit.
 FENCE = r"(?md)^-{3,}\s*$"
@@ -36,13 +37,27 @@ FALSE = ("false", "False", "FALSE", "no", "No", "NO", "off", "Off", "OFF", "0",
 
 
 def _header_parts(text: Column) -> Column:
-    """['', header, body] when the text opens with a closed fence."""
-    return F.split(strip(text), FENCE, 3)
+    """struct<present, header, body, plain>, with one scan of the stripped text.
+
+    Only a text that starts with a fence is searched for the closing one.
+    """
+
+    def split(t):
+        return let(
+            F.when(t.startswith("---"), F.split(t, FENCE, 3)),
+            lambda p: F.struct(
+                F.coalesce((F.size(p) == 3) & (F.get(p, F.lit(0)) == ""), F.lit(False)).alias("present"),
+                F.get(p, F.lit(1)).alias("header"),
+                strip(F.get(p, F.lit(2))).alias("body"),
+                t.alias("plain"),
+            ),
+        )
+
+    return let(strip(text), split)
 
 
 def has_frontmatter(text: Column | str) -> Column:
-    parts = _header_parts(col(text))
-    return (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "")
+    return _header_parts(col(text))["present"]
 
 
 def _flat_map(header: Column) -> Column:
@@ -61,7 +76,7 @@ def _flat_map(header: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(lines, value))
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def yaml_map(header: pd.Series) -> pd.Series:
     """Nested or unusual headers; values that are not strings become JSON."""
     import yaml
@@ -83,31 +98,35 @@ def yaml_map(header: pd.Series) -> pd.Series:
     return header.map(one, na_action="ignore")
 
 
-def parse_frontmatter(text: Column | str, quirks: str = "fixed", nested: bool = True) -> Column:
-    """struct<metadata map<string,string>, body string>.
+def with_frontmatter(df: DataFrame, quirks: str = "fixed", nested: bool = True) -> DataFrame:
+    """Replace ``text`` by its body and add ``metadata map<string,string>``.
 
     A header that cannot be parsed leaves the whole text as body.  With
-    ``quirks='reference'`` an empty body also falls back to the whole text.
+    ``quirks='reference'`` an empty body also falls back to the whole text.  Flat
+    headers are parsed in the JVM; only other headers (never texts) go to Python,
+    and none do with ``nested=False``.
     """
-    t = col(text)
-    parts = _header_parts(t)
-    present = (F.size(parts) == 3) & (F.get(parts, F.lit(0)) == "")
-    header = F.get(parts, F.lit(1))
-    flat = header.rlike(FLAT_HEADER)
-    found = F.when(present & flat, _flat_map(header))
-    if nested:
-        found = F.coalesce(found, yaml_map(F.when(present & ~flat, header)))
-    else:
-        found = F.coalesce(found, F.when(present, F.create_map().cast("map<string,string>")))
-    body = strip(F.get(parts, F.lit(2)))
-    if quirks == "reference":
-        body = F.when(body == "", t).otherwise(body)
+    df = df.withColumn("_p", _header_parts(F.col("text")))
+    header = F.col("_p.header")
+    df = df.withColumn("_flat", F.coalesce(header.rlike(FLAT_HEADER), F.lit(False)))
+    other = F.when(F.col("_p.present") & ~F.col("_flat"), header)
     empty = F.create_map().cast("map<string,string>")
-    return F.struct(
-        F.coalesce(found, empty).alias("metadata"),
-        F.when(found.isNotNull(), body).when(present, t).otherwise(
-            F.when(strip(t) == "", t).otherwise(strip(t))
-        ).alias("body"),
+    parsed = yaml_map(other) if nested else F.when(other.isNotNull(), empty)
+    df = df.withColumn("_found", parsed).withColumn(
+        "_found", F.when(F.col("_flat"), _flat_map(header)).otherwise(F.col("_found"))
+    )
+    body, plain = F.col("_p.body"), F.col("_p.plain")
+    if quirks == "reference":
+        body = F.when(body == "", F.col("text")).otherwise(body)
+    text = (
+        F.when(F.col("_found").isNotNull(), body)
+        .when(F.col("_p.present") | (plain == ""), F.col("text"))
+        .otherwise(plain)
+    )
+    return (
+        df.withColumn("metadata", F.coalesce("_found", empty))
+        .withColumn("text", text)
+        .drop("_p", "_flat", "_found")
     )
 
 
@@ -140,7 +159,7 @@ def is_complete(metadata: Column | str) -> Column:
     return F.size(missing_fields(metadata)) == 0
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_ascii(text: pd.Series) -> pd.Series:
     return text.map(
         lambda t: json.dumps(json.loads(t), separators=(",", ":")), na_action="ignore"

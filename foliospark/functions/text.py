@@ -16,6 +16,7 @@ SPACES = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 SPACE_CLASS = f"[{SPACES}]"
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 _RARE_ENDS = [chr(n) for n in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)]
 _MARK = chr(0xFFFF)
@@ -43,11 +44,11 @@ def split_lines(text: Column | str) -> Column:
 
 
 def is_blank(text: Column | str) -> Column:
-    return col(text).rlike(rf"^{SPACE_CLASS}*$")
+    return strip(text) == F.lit("")
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", "")
+    return F.trim(col(text), F.lit(SPACE_CHARS))
 
 
 def windows(text: Column | str, width: int) -> Column:

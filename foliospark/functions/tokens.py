@@ -22,9 +22,9 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def int_div(a: Column, b: int) -> Column:
-    """Floor division of a non-negative INT column."""
-    return F.floor(a / F.lit(b)).cast("int")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value that ``body`` uses several times: evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def token_count(text: Column | str) -> Column:

@@ -7,6 +7,7 @@ from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # One markup token or one run of text.  An unclosed "<" runs to the end.
 TOKEN = re.compile(
@@ -16,6 +17,11 @@ TOKEN = re.compile(
 ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"})
 
 
+SPANS = T.ArrayType(
+    T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+)
+
+
 def _opaque(tok: str) -> bool:
     """Closed comment, CDATA section or processing instruction."""
     return (
@@ -84,27 +90,27 @@ def spans(text: str) -> list[tuple[int, int]]:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xml_normalize(text: pd.Series) -> pd.Series:
     return text.map(normalize, na_action="ignore")
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(SPANS)
 def xml_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in spans(t)], na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def xml_elements(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [t[a:b] for a, b in spans(t)], na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def xml_wrap(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if well_formed(t) else f"<x>{t}</x>", na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def xml_children(text: pd.Series) -> pd.Series:
     """Direct children of the root element, as written."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code_features import line_features
 from ..functions.text import norm_newlines, split_lines
-from ..functions.tokens import token_count
+from ..functions.tokens import let, token_count
 from .chunk_text import explode_pieces
 from .pack import cut, no_cuts, render
 
@@ -34,11 +34,6 @@ def code_lines(lines: Column) -> Column:
     return F.transform(lines, one)
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once inside a higher-order expression."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
     """Cuts over the feature array in one pass.
 
@@ -83,7 +78,7 @@ def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
         grown = (
             F.when(
                 (a["n"] > 0) & (a["tk"] + x["k"] > cap),
-                _let(F.when(~good, look_back(a)), close),
+                let(F.when(~good, look_back(a)), close),
             )
             .otherwise(state(a["st"], a["n"] + one, a["tk"] + x["k"], brace, paren, a["out"]))
         )
@@ -104,7 +99,7 @@ def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
                 .otherwise(state(nxt, zero, stale, brace, paren, F.concat(p["out"], alone)))
             )
 
-        return _let(grown, cut_overlong)
+        return let(grown, cut_overlong)
 
     return F.aggregate(
         feats,

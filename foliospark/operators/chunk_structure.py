@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip, windows
-from ..functions.tokens import CHARS_PER_TOKEN, token_count
+from ..functions.tokens import CHARS_PER_TOKEN, let, token_count
 from .chunk_text import chunk_text, explode_pieces
 
 WORD, SENTENCE, NEWLINE = 1, 2, 3
@@ -40,22 +40,30 @@ def _rtrim_length(s: Column) -> Column:
 
 def _parts(s: Column, lvl: Column, pattern: str, inner: int, finer) -> Column:
     """Cut one piece by a pattern; the last part keeps the break of the whole."""
-    found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
-    last = F.size(found) - F.lit(1)
-
-    def one(p, i):
-        return finer(p, F.when(i == last, lvl).otherwise(F.lit(inner)))
-
-    return F.flatten(F.transform(found, one))
+    return let(
+        F.regexp_extract_all(s, F.lit(pattern), F.lit(0)),
+        lambda found: F.flatten(
+            F.transform(
+                found,
+                lambda p, i: finer(
+                    p, F.when(i == F.size(found) - F.lit(1), lvl).otherwise(F.lit(inner))
+                ),
+            )
+        ),
+    )
 
 
 def _refine(s: Column, lvl: Column, cap: int) -> Column:
     """Only pieces that cannot fit a chunk are cut finer: sentence, word, character."""
 
     def chars(p, v):
-        wins = windows(p, cap)
-        last = F.size(wins) - F.lit(1)
-        cut = F.transform(wins, lambda w, i: _piece(w, F.when(i == last, v).otherwise(F.lit(0))))
+        cut = let(
+            windows(p, cap),
+            lambda wins: F.transform(
+                wins,
+                lambda w, i: _piece(w, F.when(i == F.size(wins) - F.lit(1), v).otherwise(F.lit(0))),
+            ),
+        )
         return F.when(_rtrim_length(p) <= cap, F.array(_piece(p, v))).otherwise(cut)
 
     def words(p, v):
@@ -145,18 +153,16 @@ def level_cuts(items: Column, cap: int) -> Column:
                 )
 
             full = (b["st"] < b["i"]) & (b["ln"] + fit > room)
-            closed = F.element_at(F.transform(F.array(best_break(b["st"], b["i"])), close), 1)
+            closed = let(best_break(b["st"], b["i"]), close)
             return F.when(full, closed).otherwise(b)
 
         shrunk = F.when(
             (a["st"] < a["i"]) & (a["ln"] + fit > room),
             F.aggregate(F.sequence(a["st"], a["i"]), a, shrink),
         ).otherwise(a)
-        grow = F.transform(
-            F.array(shrunk),
-            lambda b: state(b["i"] + one, b["st"], b["ln"] + F.length(x["s"]), b["out"]),
+        return let(
+            shrunk, lambda b: state(b["i"] + one, b["st"], b["ln"] + F.length(x["s"]), b["out"])
         )
-        return F.element_at(grow, 1)
 
     return F.aggregate(
         items,

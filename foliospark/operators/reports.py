@@ -67,10 +67,10 @@ def with_status(state: DataFrame) -> DataFrame:
 
 
 def zero_output(responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents for which no chunk brought any text, with their first failures.
+    """Documents for which no chunk brought any text, with the first failure.
 
-    The chunk numbers kept for display are the three smallest, held in a bounded
-    buffer while aggregating.
+    All their chunks failed, so the first three to show are simply the first three
+    numbers; ``n_more`` counts the rest.
     """
     got = F.col("error").isNull() & (F.col("response_chars") > 0)
     return (

@@ -94,7 +94,7 @@ def expand_pattern(pattern: Column | str) -> Column:
     inner = F.regexp_extract(p, r"\{([^}]+)\}", 1)
     head = F.regexp_extract(p, r"^(.*?)\{[^}]+\}", 1)
     tail = F.regexp_extract(p, r"^.*?\{[^}]+\}(.*)$", 1)
-    options = F.filter(F.transform(F.split(inner, ",", -1), F.trim), lambda o: o != F.lit(""))
+    options = F.filter(F.transform(F.split(inner, ",", -1), lambda o: F.trim(o)), lambda o: o != F.lit(""))
     return F.when(inner == "", F.array(p)).otherwise(
         F.transform(options, lambda o: F.concat(head, o, tail))
     )
