@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import REQUESTS_SAFETY_MARGIN, TOKENS_SAFETY_MARGIN
-from .tokens import col
+from .tokens import col, let
 
 # Header names.
 H_LIMIT_REQUESTS = "x-ratelimit-limit-requests-day"
@@ -40,45 +40,63 @@ def parse_rate_headers(headers: Column | str, now: Column | str) -> Column:
     so results do not depend on when the job runs.
     """
     h, at = col(headers), col(now)
-
-    def as_int(name):
-        v = h[name]
-        return F.when(v.rlike(_INT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("bigint"))
-
-    def seconds(name):
-        v = h[name]
-        return F.when(v.rlike(_FLOAT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("double"))
-
-    ints = (H_LIMIT_REQUESTS, H_LIMIT_TOKENS, H_LEFT_REQUESTS, H_LEFT_TOKENS)
-    resets = (H_RESET_TOKENS, H_RESET_REQUESTS)
-    bad, found = F.lit(False), F.lit(False)
-    for name in ints:
-        bad = bad | (h[name].isNotNull() & as_int(name).isNull())
-        found = found | h[name].isNotNull()
-    for name in resets:
-        bad = bad | F.coalesce(h[name].rlike(_INFINITE), F.lit(False))
-        found = found | seconds(name).isNotNull()
-    ok = ~F.coalesce(bad, F.lit(False))
-
-    def number(name):
-        return F.when(ok, F.coalesce(as_int(name), F.lit(0))).otherwise(F.lit(0)).cast("bigint")
-
-    def reset(name, default):
-        after = F.timestamp_micros(
-            F.unix_micros(at) + F.round(seconds(name) * F.lit(1e6)).cast("bigint")
+    ints = {
+        "requests_limit": H_LIMIT_REQUESTS, "tokens_limit": H_LIMIT_TOKENS,
+        "requests_remaining": H_LEFT_REQUESTS, "tokens_remaining": H_LEFT_TOKENS,
+    }
+    resets = {"reset_time": H_RESET_TOKENS, "requests_reset_time": H_RESET_REQUESTS}
+
+    def parse(m):
+        """One look at each header; everything else reads the parsed struct."""
+        fields = []
+        for name, header in ints.items():
+            number = let(
+                m[header],
+                lambda v: F.when(v.rlike(_INT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("bigint")),
+            )
+            fields += [number.alias(name), m[header].isNotNull().alias(name + "_given")]
+        for name, header in resets.items():
+            number = let(
+                m[header],
+                lambda v: F.when(
+                    v.rlike(_FLOAT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("double")
+                ),
+            )
+            infinite = F.coalesce(m[header].rlike(_INFINITE), F.lit(False))
+            fields += [number.alias(name), infinite.alias(name + "_infinite")]
+        return F.struct(*fields)
+
+    def verdict(p):
+        bad, found = F.lit(False), F.lit(False)
+        for name in ints:
+            bad = bad | (p[name + "_given"] & p[name].isNull())
+            found = found | p[name + "_given"]
+        for name in resets:
+            bad = bad | p[name + "_infinite"]
+            found = found | p[name].isNotNull()
+        return F.struct(p.alias("p"), (~bad).alias("ok"), (~bad & found).alias("parsed"))
+
+    def build(v):
+        def number(name):
+            return F.when(v["ok"], F.coalesce(v["p"][name], F.lit(0))).otherwise(F.lit(0)).cast("bigint")
+
+        def reset(name, default):
+            micros = F.round(v["p"][name] * F.lit(1e6)).cast("bigint")
+            after = F.timestamp_micros(F.unix_micros(at) + micros)
+            return F.when(v["ok"], F.coalesce(after, at + default)).otherwise(at + default)
+
+        return F.struct(
+            number("requests_remaining").alias("requests_remaining"),
+            number("tokens_remaining").alias("tokens_remaining"),
+            number("tokens_limit").alias("tokens_limit"),
+            number("requests_limit").alias("requests_limit"),
+            reset("reset_time", F.expr("interval 1 minute")).alias("reset_time"),
+            reset("requests_reset_time", F.expr("interval 1 day")).alias("requests_reset_time"),
+            at.alias("last_updated"),
+            v["parsed"].alias("headers_parsed"),
         )
-        return F.when(ok, F.coalesce(after, at + default)).otherwise(at + default)
 
-    return F.struct(
-        number(H_LEFT_REQUESTS).alias("requests_remaining"),
-        number(H_LEFT_TOKENS).alias("tokens_remaining"),
-        number(H_LIMIT_TOKENS).alias("tokens_limit"),
-        number(H_LIMIT_REQUESTS).alias("requests_limit"),
-        reset(H_RESET_TOKENS, F.expr("interval 1 minute")).alias("reset_time"),
-        reset(H_RESET_REQUESTS, F.expr("interval 1 day")).alias("requests_reset_time"),
-        at.alias("last_updated"),
-        (ok & F.coalesce(found, F.lit(False))).alias("headers_parsed"),
-    )
+    return let(let(let(h, parse), verdict), build)
 
 
 def seconds_between(earlier: Column, later: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .tokens import col
+from .tokens import col, let
 
 # The characters that end a text line.
 LINE_ENDS = r"\n\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}"
@@ -35,12 +35,17 @@ def split_lines(text: Column | str) -> Column:
     split after marking each LF; only rows holding a rarer terminator, or the
     marker itself, pay for the regex.
     """
-    t = col(text)
-    rare = t.contains(_MARK)
-    for ch in _RARE_ENDS:
-        rare = rare | t.contains(ch)
-    plain = F.array_remove(F.split(F.replace(t, F.lit("\n"), F.lit("\n" + _MARK)), _MARK, -1), "")
-    return F.when(rare, F.regexp_extract_all(t, F.lit(LINE), F.lit(0))).otherwise(plain)
+
+    def cut(t):
+        rare = t.contains(_MARK)
+        for ch in _RARE_ENDS:
+            rare = rare | t.contains(ch)
+        plain = F.array_remove(
+            F.split(F.replace(t, F.lit("\n"), F.lit("\n" + _MARK)), _MARK, -1), ""
+        )
+        return F.when(rare, F.regexp_extract_all(t, F.lit(LINE), F.lit(0))).otherwise(plain)
+
+    return let(col(text), cut)
 
 
 def is_blank(text: Column | str) -> Column:

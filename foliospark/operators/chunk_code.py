@@ -20,15 +20,17 @@ def code_lines(lines: Column) -> Column:
     """array<struct<i,k,b,w,brace,paren,quote>> of a line array."""
 
     def one(s, i):
-        f = line_features(s)
-        return F.struct(
-            i.alias("i"),
-            token_count(s).alias("k"),
-            f["boundary"].alias("b"),
-            f["keyword"].alias("w"),
-            f["brace"].alias("brace"),
-            f["paren"].alias("paren"),
-            f["open_string"].alias("quote"),
+        return let(
+            line_features(s),
+            lambda f: F.struct(
+                i.alias("i"),
+                token_count(s).alias("k"),
+                f["boundary"].alias("b"),
+                f["keyword"].alias("w"),
+                f["brace"].alias("brace"),
+                f["paren"].alias("paren"),
+                f["open_string"].alias("quote"),
+            ),
         )
 
     return F.transform(lines, one)

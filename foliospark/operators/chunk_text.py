@@ -13,15 +13,23 @@ from .pack import greedy_cuts, render
 def explode_pieces(df: DataFrame) -> DataFrame:
     """``pieces array<struct<text,token_count>>`` to one row per chunk.
 
-    The outer form is deliberate: a plain explode makes the optimizer infer a
-    ``size(pieces) > 0`` filter and evaluate the whole fold a second time below.
+    Two things keep the optimizer from evaluating the fold a second time.  A plain
+    explode would infer a ``size(pieces) > 0`` filter below it, so the outer form
+    is used.  And the chunk count travels inside the array elements, so a later
+    filter on it cannot be pushed below the explode.
     """
     keep = [c for c in df.columns if c != "pieces"]
-    out = df.select(*keep, F.size("pieces").alias("n_chunks"), F.posexplode_outer("pieces"))
+    counted = F.transform(
+        "pieces",
+        lambda p: F.struct(
+            p["text"].alias("text"), p["token_count"].alias("token_count"), F.size("pieces").alias("n")
+        ),
+    )
+    out = df.withColumn("pieces", counted).select(*keep, F.posexplode_outer("pieces"))
     return out.filter(F.col("pos").isNotNull()).select(
         *keep,
         F.col("pos").alias("chunk_index"),
-        "n_chunks",
+        F.col("col.n").alias("n_chunks"),
         F.col("col.text").alias("text"),
         F.col("col.token_count").alias("token_count"),
     )

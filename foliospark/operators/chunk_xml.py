@@ -31,15 +31,23 @@ def _render(cuts: Column, items: Column, chunk_size: int, grouped: bool) -> Colu
 def _explode_wrapped(df: DataFrame) -> DataFrame:
     """One row per chunk; only packed groups visit the Python parser."""
     keep = [c for c in df.columns if c != "pieces"]
+    counted = F.transform(
+        "pieces",
+        lambda p: F.struct(
+            p["text"].alias("text"), p["token_count"].alias("token_count"),
+            p["grouped"].alias("grouped"), F.size("pieces").alias("n"),
+        ),
+    )
     rows = (
-        df.select(*keep, F.size("pieces").alias("n_chunks"), F.posexplode_outer("pieces"))
+        df.withColumn("pieces", counted)
+        .select(*keep, F.posexplode_outer("pieces"))
         .filter(F.col("pos").isNotNull())
         .withColumn("wrapped", xml_wrap(F.when(F.col("col.grouped"), F.col("col.text"))))
     )
     return rows.select(
         *keep,
         F.col("pos").alias("chunk_index"),
-        "n_chunks",
+        F.col("col.n").alias("n_chunks"),
         F.coalesce("wrapped", F.col("col.text")).alias("text"),
         F.when(F.col("wrapped").isNotNull(), token_count("wrapped"))
         .otherwise(F.col("col.token_count"))

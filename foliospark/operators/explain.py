@@ -47,9 +47,11 @@ def complete_metadata(parsed: DataFrame, config: JobConfig, responder, key: str
     they are asked for once.
     """
     chunks = create_chunks(parsed, config)
-    first = chunks.filter((F.col("chunk_index") == 0) & ~is_complete("metadata")).select(
-        key, explain_prompt("metadata", "text").alias("prompt")
-    )
+    # One predicate over chunk and metadata stays above the explode; a filter on
+    # metadata alone would be pushed below it and parse every header again.
+    wanted = (F.col("chunk_index") == 0) & ~is_complete("metadata")
+    prompt = F.when(wanted, explain_prompt("metadata", "text"))
+    first = chunks.select(key, prompt.alias("prompt")).filter(F.col("prompt").isNotNull())
     answers = durable(ask_metadata(first, config, responder, key), "metadata")
     generated = answers.select(key, parse_generated("generated").alias("extra"))
     merged = merge_metadata(

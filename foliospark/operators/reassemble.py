@@ -31,7 +31,8 @@ def reassemble(responses: DataFrame, key: str = "doc_id") -> DataFrame:
     Most documents have few chunks and take one shuffle.  A document with more
     than ``SEGMENT`` chunks is joined in two steps, runs of chunks first, so its
     chunks are collected and sorted by many tasks and its last step meets only a
-    few strings.  ``n_chunks`` tells the two apart before any shuffle.
+    few strings.  ``n_chunks`` tells the two apart before any shuffle.  Both kinds
+    read ``responses``, so pass a stored table (the filter reaches its scan).
     """
     out = chunk_output(F.col("chunk_index"), F.col("response"), F.col("error"))
     rows = responses.select(

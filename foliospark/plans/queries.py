@@ -407,7 +407,8 @@ def continuity_replay(spark, sf):
 
 @query
 def transform_identity(spark, sf):
-    return reassemble(transform_chunks(inputs.chunks(spark, sf), TEXT, Identity())).select("doc_id", "output_text")
+    answers = durable(transform_chunks(inputs.chunks(spark, sf), TEXT, Identity()), "responses")
+    return reassemble(answers).select("doc_id", "output_text")
 
 
 @query
@@ -442,7 +443,7 @@ def error_placeholder(spark, sf):
 
 @query
 def reassemble_query(spark, sf):
-    return reassemble(inputs.responses(spark, sf))
+    return reassemble(durable(inputs.responses(spark, sf), "responses"))
 
 
 @query

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_BYTES_PER_TASK = 1 << 20
+_BYTES_PER_TASK = 1 << 18
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
