@@ -57,16 +57,22 @@ def strip(text: Column | str) -> Column:
 
 
 def windows(text: Column | str, width: int) -> Column:
-    """Cut a text into consecutive windows of ``width`` characters."""
+    """Cut a text into consecutive windows of ``width`` characters.
+
+    A regex does it in one pass, where a substring per window rescans the text.
+    Very wide windows over characters outside the basic plane would make the regex
+    recurse deeply, so those texts take the substrings.
+    """
     t = col(text)
-    if width <= 4000:
-        # One linear pass; a substring per window would rescan the text each time.
-        return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    one_pass = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    if width <= 1000:
+        return one_pass
     last = F.floor((F.length(t) - F.lit(1)) / F.lit(width)).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last),
+    by_position = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), last)),
         lambda i: F.substring(t, i * F.lit(width) + F.lit(1), F.lit(width)),
     )
+    return F.when(t.rlike(r"[\x{10000}-\x{10ffff}]"), by_position).otherwise(one_pass)
 
 
 def preview(text: Column | str, lines: int = 5, chars: int = 200) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, strip, windows
 from ..functions.tokens import CHARS_PER_TOKEN, let, token_count
 from .chunk_text import chunk_text, explode_pieces
+from .pack import append, contents, empty_buffer
 
 WORD, SENTENCE, NEWLINE = 1, 2, 3
 BLOCK, RULE, HEADING = 40, 41, 48
@@ -149,7 +150,7 @@ def level_cuts(items: Column, cap: int) -> Column:
             def close(n):
                 return state(
                     b["i"], b["st"] + n, b["ln"] - length_of(b["st"], n),
-                    F.concat(b["out"], cut(b["st"], n)),
+                    append(b["out"], cut(b["st"], n)),
                 )
 
             full = (b["st"] < b["i"]) & (b["ln"] + fit > room)
@@ -166,11 +167,11 @@ def level_cuts(items: Column, cap: int) -> Column:
 
     return F.aggregate(
         items,
-        state(zero, zero, zero, F.array().cast(kind)),
+        state(zero, zero, zero, empty_buffer(kind)),
         step,
         lambda a: F.when(
-            a["i"] > a["st"], F.concat(a["out"], cut(a["st"], a["i"] - a["st"]))
-        ).otherwise(a["out"]),
+            a["i"] > a["st"], F.concat(contents(a["out"]), cut(a["st"], a["i"] - a["st"]))
+        ).otherwise(contents(a["out"])),
     )
 
 

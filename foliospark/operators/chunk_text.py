@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_newlines, split_lines, strip
 from ..functions.tokens import CHARS_PER_TOKEN, token_count
-from .pack import greedy_cuts, render
+from .pack import append, contents, empty_buffer, greedy_cuts, render
 
 
 def explode_pieces(df: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def paragraph_pieces(text: Column, chunk_size: int) -> Column:
         return F.struct(cur.alias("cur"), out.alias("out"))
 
     def closed(a):
-        return F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"])
+        return F.when(a["cur"] != "", append(a["out"], F.array(a["cur"]))).otherwise(a["out"])
 
     def step(a, p):
         return (
@@ -88,8 +88,8 @@ def paragraph_pieces(text: Column, chunk_size: int) -> Column:
             .otherwise(state(F.concat(a["cur"], F.lit("\n\n"), p), a["out"]))
         )
 
-    start = state(F.lit(""), F.array().cast("array<string>"))
-    texts = F.aggregate(F.split(text, "\n\n", -1), start, step, closed)
+    start = state(F.lit(""), empty_buffer("array<string>"))
+    texts = F.aggregate(F.split(text, "\n\n", -1), start, step, lambda a: contents(closed(a)))
     return F.transform(
         F.transform(texts, strip),
         lambda s: F.struct(s.alias("text"), token_count(s).alias("token_count")),

@@ -17,6 +17,9 @@ NO_CUTS = f"array<{CUT}>"
 PIECE = "struct<text:string,token_count:int>"
 
 
+BLOCK = 512
+
+
 def cut(st: Column, n: Column, tk: Column, solo: bool = False) -> Column:
     return F.array(
         F.struct(st.alias("st"), n.alias("n"), tk.alias("tk"), F.lit(solo).alias("solo"))
@@ -27,6 +30,30 @@ def no_cuts() -> Column:
     return F.array().cast(NO_CUTS)
 
 
+def empty_buffer(kind: str = NO_CUTS) -> Column:
+    """An append buffer: an open block and the blocks closed so far.
+
+    Arrays are immutable, so an append copies.  With blocks it copies at most one
+    block, not everything found so far, and a text of any length packs in linear
+    time.
+    """
+    return F.struct(F.array().cast(kind).alias("open"), F.array().cast(f"array<{kind}>").alias("closed"))
+
+
+def append(buffer: Column, items: Column) -> Column:
+    full = F.size(buffer["open"]) >= BLOCK
+    return F.when(
+        full,
+        F.struct(items.alias("open"), F.concat(buffer["closed"], F.array(buffer["open"])).alias("closed")),
+    ).otherwise(
+        F.struct(F.concat(buffer["open"], items).alias("open"), buffer["closed"].alias("closed"))
+    )
+
+
+def contents(buffer: Column) -> Column:
+    return F.flatten(F.concat(buffer["closed"], F.array(buffer["open"])))
+
+
 def greedy_cuts(sizes: Column, cap: int) -> Column:
     """Pack ``array<int>`` sizes into runs whose sum stays within ``cap``.
 
@@ -46,11 +73,11 @@ def greedy_cuts(sizes: Column, cap: int) -> Column:
         return (
             F.when(
                 k > F.lit(cap),
-                state(nxt, nxt, zero, F.concat(a["out"], open_run, cut(a["i"], one, k, True))),
+                state(nxt, nxt, zero, append(a["out"], F.concat(open_run, cut(a["i"], one, k, True)))),
             )
             .when(
                 (a["i"] > a["st"]) & (a["tk"] + k > F.lit(cap)),
-                state(nxt, a["i"], k, F.concat(a["out"], open_run)),
+                state(nxt, a["i"], k, append(a["out"], open_run)),
             )
             .otherwise(state(nxt, a["st"], a["tk"] + k, a["out"]))
         )
@@ -58,10 +85,10 @@ def greedy_cuts(sizes: Column, cap: int) -> Column:
     def finish(a):
         return F.when(
             a["i"] > a["st"],
-            F.concat(a["out"], cut(a["st"], a["i"] - a["st"], a["tk"])),
-        ).otherwise(a["out"])
+            F.concat(contents(a["out"]), cut(a["st"], a["i"] - a["st"], a["tk"])),
+        ).otherwise(contents(a["out"]))
 
-    return F.aggregate(sizes, state(zero, zero, zero, no_cuts()), step, finish)
+    return F.aggregate(sizes, state(zero, zero, zero, empty_buffer()), step, finish)
 
 
 def render(cuts: Column, items: Column, chunk_size: int) -> Column:

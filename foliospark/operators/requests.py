@@ -50,54 +50,57 @@ def build_requests(prepared: DataFrame, config: JobConfig, continuity: str | Non
     ).withColumn("error", F.when(~fits, too_large(F.col("total_input_tokens"))))
 
 
-def replay_continuity(
-    chunks: DataFrame, responses: DataFrame, config: JobConfig, key: str = "doc_id"
-) -> DataFrame:
+def attach_responses(chunks: DataFrame, responses: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Responses back to their chunks; a chunk without one keeps nulls."""
+    narrow = responses.select(key, "chunk_index", "response", "error")
+    return chunks.join(narrow, [key, "chunk_index"], "left")
+
+
+def replay_continuity(answered: DataFrame, config: JobConfig, key: str = "doc_id") -> DataFrame:
     """Rebuild from stored responses the continuity each chunk was sent with.
 
-    ``responses`` has key, chunk_index, response, error.  Samples are cut to
-    their tail before the window sorts them, and a failed chunk is skipped.
+    ``answered`` has key, chunk_index, text, token_count, response, error.  Samples
+    are cut to their tail before the window sorts them, and a failed chunk is
+    skipped.
     """
-    tails = responses.select(
-        key,
-        "chunk_index",
-        F.col("error").isNull().alias("ok"),
-        tail_sample("response", config.sample_size).alias("out_tail"),
-    )
-    joined = chunks.join(tails, [key, "chunk_index"], "left")
     before = (
         Window.partitionBy(key).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     )
     pair = F.struct(
-        tail_sample("text", config.sample_size).alias("in_tail"), F.col("out_tail").alias("out_tail")
+        tail_sample("text", config.sample_size).alias("in_tail"),
+        tail_sample("response", config.sample_size).alias("out_tail"),
     )
-    prev = F.last(F.when(F.col("ok"), pair), ignorenulls=True).over(before)
+    ok = F.col("error").isNull() & F.col("response").isNotNull()
     base = F.lit(config.prompt_tokens) + F.col("token_count")
     block = F.coalesce(continuity_block(F.col("prev.in_tail"), F.col("prev.out_tail")), F.lit(""))
     return (
-        joined.withColumn("prev", prev)
+        answered.withColumn("pair", F.when(ok, pair))
+        .drop("response", "error")
+        .withColumn("prev", F.last("pair", ignorenulls=True).over(before))
         .withColumn("block", block)
         .withColumn("continuity", fit_to_budget("block", base))
-        .drop("ok", "out_tail", "prev", "block")
+        .drop("pair", "prev", "block")
     )
 
 
 def conversation_requests(turns: DataFrame, limit: int = MAX_CONTEXT_TOKENS) -> DataFrame:
     """One message list per conversation.
 
-    Token totals are summed first (with map-side combine).  Only conversations
-    within the limit are then collected, so a message list is never larger than
-    ``limit`` tokens; a longer conversation becomes an error row without messages,
-    however many turns it holds.
+    Token totals are summed first (with map-side combine).  Turns of conversations
+    over the limit are then dropped, and only the rest is collected, so a message
+    list is never larger than ``limit`` tokens; a longer conversation becomes an
+    error row without messages, however many turns it holds.  The dropped set is
+    short (each member holds more than ``limit`` tokens), so Spark broadcasts it
+    where its measured size allows, and a hot conversation is not gathered anywhere.
     """
     totals = turns.groupBy("conv_id").agg(
         F.count("*").alias("n_messages"),
         F.sum(token_count("text")).cast("bigint").alias("total_tokens"),
     )
-    small = totals.filter(F.col("total_tokens") <= limit).select("conv_id")
+    long = totals.filter(F.col("total_tokens") > limit).select("conv_id")
     one = F.struct("turn", "role", F.col("text").alias("content"))
     lists = (
-        turns.join(small, "conv_id", "left_semi")
+        turns.join(long, "conv_id", "left_anti")
         .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(one)).alias("ordered"))
         .select(

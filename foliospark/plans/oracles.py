@@ -363,6 +363,8 @@ ORACLES = {
       FROM (SELECT doc_id, chunk_index,
               {window_before(f"CASE WHEN error IS NULL THEN right(text, {4 * SAMPLE}) END")} AS a,
               {window_before(f"CASE WHEN error IS NULL THEN right(response, {4 * SAMPLE}) END")} AS b FROM resp)""",
+    "attach_responses": f"""{responses()} SELECT doc_id, chunk_index, text, CASE WHEN chunk_index % 4 <> 3 THEN response END AS response,
+      CASE WHEN chunk_index % 4 <> 3 THEN error END AS error FROM resp""",
     "transform_identity": "SELECT doc_id, text AS output_text FROM documents WHERE text <> ''",
     "transform_upper": f"{CHUNKS} SELECT doc_id, chunk_index, {UPPER} AS response FROM chunks",
     "chunk_diagnostics": f"""{CHUNKS} SELECT doc_id, CAST(chunk_index + 1 AS INTEGER) AS chunk_index, token_count AS chunk_tokens,

@@ -401,8 +401,14 @@ def build_requests(spark, sf):
 @query
 def continuity_replay(spark, sf):
     r = inputs.responses(spark, sf)
-    c = r.select("doc_id", "chunk_index", "text", "token_count")
-    return rq.replay_continuity(c, r, TEXT).select("doc_id", "chunk_index", "continuity")
+    return rq.replay_continuity(r, TEXT).select("doc_id", "chunk_index", "continuity")
+
+
+@query
+def attach_responses(spark, sf):
+    r = inputs.responses(spark, sf)
+    c = inputs.chunks(spark, sf)
+    return rq.attach_responses(c, r.filter(F.col("chunk_index") % 4 != 3)).select("doc_id", "chunk_index", "text", "response", "error")
 
 
 @query

@@ -40,6 +40,18 @@ def test_text_matches_model(spark, cs):
     assert run(spark, texts, data_format="text", chunk_size=cs) == [text_chunks(t, cs) for t in texts]
 
 
+@pytest.mark.parametrize("cs", [260, 2000])
+def test_wide_windows(spark, cs):
+    texts = ["é" * 40_000, "a😀" * 9_000, "b" * (4 * cs - 1), "b" * (4 * cs), "\n".join(["c" * 9_001] * 3)]
+    assert run(spark, texts, data_format="text", chunk_size=cs) == [text_chunks(t, cs) for t in texts]
+
+
+def test_many_chunks_in_one_document(spark):
+    text = "abcdefg\n" * 60_000
+    got = run(spark, [text], data_format="text", chunk_size=3)[0]
+    assert got == [("abcdefg\n", 3)] * 60_000
+
+
 def test_text_is_lossless_and_bounded(spark):
     rnd = random.Random(5)
     texts = [prose(rnd, 50) for _ in range(50)]

@@ -189,7 +189,7 @@ def test_continuity_carries_only_successes(spark):
 
     chunks = create_chunks(docs(spark), TEXT)
     out = transform_chunks(chunks, TEXT, Flaky())
-    replay = rq.replay_continuity(chunks, out, TEXT)
+    replay = rq.replay_continuity(rq.attach_responses(chunks, out), TEXT)
     rebuilt = rq.build_requests(rq.prepare_requests(replay, TEXT), TEXT, "continuity")
     both = rebuilt.join(out.select("doc_id", "chunk_index", F.col("total_input_tokens").alias("sent")), ["doc_id", "chunk_index"])
     assert both.filter("sent <> total_input_tokens").count() == 0
