@@ -118,8 +118,15 @@ def responses(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     )
 
 
+def utc(spark: SparkSession) -> None:
+    """The event table holds UTC times without a zone: read them as UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def request_log(spark: SparkSession, sf: str) -> DataFrame:
     """Requests with the headers of their answers, from the event table."""
+    utc(spark)
     e = F.col("event_id")
     text = lambda c: c.cast("string")
     headers = F.create_map(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ..functions import budget, metadata
+from ..functions.text import SPACE_CHARS
+from ..operators import chunk_structure as cst
 from .inputs import CODE_REWRITES, CS, MARKDOWN_REWRITES, SAMPLE
 from .queries import ERROR_TEXTS, GENERATED
 
@@ -222,6 +224,68 @@ def code_chunks(cs: int, stale: bool) -> str:
          s AS text, CAST(tk AS INTEGER) AS token_count FROM parts"""
 
 
+def structure_chunks(src: str, runs: str, levels: str, cs: int = CS) -> str:
+    """Structure chunkers: pieces by refinement, then one recursion step per chunk.
+
+    ``runs`` is the regex that cuts a text, ``levels`` the break strength of a run
+    in terms of s, nxt and is_last.
+    """
+    cap = 4 * cs
+
+    def finer(source: str, pattern: str, inner: int) -> str:
+        parts = f"regexp_extract_all(s, {lit(pattern)})" if pattern else (
+            f"list_transform(range(0, (length(s) - 1) // {cap} + 1), lambda z: substr(s, CAST(z * {cap} + 1 AS BIGINT), {cap}))"
+        )
+        return f"""
+      SELECT doc_id, list_append(pos, 0) AS pos, s, lvl FROM {source} WHERE {RTRIM} <= {cap}
+      UNION ALL
+      SELECT doc_id, list_append(pos, i), p[i], CASE WHEN i = len(p) THEN lvl ELSE {inner} END
+      FROM (SELECT *, {parts} AS p FROM {source} WHERE {RTRIM} > {cap}), unnest(range(1, len(p) + 1)) AS u(i)"""
+
+    return f"""WITH RECURSIVE src AS ({src}),
+    cut0 AS (
+      SELECT doc_id, i, p[i] AS s, coalesce(p[i + 1], '') AS nxt, i = len(p) AS is_last
+      FROM (SELECT doc_id, regexp_extract_all(text, {lit(runs)}) AS p FROM src), unnest(range(1, len(p) + 1)) AS u(i)),
+    p0 AS (SELECT doc_id, [i] AS pos, s, {levels} AS lvl FROM cut0),
+    p1 AS ({finer('p0', cst.LINE_RUN, cst.NEWLINE)}),
+    p2 AS ({finer('p1', cst.SENTENCE_RUN, cst.SENTENCE)}),
+    p3 AS ({finer('p2', cst.WORD_RUN, cst.WORD)}),
+    p4 AS ({finer('p3', '', 0)}),
+    pieces AS (
+      SELECT doc_id, s, lvl, row_number() OVER w - 1 AS idx, sum(length(s)) OVER w - length(s) AS start, {RTRIM} AS fit
+      FROM p4 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    walk AS (
+      SELECT doc_id, 0::BIGINT AS st, 0::BIGINT AS n FROM src WHERE text <> ''
+      UNION ALL
+      SELECT w.doc_id, arg_max(p.idx, p.lvl * 10000000 + p.idx) + 1, w.n + 1
+      FROM walk w JOIN pieces f ON f.doc_id = w.doc_id AND f.idx = w.st
+      JOIN pieces p ON p.doc_id = w.doc_id AND p.idx >= w.st AND (p.idx = w.st OR p.start - f.start + p.fit <= {cap})
+      GROUP BY w.doc_id, w.st, w.n),
+    spans AS (SELECT doc_id, st, lead(st) OVER (PARTITION BY doc_id ORDER BY st) AS stop FROM walk),
+    texts AS (
+      SELECT c.doc_id, c.st, trim(string_agg(p.s, '' ORDER BY p.idx), {SPACES}) AS text
+      FROM spans c JOIN pieces p ON p.doc_id = c.doc_id AND p.idx >= c.st AND p.idx < c.stop GROUP BY c.doc_id, c.st)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS INTEGER) AS chunk_index, text,
+      CAST(length(text) // 4 + 1 AS INTEGER) AS token_count FROM texts WHERE text <> ''"""
+
+
+RTRIM = f"length(rtrim(translate(s, {NL} || chr(9) || chr(13), '   ')))"
+SPACES = "(" + " || ".join(f"chr({ord(c)})" for c in SPACE_CHARS) + ")"
+NEWLINES = f"(length(s) - length(rtrim(s, {NL})))"
+PROSE_LEVELS = f"CASE WHEN {NEWLINES} = 0 THEN {cst.END} ELSE least({cst.NEWLINE - 1} + {NEWLINES}, {cst.BLOCK - 1}) END"
+
+
+def either(pattern: str, *columns: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({c}, {lit(pattern)})" for c in columns) + ")"
+
+
+MARKDOWN_LEVELS = f"""CASE WHEN is_last THEN {cst.END}
+  WHEN {either(cst.HEADING_LINE, 'nxt')} THEN {cst.HEADING} - length(regexp_extract(nxt, '^(#+)', 1))
+  WHEN {either(cst.RULE_LINE, 'nxt', 's')} THEN {cst.RULE}
+  WHEN {either(cst.HEADING_LINE, 's')} THEN {cst.NEWLINE}
+  WHEN {NEWLINES} > 1 OR {either(cst.FENCE_LINE, 'nxt', 's')} THEN {cst.BLOCK}
+  WHEN {either(cst.LIST_LINE, 'nxt')} THEN {cst.BLOCK - 1} ELSE {cst.NEWLINE} END"""
+
 HEADING = r"^(#{1,6})(?:\s|$)"
 MD_LINES = rf"""lines2 AS (
     SELECT *, regexp_matches(s, '^(?:```|~~~)') AS fence, regexp_matches(s, '{HEADING}') AS head FROM lines),
@@ -299,6 +363,8 @@ ORACLES = {
       SELECT doc_id, line_no, token_count, is_boundary, is_keyword, brace_delta, paren_delta, open_string FROM feats""",
     "code_depth": f"""WITH {lines(CODE_DOCS)}, {FEATURES}
       SELECT doc_id, line_no, CAST(brace_depth AS INTEGER) AS brace_depth, CAST(paren_depth AS INTEGER) AS paren_depth FROM depth""",
+    "chunk_semantic_structure": structure_chunks(DOCS, cst.LINE_RUN, PROSE_LEVELS),
+    "chunk_markdown_structure": structure_chunks(MD_DOCS, cst.FENCE_RUN, MARKDOWN_LEVELS),
     "md_sections": rf"""WITH {lines(MD_DOCS)}, {MD_LINES}
       SELECT doc_id, CAST(section_id AS INTEGER) AS section_id,
         CAST(max(CASE WHEN starts THEN length(regexp_extract(s, '{HEADING}', 1)) ELSE 0 END) AS INTEGER) AS heading_level,

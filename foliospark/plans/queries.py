@@ -599,6 +599,7 @@ def topk_preview(spark, sf):
 
 
 def _document_stream(spark, sf, name="documents", *columns):
+    inputs.utc(spark)
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
     return read_stream(spark, sf, schema, f"{name}.parquet").select(*columns)
 
