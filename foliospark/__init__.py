@@ -5,10 +5,10 @@ from .functions.sql import register_functions
 from .functions.tokens import ArrowTokenCounter, TokenCounter, token_count
 from .operators.registry import create_chunks, register_strategy
 from .operators.responders import Constant, Identity, Responder, Scripted, Upper
-from .plans.job import JobResult, run_job
+from .plans.job import JobResult, run_folder, run_job
 
 __all__ = [
     "ApiError", "ArrowTokenCounter", "ChunkingError", "ConfigError", "Constant", "FolioError",
     "Identity", "JobConfig", "JobResult", "ModelSpec", "Responder", "Scripted", "TokenCounter",
-    "Upper", "create_chunks", "register_functions", "register_strategy", "run_job", "token_count",
+    "Upper", "create_chunks", "register_functions", "register_strategy", "run_folder", "run_job", "token_count",
 ]

@@ -8,7 +8,7 @@ from pyspark.sql.functions import udtf
 # Plain SQL macros: the optimizer sees through them.
 MACROS = {
     "token_count(s STRING)": ("INT", "CAST(length(s) DIV 4 + 1 AS INT)"),
-    "norm_newlines(s STRING)": ("STRING", r"regexp_replace(s, '\\r\\n?', '\\n')"),
+    "norm_newlines(s STRING)": ("STRING", r"regexp_replace(s, '\\r\\n?', '\n')"),
     "tail_sample(s STRING, n INT)": ("STRING", "right(s, 4 * n)"),
     "completion_budget(tokens BIGINT, ratio INT)": (
         "INT",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import JobConfig
@@ -17,6 +17,9 @@ from ..operators.reports import (
 )
 from ..operators.transform import diagnostics, transform_chunks
 from ..session import durable
+from ..sources.documents import read_manifest, write_files
+from ..sources.manifest import discover, folder_exists, list_files, prescreen
+from ..sources.paths import load_ignore_lines, output_path
 
 
 @dataclass
@@ -32,6 +35,9 @@ class JobResult:
     states: DataFrame | None = None
     failures: DataFrame | None = None
     summary: DataFrame | None = None
+    unreadable: DataFrame | None = None
+    written: DataFrame | None = None
+    metrics: dict | None = None
 
 
 def run_job(
@@ -57,7 +63,15 @@ def run_job(
     if config.dry_run or responder is None:
         return JobResult(chunks=chunks, report=report)
 
-    responses = durable(transform_chunks(chunks, config, responder, fallbacks, key), "responses")
+    seen = Observation()
+    answers = transform_chunks(chunks, config, responder, fallbacks, key).observe(
+        seen,
+        F.count("*").alias("calls"),
+        F.count_if(F.col("error").isNotNull()).alias("failed_calls"),
+        F.sum("total_input_tokens").alias("input_tokens"),
+        F.sum("response_tokens").alias("output_tokens"),
+    )
+    responses = durable(answers, "responses")
     states = with_status(doc_state(responses, key))
     quarantine = zero_output(responses, key)
     assembled = with_empty_documents(base, reassemble(responses, key), key)
@@ -82,4 +96,40 @@ def run_job(
         states=states,
         failures=failures(responses, key),
         summary=run_summary(states),
+        metrics=seen.get,
+    )
+
+
+def run_folder(
+    spark: SparkSession,
+    input_dir: str,
+    config: JobConfig,
+    responder=None,
+    output_dir: str | None = None,
+    fallbacks=(),
+) -> JobResult:
+    """Process the files of a folder; results go to ``output_dir`` or back in place.
+
+    Files are listed and filtered by name before any content is read.  Contents are
+    stored once in the shared folder, so writing in place cannot feed back into the
+    run.
+    """
+    files = list_files(spark, input_dir)
+    manifest = discover(
+        files, config.recurse or "*", output_dir, load_ignore_lines(input_dir), config.unrestricted
     )
+    if output_dir and not config.force and folder_exists(output_dir):
+        manifest = prescreen(
+            manifest, list_files(spark, output_dir).select("rel_path").withColumn(
+                "path", output_path("rel_path", output_dir, "rel_path")
+            )
+        )
+    manifest = durable(manifest, "manifest")
+    stored = durable(read_manifest(manifest), "contents")
+    docs = stored.filter(F.col("error").isNull()).select("path", "text")
+    result = run_job(spark, docs, config, responder, fallbacks, key="path")
+    result.unreadable = stored.filter(F.col("error").isNotNull()).select("path", "error")
+    if result.documents is not None:
+        outputs = result.documents.join(manifest.select("path", "output_path"), "path")
+        result.written = durable(write_files(outputs), "written")
+    return result

@@ -31,6 +31,39 @@ def read_files(spark: SparkSession, path: str, limit: int = MAX_FILE_BYTES) -> D
     return decode_documents(raw, limit)
 
 
+def read_manifest(manifest: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+    """Contents of exactly the files of a manifest: path, length, text, error.
+
+    The manifest is narrow, so it is spread by path first; each task then opens
+    only its own files.  Files over the limit are never opened, and a file that
+    cannot be read becomes an error row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, length in batch.itertuples(index=False, name=None):
+                data, problem = b"", None
+                try:
+                    if length <= limit:
+                        store, name = fs.FileSystem.from_uri(path)
+                        with store.open_input_stream(name) as f:
+                            data = f.read()
+                except Exception as e:
+                    problem = str(e)
+                # One file per batch: memory holds one document at a time.
+                yield pd.DataFrame({"path": [path], "length": [length], "content": [data], "problem": [problem]})
+
+    raw = (
+        manifest.select("path", "length")
+        .repartition("path")
+        .mapInPandas(run, "path string, length bigint, content binary, problem string")
+    )
+    decoded = decode_documents(raw, limit)
+    return decoded.withColumn("error", F.coalesce("problem", "error")).drop("problem")
+
+
 def decode_documents(raw: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
     """``content BINARY`` to ``text``; CRLF and CR become LF as on a text read."""
     from ..functions.text import norm_newlines

@@ -16,9 +16,9 @@ MAX_FILE_BYTES = 100 * 1024 * 1024
 def list_files(spark: SparkSession, input_dir: str) -> DataFrame:
     """Every file below a folder: path, rel_path, length, modified.
 
-    File contents are not read: the content column is pruned.  Spark does not list
-    names that start with ``_`` or ``.``; pass a path table to :func:`discover` for
-    those.
+    File contents are not read: the content column is pruned.  Spark lists neither
+    empty files nor names that start with ``_`` or ``.``; pass a path table to
+    :func:`discover` for those.
     """
     root = input_dir.rstrip("/")
     listed = (
@@ -39,6 +39,13 @@ def list_files(spark: SparkSession, input_dir: str) -> DataFrame:
     )
 
 
+def folder_exists(path: str) -> bool:
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.get_file_info(name).type == fs.FileType.Directory
+
+
 def discover(
     files: DataFrame,
     pattern: str,
