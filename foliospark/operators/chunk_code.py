@@ -9,7 +9,7 @@ from ..functions.code_features import line_features
 from ..functions.text import norm_newlines, split_lines
 from ..functions.tokens import let, token_count
 from .chunk_text import explode_pieces
-from .pack import append, contents, cut, empty_buffer, render
+from .pack import NO_CUTS, blocked_fold, cut, no_cuts, render, span
 
 # A forced cut looks back over this many lines, from this length on.
 LOOK_BACK = 20
@@ -52,7 +52,7 @@ def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
         )
 
     def tokens(st, n):
-        return F.aggregate(F.slice(feats, st + one, n), zero, lambda t, x: t + x["k"])
+        return F.aggregate(span(feats, st, n), zero, lambda t, x: t + x["k"])
 
     def look_back(a):
         first = F.greatest(zero, a["n"] - F.lit(LOOK_BACK)) + one
@@ -70,8 +70,8 @@ def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
         )
 
         def close(j):
-            before = append(a["out"], cut(a["st"], a["n"], a["tk"]))
-            split = append(a["out"], cut(a["st"], j, tokens(a["st"], j)))
+            before = F.concat(a["out"], cut(a["st"], a["n"], a["tk"]))
+            split = F.concat(a["out"], cut(a["st"], j, tokens(a["st"], j)))
             kept = a["n"] - j + one
             return F.when(
                 good | j.isNull(), state(x["i"], one, x["k"], brace, paren, before)
@@ -95,21 +95,20 @@ def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
                     p["n"] > 1,
                     state(
                         nxt, zero, zero, brace, paren,
-                        append(p["out"], F.concat(cut(p["st"], p["n"] - one, p["tk"] - x["k"]), alone)),
+                        F.concat(p["out"], cut(p["st"], p["n"] - one, p["tk"] - x["k"]), alone),
                     ),
                 )
-                .otherwise(state(nxt, zero, stale, brace, paren, append(p["out"], alone)))
+                .otherwise(state(nxt, zero, stale, brace, paren, F.concat(p["out"], alone)))
             )
 
         return let(grown, cut_overlong)
 
-    return F.aggregate(
-        feats,
-        state(zero, zero, zero, zero, zero, empty_buffer()),
-        step,
-        lambda a: F.when(
-            a["n"] > 0, F.concat(contents(a["out"]), cut(a["st"], a["n"], a["tk"]))
-        ).otherwise(contents(a["out"])),
+    start = dict.fromkeys(("st", "n", "tk", "brace", "paren"), zero)
+    return let(
+        blocked_fold(feats, start, NO_CUTS, step),
+        lambda a: F.concat(
+            a["out"], F.when(a["n"] > 0, cut(a["st"], a["n"], a["tk"])).otherwise(no_cuts())
+        ),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank, strip, windows
 from ..functions.tokens import CHARS_PER_TOKEN, let, token_count
 from .chunk_text import chunk_text, explode_pieces
-from .pack import append, contents, empty_buffer
+from .pack import blocked_fold, span
 
 WORD, SENTENCE, NEWLINE = 1, 2, 3
 BLOCK, RULE, HEADING = 40, 41, 48
@@ -118,10 +118,11 @@ def markdown_pieces(runs: Column, cap: int) -> Column:
     return F.flatten(F.transform(runs, one))
 
 
-def level_cuts(items: Column, cap: int) -> Column:
+def level_cuts(sizes: Column, cap: int) -> Column:
     """Fill chunks to ``cap`` characters, cutting at the strongest break.
 
-    ``items`` is array<struct<s,lvl>>; the result is array<struct<st,n>>.
+    ``sizes`` is array<struct<lvl,ln,fit>>: break after the piece, its length, and
+    its length without trailing space.  The result is array<struct<st,n>>.
     """
     zero, one, room = F.lit(0), F.lit(1), F.lit(cap)
     kind = "array<struct<st:int,n:int>>"
@@ -135,43 +136,41 @@ def level_cuts(items: Column, cap: int) -> Column:
     def best_break(st, i):
         """1-based offset of the cut in the open run."""
         ranked = F.transform(
-            F.slice(items, st + one, i - st),
+            span(sizes, st, i - st),
             lambda p, q: F.struct(p["lvl"].alias("lvl"), (q + one).alias("q")),
         )
         return F.array_max(ranked)["q"]
 
     def length_of(st, n):
-        return F.aggregate(F.slice(items, st + one, n), zero, lambda t, p: t + F.length(p["s"]))
+        return F.aggregate(span(sizes, st, n), zero, lambda t, p: t + p["ln"])
 
     def step(a, x):
-        fit = _rtrim_length(x["s"])
+        def full(b):
+            return (b["st"] < b["i"]) & (b["ln"] + x["fit"] > room)
 
         def shrink(b, _):
             def close(n):
                 return state(
                     b["i"], b["st"] + n, b["ln"] - length_of(b["st"], n),
-                    append(b["out"], cut(b["st"], n)),
+                    F.concat(b["out"], cut(b["st"], n)),
                 )
 
-            full = (b["st"] < b["i"]) & (b["ln"] + fit > room)
-            closed = let(best_break(b["st"], b["i"]), close)
-            return F.when(full, closed).otherwise(b)
+            return F.when(full(b), let(best_break(b["st"], b["i"]), close)).otherwise(b)
 
-        shrunk = F.when(
-            (a["st"] < a["i"]) & (a["ln"] + fit > room),
-            F.aggregate(F.sequence(a["st"], a["i"]), a, shrink),
-        ).otherwise(a)
-        return let(
-            shrunk, lambda b: state(b["i"] + one, b["st"], b["ln"] + F.length(x["s"]), b["out"])
-        )
+        def grow(b):
+            return state(b["i"] + one, b["st"], b["ln"] + x["ln"], b["out"])
+
+        # At most one cut per piece of the open run.
+        shrunk = F.aggregate(F.sequence(a["st"], a["i"]), a, shrink)
+        return F.when(full(a), let(shrunk, grow)).otherwise(grow(a))
 
-    return F.aggregate(
-        items,
-        state(zero, zero, zero, empty_buffer(kind)),
-        step,
-        lambda a: F.when(
-            a["i"] > a["st"], F.concat(contents(a["out"]), cut(a["st"], a["i"] - a["st"]))
-        ).otherwise(contents(a["out"])),
+    start = {"i": zero, "st": zero, "ln": zero}
+    return let(
+        blocked_fold(sizes, start, kind, step),
+        lambda a: F.concat(
+            a["out"],
+            F.when(a["i"] > a["st"], cut(a["st"], a["i"] - a["st"])).otherwise(F.array().cast(kind)),
+        ),
     )
 
 
@@ -179,10 +178,26 @@ def _pack(df: DataFrame, cap: int) -> DataFrame:
     texts = F.transform(
         F.col("cuts"),
         lambda c: strip(
-            F.array_join(F.transform(F.slice("items", c["st"] + F.lit(1), c["n"]), lambda p: p["s"]), "")
+            F.array_join(
+                F.transform(
+                    F.sequence(c["st"], c["st"] + c["n"] - F.lit(1)), lambda i: F.get("items", i)["s"]
+                ),
+                "",
+            )
+        ),
+    )
+    sizes = F.transform(
+        "items",
+        lambda p: F.struct(
+            p["lvl"].alias("lvl"), F.length(p["s"]).alias("ln"), _rtrim_length(p["s"]).alias("fit")
         ),
     )
-    df = df.withColumn("cuts", level_cuts(F.col("items"), cap)).withColumn("texts", texts)
+    df = (
+        df.withColumn("sizes", sizes)
+        .withColumn("cuts", level_cuts(F.col("sizes"), cap))
+        .withColumn("texts", texts)
+        .drop("sizes")
+    )
     pieces = F.transform(
         F.filter("texts", lambda s: s != F.lit("")),
         lambda s: F.struct(s.alias("text"), token_count(s).alias("token_count")),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_newlines, split_lines, strip
-from ..functions.tokens import CHARS_PER_TOKEN, token_count
-from .pack import append, contents, empty_buffer, greedy_cuts, render
+from ..functions.tokens import CHARS_PER_TOKEN, let, token_count
+from .pack import blocked_fold, greedy_cuts, render
 
 
 def explode_pieces(df: DataFrame) -> DataFrame:
@@ -74,12 +74,13 @@ def paragraph_pieces(text: Column, chunk_size: int) -> Column:
     whole.
     """
     cap = F.lit(CHARS_PER_TOKEN * chunk_size)
+    kind = "array<string>"
 
     def state(cur, out):
         return F.struct(cur.alias("cur"), out.alias("out"))
 
     def closed(a):
-        return F.when(a["cur"] != "", append(a["out"], F.array(a["cur"]))).otherwise(a["out"])
+        return F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"])
 
     def step(a, p):
         return (
@@ -88,10 +89,9 @@ def paragraph_pieces(text: Column, chunk_size: int) -> Column:
             .otherwise(state(F.concat(a["cur"], F.lit("\n\n"), p), a["out"]))
         )
 
-    start = state(F.lit(""), empty_buffer("array<string>"))
-    texts = F.aggregate(F.split(text, "\n\n", -1), start, step, lambda a: contents(closed(a)))
+    folded = blocked_fold(F.split(text, "\n\n", -1), {"cur": F.lit("")}, kind, step)
     return F.transform(
-        F.transform(texts, strip),
+        F.transform(let(folded, closed), strip),
         lambda s: F.struct(s.alias("text"), token_count(s).alias("token_count")),
     )
 

@@ -9,7 +9,7 @@ from ..functions.text import norm_newlines, split_lines
 from ..functions.tokens import max_chars, token_count
 from ..functions.text import windows
 from ..functions.xml import xml_children, xml_elements, xml_normalize, xml_wrap
-from .pack import greedy_cuts
+from .pack import greedy_cuts, span
 
 
 def _piece(text: Column, tk: Column, group: bool) -> Column:
@@ -18,7 +18,7 @@ def _piece(text: Column, tk: Column, group: bool) -> Column:
 
 def _render(cuts: Column, items: Column, chunk_size: int, grouped: bool) -> Column:
     def expand(c):
-        joined = F.array_join(F.slice(items, c["st"] + F.lit(1), c["n"]), "")
+        joined = F.array_join(span(items, c["st"], c["n"]), "")
         parts = F.transform(
             windows(F.element_at(items, c["st"] + F.lit(1)), max_chars(chunk_size)),
             lambda s: _piece(s, token_count(s), False),
