@@ -29,7 +29,6 @@ LOW_QUOTA_DELAY = 2.0
 
 _INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
 _FLOAT = r"(?i)^\s*[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:e[+-]?\d+)?\s*$"
-_INFINITE = r"(?i)^\s*[+-]?inf(?:inity)?\s*$"
 
 
 def parse_rate_headers(headers: Column | str, now: Column | str) -> Column:
@@ -46,24 +45,26 @@ def parse_rate_headers(headers: Column | str, now: Column | str) -> Column:
     }
     resets = {"reset_time": H_RESET_TOKENS, "requests_reset_time": H_RESET_REQUESTS}
 
+    def as_int(v):
+        # Casts decide nearly all values; only digits grouped by "_" need the regex.
+        grouped = F.when(v.contains("_") & v.rlike(_INT), F.replace(v, F.lit("_"), F.lit("")))
+        return F.coalesce(v.try_cast("bigint"), grouped.try_cast("bigint"))
+
+    def as_float(v):
+        grouped = F.when(v.contains("_") & v.rlike(_FLOAT), F.replace(v, F.lit("_"), F.lit("")))
+        number = F.coalesce(v.try_cast("double"), grouped.try_cast("double"))
+        # The cast also takes Java's type suffixes and hexadecimal, which are no numbers here.
+        low = F.lower(F.trim(v))
+        java_only = (low.endswith("d") | low.endswith("f") | low.contains("x")) & ~low.endswith("inf")
+        return F.when(~java_only & ~F.isnan(number), number)
+
     def parse(m):
         """One look at each header; everything else reads the parsed struct."""
         fields = []
         for name, header in ints.items():
-            number = let(
-                m[header],
-                lambda v: F.when(v.rlike(_INT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("bigint")),
-            )
-            fields += [number.alias(name), m[header].isNotNull().alias(name + "_given")]
+            fields += [let(m[header], as_int).alias(name), m[header].isNotNull().alias(name + "_given")]
         for name, header in resets.items():
-            number = let(
-                m[header],
-                lambda v: F.when(
-                    v.rlike(_FLOAT), F.replace(F.trim(v), F.lit("_"), F.lit("")).try_cast("double")
-                ),
-            )
-            infinite = F.coalesce(m[header].rlike(_INFINITE), F.lit(False))
-            fields += [number.alias(name), infinite.alias(name + "_infinite")]
+            fields.append(let(m[header], as_float).alias(name))
         return F.struct(*fields)
 
     def verdict(p):
@@ -72,7 +73,7 @@ def parse_rate_headers(headers: Column | str, now: Column | str) -> Column:
             bad = bad | (p[name + "_given"] & p[name].isNull())
             found = found | p[name + "_given"]
         for name in resets:
-            bad = bad | p[name + "_infinite"]
+            bad = bad | F.coalesce(F.abs(p[name]) == F.lit(float("inf")), F.lit(False))
             found = found | p[name].isNotNull()
         return F.struct(p.alias("p"), (~bad).alias("ok"), (~bad & found).alias("parsed"))
 

@@ -18,7 +18,15 @@ def test_headers(spark):
     assert (s.requests_remaining, s.tokens_remaining, s.headers_parsed) == (172799, 1000, True)
     assert (s.reset_time - s.last_updated).total_seconds() == 2.5
     assert (s.requests_reset_time - s.last_updated).total_seconds() == 86400
-    for bad in ({rates.H_LEFT_REQUESTS: "invalid", rates.H_LEFT_TOKENS: "5"}, {rates.H_RESET_TOKENS: "inf", rates.H_LEFT_TOKENS: "5"}, {}):
+    for odd in ("1d", "2.5f", "0x1p3", "nan", "", "1__0"):
+        assert not parse(spark, {rates.H_RESET_TOKENS: odd}).headers_parsed, odd
+    for fine, secs in ((" 1e1 ", 10), ("1_0.5", 10.5), ("-3", -3), (".5", 0.5)):
+        s = parse(spark, {rates.H_RESET_TOKENS: fine})
+        assert s.headers_parsed and (s.reset_time - s.last_updated).total_seconds() == secs
+    for n, want in (("+5", 5), ("-7", -7), ("12.5", None), ("1e3", None), ("5_0", 50), ("_5", None), ("", None)):
+        s = parse(spark, {rates.H_LEFT_TOKENS: n})
+        assert (s.tokens_remaining if s.headers_parsed else None) == want, n
+    for bad in ({rates.H_RESET_TOKENS: "-Infinity", rates.H_LEFT_TOKENS: "5"}, {rates.H_LEFT_REQUESTS: "invalid", rates.H_LEFT_TOKENS: "5"}, {rates.H_RESET_TOKENS: "inf", rates.H_LEFT_TOKENS: "5"}, {}):
         s = parse(spark, bad)
         assert (s.tokens_remaining, s.headers_parsed) == (0, False)
     s = parse(spark, {rates.H_RESET_TOKENS: "soon", rates.H_LIMIT_TOKENS: "9"})
