@@ -61,12 +61,12 @@ def frequent_winners(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
 
 
-def _with_winners(rows: DataFrame, winners: DataFrame) -> DataFrame:
+def with_winners(rows: DataFrame, winners: DataFrame) -> DataFrame:
     lost = F.col("win_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("win_id")))
     return rows.join(F.broadcast(winners), "digest", "left").withColumn("lost", lost)
 
 
-def _place():
+def place_in_group():
     return F.row_number().over(Window.partitionBy("digest").orderBy(F.desc_nulls_last("doc_id")))
 
 
@@ -74,7 +74,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = durable(docs.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest")), "digests")
     winners = durable(frequent_winners(digests, counters), "winners")
-    rows = _with_winners(digests, winners)
+    rows = with_winners(digests, winners)
     settled = rows.filter("lost").select(
         "doc_id", F.col("win_id").alias("keep_id"), F.col("win_n").alias("group_size"), F.lit(False).alias("kept"), "digest"
     )
@@ -83,7 +83,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         F.max("doc_id").over(group).alias("keep_id"),
         F.coalesce(F.col("win_n"), F.count(F.lit(1)).over(group)).alias("group_size"),
-        (_place() == 1).alias("kept"),
+        (place_in_group() == 1).alias("kept"),
         "digest",
     )
     return settled.unionByName(met).withColumnRenamed("digest", "text_sha256")
@@ -93,5 +93,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``docs`` with one row of each group of equal texts; all its columns."""
     digests = durable(docs.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("digest")), "digests")
     winners = durable(frequent_winners(digests, counters), "winners")
-    rows = _with_winners(packed(docs, doc_id=F.col(id_col), digest=digest_of(text_col)), winners)
-    return unpacked(rows.filter(~F.col("lost")).withColumn("place", _place()).filter("place = 1"))
+    rows = with_winners(packed(docs, doc_id=F.col(id_col), digest=digest_of(text_col)), winners)
+    return unpacked(rows.filter(~F.col("lost")).withColumn("place", place_in_group()).filter("place = 1"))

@@ -1,6 +1,16 @@
 """DuckDB twins of the corpus queries that SQL can express."""
 
 ORACLES = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT *, sha1(html) AS hex, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place,
+                     max(page_id) OVER (PARTITION BY html) AS keep_id FROM p)
+        SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN keep_id END AS refers_to
+        FROM d""",
     "op8_mix_sources": r"""
         WITH sized AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
