@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 BATCH_CHARS = 4_000_000
+MEMO = 300_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -126,6 +127,7 @@ class ByteBpe:
         self.word_ids = np.fromiter(self.ranks.values(), np.int64, len(self.words))
         self.table = MinimalPerfectHash(self.words)
         self.pieces = regex.compile(pattern).findall
+        self.merged: dict[bytes, list[int]] = {}  # misses met lately, MEMO at most
         self.bytes_of = [b""] * (int(self.word_ids.max()) + 1)
         for word, i in self.ranks.items():
             self.bytes_of[i] = word
@@ -133,8 +135,15 @@ class ByteBpe:
     def encode_distinct(self, pieces: list[str]) -> list[list[int]]:
         keys = [p.encode() for p in pieces]
         at = self.table.find(keys)
-        words, ranks, ids = self.words, self.ranks, self.word_ids
-        return [[int(ids[i])] if words[i] == k else merge(k, ranks) for k, i in zip(keys, at.tolist())]
+        words, ids = self.words, self.word_ids
+        return [[int(ids[i])] if words[i] == k else self._merged(k) for k, i in zip(keys, at.tolist())]
+
+    def _merged(self, key: bytes) -> list[int]:
+        if (ids := self.merged.get(key)) is None:
+            if len(self.merged) >= MEMO:
+                self.merged.clear()
+            ids = self.merged[key] = merge(key, self.ranks)
+        return ids
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[list[int]]]:
         """For each text, the id lists of its pre-tokens."""
