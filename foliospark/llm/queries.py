@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, toxicity, warc
+from . import bpe, exact_dedup, mixing, quality, secrets, simhash, token_files, toxicity, warc
 from .common import documents
 
 QUERIES = {}
@@ -43,6 +43,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_file_round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     trip = warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
