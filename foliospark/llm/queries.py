@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, token_files, toxicity, warc
+from . import bpe, exact_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_files, toxicity, warc
 from .common import documents
 
 QUERIES = {}
@@ -28,6 +28,11 @@ def multi_bpe() -> tuple[str, str]:
     return tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_report(documents(spark, sf_dir))
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir))
