@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import bpe, exact_dedup, mixing, quality
+from foliospark.llm import bpe, exact_dedup, mixing, quality, simhash
 from foliospark.llm.queries import multi_bpe
 from foliospark.session import durable
 
@@ -21,6 +21,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -29,7 +33,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, *multi_bpe())
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("mix_sources", mix_sources), ("byte_bpe", encode)]
+STAGES = [
+    ("quality_rules", quality_rules), ("exact_dedup", exact), ("simhash_near_dedup", near), ("mix_sources", mix_sources), ("byte_bpe", encode),
+]
 
 #: Hash tables, fingerprints and merges have no SQL form; the tests compare with a brute-force pipeline.
 ORACLE_SQL = None
