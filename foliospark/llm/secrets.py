@@ -30,10 +30,13 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-IDENTIFIER = r"[A-Za-z][A-Za-z0-9_]{5,}"
+#: Ordinary words are shorter than candidates, so that unlabelled secrets are no samples of them.
+IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z0-9_]{5,18}(?![A-Za-z0-9+/_-])"
 MAX_SAMPLE = 50_000
 MAX_SAMPLE_DOCS = 2_000
-THRESHOLD = 0.5
+BACKOFF = 5.0
+#: Nats a step; over the shortest candidate that is odds of about 150 to 1.
+THRESHOLD = 0.25
 
 
 def _total(lengths: Column) -> Column:
@@ -97,7 +100,8 @@ def _step_codes(value: Column) -> Column:
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """Log-likelihood ratio of every step (random over ordinary), add-one smoothed within each first character."""
+    """Log-likelihood ratio of every step (random over ordinary); a step seen rarely leans on how common its
+    second character is."""
     import math
 
     m = len(ALPHABET) + 1
@@ -108,11 +112,13 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
         counts[r["kind"]][r["step"]] = r["count"]
     if not sum(counts[1]):
         return [0.0] * (m * m)
-    out = []
-    for a in range(m):
-        rows = [c[a * m : (a + 1) * m] for c in counts]
-        sums = [sum(r) + m for r in rows]
-        out += [math.log((rows[1][b] + 1) / sums[1]) - math.log((rows[0][b] + 1) / sums[0]) for b in range(m)]
+    alone = [[sum(c[b::m]) + 0.5 for b in range(m)] for c in counts]
+
+    def chance(kind: int, a: int, b: int) -> float:
+        row = sum(counts[kind][a * m : (a + 1) * m])
+        return (counts[kind][a * m + b] + BACKOFF * alone[kind][b] / sum(alone[kind])) / (row + BACKOFF)
+
+    out = [math.log(chance(1, a, b)) - math.log(chance(0, a, b)) for a in range(m) for b in range(m)]
     return out
 
 
@@ -148,10 +154,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     secret = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 1)), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))
     random = _sample(found.filter(F.size(base) > 0).select(F.explode(secret).alias("value")))
     ids = named.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE_DOCS)
-    plain = named.join(F.broadcast(ids), "doc_id").select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
-    taken = random.select("value")
-    ordinary = _sample(plain).join(taken, "value", "left_anti")
-    ratios = train(random, ordinary)
+    bare = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    plain = named.join(F.broadcast(ids), "doc_id").select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+    ratios = train(random, _sample(plain))
 
     markov = F.filter("candidates", lambda c: mean_ratio(c["value"], ratios) > threshold)
     judged = found.withColumn("markov", markov)
