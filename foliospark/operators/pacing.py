@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import backoff_delay
-from .ordered import lag_value, running_sum, time_bucket
+from .ordered import lag_value, running_sums, time_bucket
 
 
 def replay_pacing(log: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
@@ -35,8 +35,10 @@ def pacing_plan(
     token and request totals."""
     order = ["ts", "request_id"]
     bucket = time_bucket("ts", bucket_seconds)
-    both = running_sum(log, "client", order, bucket, F.col("tokens").cast("bigint"), "tokens_so_far")
-    both = running_sum(both, "client", order, bucket, F.lit(1).cast("bigint"), "requests_so_far")
+    both = running_sums(
+        log, "client", order, bucket,
+        {"tokens_so_far": F.col("tokens").cast("bigint"), "requests_so_far": F.lit(1).cast("bigint")},
+    )
     minute = F.greatest(
         F.floor((F.col("tokens_so_far") - F.col("tokens")) / tokens_per_minute),
         F.floor((F.col("requests_so_far") - 1) / requests_per_minute),

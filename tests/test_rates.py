@@ -63,3 +63,11 @@ def test_token_counters(spark):
 
     got = [tuple(r) for r in df.select(TokenCounter().column("s"), ArrowTokenCounter("letters", factory).column("s")).collect()]
     assert got == [(1, 0), (2, 4), (None, None), (2, 2)]
+
+
+def test_rows_without_key_or_time_stay(spark):
+    rows = [(None, 1, 5), ("a", None, 7), ("a", 3, 1), ("a", None, 2), (None, None, 4), ("b", 9, 3)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, t int, v int")
+    bucket = F.floor(F.col("t") / 2)
+    got = running_sum(lag_value(df, "k", ["t", "i"], bucket, F.col("v"), "prev"), "k", ["t", "i"], bucket, F.col("v"), "total")
+    assert sorted((r.i, r.prev, r.total) for r in got.collect()) == [(0, 4, 9), (1, None, 7), (2, 2, 10), (3, 7, 9), (4, None, 4), (5, None, 3)]
