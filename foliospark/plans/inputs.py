@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rates
 from ..functions.tokens import token_count
 from ..operators.chunk_text import chunk_text
-from ..sources.documents import read_table
+from ..session import durable, fresh_path
+from ..sources.documents import read_table, write_files
+from ..sources.manifest import list_files
 
 CS = 100
 SAMPLE = 50
@@ -49,6 +51,7 @@ def _replaced(df: DataFrame, pairs) -> DataFrame:
 CODE_REWRITES = (
     (". ", " }\ndef "), (", ", " {\n"), (" and ", ' " '), (" des ", " (\n"),
     (" le ", ")\n\n"), (" the ", "\n  class "), (" und ", "\n  x\n  y = "), (" de ", ";\n"),
+    (" von ", "\nfrom import_x\n"), (" que ", "\nfrom x import y\n"),
 )
 MARKDOWN_REWRITES = (
     (". ", ".\n\n## "), (", ", ",\n- "), (" the ", "\n```\n"), (" la ", "\n---\n"), (" und ", "\n| "),
@@ -84,6 +87,20 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def written_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing of a folder with one file per document: hidden names, sub-folders and empty files among them."""
+    folder = fresh_path(spark, "files")
+    place = F.element_at(F.array(*[F.lit(x) for x in ("", "a/", "_b/", ".c/d/")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    start = F.element_at(F.array(*[F.lit(x) for x in ("", "_", ".")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    ext = F.when(F.col("doc_id") % 5 == 0, ".log").otherwise(".md")
+    docs = documents(spark, sf).select(
+        F.concat(F.lit(folder + "/"), place, start, F.col("doc_id").cast("string"), ext).alias("output_path"),
+        F.when(F.col("doc_id") % 10 == 1, "").otherwise(F.col("text")).alias("output_text"),
+    )
+    durable(write_files(docs), "files-status")
+    return list_files(spark, folder)
+
+
 def wrapped_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``elements``: each line of a document, escaped, as one XML element."""
     line = F.split("text", "\n", -1)
@@ -98,7 +115,7 @@ def responses(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
     """A stored response table: every 7th chunk failed, every 11th came back empty."""
     n = F.col("chunk_index") + 1
     error = F.when(n % 7 == 0, F.lit("server error: simulated")).when(
-        n % 11 == 0, F.lit("server error: empty response (zero tokens) from primary model")
+        n % 11 == 0, F.lit("server error: the model sent no text")
     )
     ok = F.col("error").isNull()
     answer = F.when(ok, F.concat(F.lit("> "), F.col("text")))

@@ -10,6 +10,9 @@ from .queries import ERROR_TEXTS, GENERATED
 
 NL = "chr(10)"
 DOCS = "SELECT doc_id, text FROM documents"
+FILES = """SELECT ['', 'a/', '_b/', '.c/d/'][(doc_id % 4 + 1)::INT] || ['', '_', '.'][(doc_id % 3 + 1)::INT] || doc_id
+      || CASE WHEN doc_id % 5 = 0 THEN '.log' ELSE '.md' END AS rel_path,
+    CASE WHEN doc_id % 10 = 1 THEN 0 ELSE strlen(text) END::BIGINT AS length FROM documents"""
 
 
 def lit(s: str) -> str:
@@ -87,7 +90,7 @@ XML_PACK = f"""WITH RECURSIVE lines AS ({ELEMENTS}), {packed()}
   FROM chunks"""
 
 ERR = """CASE WHEN (chunk_index + 1) % 7 = 0 THEN 'server error: simulated'
-  WHEN (chunk_index + 1) % 11 = 0 THEN 'server error: empty response (zero tokens) from primary model' END"""
+  WHEN (chunk_index + 1) % 11 = 0 THEN 'server error: the model sent no text' END"""
 
 
 def responses(extra: str = "") -> str:
@@ -308,6 +311,8 @@ ORACLES = {
     "match_patterns": rf"""SELECT rel_path, rel_path LIKE '%.md' OR rel_path LIKE '%.txt' AS flat,
       regexp_matches(rel_path, '(^|/)src1[^/]*/.*\.md$') AS deep,
       regexp_matches(rel_path, '(^|/)[ac]/[^/]\.log$') AS classes, contains(rel_path, '/.git/') AS in_git FROM ({PATHS})""",
+    "discover": f"""SELECT rel_path, length, '/out/' || rel_path AS output_path FROM ({FILES}) WHERE rel_path LIKE '%.md'""",
+    "file_info": f"SELECT rel_path, length, true AS has_time FROM ({FILES})",
     "expand_patterns": f"SELECT doc_id, rel_path || '/*.' || unnest(['md', 'py']) AS expanded FROM ({PATHS})",
     "pattern_union": rf"""SELECT DISTINCT rel_path FROM ({PATHS}) WHERE (rel_path LIKE '%.md' OR rel_path LIKE 'src1/%')
       AND NOT contains(rel_path, '/.git/')""",
@@ -318,8 +323,8 @@ ORACLES = {
     "prescreen": f"""SELECT '/in/' || rel_path AS path, CASE WHEN doc_id % 5 = 0 THEN '/in/' ELSE '/out/' END || rel_path AS output_path
       FROM ({PATHS}) WHERE doc_id % 5 = 0 OR doc_id % 2 = 1""",
     "resume_pending": "SELECT doc_id FROM documents WHERE NOT (doc_id % 2 = 0 AND doc_id % 48 <= 24)",
-    "read_docs": """SELECT doc_id, CASE WHEN strlen(text) <= 60000 AND doc_id % 50 <> 0 THEN text END AS text,
-      CASE WHEN strlen(text) > 60000 THEN 'file too large' WHEN doc_id % 50 = 0 THEN 'not valid UTF-8' END AS error FROM documents""",
+    "read_docs": """SELECT doc_id, CASE WHEN doc_id % 50 <> 0 THEN text END AS text,
+      CASE WHEN doc_id % 50 = 0 THEN 'not valid UTF-8' END AS error FROM documents""",
     "size_guard": """SELECT doc_id, n_chars AS length,
       CASE WHEN n_chars > 2000 THEN 'File too large: ' || n_chars || ' bytes > 2000' END AS error FROM documents""",
     "write_docs": DOCS,
@@ -446,9 +451,9 @@ ORACLES = {
     "error_placeholder": f"{responses()} SELECT doc_id, chunk_index, coalesce(response, {NOTE}) AS output FROM resp",
     "reassemble": f"""{responses()} SELECT doc_id, count(*) AS n_chunks, string_agg(coalesce(response, {NOTE}), '' ORDER BY chunk_index) AS output_text
       FROM resp GROUP BY doc_id""",
-    "conversation_requests": f"""SELECT conv_id, count(*) AS n_messages, CAST(sum(k) AS BIGINT) AS total_tokens, sum(k) > 400 AS over_limit,
-      CASE WHEN sum(k) > 400 THEN 'Input too large: ' || sum(k) || ' tokens > 131000 limit' END AS error,
-      CASE WHEN sum(k) <= 400 THEN string_agg(role || ': ' || text, {NL} ORDER BY turn) END AS transcript
+    "conversation_requests": f"""SELECT conv_id, count(*) AS n_messages, CAST(sum(k) AS BIGINT) AS total_tokens, sum(k) > 131000 AS over_limit,
+      CASE WHEN sum(k) > 131000 THEN 'Input too large: ' || sum(k) || ' tokens > 131000 limit' END AS error,
+      CASE WHEN sum(k) <= 131000 THEN string_agg(role || ': ' || text, {NL} ORDER BY turn) END AS transcript
       FROM (SELECT *, length(text) // 4 + 1 AS k FROM conversations) GROUP BY conv_id""",
     "parse_rate_headers": f"""SELECT request_id, requests_remaining, tokens_remaining, tokens_limit, requests_limit, parsed AS headers_parsed,
       reset_us, at_us + 86400000000 AS requests_reset_us FROM ({STATUS_LOG})""",
@@ -489,7 +494,7 @@ ORACLES = {
         sum(processing_time) FILTER (status <> 'failed') / count(*) FILTER (status <> 'failed') AS avg_time FROM s""",
     "zero_output_docs": f"""{responses()}, z AS (
         SELECT doc_id, chunk_index, CASE WHEN doc_id % 9 = 0 THEN 'server error: down' ELSE error END AS error, response_chars FROM resp)
-      SELECT doc_id, count(*) AS n_chunks, CAST(min(chunk_index) + 1 AS INTEGER) AS first_chunk, arg_min(error, chunk_index) AS first_error,
+      SELECT doc_id, count(*) AS n_chunks, string_agg((chunk_index + 1) || ': ' || coalesce(error, 'no text'), {NL} ORDER BY chunk_index) FILTER (chunk_index < 3) AS shown,
         greatest(0, count(*) - 3) AS n_more FROM z GROUP BY doc_id HAVING count(*) FILTER (error IS NULL AND response_chars > 0) = 0""",
     "throughput": f"""{responses('lang')} SELECT lang, CAST(sum(response_tokens) AS BIGINT) AS output_tokens,
       round(sum(response_tokens)::DOUBLE / sum(seconds), 6) AS tokens_per_second FROM resp GROUP BY lang""",

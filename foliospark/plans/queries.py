@@ -48,12 +48,13 @@ def micros(c):
 
 @query
 def discover(spark, sf):
-    return manifest.discover(manifest.list_files(spark, sf), "*.{parquet,md}", "/out").select("rel_path", "length", "output_path")
+    found = manifest.discover(inputs.written_files(spark, sf), "*.{md,txt}", "/out")
+    return found.select("rel_path", "length", "output_path")
 
 
 @query
 def file_info(spark, sf):
-    return manifest.list_files(spark, sf).select("rel_path", "length", F.col("modified").isNotNull().alias("has_time"))
+    return inputs.written_files(spark, sf).select("rel_path", "length", F.col("modified").isNotNull().alias("has_time"))
 
 
 @query
@@ -120,7 +121,7 @@ def read_docs(spark, sf):
         F.when(F.col("doc_id") % 50 == 0, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFE"))))
         .otherwise(F.encode("text", "UTF-8")).alias("content"),
     )
-    return store.decode_documents(raw, 60_000).select("doc_id", "text", "error")
+    return store.decode_documents(raw).select("doc_id", "text", "error")
 
 
 @query
@@ -455,7 +456,7 @@ def reassemble_query(spark, sf):
 @query
 def conversation_requests(spark, sf):
     t = spark.read.parquet(f"{sf}/conversations.parquet")
-    r = rq.conversation_requests(t, 400)
+    r = rq.conversation_requests(t)
     flat = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
     return r.select("conv_id", "n_messages", "total_tokens", "over_limit", "error", flat.alias("transcript"))
 
@@ -633,7 +634,7 @@ def stream_dedup_outputs(spark, sf):
     for attempt in ("first", "again"):
         docs = _document_stream(spark, sf, "documents", "doc_id", "text")
         q = start_deduplicated(docs, base + "/out", f"{base}/{attempt}")
-        if not q.awaitTermination(600):
+        if q.awaitTermination() is False:
             q.stop()
             raise TimeoutError("stream_dedup_outputs")
         # The second run has a new checkpoint and sees every document again.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,23 +25,30 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can read, named by ``spark.checkpoint.dir``.
+    """The folder all executors can read: ``spark.checkpoint.dir``, else a folder in the session's warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate").rstrip("/")
 
-    A local session without that setting gets a temporary folder; a cluster
-    without it is an error, since a machine-local folder dies with its machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="foliospark-")
+
+_MADE: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; it is removed when the driver's process ends."""
+    if not _MADE:
+        atexit.register(remove_intermediate)
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def remove_intermediate() -> None:
+    """Delete what :func:`fresh_path` has named in this process, once no result needs it any more."""
+    from pyarrow import fs
+
+    while _MADE:
+        store, name = fs.FileSystem.from_uri(_MADE.pop())
+        if store.get_file_info(name).type == fs.FileType.Directory:
+            store.delete_dir(name)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .manifest import MAX_FILE_BYTES
+
+#: Bytes and files that one task reads.
+TASK_BYTES, TASK_FILES = 64 << 20, 2_000
 
 
 def read_table(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
@@ -17,11 +19,10 @@ def read_table(spark: SparkSession, path: str, key: str, *columns: str) -> DataF
     return spread(spark.read.parquet(path).select(key, *columns), key)
 
 
-def read_files(spark: SparkSession, path: str, limit: int = MAX_FILE_BYTES) -> DataFrame:
+def read_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Text files as rows: path, length, text, error.
 
-    Oversized files are refused by their length and files that are not UTF-8 by
-    their bytes; both become error rows, and the job goes on.
+    Files that are not UTF-8, or over ``limit`` bytes if one is given, become error rows, and the job goes on.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -31,13 +32,14 @@ def read_files(spark: SparkSession, path: str, limit: int = MAX_FILE_BYTES) -> D
     return decode_documents(raw, limit)
 
 
-def read_manifest(manifest: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+def read_manifest(manifest: DataFrame, limit: int | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Contents of exactly the files of a manifest: path, length, text, error.
 
-    The manifest is narrow, so it is spread by path first; each task then opens
-    only its own files.  Files over the limit are never opened, and a file that
-    cannot be read becomes an error row.
+    The manifest says little about the work, so the number of tasks comes from the bytes and the number of the files
+    it names.  Files over a given limit are never opened, and a file that cannot be read becomes an error row.
     """
+    total = manifest.agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).first()
+    tasks = max(1, -(-(total.bytes or 0) // task_bytes), -(-total.n // TASK_FILES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -46,7 +48,7 @@ def read_manifest(manifest: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame
             for path, length in batch.itertuples(index=False, name=None):
                 data, problem = b"", None
                 try:
-                    if length <= limit:
+                    if limit is None or length <= limit:
                         store, name = fs.FileSystem.from_uri(path)
                         with store.open_input_stream(name) as f:
                             data = f.read()
@@ -57,18 +59,18 @@ def read_manifest(manifest: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame
 
     raw = (
         manifest.select("path", "length")
-        .repartition("path")
+        .repartition(tasks, "path")
         .mapInPandas(run, "path string, length bigint, content binary, problem string")
     )
     decoded = decode_documents(raw, limit)
     return decoded.withColumn("error", F.coalesce("problem", "error")).drop("problem")
 
 
-def decode_documents(raw: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
+def decode_documents(raw: DataFrame, limit: int | None = None) -> DataFrame:
     """``content BINARY`` to ``text``; CRLF and CR become LF as on a text read."""
     from ..functions.text import norm_newlines
 
-    small = F.col("length") <= limit
+    small = F.lit(True) if limit is None else F.col("length") <= limit
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(small & valid, norm_newlines(F.decode(F.col("content"), "UTF-8")))
     error = F.when(~small, F.lit("file too large")).when(~valid, F.lit("not valid UTF-8"))

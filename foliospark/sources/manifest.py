@@ -2,47 +2,75 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHECKPOINT_MAX_AGE_HOURS
 from ..functions.tokens import col
+from ..session import durable
 from .paths import below_git, expand_braces, is_ignored, matches_any, output_path
 
 # Fixed value: the largest file accepted by the size guard.
 MAX_FILE_BYTES = 100 * 1024 * 1024
+#: Tasks that list the folders of one level, at most.
+LIST_TASKS = 256
+
+
+def rooted(folder: str) -> str:
+    """The folder as an absolute path or URI without a trailing slash; ``file:`` URIs become plain paths."""
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    return folder.rstrip("/") or "/" if "://" in folder else os.path.abspath(folder)
 
 
 def list_files(spark: SparkSession, input_dir: str) -> DataFrame:
-    """Every file below a folder: path, rel_path, length, modified.
+    """Every file below a folder, whatever its name or size: path, rel_path, length, modified.
 
-    File contents are not read: the content column is pruned.  Spark lists neither
-    empty files nor names that start with ``_`` or ``.``; pass a path table to
-    :func:`discover` for those.
+    Folders are listed by tasks, one level of the tree at a time, so neither names nor sizes pass through the driver.
+    Contents are not read.  A link to a folder is listed as what it points to by the file system.
     """
-    root = input_dir.rstrip("/")
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
-    plain = F.regexp_replace("path", r"^file:/*", "/")
-    bare = root.split(":", 1)[1].lstrip("/") if root.startswith("file:") else root.lstrip("/")
-    mark = "/" + bare + "/" if "://" not in root else root + "/"
-    source = plain if "://" not in root else F.col("path")
-    return listed.select(
-        source.alias("path"),
-        F.substring(source, F.lit(len(mark) + 1), F.length(source)).alias("rel_path"),
-        "length",
-        "modified",
-    )
+    root = rooted(input_dir)
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for folder in batch["path"]:
+                store, name = fs.FileSystem.from_uri(folder)
+                prefix = folder[: len(folder) - len(name)] if folder.endswith(name) else ""
+                found = store.get_file_info(fs.FileSelector(name))
+                rows = [
+                    (prefix + i.path, i.size, i.mtime, i.type == fs.FileType.Directory)
+                    for i in found
+                    if i.type in (fs.FileType.File, fs.FileType.Directory)
+                ]
+                out = pd.DataFrame(rows, columns=["path", "length", "modified", "folder"])
+                out["length"], out["modified"] = out["length"].astype("Int64"), pd.to_datetime(out["modified"], utc=True)
+                yield out.astype({"folder": bool})
+
+    level = spark.createDataFrame([(root,)], "path string")
+    found, n = None, 1
+    while n:
+        listed = level.repartition(min(n, LIST_TASKS), "path").mapInPandas(
+            entries, "path string, length bigint, modified timestamp, folder boolean"
+        )
+        listed = durable(listed, "listing")
+        files = listed.filter(~F.col("folder")).drop("folder")
+        found = files if found is None else found.unionByName(files)
+        level = listed.filter("folder").select("path")
+        n = level.count()
+    mark = root.rstrip("/") + "/"
+    return found.select("path", F.substring("path", F.lit(len(mark) + 1), F.length("path")).alias("rel_path"), "length", "modified")
 
 
 def folder_exists(path: str) -> bool:
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path)
+    store, name = fs.FileSystem.from_uri(rooted(path))
     return store.get_file_info(name).type == fs.FileType.Directory
 
 
@@ -96,12 +124,10 @@ def size_guard(files: DataFrame, limit: int = MAX_FILE_BYTES) -> DataFrame:
 
 
 def expand_pattern(pattern: Column | str) -> Column:
-    """Braces of a pattern column (first group), as an array."""
-    p = col(pattern)
-    inner = F.regexp_extract(p, r"\{([^}]+)\}", 1)
-    head = F.regexp_extract(p, r"^(.*?)\{[^}]+\}", 1)
-    tail = F.regexp_extract(p, r"^.*?\{[^}]+\}(.*)$", 1)
-    options = F.filter(F.transform(F.split(inner, ",", -1), lambda o: F.trim(o)), lambda o: o != F.lit(""))
-    return F.when(inner == "", F.array(p)).otherwise(
-        F.transform(options, lambda o: F.concat(head, o, tail))
-    )
+    """:func:`expand_braces` over a column of patterns."""
+
+    @F.pandas_udf("array<string>")
+    def expand(patterns: pd.Series) -> pd.Series:
+        return patterns.map(expand_braces, na_action="ignore")
+
+    return expand(col(pattern))
