@@ -33,7 +33,11 @@ class ConfigError(FolioError):
 
 
 class ApiError(FolioError):
-    """A responder failed."""
+    """A responder failed; ``status`` is the code of its answer, if there was one."""
+
+    def __init__(self, message: str, status: int | None = None):
+        super().__init__(message)
+        self.status = status
 
 
 @dataclass(frozen=True)
@@ -69,6 +73,8 @@ class JobConfig:
     # "reference" keeps known oddities of the original behaviour, "fixed" drops them.
     quirks: str = "fixed"
     workers: int | None = None
+    # Characters of a first chunk that a metadata request shows.
+    explain_chars: int = 4_000
 
     def __post_init__(self) -> None:
         errors = []

@@ -57,6 +57,18 @@ def continuity_block(input_tail: Column | str, output_tail: Column | str) -> Col
     return F.when(usable, block).otherwise(F.lit(""))
 
 
+def shortened_length(length: int, room: int) -> int:
+    """Characters kept of a text of ``length`` for which ``room`` tokens are left: all, else the longest of length / 2,
+    / 4, ... that fits; 0 if that is below MIN_USEFUL_TOKENS."""
+    most = CHARS_PER_TOKEN * room - 1
+    if length <= most:
+        return length
+    shift = max(1, length.bit_length() - max(most, 0).bit_length())
+    shift += length >> shift > most
+    kept = length >> shift
+    return kept if kept <= most and kept // CHARS_PER_TOKEN + 1 >= MIN_USEFUL_TOKENS else 0
+
+
 def fit_to_budget(block: Column | str, base: Column | str, limit: int = MAX_CONTEXT_TOKENS) -> Column:
     """Halve a block until it fits beside ``base`` tokens; give up below 20 tokens."""
     b, used = col(block), col(base)

@@ -34,7 +34,7 @@ def is_boundary(line: Column | str) -> Column:
     """The line starts a definition, import, comment rule, or is blank."""
     s = col(line)
     named = FUNCTION_STARTS + TYPE_STARTS + IMPORT_STARTS + MODULE_STARTS + COMMENT_STARTS
-    return _starts(s, named) | (s.startswith("from ") & s.contains(" import")) | is_blank(s)
+    return _starts(s, named) | (s.startswith("from ") & (F.locate(" import", s, 6) > 0)) | is_blank(s)
 
 
 def is_keyword_start(line: Column | str) -> Column:

@@ -14,11 +14,16 @@ from ..functions.metadata import (
 )
 from ..session import durable
 from .registry import create_chunks
+from .responders import chain_of, respond
+
+#: Further attempts of a failed metadata call.
+METADATA_RETRIES = 8
 
 
 def ask_metadata(prompts: DataFrame, config: JobConfig, responder, key: str = "doc_id") -> DataFrame:
-    """One metadata call per row of (key, prompt); a failed call yields null."""
+    """One metadata call per row of (key, prompt), retried like any call: key, generated, error."""
     cfg = config
+    chain = chain_of(responder, config)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -28,33 +33,37 @@ def ask_metadata(prompts: DataFrame, config: JobConfig, responder, key: str = "d
                     {"role": "system", "content": EXPLAIN_SYSTEM},
                     {"role": "user", "content": prompt},
                 ]
+                answer, error = None, None
                 try:
-                    answer = responder(msgs, None, cfg.temp, cfg.top_p)[0]
-                except Exception:
-                    answer = None
-                rows.append((this, answer))
-            yield pd.DataFrame(rows, columns=[key, "generated"])
+                    answer = respond(chain, msgs, None, cfg.temp, cfg.top_p, None, METADATA_RETRIES)[0]
+                except Exception as e:
+                    error = str(e)
+                rows.append((this, answer, error))
+            yield pd.DataFrame(rows, columns=[key, "generated", "error"])
 
     kind = prompts.schema[key].dataType.simpleString()
-    return prompts.select(key, "prompt").mapInPandas(run, f"{key} {kind}, generated string")
+    tasks = config.workers or prompts.sparkSession.sparkContext.defaultParallelism
+    return prompts.select(key, "prompt").repartition(tasks, key).mapInPandas(run, f"{key} {kind}, generated string, error string")
 
 
-def complete_metadata(parsed: DataFrame, config: JobConfig, responder, key: str = "doc_id") -> DataFrame:
-    """Chunks whose ``metadata`` column is completed where fields were missing.
+def complete_documents(
+    parsed: DataFrame, config: JobConfig, responder, key: str = "doc_id"
+) -> tuple[DataFrame, DataFrame]:
+    """``parsed`` (key, metadata, text) with missing fields completed, and the failed calls (key, error).
 
-    ``parsed`` has key, metadata, text.  Only the first chunk of an incomplete
-    document leads to a call.  Answers are written before they are joined, so
-    they are asked for once.
+    Headers are parsed once and stored.  Only documents with missing fields are cut into chunks here, for the first
+    chunk that the request shows.  Answers are written before they are joined, so they are asked for once.
     """
-    chunks = create_chunks(parsed, config)
-    # One predicate over chunk and metadata stays above the explode; a filter on
-    # metadata alone would be pushed below it and parse every header again.
-    wanted = (F.col("chunk_index") == 0) & ~is_complete("metadata")
-    prompt = F.when(wanted, explain_prompt("metadata", "text"))
-    first = chunks.select(key, prompt.alias("prompt")).filter(F.col("prompt").isNotNull())
-    answers = durable(ask_metadata(first, config, responder, key), "metadata")
-    generated = answers.select(key, parse_generated("generated").alias("extra"))
-    merged = merge_metadata(
-        "metadata", F.coalesce("extra", F.create_map().cast("map<string,string>"))
-    )
-    return chunks.join(generated, key, "left").withColumn("metadata", merged).drop("extra")
+    stored = durable(parsed, "parsed")
+    first = create_chunks(stored.filter(~is_complete("metadata")), config).filter(F.col("chunk_index") == 0)
+    prompts = first.select(key, explain_prompt("metadata", "text", config.explain_chars).alias("prompt"))
+    answers = durable(ask_metadata(prompts, config, responder, key), "metadata")
+    generated = answers.select(F.col(key).alias("_key"), parse_generated("generated").alias("extra"))
+    merged = merge_metadata("metadata", F.coalesce("extra", F.create_map().cast("map<string,string>")))
+    done = stored.join(generated, F.col(key) == F.col("_key"), "left").withColumn("metadata", merged).drop("extra", "_key")
+    return durable(done, "completed"), answers.filter("error is not null").select(key, "error")
+
+
+def complete_metadata(parsed: DataFrame, config: JobConfig, responder, key: str = "doc_id") -> DataFrame:
+    """Chunks whose ``metadata`` column is completed where fields were missing."""
+    return create_chunks(complete_documents(parsed, config, responder, key)[0], config)

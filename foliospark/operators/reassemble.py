@@ -28,24 +28,16 @@ def _join_parts(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def reassemble(responses: DataFrame, key: str = "doc_id") -> DataFrame:
     """Join answers in chunk order.
 
-    Most documents have few chunks and take one shuffle.  A document with more
-    than ``SEGMENT`` chunks is joined in two steps, runs of chunks first, so its
-    chunks are collected and sorted by many tasks and its last step meets only a
-    few strings.  ``n_chunks`` tells the two apart before any shuffle.  Both kinds
-    read ``responses``, so pass a stored table (the filter reaches its scan).
+    Two steps: runs of ``SEGMENT`` chunks first, so that the chunks of a long document are collected and sorted by many
+    tasks, then the runs of a document.  A document's last step meets one string per run.
     """
     out = chunk_output(F.col("chunk_index"), F.col("response"), F.col("error"))
     rows = responses.select(
-        key, "chunk_index", "n_chunks", out.alias("s"), F.lit(1).cast("bigint").alias("n")
-    )
-    small = _join_parts(rows.filter(F.col("n_chunks") <= SEGMENT), [key], "chunk_index")
-    runs = rows.filter(F.col("n_chunks") > SEGMENT).withColumn(
-        "run", F.floor(F.col("chunk_index") / SEGMENT).cast("int")
-    )
-    large = _join_parts(_join_parts(runs, [key, "run"], "chunk_index"), [key], "run")
-    return small.unionByName(large).select(
-        key, F.col("n").alias("n_chunks"), F.col("s").alias("output_text")
+        key, "chunk_index", F.floor(F.col("chunk_index") / SEGMENT).cast("int").alias("run"), out.alias("s"),
+        F.lit(1).cast("bigint").alias("n"),
     )
+    whole = _join_parts(_join_parts(rows, [key, "run"], "chunk_index"), [key], "run")
+    return whole.select(key, F.col("n").alias("n_chunks"), F.col("s").alias("output_text"))
 
 
 def with_empty_documents(docs: DataFrame, assembled: DataFrame, key: str = "doc_id") -> DataFrame:

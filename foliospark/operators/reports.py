@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Failures listed per document without output.
+SHOWN = 3
+
+
 def _bigint(c, name):
     return c.cast("bigint").alias(name)
 
@@ -67,25 +71,25 @@ def with_status(state: DataFrame) -> DataFrame:
 
 
 def zero_output(responses: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Documents for which no chunk brought any text, with the first failure.
+    """Documents for which no chunk brought any text, with their first ``SHOWN`` failures.
 
-    All their chunks failed, so the first three to show are simply the first three
-    numbers; ``n_more`` counts the rest.
+    All their chunks failed, so the first to show are simply the first numbers; ``n_more`` counts the rest.
     """
     got = F.col("error").isNull() & (F.col("response_chars") > 0)
+    note = F.concat((F.col("chunk_index") + 1).cast("string"), F.lit(": "), F.coalesce("error", F.lit("no text")))
+    early = F.when(F.col("chunk_index") < SHOWN, F.struct("chunk_index", note.alias("note")))
     return (
         responses.groupBy(key)
         .agg(
             F.count("*").alias("n_chunks"),
             F.count_if(got).alias("n_ok"),
-            F.min("chunk_index").alias("first_chunk"),
-            F.min_by("error", "chunk_index").alias("first_error"),
+            F.array_sort(F.collect_list(early)).alias("early"),
         )
         .filter(F.col("n_ok") == 0)
         .select(
             key, "n_chunks",
-            (F.col("first_chunk") + 1).alias("first_chunk"), "first_error",
-            F.greatest(F.lit(0).cast("bigint"), F.col("n_chunks") - 3).alias("n_more"),
+            F.array_join(F.transform("early", lambda e: e["note"]), "\n").alias("shown"),
+            F.greatest(F.lit(0).cast("bigint"), F.col("n_chunks") - SHOWN).alias("n_more"),
         )
     )
 

@@ -9,6 +9,7 @@ document.  With ``sample_size=0`` chunks are independent and nothing is shuffled
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,16 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MAX_CONTEXT_TOKENS, JobConfig
-from ..functions.budget import CONTINUITY_HEAD, CONTINUITY_MIDDLE, CONTINUITY_TAIL, MIN_USEFUL_TOKENS
-from ..functions.rates import H_LEFT_REQUESTS, H_LEFT_TOKENS
+from ..functions.budget import CONTINUITY_HEAD, CONTINUITY_MIDDLE, CONTINUITY_TAIL, shortened_length
+from ..functions.rates import parse_rate_headers
 from .requests import prepare_requests
 from .responders import chain_of, respond
 
 RESPONSE_FIELDS = (
     "chunk_index int, n_chunks int, chunk_tokens int, total_input_tokens int, max_completion_tokens int, "
     "response string, response_tokens int, response_chars int, model string, "
-    "temperature double, top_p double, rate_requests_remaining bigint, "
-    "rate_tokens_remaining bigint, rate_headers_parsed boolean, error string, seconds double"
+    "temperature double, top_p double, headers string, answered_at timestamp, error string, seconds double"
 )
 
 
@@ -34,30 +34,11 @@ def _tok(s: str) -> int:
 
 
 def _continuity(prev, size: int, base: int) -> str:
-    if prev is None or size <= 0:
+    """The context block that may stand beside ``base`` tokens; see ``shortened_length`` for what is cut."""
+    if prev is None or size <= 0 or not all(part := (prev[0][-4 * size :], prev[1][-4 * size :])):
         return ""
-    before, after = prev[0][-4 * size :], prev[1][-4 * size :]
-    if not before or not after:
-        return ""
-    block = CONTINUITY_HEAD + before + CONTINUITY_MIDDLE + after + CONTINUITY_TAIL
-    if base + _tok(block) <= MAX_CONTEXT_TOKENS:
-        return block
-    if base >= MAX_CONTEXT_TOKENS:
-        return ""
-    while block:
-        block = block[: len(block) // 2]
-        if _tok(block) < MIN_USEFUL_TOKENS:
-            return ""
-        if base + _tok(block) <= MAX_CONTEXT_TOKENS:
-            return block
-    return ""
-
-
-def _as_int(headers: dict, name: str):
-    try:
-        return int(headers[name])
-    except (KeyError, ValueError):
-        return None
+    block = CONTINUITY_HEAD + part[0] + CONTINUITY_MIDDLE + part[1] + CONTINUITY_TAIL
+    return block[: shortened_length(len(block), MAX_CONTEXT_TOKENS - base)]
 
 
 def transform_chunks(
@@ -68,8 +49,9 @@ def transform_chunks(
     columns = [key, "chunk_index", "n_chunks", "text", "token_count", "metadata_context", "max_completion_tokens"]
     ready = prepare_requests(chunks, config).select(*columns)
     if config.sample_size > 0:
-        tasks = [config.workers] if config.workers else []
-        ready = ready.repartition(*tasks, key).sortWithinPartitions(key, "chunk_index")
+        # Calls take seconds, whatever their bytes: the number of tasks is given, so that it is not merged by size.
+        tasks = config.workers or chunks.sparkSession.sparkContext.defaultParallelism
+        ready = ready.repartition(tasks, key).sortWithinPartitions(key, "chunk_index")
     elif config.workers:
         # Fewer partitions bound the number of calls in flight.
         ready = ready.repartition(config.workers)
@@ -86,7 +68,7 @@ def transform_chunks(
                 if this != doc:
                     doc, prev = this, None
                 started = time.monotonic()
-                answer, headers, model, error = None, {}, None, None
+                answer, shown, model, error = None, None, None, None
                 user = context + _continuity(prev, cfg.sample_size, cfg.prompt_tokens + tokens) + text
                 total = cfg.prompt_tokens + _tok(user)
                 try:
@@ -101,17 +83,16 @@ def transform_chunks(
                     answer, headers, model = respond(
                         chain, msgs, budget, cfg.temp, cfg.top_p, text, cfg.max_retry_attempts
                     )
+                    shown = json.dumps({str(k): None if v is None else str(v) for k, v in dict(headers).items()})
                     prev = (text, answer)
                 except Exception as e:
                     error = str(e)
-                left_r, left_t = _as_int(headers, H_LEFT_REQUESTS), _as_int(headers, H_LEFT_TOKENS)
                 rows.append(
                     (
                         this, idx, n, tokens, total, budget, answer,
                         None if answer is None else _tok(answer),
                         None if answer is None else len(answer),
-                        model, cfg.temp, cfg.top_p, left_r, left_t,
-                        left_r is not None or left_t is not None, error,
+                        model, cfg.temp, cfg.top_p, shown, pd.Timestamp.now("UTC"), error,
                         time.monotonic() - started,
                     )
                 )
@@ -123,8 +104,22 @@ def transform_chunks(
     key_type = chunks.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, {RESPONSE_FIELDS}"
     names = [p.strip().split(" ")[0] for p in schema.split(",")]
-    nullable = ["response_tokens", "response_chars", "rate_requests_remaining", "rate_tokens_remaining"]
-    return ready.mapInPandas(run, schema)
+    nullable = ["response_tokens", "response_chars"]
+    return _with_rates(ready.mapInPandas(run, schema))
+
+
+def _with_rates(answers: DataFrame) -> DataFrame:
+    """What the headers of an answer say about the limits; null where they say nothing."""
+    headers = F.from_json("headers", "map<string,string>")
+    status = answers.withColumn("_s", parse_rate_headers(F.coalesce(headers, F.create_map().cast("map<string,string>")), "answered_at"))
+    known = F.col("_s.headers_parsed")
+    return status.withColumns(
+        {
+            "rate_requests_remaining": F.when(known, F.col("_s.requests_remaining")),
+            "rate_tokens_remaining": F.when(known, F.col("_s.tokens_remaining")),
+            "rate_headers_parsed": known,
+        }
+    ).drop("_s", "headers", "answered_at")
 
 
 def diagnostics(responses: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import JobConfig
 from ..functions.metadata import render_frontmatter, with_frontmatter
-from ..operators.explain import complete_metadata
+from ..operators.explain import complete_documents
 from ..operators.reassemble import reassemble, with_empty_documents
 from ..operators.registry import create_chunks
 from ..operators.reports import (
@@ -18,7 +18,7 @@ from ..operators.reports import (
 from ..operators.transform import diagnostics, transform_chunks
 from ..session import durable
 from ..sources.documents import read_manifest, write_files
-from ..sources.manifest import discover, folder_exists, list_files, prescreen
+from ..sources.manifest import discover, folder_exists, list_files, prescreen, rooted
 from ..sources.paths import load_ignore_lines, output_path
 
 
@@ -40,6 +40,23 @@ class JobResult:
     metrics: dict | None = None
 
 
+def _empty_state(states: DataFrame, key: str, status: str) -> list:
+    """Columns of a document state without any call."""
+    zero = {"string": F.lit(None), "boolean": F.lit(False)}
+    return [
+        (F.lit(status) if f.name == "status" else zero.get(f.dataType.simpleString(), F.lit(0))).cast(f.dataType).alias(f.name)
+        for f in states.schema
+        if f.name != key
+    ]
+
+
+def _all_failures(chunk_rows: DataFrame, others: DataFrame | None, key: str) -> DataFrame:
+    """Failed chunks, and (key, error) rows of documents that failed otherwise, without a chunk number."""
+    if others is None:
+        return chunk_rows
+    return chunk_rows.unionByName(others.select(key, F.lit(None).cast(chunk_rows.schema["chunk_number"].dataType).alias("chunk_number"), "error"))
+
+
 def run_job(
     spark: SparkSession, docs: DataFrame, config: JobConfig, responder=None, fallbacks=(), key: str = "doc_id"
 ) -> JobResult:
@@ -50,14 +67,12 @@ def run_job(
     again, so a lost executor must not ask twice for rows already counted.
     """
     base = docs.select(key, "text")
+    heads, lost_calls = None, None
     if config.explain:
-        parsed = with_frontmatter(base, config.quirks)
-        if config.dry_run or responder is None:
-            chunks = create_chunks(parsed, config)
-        else:
-            chunks = complete_metadata(parsed, config, responder, key)
-    else:
-        chunks = create_chunks(base, config)
+        heads = with_frontmatter(base, config.quirks)
+        if not config.dry_run and responder is not None:
+            heads, lost_calls = complete_documents(heads, config, responder, key)
+    chunks = create_chunks(base if heads is None else heads, config)
 
     report = dry_run_report(chunks, config.data_format, config.prompt_tokens)
     if config.dry_run or responder is None:
@@ -73,18 +88,19 @@ def run_job(
     )
     responses = durable(answers, "responses")
     states = with_status(doc_state(responses, key))
+    nothing = base.select(key).join(states.select(key), key, "left_anti")
+    states = states.unionByName(nothing.select(key, *_empty_state(states, key, "ok")))
     quarantine = zero_output(responses, key)
     assembled = with_empty_documents(base, reassemble(responses, key), key)
     documents = assembled.join(quarantine.select(key), key, "left_anti")
     if config.explain:
-        # One metadata row per document, from its first chunk.
-        heads = chunks.filter(F.col("chunk_index") == 0).select(key, "metadata")
+        # A header stays even if there is no text below it.
         text = F.when(
             F.coalesce(F.size("metadata"), F.lit(0)) > 0, render_frontmatter("metadata", F.col("output_text"))
         ).otherwise(F.col("output_text"))
-        documents = documents.join(heads, key, "left").withColumn("output_text", text)
+        documents = documents.join(heads.select(key, "metadata"), key, "left").withColumn("output_text", text)
     documents = documents.join(states.select(key, F.col("status").alias("run_status")), key, "left").withColumn(
-        "status", F.coalesce("run_status", "status")
+        "status", F.when(F.col("status") == "empty", F.col("status")).otherwise(F.coalesce("run_status", "status"))
     ).drop("run_status")
     return JobResult(
         chunks=chunks,
@@ -94,7 +110,7 @@ def run_job(
         quarantine=quarantine,
         diagnostics=diagnostics(responses, key),
         states=states,
-        failures=failures(responses, key),
+        failures=_all_failures(failures(responses, key), lost_calls, key),
         summary=run_summary(states),
         metrics=seen.get,
     )
@@ -114,6 +130,7 @@ def run_folder(
     stored once in the shared folder, so writing in place cannot feed back into the
     run.
     """
+    input_dir, output_dir = rooted(input_dir), output_dir and rooted(output_dir)
     files = list_files(spark, input_dir)
     manifest = discover(
         files, config.recurse or "*", output_dir, load_ignore_lines(input_dir), config.unrestricted
@@ -129,6 +146,11 @@ def run_folder(
     docs = stored.filter(F.col("error").isNull()).select("path", "text")
     result = run_job(spark, docs, config, responder, fallbacks, key="path")
     result.unreadable = stored.filter(F.col("error").isNotNull()).select("path", "error")
+    if result.states is not None:
+        lost = result.unreadable.select("path", *_empty_state(result.states, "path", "failed"))
+        result.states = result.states.unionByName(lost)
+        result.summary = run_summary(result.states)
+        result.failures = _all_failures(result.failures, result.unreadable, "path")
     if result.documents is not None:
         outputs = result.documents.join(manifest.select("path", "output_path"), "path")
         result.written = durable(write_files(outputs), "written")

@@ -40,12 +40,12 @@ def start_parquet(df: DataFrame, name: str, path: str, checkpoint: str, once: bo
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def drain(df: DataFrame, name: str, timeout: int = 600) -> DataFrame:
-    """Run a stream over everything available and read back what it wrote."""
+def drain(df: DataFrame, name: str, timeout: int | None = None) -> DataFrame:
+    """Run a stream over everything available and read back what it wrote; ``timeout`` in seconds, none by default."""
     spark = df.sparkSession
     base = fresh_path(spark, name)
     query = start_parquet(df, name + "-" + base[-8:], base + "/data", base + "/checkpoint")
-    if not query.awaitTermination(timeout):
+    if query.awaitTermination(timeout) is False:
         query.stop()
         raise TimeoutError(f"stream {name} did not finish in {timeout} s")
     return spark.read.schema(df.schema).parquet(base + "/data")

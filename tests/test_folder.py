@@ -9,7 +9,8 @@ def tree(tmp_path):
     base = tmp_path / "in"
     for rel, data in {
         "a.md": b"alpha\n", "d/b.md": b"beta\n" * 50, "d/c.txt": b"gamma\n", "skip/x.md": b"no\n",
-        "bad.md": b"\xff\xfe", "empty.md": b"", "d/keep.log.md": b"kept\n",
+        "bad.md": b"\xff\xfe", "empty.md": b"", "d/keep.log.md": b"kept\n", "_u.md": b"under\n", ".dot.md": b"dot\n",
+        "_d/x.md": b"deep\n",
     }.items():
         (base / rel).parent.mkdir(parents=True, exist_ok=True)
         (base / rel).write_bytes(data)
@@ -28,9 +29,15 @@ def files(base):
 def test_mirror_then_skip_then_force(spark, tree, tmp_path):
     out = tmp_path / "out"
     r = run_folder(spark, str(tree), JobConfig(recurse="*.{md,py}", **CFG), Upper(), str(out))
-    want = {"a.md": "ALPHA\n", "d/b.md": "BETA\n" * 50, "d/keep.log.md": "KEPT\n"}
+    want = {
+        "a.md": "ALPHA\n", "d/b.md": "BETA\n" * 50, "d/keep.log.md": "KEPT\n", "_u.md": "UNDER\n", ".dot.md": "DOT\n",
+        "_d/x.md": "DEEP\n", "empty.md": "",
+    }
     assert files(out) == want
     assert [u.path.rsplit("/", 1)[1] for u in r.unreadable.collect()] == ["bad.md"]
+    summary = r.summary.first()
+    assert (summary.successful, summary.failed) == (7, 1)
+    assert [(f.path.rsplit("/", 1)[1], f.chunk_number) for f in r.failures.collect()] == [("bad.md", None)]
     assert r.metrics["calls"] == r.chunks.count() and r.metrics["failed_calls"] == 0
     (out / "a.md").write_text("stale")
     again = run_folder(spark, str(tree), JobConfig(recurse="*.md", **CFG), Upper(), str(out))
@@ -68,3 +75,42 @@ def test_sql_names(spark):
     ).first()
     assert tuple(row) == (3, "a\nb\nc", "efgh", 4500)
     assert spark.sql("SELECT piece FROM VALUES ('abcdefgh') AS v(x), LATERAL split_overlong(x, 2)").count() == 2
+
+
+def test_relative_root(spark, tree, tmp_path, monkeypatch):
+    from foliospark.sources.manifest import list_files
+
+    monkeypatch.chdir(tree.parent)
+    rels = {r.rel_path for r in list_files(spark, "in").collect()}
+    assert rels == {str(p.relative_to(tree)) for p in tree.rglob("*") if p.is_file()}
+    run_folder(spark, "in", JobConfig(recurse="a.md", **CFG), Upper(), str(tmp_path / "out"))
+    assert files(tmp_path / "out") == {"a.md": "ALPHA\n"}
+
+
+def test_header_without_text_stays(spark):
+    from foliospark import Constant, run_job
+
+    docs = spark.createDataFrame([(1, "---\ntitle: A\n---\n")], "doc_id long, text string")
+    r = run_job(spark, docs, JobConfig(explain=True, **CFG), Constant("x"))
+    assert "title: A" in r.documents.first().output_text
+
+
+def test_many_small_files_are_read_by_many_tasks(spark, tmp_path):
+    from foliospark.sources.documents import read_manifest
+
+    rows = [(str(tmp_path / f"{i}"), 3) for i in range(5000)]
+    got = read_manifest(spark.createDataFrame(rows, "path string, length bigint"))
+    assert got.rdd.getNumPartitions() > 1
+
+
+def test_bad_headers_cost_one_chunk_only(spark):
+    from foliospark import Identity, run_job
+
+    class Odd(Identity):
+        def __call__(self, messages, max_tokens, temp, top_p, chunk=None):
+            text, _, model = super().__call__(messages, max_tokens, temp, top_p, chunk)
+            return text, {"a.md": 7, "b": {"x-ratelimit-limit-tokens": None}, "c": {"x": object()}}[chunk[:1]] if chunk[:1] in "bc" else 7, model
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
+    r = run_job(spark, docs, JobConfig(**CFG), Odd())
+    assert {x.doc_id: x.error is None for x in r.responses.collect()} == {1: False, 2: True, 3: True}
