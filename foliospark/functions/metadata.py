@@ -27,7 +27,20 @@ METADATA_SCHEMA = ", ".join(f"{name} string" for name in REQUIRED_FIELDS)
 FLAT_LINE = r"""[A-Za-z_][\w .-]*:(?:[ \t]+(?:"[^"\\]*"|'[^']*'|[^\s\[\]{}&*!|>'"#%@`,?:-][^#\n]*?)?)?[ \t]*"""
 FLAT_HEADER = rf"\A\s*(?:{FLAT_LINE}(?:\n\s*|\z))*\z"
 NULLS = ("", "~", "null", "Null", "NULL")
-FALSE = ("false", "False", "FALSE", "no", "No", "NO", "off", "Off", "OFF", "0", "0.0")
+TRUE = ("true", "True", "TRUE", "yes", "Yes", "YES", "on", "On", "ON")
+FALSE = ("false", "False", "FALSE", "no", "No", "NO", "off", "Off", "OFF")
+INT, FLOAT, DATE = "-?(?:0|[1-9][0-9]*)", "-?(?:0|[1-9][0-9]{0,6})\\.(?:0|[0-9]{0,3}[1-9])", "[0-9]{4}-[0-9]{2}-[0-9]{2}"
+SIMPLE = f"(?:{INT}|{FLOAT}|{DATE})"
+# Numbers and times in other notations than SIMPLE are left to the YAML parser.
+ODD_LINE = (
+    rf"(?m)^[^:\n]*:[ \t]+(?!{SIMPLE}[ \t]*$)"
+    r"(?:[+.]?[0-9][0-9_.:a-fA-FxXoO+-]*|\.(?:inf|Inf|INF|nan|NaN|NAN)|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[Tt \t][^\n]*)[ \t]*$"
+)
+
+
+def json_string(text: Column) -> Column:
+    """A string as JSON."""
+    return let(F.to_json(F.array(text)), lambda j: F.substring(j, F.lit(2), F.length(j) - F.lit(2)))
 
 
 def _header_parts(text: Column) -> Column:
@@ -61,9 +74,12 @@ def _flat_map(header: Column) -> Column:
         raw = F.trim(F.regexp_replace(s, r"^[^:]*:", ""))
         quoted = raw.rlike(r"""^(?:"[^"]*"|'[^']*')$""")
         return (
-            F.when(quoted, F.substring(raw, F.lit(2), F.length(raw) - F.lit(2)))
-            .when(raw.isin(*NULLS), F.lit(None).cast("string"))
-            .otherwise(raw)
+            F.when(quoted, json_string(F.substring(raw, F.lit(2), F.length(raw) - F.lit(2))))
+            .when(raw.isin(*NULLS), F.lit("null"))
+            .when(raw.isin(*TRUE), F.lit("true"))
+            .when(raw.isin(*FALSE), F.lit("false"))
+            .when(raw.rlike(f"^{SIMPLE}$"), raw)
+            .otherwise(json_string(raw))
         )
 
     keys = F.transform(lines, lambda s: F.trim(F.substring_index(s, ":", 1)))
@@ -72,18 +88,20 @@ def _flat_map(header: Column) -> Column:
 
 @F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def yaml_map(header: pd.Series) -> pd.Series:
-    """Nested or unusual headers; values that are not strings become JSON."""
+    """Nested or unusual headers."""
+    import datetime
+
     import yaml
 
     def text(v):
-        if v is None or isinstance(v, str):
-            return v
-        return json.dumps(v, separators=(",", ":"), default=str, ensure_ascii=False).strip('"')
+        if type(v) is datetime.date:
+            return v.isoformat()
+        return json.dumps(v, separators=(",", ":"), default=str, ensure_ascii=False)
 
     def one(h):
         try:
             parsed = yaml.safe_load(h)
-        except yaml.YAMLError:
+        except (yaml.YAMLError, ValueError):
             return None
         if not isinstance(parsed, dict):
             return {}
@@ -95,6 +113,9 @@ def yaml_map(header: pd.Series) -> pd.Series:
 def with_frontmatter(df: DataFrame, quirks: str = "fixed", nested: bool = True) -> DataFrame:
     """Replace ``text`` by its body and add ``metadata map<string,string>``.
 
+    A value keeps its type: it is the JSON of what the header says, save that a date is bare (``2024-01-05``), so that
+    it differs from a quoted one.
+
     A header that cannot be parsed leaves the whole text as body.  With
     ``quirks='reference'`` an empty body also falls back to the whole text.  Flat
     headers are parsed in the JVM; only other headers (never texts) go to Python,
@@ -102,7 +123,7 @@ def with_frontmatter(df: DataFrame, quirks: str = "fixed", nested: bool = True)
     """
     df = df.withColumn("_p", _header_parts(F.col("text")))
     header = F.col("_p.header")
-    df = df.withColumn("_flat", F.coalesce(header.rlike(FLAT_HEADER), F.lit(False)))
+    df = df.withColumn("_flat", F.coalesce(header.rlike(FLAT_HEADER) & ~header.rlike(ODD_LINE), F.lit(False)))
     other = F.when(F.col("_p.present") & ~F.col("_flat"), header)
     empty = F.create_map().cast("map<string,string>")
     parsed = yaml_map(other) if nested else F.when(other.isNotNull(), empty)
@@ -130,10 +151,11 @@ def render_frontmatter(metadata: Column | str, body: Column | str) -> Column:
 
     def line(e):
         v = F.coalesce(e["value"], F.lit("null"))
-        plain = v.rlike(r"^[\p{L}_/][^:#\n]*[^:#\s]$|^\p{L}$") & ~v.isin(*NULLS, *FALSE, "true", "yes", "on")
-        quoted = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))
-        shown = F.when(plain | e["value"].isNull(), v).otherwise(quoted)
-        return F.concat(e["key"], F.lit(": "), shown)
+        s = F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0))
+        word = s.rlike(r"^[\p{L}_/][^:#\n]*[^:#\s]$|^\p{L}$") & ~s.isin(*NULLS, *TRUE, *FALSE) & ~s.rlike(r"\p{Cntrl}")
+        quoted = F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("''")), F.lit("'"))
+        text = F.when(word, s).when(s.rlike(r"\p{Cntrl}"), v).otherwise(quoted)
+        return F.concat(e["key"], F.lit(": "), F.when(v.startswith('"'), text).otherwise(v))
 
     lines = F.transform(F.array_sort(F.map_entries(m)), line)
     header = F.concat(F.lit("---\n"), F.array_join(F.concat(lines, F.array(F.lit("---"))), "\n"))
@@ -141,12 +163,11 @@ def render_frontmatter(metadata: Column | str, body: Column | str) -> Column:
 
 
 def missing_fields(metadata: Column | str) -> Column:
-    """Required fields that are absent or falsy, sorted."""
+    """Required fields that are absent or falsy by their type, sorted."""
     m = col(metadata)
     names = F.array(*[F.lit(f) for f in sorted(REQUIRED_FIELDS)])
-    return F.filter(
-        names, lambda f: F.coalesce(m[f], F.lit("")).isin("", *FALSE)
-    )
+    nothing = ("null", "false", "0", "-0", "0.0", "-0.0", '""', "[]", "{}")
+    return F.filter(names, lambda f: F.coalesce(m[f], F.lit("null")).isin(*nothing))
 
 
 def is_complete(metadata: Column | str) -> Column:
@@ -161,7 +182,12 @@ def json_ascii(text: pd.Series) -> pd.Series:
 
 
 def metadata_json(metadata: Column | str, quirks: str = "fixed") -> Column:
-    js = F.to_json(col(metadata), {"ignoreNullFields": "false"})
+    def pair(e):
+        v = F.coalesce(e["value"], F.lit("null"))
+        return F.concat(json_string(e["key"]), F.lit(":"), F.when(v.rlike(f"^{DATE}$"), F.concat(F.lit('"'), v, F.lit('"'))).otherwise(v))
+
+    pairs = F.array_join(F.transform(F.map_entries(col(metadata)), pair), ",")
+    js = F.concat(F.lit("{"), pairs, F.lit("}"))
     return json_ascii(js) if quirks == "reference" else js
 
 
@@ -182,7 +208,7 @@ def explain_prompt(metadata: Column | str, first_chunk: Column | str, most: int
     ).otherwise(c)
     return F.concat(
         F.lit(EXPLAIN_TASK),
-        F.coalesce(F.to_json(col(metadata), {"ignoreNullFields": "false"}), F.lit("{}")),
+        F.coalesce(metadata_json(metadata), F.lit("{}")),
         F.lit(EXPLAIN_CHUNK), shown, F.lit(EXPLAIN_END),
     )
 
@@ -193,7 +219,7 @@ def parse_generated(response: Column | str) -> Column:
     whole = F.lit(True)
     for f in REQUIRED_FIELDS:
         whole = whole & r[f].isNotNull()
-    pairs = [x for f in REQUIRED_FIELDS for x in (F.lit(f), r[f])]
+    pairs = [x for f in REQUIRED_FIELDS for x in (F.lit(f), json_string(r[f]))]
     empty = F.create_map().cast("map<string,string>")
     return F.coalesce(F.when(whole, F.create_map(*pairs)), empty)
 

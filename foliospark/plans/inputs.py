@@ -67,11 +67,13 @@ def markdown_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def front_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a header; every third one lacks two required fields."""
+    """Documents with a header of all kinds of values; every third one lacks two required fields."""
     d = F.col("doc_id").cast("string")
     full = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("\nid: D"), d, F.lit("\ndate: 2024-01-05"))).otherwise("")
     header = F.concat(
-        F.lit("---\ntitle: T"), d, F.lit("\nauthor: "), F.col("source"), F.lit("\ntype: "), F.col("lang"), full,
+        F.lit("---\ntitle: T"), d, F.lit("\nauthor: "), F.col("source"), F.lit("\ntype: "), F.col("lang"),
+        F.lit("\nn: "), d, F.lit("\nratio: 2.5\nnote: 'no'\nempty:\ndraft: "), F.when(F.col("doc_id") % 2 == 0, "yes").otherwise("false"),
+        F.when(F.col("doc_id") % 4 == 0, "\ntags: [a, 7, {k: v}]").otherwise(""), full,
         F.lit("\n---\n"),
     )
     return documents(spark, sf, "source", "lang").select("doc_id", F.concat(header, "text").alias("text"))

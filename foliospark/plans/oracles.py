@@ -79,8 +79,11 @@ PATHS = """SELECT doc_id, n_chars AS length,
             doc_id || ['.md', '.log', '.txt'][doc_id % 3 + 1]) AS rel_path FROM documents"""
 
 FRONT = """SELECT doc_id, source, lang, text, doc_id % 3 <> 0 AS whole FROM documents"""
-FRONT_JSON = """'{"title":"T' || doc_id || '","author":"' || source || '","type":"' || lang || '"'
-  || CASE WHEN whole THEN ',"id":"D' || doc_id || '","date":"2024-01-05"' ELSE '' END || '}'"""
+#: The values that every header has besides the required fields.
+OTHER_JSON = """',"n":' || doc_id || ',"ratio":2.5,"note":"no","empty":null,"draft":' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END
+  || CASE WHEN doc_id % 4 = 0 THEN ',"tags":["a",7,{"k":"v"}]' ELSE '' END"""
+FRONT_JSON = f"""'{{"title":"T' || doc_id || '","author":"' || source || '","type":"' || lang || '"' || {OTHER_JSON}
+  || CASE WHEN whole THEN ',"id":"D' || doc_id || '","date":"2024-01-05"' ELSE '' END || '}}'"""
 BODY = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 ELEMENTS = f"SELECT doc_id, i - 1 AS line_no, '<p>' || {ESCAPED.format('p[i]')} || '</p>' AS s FROM (SELECT doc_id, string_split(text, {NL}) AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i)"
@@ -304,7 +307,6 @@ def has(words) -> str:
     return "(" + " OR ".join(f"m LIKE '%{w.replace('_', chr(92) + '_')}%' ESCAPE '{chr(92)}'" for w in words) + ")"
 
 
-GENERATED_JSON = "'{" + ",".join(f'"{k}":"{v}"' for k, v in GENERATED.items()) + "}'"
 UPPER = "upper(replace(text, 'ß', 'SS'))"
 
 ORACLES = {
@@ -410,18 +412,21 @@ ORACLES = {
       FROM (SELECT doc_id, chunk_index, array_to_string(string_split(text, {NL})[1:5], {NL}) AS h FROM chunks)""",
     "frontmatter_parse": f"SELECT doc_id, {FRONT_JSON} AS metadata, {BODY} AS body FROM ({FRONT})",
     "frontmatter_render": rf"""SELECT doc_id, '---' || {NL} || 'author: ' || source || {NL}
-      || CASE WHEN whole THEN 'date: ''2024-01-05''' || {NL} || 'id: D' || doc_id || {NL} ELSE '' END
+      || CASE WHEN whole THEN 'date: 2024-01-05' || {NL} ELSE '' END || 'draft: ' || (doc_id % 2 = 0) || {NL} || 'empty: null' || {NL}
+      || CASE WHEN whole THEN 'id: D' || doc_id || {NL} ELSE '' END || 'n: ' || doc_id || {NL} || 'note: ''no''' || {NL} || 'ratio: 2.5' || {NL}
+      || CASE WHEN doc_id % 4 = 0 THEN 'tags: ["a",7,{{"k":"v"}}]' || {NL} ELSE '' END
       || 'title: T' || doc_id || {NL} || 'type: ' || lang || {NL} || '---' || {NL} || {NL} || {BODY} AS text FROM ({FRONT})""",
     "metadata_complete": f"SELECT doc_id, whole AS complete, CASE WHEN whole THEN '' ELSE 'date,id' END AS missing FROM ({FRONT})",
     "metadata_missing_rows": f"SELECT doc_id, unnest(['date', 'id']) AS field FROM ({FRONT}) WHERE NOT whole",
     "metadata_context": f"SELECT doc_id, '{metadata.CONTEXT_HEAD}' || {FRONT_JSON} || {NL} || {NL} AS context FROM ({FRONT})",
-    "metadata_merge": f"""SELECT doc_id, '{{"title":"T' || doc_id || '","author":"A' || doc_id || '","type":"' || lang || '"'
+    "metadata_merge": f"""SELECT doc_id, '{{"title":"T' || doc_id || '","author":"A' || doc_id || '","type":"' || lang || '"' || {OTHER_JSON}
       || CASE WHEN whole THEN ',"id":"D' || doc_id || '"' ELSE '' END || ',"date":"today"}}' AS metadata FROM ({FRONT})""",
     "explain_prompt": f"""{chunk_ctes(f"SELECT doc_id, {BODY} AS text FROM documents", 2000)}
       SELECT doc_id, {lit(metadata.EXPLAIN_TASK)} || {FRONT_JSON} || {lit(metadata.EXPLAIN_CHUNK)}
         || CASE WHEN length(c.text) > 4000 THEN left(c.text, 4000) || '...' ELSE c.text END || {lit(metadata.EXPLAIN_END)} AS prompt
       FROM (SELECT doc_id, text FROM chunks WHERE chunk_index = 0) c JOIN (SELECT * EXCLUDE (text) FROM ({FRONT})) USING (doc_id)""",
-    "explain_flow": f"SELECT doc_id, CASE WHEN whole THEN {FRONT_JSON} ELSE {GENERATED_JSON[:-2].replace('\"id\":\"GI\",\"type\":\"GY\"', '\"type\":\"GY\",\"id\":\"GI\"')}}}' END AS metadata FROM ({FRONT})",
+    "explain_flow": f"""SELECT doc_id, CASE WHEN whole THEN {FRONT_JSON} ELSE '{{"title":"{GENERATED['title']}","author":"{GENERATED['author']}","type":"{GENERATED['type']}"'
+      || {OTHER_JSON} || ',"id":"{GENERATED['id']}","date":"{GENERATED['date']}"}}' END AS metadata FROM ({FRONT})""",
     "build_requests": f"""{CHUNKS}, r AS (
         SELECT c.doc_id, chunk_index, token_count, '{metadata.CONTEXT_HEAD}' || '{{"source":"' || source || '"}}' || {NL} || {NL} || c.text AS u
         FROM chunks c JOIN documents d USING (doc_id)),

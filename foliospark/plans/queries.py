@@ -343,7 +343,7 @@ def _parsed(spark, sf):
 
 @query
 def frontmatter_parse(spark, sf):
-    return _parsed(spark, sf).select("doc_id", F.to_json("metadata").alias("metadata"), F.col("text").alias("body"))
+    return _parsed(spark, sf).select("doc_id", metadata.metadata_json("metadata").alias("metadata"), F.col("text").alias("body"))
 
 
 @query
@@ -369,8 +369,8 @@ def metadata_context(spark, sf):
 @query
 def metadata_merge(spark, sf):
     p = _parsed(spark, sf)
-    new = F.create_map(F.lit("author"), F.concat(F.lit("A"), F.col("doc_id").cast("string")), F.lit("date"), F.lit("today"))
-    return p.select("doc_id", F.to_json(metadata.merge_metadata("metadata", new)).alias("metadata"))
+    new = F.create_map(F.lit("author"), F.concat(F.lit('"A'), F.col("doc_id").cast("string"), F.lit('"')), F.lit("date"), F.lit('"today"'))
+    return p.select("doc_id", metadata.metadata_json(metadata.merge_metadata("metadata", new)).alias("metadata"))
 
 
 @query
@@ -384,7 +384,7 @@ def explain_prompt(spark, sf):
 def explain_flow(spark, sf):
     p = _parsed(spark, sf)
     done = complete_metadata(p, TEXT, Constant(json.dumps(GENERATED)))
-    return done.filter(F.col("chunk_index") == 0).select("doc_id", F.to_json("metadata").alias("metadata"))
+    return done.filter(F.col("chunk_index") == 0).select("doc_id", metadata.metadata_json("metadata").alias("metadata"))
 
 
 # --- requests and responses ---
@@ -393,7 +393,7 @@ def explain_flow(spark, sf):
 @query
 def build_requests(spark, sf):
     cfg = JobConfig(data_format="text", chunk_size=CS, prompt="Fix." * 130_900)
-    c = inputs.chunks(spark, sf, "source").withColumn("metadata", F.create_map(F.lit("source"), F.col("source")))
+    c = inputs.chunks(spark, sf, "source").withColumn("metadata", F.create_map(F.lit("source"), metadata.json_string(F.col("source"))))
     r = rq.build_requests(rq.prepare_requests(c, cfg), cfg)
     user = F.when(F.col("error").isNull(), F.col("user_content"))
     return r.select("doc_id", "chunk_index", "total_input_tokens", "max_completion_tokens", user.alias("user_content"), "error")

@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -43,15 +44,17 @@ def test_fit_keeps_the_longest_halving_that_fits(spark):
 
 
 FRONT = [
-    ("---\ntitle: A\nauthor: B\n---\nbody\n", {"title": "A", "author": "B"}, "body"),
+    ("---\ntitle: A\nauthor: B\n---\nbody\n", {"title": '"A"', "author": '"B"'}, "body"),
     ("no header", {}, "no header"),
     ("  padded \n", {}, "padded"),
     ("", {}, ""),
-    ("---\ntitle: 'q: x'\nid: 7\ndate: 2024-01-05\nempty:\n---\n\nb", {"title": "q: x", "id": "7", "date": "2024-01-05", "empty": None}, "b"),
-    ("---\ntags:\n  - a\n  - b\ntitle: T\n---\nx", {"tags": '["a","b"]', "title": "T"}, "x"),
+    ("---\ntitle: 'q: x'\nid: 7\ndate: 2024-01-05\nempty:\n---\n\nb", {"title": '"q: x"', "id": "7", "date": "2024-01-05", "empty": "null"}, "b"),
+    ("---\ntags:\n  - a\n  - b\ntitle: T\n---\nx", {"tags": '["a","b"]', "title": '"T"'}, "x"),
     ("---\nbad: [1,\n---\nx", {}, "---\nbad: [1,\n---\nx"),
     ("---\nnever closed\n", {}, "---\nnever closed"),
-    ("---\na: b\n---\n", {"a": "b"}, ""),
+    ("---\na: b\n---\n", {"a": '"b"'}, ""),
+    ("---\nq: 'no'\nz: \"0\"\nd: yes\nf: 1.50\nh: 0x1F\nt: 2024-01-05 10:00:00\nw: 3 apples\n---\nb",
+     {"q": '"no"', "z": '"0"', "d": "true", "f": "1.5", "h": "31", "t": '"2024-01-05 10:00:00"', "w": '"3 apples"'}, "b"),
 ]
 
 
@@ -66,19 +69,24 @@ def test_frontmatter(spark):
 def test_frontmatter_round_trip(spark):
     yaml = pytest.importorskip("yaml")
     meta = {"title": "It's: odd #1", "id": "007", "author": "Ann B", "date": "2024-01-05", "type": "yes", "note": "- x", "z": "null"}
-    text = one(spark, metadata.render_frontmatter(F.create_map(*[F.lit(x) for kv in meta.items() for x in kv]), F.lit("body")))
+    meta |= {"n": 7, "x": 2.5, "draft": True, "shut": False, "none": None, "tags": ["a", 1, {"k": "v"}], "lines": "a\nb", "digits": "0"}
+    stored = {k: json.dumps(v) for k, v in meta.items()} | {"day": "2024-02-03"}
+    text = one(spark, metadata.render_frontmatter(F.create_map(*[F.lit(x) for kv in stored.items() for x in kv]), F.lit("body")))
     head, body = text.split("---\n", 2)[1:]
-    assert yaml.safe_load(head) == meta and body == "\nbody"
+    assert yaml.safe_load(head) == meta | {"day": datetime.date(2024, 2, 3)} and body == "\nbody"
+    again = metadata.with_frontmatter(spark.createDataFrame([(text,)], "text string")).first()
+    assert again.metadata.keys() == stored.keys() and again.metadata["day"] == "2024-02-03"
+    assert {k: json.loads(v) for k, v in again.metadata.items() if k != "day"} == meta
     assert one(spark, metadata.render_frontmatter(F.create_map().cast("map<string,string>"), F.lit("b"))) == "---\n---\n\nb"
 
 
 def test_missing_fields(spark):
-    m = F.create_map(F.lit("title"), F.lit("T"), F.lit("author"), F.lit(""))
-    assert one(spark, metadata.missing_fields(m)) == ["author", "date", "id", "type"]
+    m = F.create_map(*[F.lit(x) for x in ("title", '"no"', "author", '""', "id", "0", "type", '"0"')])
+    assert one(spark, metadata.missing_fields(m)) == ["author", "date", "id"]
 
 
 def test_ascii_quirk(spark):
-    m = F.create_map(F.lit("k"), F.lit("é"))
+    m = F.create_map(F.lit("k"), F.lit('"é"'))
     assert one(spark, metadata.metadata_json(m, "reference")) == '{"k":"\\u00e9"}'
     assert one(spark, metadata.metadata_json(m)) == '{"k":"é"}'
 
@@ -222,7 +230,7 @@ def test_explain_completes_and_renders(spark):
     head = "---\nauthor: GA\ndate: GD\nid: GI\ntitle: GT\ntype: GY\n---\n\n"
     assert got == {1: head + "body one", 2: "---\nauthor: B\ndate: E\nid: C\ntitle: A\ntype: D\n---\n\nbody two", 3: head + "plain"}
     bad = run_job(spark, df, JobConfig(data_format="text", chunk_size=100, explain=True), Constant("not json"))
-    assert bad.chunks.filter("doc_id = 1").first().metadata == {"title": "A"}
+    assert bad.chunks.filter("doc_id = 1").first().metadata == {"title": '"A"'}
 
 
 def test_upper(spark):
