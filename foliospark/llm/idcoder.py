@@ -50,7 +50,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _SQUASH, _STRETCH = _tables()
 _CLASS_OF, _LEAST, _FREE = _classes()
-MAX_LANES = 2048
+MAX_LANES = 1024
 _LANES = np.arange(MAX_LANES)
 
 
@@ -122,8 +122,8 @@ _SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.uint8)
 
 
 def _words_of(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Code lanes (sorted by falling length) of a padded id matrix; the words of each."""
-    lanes, steps = ids.shape
+    """Code the columns (sorted by falling length) of a padded id matrix; the words of each."""
+    steps, lanes = ids.shape
     model = _Model(lanes)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, _START, np.uint64)
     used = np.zeros(lanes, np.int64)
@@ -152,7 +152,7 @@ def _words_of(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         n = int(active[t])
         if t % 16 == 0 and int(used.max()) + 16 * 3 + 8 > out.shape[1]:
             out = np.concatenate([out, np.zeros((lanes, max(256, out.shape[1] // 2)), np.int32)], 1)
-        now = ids[:n, t]
+        now = ids[t, :n].astype(np.int64)
         hit = model.predict(n) == now
         p = model.p
         unit = size[:n] >> np.uint64(12)
@@ -196,11 +196,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     if not len(lengths) or not lengths.max():
         return [b""] * len(blocks)
     order = np.argsort(-lengths, kind="stable")
-    ids = np.zeros((len(blocks), int(lengths.max())), np.int64)
-    for i, k in enumerate(order):
-        ids[i, : lengths[k]] = blocks[k]
-    if ids.max() >= MAX_ID:
+    if max(int(b.max()) for b in blocks if len(b)) >= MAX_ID:
         raise ValueError("ids must be below 65536")
+    ids = np.zeros((int(lengths.max()), len(blocks)), np.uint16)
+    for i, k in enumerate(order):
+        ids[: lengths[k], i] = blocks[k]
     out = [b""] * len(blocks)
     for i, words in zip(order, _words_of(ids, lengths[order])):
         out[i] = words.tobytes() if lengths[i] else b""
@@ -215,15 +215,15 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
     if not len(lengths) or not lengths.max():
         return [np.zeros(0, np.int64) for _ in codes]
     order = np.argsort(-lengths, kind="stable")
-    words = np.zeros((len(codes), max(len(c) for c in codes) // 2 + 8), np.uint64)
+    words = np.zeros((len(codes), max(len(c) for c in codes) // 2 + 8), np.uint16)
     for i, k in enumerate(order):
         words[i, : len(codes[k]) // 2] = np.frombuffer(codes[k], "<u2")
     sorted_lengths, lanes = lengths[order], len(codes)
     steps = int(sorted_lengths[0])
     model = _Model(lanes)
-    code = (words[:, 0] << _D) | (words[:, 1] << _W) | words[:, 2]
+    code = (words[:, 0].astype(np.uint64) << _D) | (words[:, 1].astype(np.uint64) << _W) | words[:, 2]
     size, used = np.full(lanes, _START, np.uint64), np.full(lanes, 3)
-    ids = np.zeros((lanes, steps), np.int64)
+    ids = np.zeros((steps, lanes), np.uint16)
     last_word = words.shape[1] - 1
     active = lanes - np.searchsorted(sorted_lengths[::-1], np.arange(steps), side="right")
 
@@ -263,9 +263,9 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
             take(miss, unit, value, np.uint64(1))
             x = _LEAST.take(symbol) + value.astype(np.int64)
             now[miss] = x
-        ids[:n, t] = now
+        ids[t, :n] = now
         model.learn(n, now, hit)
     out = [np.zeros(0, np.int64)] * lanes
     for i, k in enumerate(order):
-        out[k] = ids[i, : lengths[k]]
+        out[k] = ids[: lengths[k], i]
     return out

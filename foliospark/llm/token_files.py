@@ -36,7 +36,8 @@ from .idcoder import MAX_ID, MAX_LANES, decode_blocks, encode_blocks
 MAGIC = b"IDSTREAM"
 BLOCK_IDS, LEAST_BLOCK = 4096, 512
 GROUP_BLOCKS = MAX_LANES
-MEMO = 200_000
+MEMO, SLICE = 100_000, 2_000
+SPLIT_CHARS = 1_000_000
 END_ID = 0
 
 
@@ -55,17 +56,19 @@ class IdFileWriter:
         self.docs: list[tuple[int, int, int]] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and ids.max() >= MAX_ID:
+            raise ValueError("the vocabulary has ids over 65535")
         self.docs.append((doc_id or 0, doc_id is None, len(ids)))
         self.total += len(ids)
         for at in range(0, len(ids), BLOCK_IDS * GROUP_BLOCKS):
-            part = ids[at : at + BLOCK_IDS * GROUP_BLOCKS]
+            part = ids[at : at + BLOCK_IDS * GROUP_BLOCKS].astype(np.uint16)
             self.held.append(part)
             self.n_held += len(part)
             if self.n_held >= BLOCK_IDS * GROUP_BLOCKS:
                 self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.concatenate(self.held) if self.held else np.zeros(0, np.int64)
+        ids = np.concatenate(self.held)
         # The rest of a file is spread over more and smaller blocks, so that coding side by side still pays.
         size = BLOCK_IDS if not last else min(BLOCK_IDS, max(LEAST_BLOCK, -(-len(ids) // GROUP_BLOCKS)))
         most = len(ids) if last else GROUP_BLOCKS * size
@@ -120,7 +123,12 @@ class LibraryTokenizer:
     of a text are those of its pre-tokens in turn."""
 
     def __init__(self, path: str, pattern: str):
+        import os
+
         import regex
+
+        # Spark runs a task per core; the library's own threads would add memory for each of them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,11 +143,12 @@ class LibraryTokenizer:
         if len(self.known) > MEMO:
             self.known.clear()
         new = list(distinct.difference(self.known))
-        found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        self.known.update(zip(new, (e.ids for e in found)))
+        for at in range(0, len(new), SLICE):  # the library's results are large
+            part = new[at : at + SLICE]
+            self.known.update(zip(part, [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]))
         get = self.known.__getitem__
         for pieces in cut:
-            yield np.fromiter(chain(chain.from_iterable(map(get, pieces)), (END_ID,)), np.int64)
+            yield np.fromiter(chain(chain.from_iterable(map(get, pieces)), (END_ID,)), np.int32)
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,10 +167,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, id_
             file = IdFileWriter(out)
             for batch in chain([first], batches):
                 ids = iter(batch.column("doc_id").to_pylist())
-                for texts in by_chars(x.as_py() for x in batch.column("text")):
+                for texts in by_chars((x.as_py() for x in batch.column("text")), SPLIT_CHARS):
                     for found in tokenizer.encode(texts):
-                        if found.max() >= MAX_ID:
-                            raise ValueError("the vocabulary has ids over 65535")
                         file.add(next(ids), found)
             file.close()
         row = {"part": [TaskContext.get().partitionId()], "uri": [uri], "n_ids": [file.total], "n_docs": [len(file.docs)], "bytes": [file.size]}
