@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 # Plain SQL macros: the optimizer sees through them.
 MACROS = {
@@ -17,18 +16,18 @@ MACROS = {
 }
 
 
-@udtf(returnType="piece_index int, piece string, piece_tokens int", useArrow=True)
-class SplitOverlong:
-    """``LATERAL split_overlong(text, chunk_size)``: windows of the widest fitting text."""
-
-    def eval(self, text: str, chunk_size: int):
-        width = 4 * chunk_size - 1
-        for i, start in enumerate(range(0, len(text or ""), width)):
-            piece = text[start : start + width]
-            yield i, piece, len(piece) // 4 + 1
+#: ``LATERAL split_overlong(text, chunk_size)``: windows of the widest fitting text.
+TABLES = {
+    "split_overlong(t STRING, n INT)": (
+        "piece_index INT, piece STRING, piece_tokens INT",
+        "SELECT CAST(pos AS INT), col, CAST(length(col) DIV 4 + 1 AS INT)"
+        " FROM posexplode(regexp_extract_all(t, concat('(?s).{1,', CAST(4 * n - 1 AS STRING), '}'), 0))",
+    ),
+}
 
 
 def register_functions(spark: SparkSession) -> None:
     for signature, (kind, body) in MACROS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
-    spark.udtf.register("split_overlong", SplitOverlong)
+    for signature, (columns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS TABLE({columns}) RETURN {body}")

@@ -100,9 +100,19 @@ def xml_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in spans(t)], na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def xml_elements(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [t[a:b] for a, b in spans(t)], na_action="ignore")
+PARTS = T.StructType([T.StructField("norm", T.StringType()), T.StructField("elements", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(PARTS)
+def xml_parts(text: pd.Series, chunk_size: pd.Series) -> pd.DataFrame:
+    """The normalised text and, where it is longer than a chunk, its top-level elements: one pass to Python for both."""
+    norm = text.map(normalize, na_action="ignore")
+
+    def parts(t, size):
+        return None if t is None or len(t) // 4 + 1 <= size else [t[a:b] for a, b in spans(t)]
+
+    elements = [parts(t if isinstance(t, str) else None, k) for t, k in zip(norm, chunk_size)]
+    return pd.DataFrame({"norm": norm, "elements": pd.Series(elements, index=norm.index, dtype=object)})
 
 
 @F.pandas_udf(T.StringType())

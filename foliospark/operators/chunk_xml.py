@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_newlines, split_lines
 from ..functions.tokens import max_chars, token_count
 from ..functions.text import windows
-from ..functions.xml import xml_children, xml_elements, xml_normalize, xml_wrap
+from ..functions.xml import xml_children, xml_parts, xml_wrap
 from .pack import greedy_cuts, span
 
 
-def _piece(text: Column, tk: Column, group: bool) -> Column:
-    return F.struct(text.alias("text"), tk.alias("token_count"), F.lit(group).alias("grouped"))
+def _piece(text: Column, tk: Column, group: Column) -> Column:
+    return F.struct(text.alias("text"), tk.alias("token_count"), group.alias("grouped"))
 
 
-def _render(cuts: Column, items: Column, chunk_size: int, grouped: bool) -> Column:
+def _render(cuts: Column, items: Column, chunk_size: int, grouped: Column) -> Column:
     def expand(c):
         joined = F.array_join(span(items, c["st"], c["n"]), "")
         parts = F.transform(
             windows(F.element_at(items, c["st"] + F.lit(1)), max_chars(chunk_size)),
-            lambda s: _piece(s, token_count(s), False),
+            lambda s: _piece(s, token_count(s), F.lit(False)),
         )
         return F.when(c["solo"], parts).otherwise(F.array(_piece(joined, c["tk"], grouped)))
 
@@ -59,17 +59,18 @@ def pack_elements(df: DataFrame, chunk_size: int) -> DataFrame:
     """Pack an ``elements array<string>`` column into wrapped chunks."""
     return _explode_wrapped(
         df.withColumn("cuts", greedy_cuts(F.transform("elements", token_count), chunk_size))
-        .withColumn("pieces", _render(F.col("cuts"), F.col("elements"), chunk_size, True))
+        .withColumn("pieces", _render(F.col("cuts"), F.col("elements"), chunk_size, F.lit(True)))
         .drop("cuts", "elements")
     )
 
 
 def chunk_xml(docs: DataFrame, chunk_size: int) -> DataFrame:
     """Documents that fit stay whole; texts without elements are packed by lines."""
-    df = docs.withColumn("norm", xml_normalize(norm_newlines("text"))).drop("text")
-    too_long = token_count("norm") > chunk_size
-    df = df.withColumn("elements", xml_elements(F.when(too_long, F.col("norm"))))
-    by_lines = too_long & (F.size("elements") == 0)
+    keep = [c for c in docs.columns if c != "text"]
+    df = docs.select(*keep, xml_parts(norm_newlines("text"), F.lit(chunk_size)).alias("_x")).select(
+        *keep, F.col("_x.norm").alias("norm"), F.col("_x.elements").alias("elements")
+    )
+    by_lines = F.size("elements") == 0
     df = (
         df.withColumn("by_lines", by_lines)
         .withColumn(
@@ -77,11 +78,9 @@ def chunk_xml(docs: DataFrame, chunk_size: int) -> DataFrame:
         )
         .withColumn("cuts", greedy_cuts(F.transform("items", token_count), chunk_size))
     )
-    pieces = (
-        F.when(F.col("items").isNull(), F.array(_piece(F.col("norm"), token_count("norm"), False)))
-        .when(F.col("by_lines"), _render(F.col("cuts"), F.col("items"), chunk_size, False))
-        .otherwise(_render(F.col("cuts"), F.col("items"), chunk_size, True))
-    )
+    pieces = F.when(
+        F.col("items").isNull(), F.array(_piece(F.col("norm"), token_count("norm"), F.lit(False)))
+    ).otherwise(_render(F.col("cuts"), F.col("items"), chunk_size, ~F.col("by_lines")))
     return _explode_wrapped(
         df.withColumn("pieces", pieces).drop("norm", "elements", "by_lines", "items", "cuts")
     )

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import JobConfig
 from ..operators.registry import create_chunks
 from ..session import fresh_path
+from ..sources.manifest import folder_exists
 
 
 def read_stream(
@@ -64,16 +65,9 @@ def start_deduplicated(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            done = (
-                spark.read.option("basePath", target).parquet(target)
-                .filter(F.col("batch") != batch_id)
-                .select(key)
-            )
-            fresh = fresh.join(done, key, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        if folder_exists(target):  # a folder without batches yet has no columns to infer
+            done = spark.read.schema(f"{key} {docs.schema[key].dataType.simpleString()}, batch bigint").parquet(target)
+            fresh = fresh.join(done.filter(F.col("batch") != batch_id).select(key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
