@@ -12,7 +12,8 @@ depends on the string alone.  About one position in sixteen is such an anchor.
 2. Each chunk sends the distinct hashes of its anchors; hashes that two chunks have are sent back.
 3. Each chunk builds the suffix array of the strings around anchors that repeat inside it and settles these copies at
    once.  For strings it is the first to have, around anchors that other chunks have too, it sends the bytes, dealt by
-   anchor.  However frequent a passage, a chunk sends it once.
+   anchor.  However frequent a passage, a chunk sends it once, also if one document repeats it: then only the other
+   places go along.
 4. Each bucket of anchors builds the suffix array of the strings it got and reports the later copies.
 5. Each chunk removes what 3 and 4 have found.
 
@@ -36,8 +37,9 @@ from .common import text_or_empty
 MIN_BYTES = 50
 GRAM = 20
 WINDOW = MIN_BYTES - GRAM + 1  # grams in a string
-CHUNK_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 4 << 20
+COMPARE_AT_ONCE = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
 
@@ -62,6 +64,7 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     """Hash of the GRAM = 20 bytes that start at each position but the last 19."""
     two = x[:-1].astype(_U) << _U(8) | x[1:]
     four = two[:-2] << _U(16) | two[2:]
+    del two
     eight = four[:-4] << _U(32) | four[4:]
     n = len(x) - GRAM + 1
     h = eight[:n] * _U(0x9E3779B97F4A7C15)
@@ -104,11 +107,16 @@ class Anchors:
             self.least = _sliding(h, WINDOW, np.minimum)  # per string
             self.fits = _window_starts(ends, len(x))
             self.least[~self.fits] = 0
-            reach = np.concatenate([np.zeros(WINDOW - 1, _U), self.least, np.zeros(WINDOW - 1, _U)])
-            self.at = np.flatnonzero((_sliding(reach, WINDOW, np.maximum) == h) & (h > 0))
-            self.hash = h[self.at]
+            pad = np.zeros(WINDOW - 1, _U)
+            reach = _sliding(np.concatenate([pad, self.least, pad]), WINDOW, np.maximum)
+            self.at = np.flatnonzero((reach == h) & (h > 0))
+            self.raw = h[self.at]
         else:
-            self.hash = np.zeros(0, _U)
+            self.raw = np.zeros(0, _U)
+        # Minimizers have small hashes; mixed again (one to one) they spread evenly over buckets.
+        mixed = self.raw * _U(0xD6E8FEB86659FD93)
+        self.hash = mixed ^ (mixed >> _U(32))
+        self.hash *= _U(0xD6E8FEB86659FD93)
         self.owner = np.searchsorted(ends, self.at, side="right")
 
     def strings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +129,7 @@ class Anchors:
         near = np.flatnonzero((np.cumsum(edge)[: len(self.fits)] > 0) & self.fits)
         k = np.searchsorted(self.at, near)
         while True:  # the first anchor of the string that has its least hash
-            other = np.flatnonzero(self.hash[k] != self.least[near])
+            other = np.flatnonzero(self.raw[k] != self.least[near])
             if not len(other):
                 break
             k[other] += 1
@@ -140,8 +148,11 @@ def later_copies(strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return np.zeros(0, bool)
     keys = np.ascontiguousarray(strings).view(f"S{MIN_BYTES}").ravel()
     order = np.argsort(keys, kind="stable")
-    keys, doc = keys[order], doc[order]
-    full = np.r_[False, keys[1:] == keys[:-1], False]  # place i agrees with i - 1 in MIN_BYTES bytes
+    doc = doc[order]
+    full = np.zeros(n + 1, bool)  # place i agrees with i - 1 in MIN_BYTES bytes
+    for s in range(1, n, COMPARE_AT_ONCE):
+        part = keys[order[s - 1 : s + COMPARE_AT_ONCE]]
+        full[s : s + len(part) - 1] = part[1:] == part[:-1]
     found = np.zeros(n, bool)
     for step in (-1, 1):
         link = np.arange(n) + step
@@ -189,6 +200,28 @@ def _repeated_within(a: Anchors) -> np.ndarray:
     return np.isin(a.hash, np.unique(h[1:][differ]))
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Mask of the values that occur more than once."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    out[order] = np.r_[same, False] | np.r_[False, same] if len(h) else same
+    return out
+
+
+def _first_equal(x: np.ndarray, start: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """For each string, the index of the first equal one; only those in the mask can have others."""
+    out = np.arange(len(start))
+    at = np.flatnonzero(maybe)
+    if len(at):
+        keys = _bytes_at(x, start[at]).view(f"S{MIN_BYTES}").ravel()
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order[1:]] != keys[order[:-1]]]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        out[at[order]] = at[order[head]]
+    return out
+
+
 # --- steps over the table ---
 
 
@@ -302,16 +335,24 @@ def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFram
                 rest = ~settled & elsewhere[k]
                 start, k, doc = start[rest], k[rest], doc[rest]
                 if len(start):
-                    first = np.flatnonzero(np.r_[True, (np.diff(start) != 1) | (np.diff(k) != 0)])
-                    count = np.diff(np.r_[first, len(start)])
-                    bucket = _bucket_of(a.hash[k[first]], buckets)
-                    order = np.argsort(bucket, kind="stable")
+                    same = _first_equal(c.x, start, _repeated(a.hash)[k])
+                    again = np.flatnonzero(same != np.arange(len(same)))
+                    sent = np.flatnonzero(same == np.arange(len(same)))
+                    first = np.flatnonzero(np.r_[True, (np.diff(start[sent]) != 1) | (np.diff(k[sent]) != 0)])
+                    count = np.diff(np.r_[first, len(sent)])
+                    first = sent[first]
+                    bucket, bucket_again = _bucket_of(a.hash[k[first]], buckets), _bucket_of(a.hash[k[again]], buckets)
+                    order, order_again = np.argsort(bucket, kind="stable"), np.argsort(bucket_again, kind="stable")
                     edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
                     for piece in np.split(order, edges[1:]):
+                        b = int(bucket[piece[0]])
                         s, n = start[first[piece]], count[piece]
+                        low, high = np.searchsorted(bucket_again[order_again], [b, b + 1])
+                        more = again[order_again[low:high]]
+                        numbers = [np.int64([len(piece), len(more)]), s, n, doc[first[piece]], start[more], start[same[more]]]
                         text = c.x[_ranges(s, n + (MIN_BYTES - 1))]
-                        parts = [np.int64([len(piece)]), s.astype(np.int64), n.astype(np.int64), doc[first[piece]].astype(np.int64), text]
-                        out.append((int(bucket[piece[0]]), r["chunk"], None, _shrink(b"".join(p.tobytes() for p in parts))))
+                        packed = b"".join(x.astype(np.int64).tobytes() for x in numbers) + text.tobytes()
+                        out.append((b, r["chunk"], None, _shrink(packed)))
                 columns = list(zip(*out)) or [()] * 4
                 types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["bucket", "chunk", "runs", "strings"])
@@ -327,9 +368,9 @@ def bucket_copies(found: DataFrame, buckets: int) -> DataFrame:
         at = []
         for r in rows:
             raw = _restore(r["strings"])
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            s, count, doc = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n)
-            text = np.frombuffer(raw, np.uint8, offset=8 + 24 * n)
+            n, m = np.frombuffer(raw, np.int64, 2).tolist()
+            s, count, doc = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(3, n)
+            text = np.frombuffer(raw, np.uint8, offset=16 + 24 * n + 16 * m).copy()
             size = count + (MIN_BYTES - 1)
             at.append(_ranges(offset + np.cumsum(size) - size, count))
             starts.append(_ranges(s, count))
@@ -341,7 +382,11 @@ def bucket_copies(found: DataFrame, buckets: int) -> DataFrame:
         edge = np.cumsum([0, *chunks])
         for r, s, i, j in zip(rows, starts, edge, edge[1:]):
             if copy[i:j].any():
-                yield r["chunk"], _runs(np.sort(s[copy[i:j]])).astype("<i8").tobytes()
+                raw = _restore(r["strings"])
+                n, m = np.frombuffer(raw, np.int64, 2).tolist()
+                again, first = np.frombuffer(raw, np.int64, 2 * m, 16 + 24 * n).reshape(2, m)
+                found = np.concatenate([s[copy[i:j]], again[np.isin(first, s[copy[i:j]])]])
+                yield r["chunk"], _runs(np.sort(found)).astype("<i8").tobytes()
 
     def run(batches):
         for _, rows in _groups(batches, "bucket"):

@@ -186,6 +186,7 @@ def passages(seed):
     letters = "ab" if seed % 2 else "abcdefghij é"
     piece = lambda: "".join(rng.choices(letters, k=rng.randint(1, 160)))
     pool = [piece() for _ in range(12)]
+    pool += ["xyz" * 60, "k" * 200]
     texts = ["".join(rng.choice(pool) if rng.random() < 0.6 else piece() for _ in range(rng.randint(0, 6))) for _ in range(40)]
     ids = [rng.choice([None, rng.randrange(60)]) if rng.random() < 0.1 else i for i in range(40)]
     return list(zip(ids, texts))
