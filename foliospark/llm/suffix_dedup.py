@@ -45,7 +45,7 @@ _U = np.uint64
 
 
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", 3)
+    return pa.Codec("zstd", 9)
 
 
 def _shrink(data: bytes) -> bytes:
@@ -57,6 +57,16 @@ def _restore(data: bytes) -> bytes:
     return _codec().decompress(data[8:], size, asbytes=True) if size else b""
 
 
+def _pack_hashes(h: np.ndarray) -> bytes:
+    """Sorted hashes as their differences, byte by byte, so that the leading zeros vanish."""
+    return _shrink(np.diff(h, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack_hashes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(_restore(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(_U).ravel(), dtype=_U)
+
+
 # --- anchors of one chunk ---
 
 
@@ -293,20 +303,20 @@ def shared_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
                 edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(h) else []
                 parts = np.split(h, edges[1:]) if len(h) else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[edges], pa.int64()) if len(h) else pa.array([], pa.int64()), pa.array([r["chunk"]] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                    [pa.array(bucket[edges], pa.int64()) if len(h) else pa.array([], pa.int64()), pa.array([r["chunk"]] * len(parts), pa.int64()), pa.array([_pack_hashes(p) for p in parts], pa.binary())],
                     ["bucket", "chunk", "hashes"],
                 )
 
     def compare(batches):
         for _, rows in _groups(batches, "bucket"):
-            parts = [np.frombuffer(r["hashes"], _U) for r in rows]
+            parts = [_unpack_hashes(r["hashes"]) for r in rows]
             h = np.concatenate(parts)
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             shared = np.zeros(len(h), bool)
             shared[order] = np.r_[same, False] | np.r_[False, same]
             at = np.cumsum([0, *map(len, parts)])
-            out = [(r["chunk"], p[shared[s:e]].tobytes()) for r, p, s, e in zip(rows, parts, at, at[1:]) if shared[s:e].any()]
+            out = [(r["chunk"], _pack_hashes(p[shared[s:e]])) for r, p, s, e in zip(rows, parts, at, at[1:]) if shared[s:e].any()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["chunk", "hashes"])
 
@@ -324,7 +334,7 @@ def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFram
             for r in batch.to_pylist():
                 c = _Chunk(r["ids"], r["lengths"], r["data"])
                 a = c.anchors
-                elsewhere = np.isin(a.hash, np.concatenate([np.frombuffer(b, _U) for b in r["hashes"] or []] or [np.zeros(0, _U)]))
+                elsewhere = np.isin(a.hash, np.concatenate([_unpack_hashes(b) for b in r["hashes"] or []] or [np.zeros(0, _U)]))
                 here = _repeated_within(a) if len(a.at) else elsewhere
                 start, k = a.strings(here | elsewhere)
                 doc = c.ids[np.searchsorted(c.ends, start, side="right")]
