@@ -120,7 +120,8 @@ def read_id_file(stream) -> Iterator[tuple[int | None, list[np.ndarray] | None,
 
 class LibraryTokenizer:
     """The tokenizers library over distinct pre-tokens: a byte-level vocabulary encodes these one by one anyway, so the ids
-    of a text are those of its pre-tokens in turn."""
+    of a text are those of its pre-tokens in turn.  Added tokens are cut out of a text first, longest first, as the library
+    does; each is a piece of its own."""
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -132,13 +133,23 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         self.pieces = regex.compile(pattern).findall
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError("added tokens that depend on their neighbours")
+        longest = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = regex.compile(f"({'|'.join(map(regex.escape, longest))})") if longest else None
         self.known: dict[str, list[int]] = {}
 
+    def cut(self, text: str) -> list[str]:
+        if not self.added or not self.added.search(text):
+            return self.pieces(text)
+        parts = self.added.split(text)  # every second one is an added token
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))]
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        cut = [self.pieces(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         distinct = set().union(*cut)
         if len(self.known) > MEMO:
             self.known.clear()

@@ -126,6 +126,18 @@ def test_token_files(spark):
     assert token_files.token_file_round_trip(empty(spark), JSON, P.PATTERN).count() == 0
 
 
+def test_token_files_know_added_tokens(spark):
+    library, mark = Tokenizer.from_file(JSON), "<|endoftext|>"
+    texts = [f"one {mark} two", mark, f"{mark}{mark}", f"a  {mark}\n\n  b{mark}", f"{mark[:-1]} {mark}>", "plain", mark * 3 + "é", None]
+    data = [(i, t, None, None) + (None,) * 14 for i, t in enumerate(texts)]
+    got = token_files.token_file_round_trip(table(spark, data), JSON, P.PATTERN).collect()
+    start = 0
+    for (i, text, *_), r in zip(data, sorted(got, key=lambda r: r.start), strict=True):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 # --- archives ---
 
 
