@@ -1,13 +1,14 @@
 """Quality rules: fixed base rules, then a hashed n-gram log-likelihood ratio.
 
 Words are runs without ASCII white space.  Unigrams and bigrams of a document are hashed into ``BUCKETS`` buckets.  Two
-multinomials over the buckets are counted in one pass: the raw corpus (every document) and the trusted target (documents
+multinomials over the buckets are counted in one job: the raw corpus (every document) and the trusted target (documents
 labelled good).  A document's score is the mean over its n-grams of log p_target - log p_raw; both are smoothed by
 ``PRIOR`` target counts, so n-grams that were hardly seen say nothing.  Every document is compared with one threshold.
 
-The trusted sample is bounded by ``MAX_TRUSTED`` ids, taken in hash order, so that the id list may go to every task.
-Labelled documents also set the threshold: the largest that keeps at least ``KEEP_TRUSTED`` of the trusted documents
-and is no higher than needed for the labelled poor ones (see ``threshold_of``).  All counts cover all documents.
+Labels meet the documents in an ordinary join, so every labelled document counts.  They also set the threshold: the
+largest that keeps at least ``KEEP_TRUSTED`` of the trusted documents and is no higher than needed for the labelled poor
+ones (see ``threshold_of``).  All counts and quantiles cover all documents; only bucket counts and the scores next to a
+quantile come to the driver.
 
 Null and empty texts have no words and fail the base rules.  Without labels every score is 0 and the base rules decide.
 Repeated rows are separate documents with equal results.
@@ -21,16 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .common import text_or_empty
 
 BUCKETS = 1 << 16
 PRIOR = 10.0
-MAX_TRUSTED = 50_000
 KEEP_TRUSTED = 0.998
+RANK_ACCURACY = 100_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -69,32 +70,31 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (x.as_py() for x in batch.column("data"))
 
 
-def count_ngrams(docs: DataFrame, trusted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket counts of all (doc_id, data) rows, and of those whose id is in the sorted array ``trusted``."""
+def _bucket_counts(docs: DataFrame) -> DataFrame:
+    """bucket, n: n-grams of all (doc_id, data) rows, summed per task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids = batch.column("doc_id")
-            good = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), trusted) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for data, is_good in zip(_texts(batch), good):
+            for data in _texts(batch):
                 if words := data.split():
                     b = np.bincount(ngram_buckets(words).astype(np.int64), minlength=0)
-                    total[0, : len(b)] += b
-                    if is_good:
-                        total[1, : len(b)] += b
-        used = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], ["bucket", "raw", "good"])
-
-    rows = (
-        docs.mapInArrow(count, "bucket long, raw long, good long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
-        .toPandas()  # BUCKETS rows at most
-    )
-    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows["bucket"]], good[rows["bucket"]] = rows["raw"], rows["good"]
-    return raw, good
+                    total[: len(b)] += b
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["bucket", "n"])
+
+    return docs.mapInArrow(count, "bucket long, n long")
+
+
+def count_ngrams(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket counts of all (doc_id, data) rows, and of those whose id is in ``trusted``."""
+    ids = trusted.select(F.col("doc_id").alias("trusted_id")).hint("shuffle_hash")  # one plan for all sizes, texts unsorted
+    good = docs.join(ids, F.col("doc_id").cast("long") == F.col("trusted_id"), "left_semi")
+    both = _bucket_counts(docs).withColumn("good", F.lit(False)).unionByName(_bucket_counts(good).withColumn("good", F.lit(True)))
+    rows = both.groupBy("bucket", "good").agg(F.sum("n").alias("n")).toPandas()  # 2 * BUCKETS rows at most
+    out = np.zeros((2, BUCKETS))
+    out[rows["good"].to_numpy(int), rows["bucket"]] = rows["n"]
+    return out[0], out[1]
 
 
 def log_ratio(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -115,17 +115,14 @@ def _fails_base(row: tuple) -> bool:
     return row[0] < MIN_WORDS or 100 * row[4] > MAX_REPEAT_PERCENT * row[0]
 
 
-def score_documents(docs: DataFrame, ratio: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
-    """Base features, base_failed and score of every (doc_id, data) row, or of those with an id in ``only``."""
-    table = docs.sparkSession.sparkContext.broadcast((ratio, only))  # BUCKETS numbers, 2 * MAX_TRUSTED ids
+def score_documents(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """Base features, base_failed and score of every (doc_id, data) row."""
+    table = docs.sparkSession.sparkContext.broadcast(ratio)  # BUCKETS numbers
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, only = table.value
         for batch in batches:
-            if only is not None:
-                batch = batch.filter(pc.is_in(batch.column("doc_id").cast(pa.int64()), pa.array(only)))
-            rows = [_score(x, ratio) for x in _texts(batch)]
+            rows = [_score(x, table.value) for x in _texts(batch)]
             columns = [*(list(zip(*rows)) or [()] * 6), [_fails_base(r) for r in rows]]
             types = [*[pa.int64()] * 5, pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names)
@@ -134,33 +131,44 @@ def score_documents(docs: DataFrame, ratio: np.ndarray, only: np.ndarray | None
     return docs.mapInArrow(score, ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names[1:6]), "score double, base_failed boolean"]))
 
 
-def threshold_of(good: np.ndarray, poor: np.ndarray) -> float:
-    """The cut between labelled scores: half-way between the poor documents' 99 % quantile and the trusted ones' lowest
-    ``1 - KEEP_TRUSTED``, but never above the latter."""
-    if not len(good):
+def quantile(scores: DataFrame, q: float) -> float | None:
+    """Quantile of ``score`` between its two nearest ranks; a sketch says which few scores around them to collect."""
+    n = scores.count()
+    if not n:
+        return None
+    margin = 2 / RANK_ACCURACY + 2 / n
+    low, high = scores.agg(F.percentile_approx("score", [max(0.0, q - margin), min(1.0, q + margin)], RANK_ACCURACY)).first()[0]
+    below = scores.filter(F.col("score") < low).count()
+    near = scores.filter(F.col("score").between(low, high)).groupBy("score").count().orderBy("score").toPandas()
+    upto, at = below + near["count"].cumsum().to_numpy(), (n - 1) * q
+    first, second = (near["score"].iloc[int(np.searchsorted(upto, r, side="right"))] for r in (math.floor(at), math.ceil(at)))
+    return float(first + (second - first) * (at - math.floor(at)))
+
+
+def threshold_of(seen: DataFrame) -> float:
+    """The cut between labelled scores (score, good, poor): half-way between the poor documents' 99 % quantile and the
+    trusted ones' lowest ``1 - KEEP_TRUSTED``, but never above the latter."""
+    low = quantile(seen.filter("good"), 1 - KEEP_TRUSTED)
+    if low is None:
         return -math.inf
-    low = float(np.quantile(good, 1 - KEEP_TRUSTED))
-    return low if not len(poor) else min(low, (low + float(np.quantile(poor, 0.99))) / 2)
+    high = quantile(seen.filter("poor"), 0.99)
+    return low if high is None else min(low, (low + high) / 2)
 
 
-def _sample(labels: DataFrame, quality: int) -> np.ndarray:
-    """At most MAX_TRUSTED ids with this label, sorted."""
-    ids = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long")).distinct()
-    return np.sort(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRUSTED).toPandas()["doc_id"].to_numpy("int64"))
+def flags_of(labels: DataFrame) -> DataFrame:
+    """doc_id, good, poor: a row for each labelled id."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    flag = {name: F.max(F.col("quality") == value).alias(name) for name, value in (("good", 1), ("poor", 0))}
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*flag.values())
 
 
-def fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Log ratios per bucket and the threshold, for (doc_id, data) rows."""
-    good, poor = _sample(labels, 1), _sample(labels, 0)
-    ratio = log_ratio(*count_ngrams(rows, good))
-    seen = (
-        score_documents(rows, ratio, np.union1d(good, poor))
-        .filter("not base_failed")
-        .groupBy("doc_id")
-        .agg(F.min("score").alias("score"))
-        .toPandas()  # one row per sampled label at most
-    )
-    return ratio, threshold_of(*(seen["score"][seen["doc_id"].isin(x)].to_numpy() for x in (good, poor)))
+def fit(rows: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, DataFrame]:
+    """Log ratios per bucket, the threshold and the scored documents, for (doc_id, data) rows."""
+    flags = flags_of(labels)
+    ratio = log_ratio(*count_ngrams(rows, flags.filter("good")))
+    scored = durable(score_documents(rows, ratio), "quality-scores")
+    lowest = scored.filter("not base_failed").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("score").alias("score"))
+    return ratio, threshold_of(durable(lowest.join(flags, "doc_id"), "quality-labelled")), scored
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,14 +177,13 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, the base features, base_failed, score and kept."""
-    rows = _rows(docs, id_col, text_col)
-    ratio, threshold = fit(rows, labels)
-    return score_documents(rows, ratio).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
+    _, threshold, scored = fit(_rows(docs, id_col, text_col), labels)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the rules reject; all its columns, no shuffle of the texts."""
-    ratio, threshold = fit(_rows(docs, id_col, text_col), labels)
+    """``docs`` without the rows that the rules reject; all its columns."""
+    ratio, threshold, _ = fit(_rows(docs, id_col, text_col), labels)
     table = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,33 @@ def test_quality_stage(spark):
     assert quality.judge(empty(spark), labels).count() == 0
 
 
+def test_every_label_counts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_TRUSTED", 20, raising=False)  # the bound there once was
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    ratio, threshold, *_ = quality.fit(quality._rows(docs, "doc_id", "text"), labels)
+    texts, known = {r.doc_id: (r.text or "").encode().split() for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    counts = np.zeros((2, quality.BUCKETS))
+    for i, words in texts.items():
+        b = np.bincount(quality.ngram_buckets(words).astype(int), minlength=quality.BUCKETS) if words else 0
+        counts[0] += b
+        counts[1] += b * (known.get(i) == 1)
+    want = quality.log_ratio(*counts)
+    assert np.allclose(ratio, want)
+    rows = {i: quality._score(b" ".join(w), want) for i, w in texts.items() if i in known}
+    good, poor = ([r[5] for i, r in rows.items() if known[i] == k and not quality._fails_base(r)] for k in (1, 0))
+    low = np.quantile(good, 1 - quality.KEEP_TRUSTED)
+    assert np.isclose(threshold, min(low, (low + np.quantile(poor, 0.99)) / 2) if poor else low)
+
+
+def test_quantile_equals_numpy(spark, monkeypatch):
+    values = [x % 97 / 7 for x in range(3000)] + [1.0] * 500
+    df = spark.createDataFrame([(float(v),) for v in values], "score double").repartition(7)
+    monkeypatch.setattr(quality, "RANK_ACCURACY", 50)
+    for q in (0.0, 0.002, 0.37, 0.99, 1.0):
+        assert np.isclose(quality.quantile(df, q), np.quantile(values, q))
+    assert quality.quantile(df.limit(0), 0.5) is None and quality.quantile(df.limit(1), 0.002) is not None
+
+
 def test_log_ratio_is_neutral_without_evidence():
     raw, good = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
     assert (quality.log_ratio(raw, good) == 0).all()
