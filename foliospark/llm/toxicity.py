@@ -6,8 +6,8 @@ words that appear only once disguises such as ``1d10t`` or ``i.d.i.o.t`` are und
 of emphasis and word shape.  Spark's GBT classifier is fitted on part of the training rows, isotonic regression on the
 rest turns its probability into a calibrated score.
 
-Learning sees only rows with a label whose crc32(id as text) mod 4 is not ``HELD_OUT``, and at most ``MAX_TRAIN`` of
-them in hash order; label, language, source and id are no features.  Every document is scored by its whole text.
+Learning sees only rows with a label whose crc32(id as text) mod 4 is not ``HELD_OUT``.  The lexicon is counted over all
+of them, the trees and the calibration see at most ``MAX_TRAIN`` in hash order; label, language, source and id are no features.  Every document is scored by its whole text.
 
 Null and empty texts have all features zero and get a score like any other.  Rows that repeat an id are scored each; of
 contradicting labels the larger counts.  With no labels, or labels of one kind only, the score is that share (0 if none).
@@ -108,11 +108,25 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     )
 
 
-def training_rows(labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, toxic) that may be learned from, at most ``most``."""
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """All (doc_id, toxic) that may be learned from."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def training_rows(labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
+    """At most ``most`` of the usable labels."""
+    return usable_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def without_implied(found: DataFrame) -> DataFrame:
+    """Entries whose words do not all begin with a shorter entry."""
+    word = F.ltrim("entry", F.lit("="))
+    longest = F.length(word) - F.when(F.startswith("entry", F.lit("=")), 0).otherwise(1)
+    lengths = F.filter(F.array(*map(F.lit, PREFIXES)), lambda n: n <= longest)
+    shorter = found.select("entry", F.explode(F.transform(lengths, lambda n: F.substring(word, F.lit(1), n))).alias("shorter"))
+    implied = shorter.join(found.select(F.col("entry").alias("shorter")), "shorter", "left_semi").select("entry").distinct()
+    return found.join(implied, "entry", "left_anti")
 
 
 def learn_lexicon(texts: DataFrame) -> list[str]:
@@ -138,10 +152,9 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
         .groupBy("entry")
         .agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
         .filter((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("other"))))
-        .orderBy(F.desc("toxic"), "entry")
-        .limit(MAX_LEXICON)
     )
-    return [r.entry for r in found.collect()]
+    kept = without_implied(durable(found, "toxicity-lexicon")).orderBy(F.desc("toxic"), "entry").limit(MAX_LEXICON)
+    return [r.entry for r in kept.collect()]
 
 
 def feature_rows(docs: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +180,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     train = durable(training_rows(labels), "toxicity-train")  # MAX_TRAIN rows, so fit to broadcast
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    lexicon = learn_lexicon(named.join(F.broadcast(train), "doc_id").select("text", "toxic"))
+    usable = usable_labels(labels).hint("shuffle_hash")  # one plan for all sizes, texts unsorted
+    lexicon = learn_lexicon(named.join(usable, "doc_id").select("text", "toxic"))
     rows = durable(feature_rows(docs, lexicon, id_col, text_col), "toxicity-features")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows)
     known = rows.join(F.broadcast(train.withColumnRenamed("doc_id", "label_id")), F.col("doc_id").cast("long") == F.col("label_id"))

@@ -190,6 +190,21 @@ def test_held_out_rows_are_never_learned_from(spark):
     assert toxicity.training_rows(labels, 10).count() == 10
 
 
+def test_lexicon_is_counted_over_all_usable_labels(spark, monkeypatch):
+    few, seen = toxicity.training_rows, []
+    monkeypatch.setattr(toxicity, "training_rows", lambda labels: few(labels, 10))
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda texts: seen.append(texts.count()) or [])
+    docs = spark.createDataFrame([(i, "some text", None, None) for i in range(200)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(200)], "doc_id long, quality int, toxic int")
+    toxicity.score_documents(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))]
+
+
+def test_lexicon_has_no_implied_entries(spark):
+    texts = spark.createDataFrame([("blorgish blorg", 1)] * 5 + [("xa b", 1)] * 5 + [("blue sky", 0)] * 5, "text string, toxic int")
+    assert sorted(toxicity.learn_lexicon(texts)) == ["=b", "=xa", "blo"]
+
+
 # --- mixing ---
 
 
