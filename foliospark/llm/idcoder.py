@@ -4,7 +4,8 @@ Blocks are independent: each starts with an empty model.  That also lets numpy c
 block per step; a block's bytes do not depend on its neighbours.
 
 For the next id, order 2 (the last two ids) and order 1 (the last id) each name the id that followed their context,
-with a confidence.  The better known candidate is checked first: the confidences of order 2 and order 1 and the order-0
+with a confidence.  Only one candidate is checked, order 2's where its context was seen before, else order 1's; what
+this costs in bits is not measured.  The confidences of order 2 and order 1 and the order-0
 count of the candidate select three adaptive probabilities, which a small integer logistic mixer joins into the
 probability of a hit.  After a miss the id's magnitude (its bit length and second bit) is coded under order-0 counts and its
 lower bits follow evenly; in byte-pair vocabularies the magnitude tells common from rare.  All arithmetic is in integers,
