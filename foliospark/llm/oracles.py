@@ -42,4 +42,26 @@ ORACLES = {
                row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_fill_in_middle": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hash,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+            FROM documents),
+        h AS (
+            SELECT *, len(tokens) AS n, ('0x' || substr(hash, 1, 8))::BIGINT AS h1, ('0x' || substr(hash, 9, 8))::BIGINT AS h2,
+                   ('0x' || substr(hash, 17, 8))::BIGINT AS h3, ('0x' || substr(hash, 25, 8))::BIGINT AS h4 FROM d),
+        c AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS c1, greatest(h1 % (n + 1), h2 % (n + 1)) AS c2,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+                        THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM h),
+        p AS (
+            SELECT *, array_to_string(tokens[1:c1], '') AS prefix, array_to_string(tokens[c1 + 1:c2], '') AS middle,
+                   array_to_string(tokens[c2 + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality, secrets, simhash, suffix_dedup, token_files, toxicity, warc
+from . import bpe, exact_dedup, fim, minhash, mixing, quality, repair, secrets, simhash, suffix_dedup, token_files, toxicity, warc
 from .common import documents
 
 QUERIES = {}
@@ -79,3 +79,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), *multi_bpe())
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
+@query
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(documents(spark, sf_dir))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
