@@ -7,9 +7,11 @@ band, and nodes that agree in a band share a bucket: two sets at the threshold o
 8e-6, while sets at 0.5 share one bucket in 256.
 
 A bucket proposes a star, from its least node to every other, never all pairs.  Proposals are confirmed by the
-intersection of the full sets.  A star may miss a link between two of its points, so buckets whose nodes are not yet in
-one component go on: they take further centres, 16 times as many each round and never one twice, until every bucket is of
-one component or all its nodes have been centres.  No bucket is capped or left undecided.
+intersection of the full sets.  A star may miss a link between two of its points.  The nodes of buckets that are not yet
+of one component therefore go on, in exact buckets: one for each shingle in the rarest fifth of their sets.  These
+propose stars from nodes outside their largest component, 64 times as many each round and never one twice, until each
+bucket is of one component.  Pairs that sizes, or shingles no other node has, rule out are not proposed.  No bucket is
+capped or left undecided.
 
 Documents without words have an empty set and are linked with nothing.  A null text is empty.  A null id takes part; the
 component of null ids only has a null id.  Repeated rows share a node.  Texts are read in pieces, so a very long one costs
@@ -34,7 +36,7 @@ SHINGLE = 4
 THRESHOLD = 80  # per cent
 ROWS, BANDS = 8, 64
 BINS = ROWS * BANDS
-MORE_CENTRES = 16
+MORE_CENTRES = 64
 PIECE_BYTES = 1 << 20
 
 
@@ -171,40 +173,72 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> Da
     return joined.filter(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
 
 
-def _may_link(a: str, b: str, percent: int):
-    """Sets of too different sizes can't be similar enough."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def prefix_buckets(members: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """(key, node, n, common) so that any two linked nodes among ``members`` (node, n) share a key, without exception.
+
+    Shingles are ordered by the number of members that have them.  Two sets at the threshold share one of the first
+    n - ceil(0.8 n) + 1 shingles of each in this order.  Shingles of one member come first and find nothing: a set with
+    many of its own gets few keys or none.  ``common`` counts the others; no set can share more."""
+    rows = members.select("node", "n").join(sets, "node").select("node", "n", F.explode("hashes").alias("key")).repartition("key")
+    known = rows.groupBy("key").agg(F.count("*").alias("spread")).filter("spread > 1")
+    several = rows.join(known, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "key"))).alias("keys"))
+    several = several.withColumn("common", F.size("keys").cast("long"))
+    length = F.col("common") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    several = several.filter(length > 0).select("node", "n", "common", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("x"))
+    return several.select(F.col("x.key").alias("key"), "node", "n", "common")
 
 
 def node_links(members: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
     """(node, root) that joins all nodes of one component, from the buckets of :func:`shared_buckets`."""
     sizes = members.select(F.col("node").alias("centre"), F.col("n").alias("centre_n")).distinct()
     star = members.filter("node != centre").select(F.col("centre"), "node", "n").distinct().join(sizes, "centre")
-    star = star.filter(_may_link("n", "centre_n", percent)).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    tested = durable(star, "minhash-tested")
+    near = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
+    tested = durable(star.filter(near).select(F.col("centre").alias("a"), F.col("node").alias("b")), "minhash-tested")
     links = durable(confirmed(tested, sets, percent), "minhash-links")
-    # A node that has been the centre of a bucket is done there.
-    left, centres = members.filter("node != centre").select("key", "node", "n"), MORE_CENTRES
+    roots = components(links)
+    mixed = _mixed(members.select("key", "node", "n"), roots)
+    left = durable(prefix_buckets(mixed.select("node", "n").distinct(), sets, percent), "minhash-left")
+    centres = MORE_CENTRES
     while True:
-        roots = components(links)
-        placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        placed = durable(placed.join(mixed, "key", "left_semi").select("key", "node", "n", "root"), "minhash-mixed")
+        placed = durable(_mixed(left, roots), "minhash-mixed")
         if placed.isEmpty():
             return roots
-        chosen = placed.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")).agg(
-            F.min_by(F.struct("node", "n", "root"), "node").alias("centre"))
-        chosen = durable(chosen.select("key", "centre.*"), "minhash-centres")
-        other = chosen.select("key", F.col("node").alias("centre"), F.col("n").alias("centre_n"), F.col("root").alias("centre_root"))
-        pairs = placed.join(other, "key").filter((F.col("root") != F.col("centre_root")) & _may_link("n", "centre_n", percent))
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        # Every open pair of a bucket has an end outside its largest component, so such nodes are centres.
+        share = F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")
+        chosen = placed.filter("root != main").groupBy("key", share).agg(F.min_by(F.struct("node", "n", "common", "root"), "node").alias("centre"))
+        chosen = durable(chosen.select("key", *(F.col(f"centre.{c}").alias(f"centre_{c}") for c in ("node", "n", "common", "root"))), "minhash-centres")
+        most = F.least("common", "centre_common")
+        near = 100 * most >= percent * (F.col("n") + F.col("centre_n") - most)
+        pairs = placed.join(chosen, "key").filter((F.col("root") != F.col("centre_root")) & near)
+        pairs = pairs.select(F.least("node", "centre_node").alias("a"), F.greatest("node", "centre_node").alias("b")).distinct()
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        links = durable(links.unionByName(confirmed(pairs, sets, percent)), "minhash-links")
+        found = durable(confirmed(pairs, sets, percent), "minhash-links")
+        if not found.isEmpty():
+            roots = _merged(roots, found)
         tested = tested.unionByName(pairs)
-        left = durable(placed.join(chosen, ["key", "node"], "left_anti").select("key", "node", "n"), "minhash-left")
+        done = chosen.select("key", F.col("centre_node").alias("node"))
+        left = durable(placed.join(done, ["key", "node"], "left_anti").drop("root", "main"), "minhash-left")
         centres *= MORE_CENTRES
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links, by joining the components at their ends."""
+    first, second = (roots.select(F.col("node").alias(e), F.col("root").alias(f"{e}_root")) for e in ("a", "b"))
+    ends = links.join(first, "a", "left").join(second, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    moved = components(ends).withColumnRenamed("root", "new")
+    old = roots.join(moved.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    single = moved.select("node", F.col("new").alias("root")).join(roots, "node", "left_anti")
+    return durable(old.unionByName(single), "minhash-roots")
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets with nodes of several components, with each node's ``root`` and the bucket's largest one as ``main``."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("parts"))
+    return placed.join(main.filter("parts > 1").select("key", "main"), "key")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable, itself included), kept."""
     rows = durable(sketches(docs, id_col, text_col), "minhash-rows")
