@@ -10,8 +10,8 @@ A bucket proposes a star, from its least node to every other, never all pairs.
 intersection of the full sets.  A star may miss a link between two of its points.  The nodes of buckets that are not yet
 of one component therefore go on, in exact buckets: one for each shingle in the rarest fifth of their sets.  These
 propose stars from nodes outside their largest component, 64 times as many each round and never one twice, until each
-bucket is of one component.  Pairs that sizes, or shingles no other node has, rule out are not proposed.  No bucket is
-capped or left undecided.
+bucket is of one component.  Pairs are not proposed where it is certain that they share too little: by the rarer shingles
+that only one of them has, or by what each shares with the main node of the bucket.  No bucket is capped or left undecided.
 
 Documents without words have an empty set and are linked with nothing.  A null text is empty.  A null id takes part; the
 component of null ids only has a null id.  Repeated rows share a node.  Texts are read in pieces, so a very long one costs
@@ -163,29 +163,38 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
     return once.join(chosen, "digest").select("node", "hashes")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """The (a, b) whose full sets are similar enough; each side is joined by its node."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, shared, both): the size of the intersection of two nodes' full sets, and the sum of their sizes."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    joined = pairs.join(right, "b").join(left, "a")
     shared = F.size(F.array_intersect("left", "right")).cast("long")
-    joined = joined.select("a", "b", shared.alias("shared"), (F.size("left") + F.size("right")).cast("long").alias("both"))
-    return joined.filter(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
+    both = (F.size("left") + F.size("right")).cast("long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", shared.alias("shared"), both.alias("both"))
+
+
+def _near(shared, both, percent: int):
+    return 100 * shared >= percent * (both - shared)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
+    """The (a, b) whose full sets are similar enough."""
+    return overlaps(pairs, sets).filter(_near(F.col("shared"), F.col("both"), percent)).select("a", "b")
 
 
 def prefix_buckets(members: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
-    """(key, node, n, common) so that any two linked nodes among ``members`` (node, n) share a key, without exception.
+    """(key, node, n, rest) so that any two linked nodes among ``members`` (node, n) share a key, without exception.
 
     Shingles are ordered by the number of members that have them.  Two sets at the threshold share one of the first
     n - ceil(0.8 n) + 1 shingles of each in this order.  Shingles of one member come first and find nothing: a set with
-    many of its own gets few keys or none.  ``common`` counts the others; no set can share more."""
+    many of its own gets few keys or none.  ``rest`` counts a node's shingles that others have too, from the key on: two nodes
+    whose first common key this is can't share more."""
     rows = members.select("node", "n").join(sets, "node").select("node", "n", F.explode("hashes").alias("key")).repartition("key")
     known = rows.groupBy("key").agg(F.count("*").alias("spread")).filter("spread > 1")
     several = rows.join(known, "key").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("spread", "key"))).alias("keys"))
     several = several.withColumn("common", F.size("keys").cast("long"))
     length = F.col("common") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    several = several.filter(length > 0).select("node", "n", "common", F.explode(F.slice("keys", F.lit(1), length.cast("int"))).alias("x"))
-    return several.select(F.col("x.key").alias("key"), "node", "n", "common")
+    several = several.filter(length > 0).select("node", "n", "common", F.posexplode(F.slice("keys", F.lit(1), length.cast("int"))).alias("at", "x"))
+    return several.select(F.col("x.key").alias("key"), "node", "n", (F.col("common") - F.col("at")).alias("rest"))
 
 
 def node_links(members: DataFrame, sets: DataFrame, percent: int = THRESHOLD) -> DataFrame:
@@ -203,12 +212,17 @@ def node_links(members: DataFrame, sets: DataFrame, percent: int = THRESHOLD) ->
         placed = durable(_mixed(left, roots), "minhash-mixed")
         if placed.isEmpty():
             return roots
+        # What two nodes share lies in the main node of their bucket or in neither's part of it.
+        hubs = overlaps(placed.select(F.col("main").alias("a"), F.col("node").alias("b")).distinct(), sets)
+        hubs = hubs.select(F.col("a").alias("main"), F.col("b").alias("node"), F.col("shared").alias("held"))
+        placed = durable(placed.join(hubs, ["main", "node"]), "minhash-placed")
         # Every open pair of a bucket has an end outside its largest component, so such nodes are centres.
-        share = F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share")
-        chosen = placed.filter("root != main").groupBy("key", share).agg(F.min_by(F.struct("node", "n", "common", "root"), "node").alias("centre"))
-        chosen = durable(chosen.select("key", *(F.col(f"centre.{c}").alias(f"centre_{c}") for c in ("node", "n", "common", "root"))), "minhash-centres")
-        most = F.least("common", "centre_common")
-        near = 100 * most >= percent * (F.col("n") + F.col("centre_n") - most)
+        share, names = F.pmod(F.xxhash64("node"), F.lit(centres)).alias("share"), ("node", "n", "rest", "root", "held")
+        chosen = placed.filter("root != main").groupBy("key", share).agg(F.min_by(F.struct(*names), "node").alias("centre"))
+        chosen = durable(chosen.select("key", *(F.col(f"centre.{c}").alias(f"centre_{c}") for c in names)), "minhash-centres")
+        outside = F.least(F.col("n") - F.col("held"), F.col("centre_n") - F.col("centre_held"))
+        most = F.least("rest", "centre_rest", F.least("held", "centre_held") + outside)
+        near = _near(most, F.col("n") + F.col("centre_n"), percent)
         pairs = placed.join(chosen, "key").filter((F.col("root") != F.col("centre_root")) & near)
         pairs = pairs.select(F.least("node", "centre_node").alias("a"), F.greatest("node", "centre_node").alias("b")).distinct()
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
@@ -217,7 +231,7 @@ def node_links(members: DataFrame, sets: DataFrame, percent: int = THRESHOLD) ->
             roots = _merged(roots, found)
         tested = tested.unionByName(pairs)
         done = chosen.select("key", F.col("centre_node").alias("node"))
-        left = durable(placed.join(done, ["key", "node"], "left_anti").drop("root", "main"), "minhash-left")
+        left = durable(placed.join(done, ["key", "node"], "left_anti").drop("root", "main", "held"), "minhash-left")
         centres *= MORE_CENTRES
 
 
