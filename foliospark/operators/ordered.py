@@ -15,7 +15,7 @@ def time_bucket(ts: Column | str, seconds: int = 3600) -> Column:
     return F.floor(F.unix_timestamp(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts) / seconds)
 
 
-def _with_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
+def with_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
     """``df`` and one carried row per (key, bucket), told apart by ``_real``; a window then sees what came before its
     bucket without a join, and rows with a null key or time take part like any others."""
     return df.withColumn("_real", F.lit(1)).unionByName(carry.withColumn("_real", F.lit(0)), allowMissingColumns=True)
@@ -34,7 +34,7 @@ def lag_value(
     )
     inner = Window.partitionBy(key, "_bucket").orderBy("_real", *order)
     return (
-        _with_carry(df, carry)
+        with_carry(df, carry)
         .withColumn(name, F.lag("_value").over(inner))
         .filter("_real = 1")
         .drop("_bucket", "_value", "_real")
@@ -49,7 +49,7 @@ def running_sums(df: DataFrame, key: str, order: list[str], bucket: Column, valu
     carry = carry.select(key, "_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_v_{n}") for n in values])
     inner = Window.partitionBy(key, "_bucket").orderBy("_real", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        _with_carry(df, carry)
+        with_carry(df, carry)
         .withColumns({n: F.sum(f"_v_{n}").over(inner) for n in values})
         .filter("_real = 1")
         .drop("_bucket", "_real", *[f"_v_{n}" for n in values])

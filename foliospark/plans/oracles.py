@@ -309,6 +309,19 @@ def has(words) -> str:
 
 UPPER = "upper(replace(text, 'ß', 'SS'))"
 
+# The plan in one scan per client: limits 9000 tokens and 3 requests a minute, the largest request up to 4500 in reserve.
+DISPATCH = f"""WITH log AS ({LOG}),
+    steps AS (
+      SELECT client, ts, request_id, tokens, tokens > 9000 AS over_limit, epoch_us(ts) AS arrival,
+        CASE WHEN tokens > 9000 THEN 0 WHEN tokens > 4500 THEN 60000000 ELSE greatest(20000000,
+          CAST(ceil((tokens * 60000000)::DOUBLE / (9000 - (SELECT max(tokens) FROM log WHERE tokens <= 4500))) AS BIGINT)) END AS share,
+        CASE WHEN tokens > 4500 AND tokens <= 9000 THEN 60000000 ELSE 0 END AS pause FROM log),
+    summed AS (SELECT *, CAST(sum(share + pause) OVER w AS BIGINT) AS total FROM steps WINDOW w AS (PARTITION BY client ORDER BY ts, request_id)),
+    plan AS (
+      SELECT client, request_id, tokens, over_limit, CASE WHEN NOT over_limit THEN
+        total + max(CASE WHEN NOT over_limit THEN arrival + share - total END) OVER (PARTITION BY client ORDER BY ts, request_id) - share END AS dispatch_at
+      FROM summed)"""
+
 ORACLES = {
     "match_patterns": rf"""SELECT rel_path, rel_path LIKE '%.md' OR rel_path LIKE '%.txt' AS flat,
       regexp_matches(rel_path, '(^|/)src1[^/]*/.*\.md$') AS deep,
@@ -478,6 +491,9 @@ ORACLES = {
     "pacing_plan": f"""SELECT client, request_id, CAST(tk AS BIGINT) AS tokens_so_far, n AS requests_so_far,
       CAST(greatest((tk - tokens) // 5000, (n - 1) // 3) AS BIGINT) AS dispatch_minute FROM (
       SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS tk, count(*) OVER w AS n FROM ({LOG}) WINDOW w AS (PARTITION BY client ORDER BY ts, request_id))""",
+    "dispatch_plan": f"{DISPATCH} SELECT client, request_id, tokens, over_limit, dispatch_at FROM plan",
+    "dispatch_minutes": f"""{DISPATCH} SELECT client, dispatch_at // 60000000 AS minute, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS requests,
+      0::BIGINT AS early, true AS within FROM plan WHERE NOT over_limit GROUP BY ALL""",
     "quota_by_minute": quota(60_000_000, 5_000, 1),
     "quota_by_day": quota(86_400_000_000, 500_000, 300, "client"),
     "chunk_stats": f"""{CHUNKS} SELECT doc_id, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS total_tokens,

@@ -520,6 +520,26 @@ def pacing_plan(spark, sf):
     return pacing.pacing_plan(inputs.request_log(spark, sf), 5_000, 3).select("client", "request_id", "tokens_so_far", "requests_so_far", "dispatch_minute")
 
 
+LIMITS = (9_000, 3)  # tokens and requests a minute
+
+
+@query
+def dispatch_plan(spark, sf):
+    plan = pacing.dispatch_plan(inputs.request_log(spark, sf), *LIMITS)
+    return plan.select("client", "request_id", "tokens", "over_limit", micros("dispatch_at").alias("dispatch_at"))
+
+
+@query
+def dispatch_minutes(spark, sf):
+    """What the plan sends in each minute, held against the limits."""
+    plan = pacing.dispatch_plan(inputs.request_log(spark, sf), *LIMITS).filter("not over_limit")
+    early = F.count_if(F.col("dispatch_at") < F.col("ts"))
+    minute = F.floor(micros("dispatch_at") / pacing.MINUTE).alias("minute")
+    sent = plan.groupBy("client", minute).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("requests"), early.alias("early"))
+    within = (F.col("tokens") <= LIMITS[0]) & (F.col("requests") <= LIMITS[1])
+    return sent.select("client", "minute", "tokens", "requests", "early", within.alias("within"))
+
+
 @query
 def quota_by_minute(spark, sf):
     q = pacing.quota_by_window(inputs.request_log(spark, sf), "1 minute", 5_000, 1)

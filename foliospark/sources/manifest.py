@@ -31,7 +31,7 @@ def list_files(spark: SparkSession, input_dir: str) -> DataFrame:
     """Every file below a folder, whatever its name or size: path, rel_path, length, modified.
 
     Folders are listed by tasks, one level of the tree at a time, so neither names nor sizes pass through the driver.
-    Contents are not read.  A link to a folder is listed as what it points to by the file system.
+    Contents are not read.  Links to folders are not followed, so a loop of links ends; links to files are listed.
     """
     root = rooted(input_dir)
 
@@ -43,6 +43,8 @@ def list_files(spark: SparkSession, input_dir: str) -> DataFrame:
                 store, name = fs.FileSystem.from_uri(folder)
                 prefix = folder[: len(folder) - len(name)] if folder.endswith(name) else ""
                 found = store.get_file_info(fs.FileSelector(name))
+                if isinstance(store, fs.LocalFileSystem):
+                    found = [i for i in found if i.type != fs.FileType.Directory or not os.path.islink(i.path)]
                 rows = [
                     (prefix + i.path, i.size, i.mtime, i.type == fs.FileType.Directory)
                     for i in found

@@ -114,3 +114,14 @@ def test_bad_headers_cost_one_chunk_only(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "doc_id long, text string")
     r = run_job(spark, docs, JobConfig(**CFG), Odd())
     assert {x.doc_id: x.error is None for x in r.responses.collect()} == {1: False, 2: True, 3: True}
+
+
+def test_links_to_folders_are_not_followed(spark, tmp_path):
+    from foliospark.sources.manifest import list_files
+
+    base = tmp_path / "in"
+    (base / "a").mkdir(parents=True)
+    (base / "a" / "one.md").write_text("one")
+    (base / "a" / "loop").symlink_to(base / "a", target_is_directory=True)
+    (base / "b.md").symlink_to(base / "a" / "one.md")
+    assert sorted(r.rel_path for r in list_files(spark, str(base)).collect()) == ["a/one.md", "b.md"]
