@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 # Model limits, in tokens.
 MAX_CONTEXT_TOKENS = 131_000
@@ -73,6 +74,10 @@ class JobConfig:
     # "reference" keeps known oddities of the original behaviour, "fixed" drops them.
     quirks: str = "fixed"
     workers: int | None = None
+    # A TokenCounter; None estimates by characters.
+    counter: Any = None
+    # "headers" waits between calls as the headers of the last answer ask; "off" leaves that to the responder.
+    pacing: str = "off"
     # Characters of a first chunk that a metadata request shows.
     explain_chars: int = 4_000
 
@@ -92,6 +97,8 @@ class JobConfig:
             errors.append("workers must be positive")
         if self.splitter not in ("structure", "lines"):
             errors.append("splitter must be 'structure' or 'lines'")
+        if self.pacing not in ("off", "headers"):
+            errors.append("pacing must be 'off' or 'headers'")
         if self.quirks not in ("fixed", "reference"):
             errors.append("quirks must be 'fixed' or 'reference'")
         if errors:
@@ -99,4 +106,4 @@ class JobConfig:
 
     @property
     def prompt_tokens(self) -> int:
-        return len(self.prompt) // 4 + 1
+        return len(self.prompt) // 4 + 1 if self.counter is None else self.counter.measure().count(self.prompt)

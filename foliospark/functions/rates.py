@@ -23,8 +23,9 @@ SERVER_WORDS = ("server error", "please try again", "internal error", "error cod
 RETRY_STATUS = (500, 502, 503, 504, 429)
 RETRY_STATUS_METADATA = (503, 502, 504, 429)
 
-# Delays in seconds.
+# Delays in seconds, and the rate where no header tells it.
 MIN_DELAY = 0.1
+DEFAULT_TOKENS_PER_MINUTE = 400_000
 LOW_QUOTA_DELAY = 2.0
 
 _INT = r"^\s*[+-]?\d+(?:_\d+)*\s*$"
@@ -109,7 +110,7 @@ def backoff_delay(status: Column | str, next_tokens: Column | str, now: Column |
     s, need, at = col(status), col(next_tokens), col(now)
     wait = seconds_between(at, s["reset_time"])
     pending = s["reset_time"] > at
-    limit = F.when(s["tokens_limit"] > 0, s["tokens_limit"]).otherwise(F.lit(400_000))
+    limit = F.when(s["tokens_limit"] > 0, s["tokens_limit"]).otherwise(F.lit(DEFAULT_TOKENS_PER_MINUTE))
     safe_rate = limit / F.lit(60.0) * F.lit(0.8)
     age = seconds_between(s["last_updated"], at)
     pace = need / safe_rate - F.lit(1.0)

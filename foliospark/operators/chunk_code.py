@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.code_features import line_features
 from ..functions.text import norm_newlines, split_lines
-from ..functions.tokens import let, token_count
+from ..functions.tokens import TokenCounter, exact, let, token_count
 from .chunk_text import explode_pieces
 from .pack import NO_CUTS, blocked_fold, cut, no_cuts, render, span
 
@@ -16,15 +16,15 @@ LOOK_BACK = 20
 LOOK_BACK_FROM = 10
 
 
-def code_lines(lines: Column) -> Column:
-    """array<struct<i,k,b,w,brace,paren,quote>> of a line array."""
+def code_lines(lines: Column, sized: Column | None = None) -> Column:
+    """array<struct<i,k,b,w,brace,paren,quote>> of a line array; ``sized`` holds a counter's sizes."""
 
     def one(s, i):
         return let(
             line_features(s),
             lambda f: F.struct(
                 i.alias("i"),
-                token_count(s).alias("k"),
+                (token_count(s) if sized is None else F.get(sized, i)["k"]).alias("k"),
                 f["boundary"].alias("b"),
                 f["keyword"].alias("w"),
                 f["brace"].alias("brace"),
@@ -112,14 +112,16 @@ def code_cuts(feats: Column, chunk_size: int, keep_stale: bool) -> Column:
     )
 
 
-def chunk_code(docs: DataFrame, chunk_size: int, quirks: str = "fixed") -> DataFrame:
+def chunk_code(docs: DataFrame, chunk_size: int, quirks: str = "fixed", counter: TokenCounter | None = None) -> DataFrame:
+    df, sized = docs.withColumn("lines", split_lines(norm_newlines("text"))), None
+    if exact(counter):
+        df, sized = df.withColumn("sized", counter.sized("lines", chunk_size)), F.col("sized")
     df = (
-        docs.withColumn("lines", split_lines(norm_newlines("text")))
-        .withColumn("feats", code_lines(F.col("lines")))
+        df.withColumn("feats", code_lines(F.col("lines"), sized))
         .withColumn("cuts", code_cuts(F.col("feats"), chunk_size, quirks == "reference"))
-        .withColumn("pieces", render(F.col("cuts"), F.col("lines"), chunk_size))
+        .withColumn("pieces", render(F.col("cuts"), F.col("lines"), chunk_size, sized))
     )
-    return explode_pieces(df.drop("lines", "feats", "cuts", "text"))
+    return explode_pieces(df.drop("lines", "sized", "feats", "cuts", "text"))
 
 
 def code_line_table(docs: DataFrame) -> DataFrame:

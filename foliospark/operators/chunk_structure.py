@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip, windows
-from ..functions.tokens import CHARS_PER_TOKEN, let, token_count
+from ..functions.tokens import CHARS_PER_TOKEN, TokenCounter, let, token_count
 from .chunk_text import chunk_text, explode_pieces
 from .pack import blocked_fold, span
 
@@ -205,16 +205,16 @@ def _pack(df: DataFrame, cap: int) -> DataFrame:
     return explode_pieces(df.withColumn("pieces", pieces).drop("items", "cuts", "texts"))
 
 
-def chunk_semantic(docs: DataFrame, chunk_size: int, splitter: str = "structure") -> DataFrame:
+def chunk_semantic(docs: DataFrame, chunk_size: int, splitter: str = "structure", counter: TokenCounter | None = None) -> DataFrame:
     if splitter == "lines":
-        return chunk_text(docs, chunk_size)
+        return chunk_text(docs, chunk_size, counter)
     cap = CHARS_PER_TOKEN * chunk_size
     return _pack(docs.withColumn("items", prose_pieces(F.col("text"), cap)).drop("text"), cap)
 
 
-def chunk_markdown(docs: DataFrame, chunk_size: int, splitter: str = "structure") -> DataFrame:
+def chunk_markdown(docs: DataFrame, chunk_size: int, splitter: str = "structure", counter: TokenCounter | None = None) -> DataFrame:
     if splitter == "lines":
-        return chunk_text(docs, chunk_size)
+        return chunk_text(docs, chunk_size, counter)
     cap = CHARS_PER_TOKEN * chunk_size
     runs = docs.withColumn("runs", F.regexp_extract_all("text", F.lit(FENCE_RUN), F.lit(0))).drop("text")
     return _pack(runs.withColumn("items", markdown_pieces(F.col("runs"), cap)).drop("runs"), cap)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_newlines, split_lines, strip
-from ..functions.tokens import CHARS_PER_TOKEN, let, token_count
+from ..functions.tokens import CHARS_PER_TOKEN, TokenCounter, exact, let, token_count
 from .pack import blocked_fold, greedy_cuts, render
 
 
@@ -35,8 +35,16 @@ def explode_pieces(df: DataFrame) -> DataFrame:
     )
 
 
-def text_pieces(df: DataFrame, chunk_size: int, text: str = "text") -> DataFrame:
+def text_pieces(df: DataFrame, chunk_size: int, text: str = "text", counter: TokenCounter | None = None) -> DataFrame:
     """Add ``pieces``: greedy line packing by the sum of per-line tokens."""
+    if exact(counter):
+        return (
+            df.withColumn("lines", split_lines(norm_newlines(text)))
+            .withColumn("sized", counter.sized("lines", chunk_size))
+            .withColumn("cuts", greedy_cuts(F.transform("sized", lambda x: x["k"]), chunk_size))
+            .withColumn("pieces", render(F.col("cuts"), F.col("lines"), chunk_size, F.col("sized")))
+            .drop("lines", "sized", "cuts", text)
+        )
     return (
         df.withColumn("lines", split_lines(norm_newlines(text)))
         .withColumn("cuts", greedy_cuts(F.transform("lines", token_count), chunk_size))
@@ -45,12 +53,17 @@ def text_pieces(df: DataFrame, chunk_size: int, text: str = "text") -> DataFrame
     )
 
 
-def chunk_text(docs: DataFrame, chunk_size: int) -> DataFrame:
-    return explode_pieces(text_pieces(docs, chunk_size))
+def chunk_text(docs: DataFrame, chunk_size: int, counter: TokenCounter | None = None) -> DataFrame:
+    return explode_pieces(text_pieces(docs, chunk_size, counter=counter))
 
 
-def split_overlong(docs: DataFrame, chunk_size: int) -> DataFrame:
+def split_overlong(docs: DataFrame, chunk_size: int, counter: TokenCounter | None = None) -> DataFrame:
     """Cut whole texts by size alone."""
+    if exact(counter):
+        items = F.when(F.length("text") > 0, F.array("text")).otherwise(F.array().cast("array<string>"))
+        whole = lambda x: F.array(F.struct(F.col("text").alias("text"), x["k"].alias("token_count")))
+        pieces = F.flatten(F.transform("sized", lambda x: F.coalesce(x["parts"], whole(x))))
+        return explode_pieces(docs.withColumn("sized", counter.sized(items, chunk_size)).withColumn("pieces", pieces).drop("sized", "text"))
     cuts = F.when(
         F.length("text") > 0,
         F.array(

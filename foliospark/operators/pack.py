@@ -99,10 +99,11 @@ def greedy_cuts(sizes: Column, cap: int) -> Column:
     return let(blocked_fold(sizes, start, NO_CUTS, step), lambda a: F.concat(a["out"], open_run(a)))
 
 
-def render(cuts: Column, items: Column, chunk_size: int) -> Column:
+def render(cuts: Column, items: Column, chunk_size: int, sized: Column | None = None) -> Column:
     """Turn cuts over an array of strings into ``array<struct<text,token_count>>``.
 
-    Solo items are cut into windows of the widest text that fits the size.
+    Solo items are cut into windows of the widest text that fits the size, or into the pieces that a counter found
+    (``sized``).
     """
 
     def piece(text, tk):
@@ -114,6 +115,8 @@ def render(cuts: Column, items: Column, chunk_size: int) -> Column:
             windows(F.element_at(items, c["st"] + F.lit(1)), max_chars(chunk_size)),
             lambda s: piece(s, token_count(s)),
         )
+        if sized is not None:
+            parts = F.get(sized, c["st"])["parts"]
         return F.when(c["solo"], parts).otherwise(whole)
 
     return F.flatten(F.transform(cuts, expand))

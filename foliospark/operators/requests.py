@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import MAX_CONTEXT_TOKENS, JobConfig
+from ..config import MAX_CONTEXT_TOKENS, ConfigError, JobConfig
 from ..functions.budget import completion_budget, continuity_block, fit_to_budget, tail_sample
 from ..functions.metadata import metadata_context
-from ..functions.tokens import token_count
+from ..functions.tokens import exact, token_count
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -41,8 +41,9 @@ def build_requests(prepared: DataFrame, config: JobConfig, continuity: str | Non
     parts = [F.col("metadata_context")]
     if continuity:
         parts.append(F.col(continuity))
+    count = config.counter.column if exact(config.counter) else token_count
     df = prepared.withColumn("user_content", F.concat(*parts, F.col("text"))).withColumn(
-        "total_input_tokens", (F.lit(config.prompt_tokens) + token_count("user_content")).cast("int")
+        "total_input_tokens", (F.lit(config.prompt_tokens) + count("user_content")).cast("int")
     )
     fits = F.col("total_input_tokens") <= MAX_CONTEXT_TOKENS
     return df.withColumn(
@@ -63,6 +64,8 @@ def replay_continuity(answered: DataFrame, config: JobConfig, key: str = "doc_id
     are cut to their tail before the window sorts them, and a failed chunk is
     skipped.
     """
+    if exact(config.counter):
+        raise ConfigError("the replay cuts by characters; answers under a token counter are sent with cuts of their own")
     before = (
         Window.partitionBy(key).orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rates
-from ..functions.tokens import token_count
+from ..functions.tokens import ArrowTokenCounter, token_count
 from ..operators.chunk_text import chunk_text
 from ..session import durable, fresh_path
 from ..sources.documents import read_table, write_files
@@ -14,6 +14,17 @@ from ..sources.manifest import list_files
 
 CS = 100
 SAMPLE = 50
+WORDS_CS = 40
+
+
+def _words():
+    import re
+
+    return re.compile(r"[^\x20\x09-\x0D]+").findall
+
+
+#: A counter of words, as an example of a tokenizer that SQL can follow.
+WORDS = ArrowTokenCounter("words", _words, strict=True)
 
 
 def documents(spark: SparkSession, sf: str, *extra: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import budget, metadata
 from ..functions.text import SPACE_CHARS
 from ..operators import chunk_structure as cst
-from .inputs import CODE_REWRITES, CS, MARKDOWN_REWRITES, SAMPLE
+from .inputs import CODE_REWRITES, CS, MARKDOWN_REWRITES, SAMPLE, WORDS_CS
 from .queries import ERROR_TEXTS, GENERATED
 
 NL = "chr(10)"
@@ -66,6 +66,27 @@ def packed(cs: int = CS) -> str:
       FROM walk w JOIN items i USING (doc_id, r) GROUP BY w.doc_id, w.c)"""
 
 
+WORD_RUNS = r"regexp_extract_all({0}, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*|^[\x20\x09-\x0D]+$')"
+N_WORDS = r"len(regexp_extract_all({0}, '[^\x20\x09-\x0D]+'))"
+
+
+def word_items(cs: int) -> str:
+    """items as in packed(), sized in words; a longer line is cut before every ``cs``-th next word."""
+    return f"""
+    items AS (
+      SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, j) AS r, s, solo, {N_WORDS.format('s')} AS k
+      FROM (
+        SELECT doc_id, line_no, j, n > {cs} AS solo,
+               CASE WHEN n > {cs} THEN array_to_string(w[j * {cs} + 1 : (j + 1) * {cs}], '') ELSE s END AS s
+        FROM (SELECT *, {N_WORDS.format('s')} AS n, {WORD_RUNS.format('s')} AS w FROM lines),
+             unnest(range(0, CASE WHEN n > {cs} THEN (n - 1) // {cs} + 1 ELSE 1 END)) AS u(j))),"""
+
+
+def packed_words(cs: int) -> str:
+    """packed() by words."""
+    return word_items(cs) + packed(cs).split("AS u(j))),", 1)[1]
+
+
 def chunk_ctes(src: str = DOCS, cs: int = CS) -> str:
     return "WITH RECURSIVE " + lines(src) + "," + packed(cs)
 
@@ -180,15 +201,21 @@ FEATURES = f"""
     WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
 
 
-def code_chunks(cs: int, stale: bool) -> str:
+def code_chunks(cs: int, stale: bool, words: bool = False) -> str:
     w = 4 * cs - 1
+    size = N_WORDS.format("s") if words else "token_count"
+    pieces = f"""SELECT doc_id, st, j, substr(s, j * {w} + 1, {w}), length(substr(s, j * {w} + 1, {w})) // 4 + 1
+    FROM whole, unnest(range(0, (length(s) - 1) // {w} + 1)) AS u(j) WHERE solo"""
+    if words:
+        pieces = f"""SELECT doc_id, st, j, array_to_string(w[j * {cs} + 1 : (j + 1) * {cs}], ''), len(w[j * {cs} + 1 : (j + 1) * {cs}])
+    FROM (SELECT *, {WORD_RUNS.format('s')} AS w FROM whole), unnest(range(0, (len(w) - 1) // {cs} + 1)) AS u(j) WHERE solo"""
     kept = "p_tk" if stale else "0"
     cut = "{{'st': {0}, 'n': {1}, 'tk': {2}, 'solo': {3}}}"
     none = "[]::STRUCT(st BIGINT, n BIGINT, tk BIGINT, solo BOOLEAN)[]"
     own = cut.format("i", "1::BIGINT", "k", "true")
     return f"""WITH RECURSIVE {lines(CODE_DOCS)}, {FEATURES},
   arr AS (
-    SELECT doc_id, count(*) AS cnt, list(token_count::BIGINT ORDER BY line_no) AS ks, list(is_boundary ORDER BY line_no) AS bs,
+    SELECT doc_id, count(*) AS cnt, list(({size})::BIGINT ORDER BY line_no) AS ks, list(is_boundary ORDER BY line_no) AS bs,
       list(brace_depth = 0 AND paren_depth = 0 AND NOT open_string AND (is_boundary OR (line_no > 0 AND is_keyword)) ORDER BY line_no) AS gs
     FROM depth GROUP BY doc_id),
   walk AS (
@@ -224,8 +251,7 @@ def code_chunks(cs: int, stale: bool) -> str:
   parts AS (
     SELECT doc_id, st, 0 AS j, s, tk FROM whole WHERE NOT solo
     UNION ALL
-    SELECT doc_id, st, j, substr(s, j * {w} + 1, {w}), length(substr(s, j * {w} + 1, {w})) // 4 + 1
-    FROM whole, unnest(range(0, (length(s) - 1) // {w} + 1)) AS u(j) WHERE solo)
+    {pieces})
   SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st, j) - 1 AS INTEGER) AS chunk_index,
          s AS text, CAST(tk AS INTEGER) AS token_count FROM parts"""
 
@@ -378,6 +404,19 @@ ORACLES = {
       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS INTEGER) AS chunk_index, text,
              CAST(length(text) // 4 + 1 AS INTEGER) AS token_count FROM kept""",
     "chunk_code": code_chunks(CS, False),
+    "chunk_text_words": f"WITH RECURSIVE {lines(DOCS)}, {packed_words(WORDS_CS)} SELECT {CHUNK_COLUMNS} FROM chunks",
+    "chunk_code_words": code_chunks(WORDS_CS, False, True),
+    "split_overlong_words": f"""WITH d AS (SELECT doc_id, text, {N_WORDS.format('text')} AS n, {WORD_RUNS.format('text')} AS w FROM documents)
+      SELECT doc_id, CAST(j AS INTEGER) AS chunk_index, CASE WHEN n > {WORDS_CS} THEN array_to_string(w[j * {WORDS_CS} + 1 : (j + 1) * {WORDS_CS}], '') ELSE text END AS text,
+        CAST(CASE WHEN n > {WORDS_CS} THEN len(w[j * {WORDS_CS} + 1 : (j + 1) * {WORDS_CS}]) ELSE n END AS INTEGER) AS token_count
+      FROM d, unnest(range(0, greatest(1, (n - 1) // {WORDS_CS} + 1))) AS u(j) WHERE text <> ''""",
+    "tail_sample_words": rf"""SELECT doc_id, CASE WHEN len(w) > {SAMPLE} THEN right(text, length(array_to_string(w[-{SAMPLE}:], '')) + length(regexp_extract(text, '[\x20\x09-\x0D]*$'))
+      + length(regexp_extract(w[-{SAMPLE} - 1], '[\x20\x09-\x0D]*$'))) ELSE text END AS tail
+      FROM (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w FROM documents)""",
+    "job_documents": f"""{CHUNKS} SELECT doc_id, count(c.doc_id) AS n_chunks, d.text AS output_text,
+      CASE WHEN count(c.doc_id) = 0 THEN 'empty' ELSE 'ok' END AS status FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY doc_id, d.text""",
+    "job_failures": f"""{CHUNKS} SELECT doc_id, chunk_index + 1 AS chunk_number, 'refused' AS error FROM chunks WHERE starts_with(text, 'D')""",
+    "resumed_run": """SELECT doc_id, text AS output_text, CASE WHEN text = '' THEN NULL WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS models FROM documents""",
     "chunk_code_reference_tally": code_chunks(20, True),
     "code_line_features": f"""WITH {lines(CODE_DOCS)}, {FEATURES}
       SELECT doc_id, line_no, token_count, is_boundary, is_keyword, brace_delta, paren_delta, open_string FROM feats""",

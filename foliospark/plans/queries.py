@@ -16,7 +16,7 @@ from ..operators import requests as rq
 from ..operators.explain import complete_metadata
 from ..operators.pack import greedy_cuts
 from ..operators.reassemble import chunk_output, reassemble, with_empty_documents
-from ..operators.responders import Constant, Identity, Upper
+from ..operators.responders import Constant, Identity, Scripted, Upper
 from ..operators.transform import diagnostics, pick_fallback, transform_chunks
 from ..session import durable, fresh_path
 from ..sources import documents as store
@@ -26,6 +26,7 @@ from ..streaming.quota import stream_quota
 from ..streaming.state import track_documents
 from . import inputs
 from .inputs import CS, SAMPLE
+from .job import run_job
 
 QUERIES = {}
 TEXT = JobConfig(data_format="text", chunk_size=CS, sample_size=SAMPLE)
@@ -196,6 +197,29 @@ def chunk_code_reference_tally(spark, sf):
     return chunk_code.chunk_code(inputs.code_documents(spark, sf), 20, "reference").select(*CHUNK)
 
 
+# --- chunks by a tokenizer's counts ---
+
+
+@query
+def chunk_text_words(spark, sf):
+    return chunk_text.chunk_text(inputs.documents(spark, sf), inputs.WORDS_CS, inputs.WORDS).select(*CHUNK)
+
+
+@query
+def chunk_code_words(spark, sf):
+    return chunk_code.chunk_code(inputs.code_documents(spark, sf), inputs.WORDS_CS, counter=inputs.WORDS).select(*CHUNK)
+
+
+@query
+def split_overlong_words(spark, sf):
+    return chunk_text.split_overlong(inputs.documents(spark, sf), inputs.WORDS_CS, inputs.WORDS).select(*CHUNK)
+
+
+@query
+def tail_sample_words(spark, sf):
+    return inputs.documents(spark, sf).select("doc_id", inputs.WORDS.tail_column("text", SAMPLE).alias("tail"))
+
+
 @query
 def code_line_features(spark, sf):
     return chunk_code.code_line_table(inputs.code_documents(spark, sf))
@@ -552,6 +576,30 @@ def quota_by_day(spark, sf):
     return q.withColumn("window_start", micros("window_start"))
 
 
+# --- whole runs ---
+
+
+@query
+def job_documents(spark, sf):
+    return run_job(spark, inputs.documents(spark, sf), TEXT, Identity()).documents.select("doc_id", "n_chunks", "output_text", "status")
+
+
+@query
+def job_failures(spark, sf):
+    refuse = Scripted(fail_when=lambda chunk: chunk.startswith("D"), message="refused")
+    return run_job(spark, inputs.documents(spark, sf), TEXT, refuse).failures.select("doc_id", "chunk_number", "error")
+
+
+@query
+def resumed_run(spark, sf):
+    """A run over half of the documents, then one over all: the second asks for the other half only."""
+    docs, log = inputs.documents(spark, sf), fresh_path(spark, "log")
+    run_job(spark, docs.filter("doc_id % 2 = 0"), TEXT, Identity("first"), log_dir=log)
+    whole = run_job(spark, docs, TEXT, Identity("second"), log_dir=log)
+    models = whole.responses.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models"))
+    return whole.documents.join(models, "doc_id", "left").select("doc_id", "output_text", "models")
+
+
 # --- reports ---
 
 
