@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.code_features import line_features
@@ -143,25 +143,23 @@ def code_line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def code_depth(lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Nesting depth after each line, never below zero.
+def code_depth(docs: DataFrame) -> DataFrame:
+    """Nesting depth after each line, never below zero: line_no, brace_depth, paren_depth beside the other columns.
 
-    The clamped running sum is the running sum minus the lowest value it has
-    reached so far (or zero), so two running frames over the same sort suffice.
-    """
-    running = (
-        Window.partitionBy(key)
-        .orderBy("line_no")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    A fold in the row of a document, so nothing is shuffled or sorted."""
     zero = F.lit(0)
-    summed = lines.withColumn("brace_sum", F.sum("brace_delta").over(running)).withColumn(
-        "paren_sum", F.sum("paren_delta").over(running)
-    )
-    depth = {
-        n: (F.col(f"{n}_sum") - F.least(zero, F.min(f"{n}_sum").over(running))).cast("int")
-        for n in ("brace", "paren")
-    }
-    return summed.select(
-        key, "line_no", depth["brace"].alias("brace_depth"), depth["paren"].alias("paren_depth")
-    )
+    kind = "array<struct<line_no:int,brace_depth:int,paren_depth:int>>"
+
+    def step(a, x):
+        def grown(depth):
+            line = F.struct(x["i"].alias("line_no"), depth["brace"].alias("brace_depth"), depth["paren"].alias("paren_depth"))
+            return F.struct(depth["brace"].alias("brace"), depth["paren"].alias("paren"), F.concat(a["out"], F.array(line)).alias("out"))
+
+        depth = F.struct(*(F.greatest(zero, a[n] + x[n]).alias(n) for n in ("brace", "paren")))
+        return let(depth, grown)
+
+    feats = docs.withColumn("feats", code_lines(split_lines(norm_newlines("text")))).drop("text")
+    keep = [c for c in feats.columns if c != "feats"]
+    depths = blocked_fold(F.col("feats"), {"brace": zero, "paren": zero}, kind, step)["out"]
+    rows = feats.select(*keep, F.explode_outer(depths).alias("d")).filter(F.col("d").isNotNull())
+    return rows.select(*keep, "d.*")

@@ -220,8 +220,8 @@ def chunk_markdown(docs: DataFrame, chunk_size: int, splitter: str = "structure"
     return _pack(runs.withColumn("items", markdown_pieces(F.col("runs"), cap)).drop("runs"), cap)
 
 
-def markdown_lines(docs: DataFrame) -> DataFrame:
-    """One narrow row per line with its kind and fence state."""
+def _line_rows(text: Column | str) -> Column:
+    """array<struct<line_no,kind,heading_level,title,token_count>> of a text's lines."""
     from ..functions.text import split_lines
 
     def one(s, i):
@@ -243,7 +243,12 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
             token_count(s).alias("token_count"),
         )
 
-    rows = docs.withColumn("rows", F.transform(split_lines("text"), one)).drop("text")
+    return F.transform(split_lines(text), one)
+
+
+def markdown_lines(docs: DataFrame) -> DataFrame:
+    """One narrow row per line with its kind and fence state."""
+    rows = docs.withColumn("rows", _line_rows("text")).drop("text")
     keep = [c for c in rows.columns if c != "rows"]
     return (
         rows.select(*keep, F.explode_outer("rows").alias("r"))
@@ -252,29 +257,36 @@ def markdown_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def markdown_sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def markdown_sections(docs: DataFrame) -> DataFrame:
     """Sections between headings; headings inside a fence do not count.
 
-    The windows run over narrow line rows (no text), so a long document spills
-    small rows at worst.
-    """
-    from pyspark.sql import Window
+    Lines before the first heading are section 0, without level and title.  A fold in the row of a document, which keeps
+    the open section and whether a fence is open: nothing is shuffled or sorted."""
+    kind = "array<struct<section_id:int,heading_level:int,title:string,n_lines:bigint,n_tokens:bigint>>"
+    zero, one = F.lit(0), F.lit(1).cast("bigint")
+    fields = {
+        "fenced": F.lit(False), "section_id": zero, "heading_level": zero, "title": F.lit(""),
+        "n_lines": F.lit(0).cast("bigint"), "n_tokens": F.lit(0).cast("bigint"),
+    }
+    names = list(fields)[1:]
 
-    running = (
-        Window.partitionBy(key)
-        .orderBy("line_no")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    fences = F.sum(F.when(F.col("kind") == "fence", 1).otherwise(0)).over(running)
-    lines = markdown_lines(docs).withColumn("starts", (F.col("kind") == "heading") & (fences % 2 == 0))
-    section = F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(running)
-    return (
-        lines.withColumn("section_id", section.cast("int"))
-        .groupBy(key, "section_id")
-        .agg(
-            F.max(F.when(F.col("starts"), F.col("heading_level")).otherwise(0)).cast("int").alias("heading_level"),
-            F.max(F.when(F.col("starts"), F.col("title")).otherwise("")).alias("title"),
-            F.count("*").alias("n_lines"),
-            F.sum("token_count").cast("bigint").alias("n_tokens"),
-        )
-    )
+    def closed(a):
+        section = F.array(F.struct(*(a[n].alias(n) for n in names)))
+        return F.when(a["n_lines"] > 0, F.concat(a["out"], section)).otherwise(a["out"])
+
+    def step(a, x):
+        fenced = a["fenced"] != (x["kind"] == "fence")
+        starts = (x["kind"] == "heading") & ~fenced
+        size = x["token_count"].cast("bigint")
+        opened = (a["section_id"] + 1, x["heading_level"], F.coalesce(x["title"], F.lit("")), one, size)
+        grown = (a["section_id"], a["heading_level"], a["title"], a["n_lines"] + one, a["n_tokens"] + size)
+
+        def state(values, out):
+            return F.struct(fenced.alias("fenced"), *(v.alias(n) for n, v in zip(names, values)), out.alias("out"))
+
+        return F.when(starts, state(opened, closed(a))).otherwise(state(grown, a["out"]))
+
+    rows = docs.withColumn("rows", _line_rows("text")).drop("text")
+    keep = [c for c in rows.columns if c != "rows"]
+    sections = let(blocked_fold(F.col("rows"), fields, kind, step), closed)
+    return rows.select(*keep, F.explode_outer(sections).alias("s")).filter(F.col("s").isNotNull()).select(*keep, "s.*")

@@ -383,6 +383,7 @@ ORACLES = {
       SELECT doc_id, CAST(c AS INTEGER) AS group_index, CAST(min(r) AS INTEGER) AS first_line, CAST(count(*) AS INTEGER) AS n_lines,
              CAST(max(tk) AS INTEGER) AS token_count, max(k) > {CS} AS solo FROM walk GROUP BY doc_id, c""",
     "chunk_text": ALL_CHUNKS,
+    "chunk_lines": ALL_CHUNKS,
     "chunk_semantic": ALL_CHUNKS,
     "stream_chunks": ALL_CHUNKS,
     "chunk_markdown": f"{chunk_ctes(MD_DOCS)} SELECT {CHUNK_COLUMNS} FROM chunks",

@@ -11,7 +11,7 @@ from ..functions import budget, metadata, rates, text as tx
 from ..functions.sql import register_functions
 from ..functions.tokens import token_count
 from ..functions.xml import xml_normalize, xml_spans
-from ..operators import chunk_code, chunk_structure, chunk_text, chunk_xml, pacing, reports
+from ..operators import chunk_code, chunk_structure, chunk_text, chunk_xml, pack_lines, pacing, reports
 from ..operators import requests as rq
 from ..operators.explain import complete_metadata
 from ..operators.pack import greedy_cuts
@@ -197,6 +197,13 @@ def chunk_code_reference_tally(spark, sf):
     return chunk_code.chunk_code(inputs.code_documents(spark, sf), 20, "reference").select(*CHUNK)
 
 
+@query
+def chunk_lines_query(spark, sf):
+    """Documents as lines, in blocks far smaller than in production, so that most documents span several."""
+    lines = pack_lines.document_lines(inputs.documents(spark, sf))
+    return pack_lines.chunk_lines(lines, CS, block_lines=16).select(*CHUNK)
+
+
 # --- chunks by a tokenizer's counts ---
 
 
@@ -227,7 +234,7 @@ def code_line_features(spark, sf):
 
 @query
 def code_depth(spark, sf):
-    return chunk_code.code_depth(chunk_code.code_line_table(inputs.code_documents(spark, sf)))
+    return chunk_code.code_depth(inputs.code_documents(spark, sf))
 
 
 @query
@@ -701,7 +708,7 @@ def stream_dedup_outputs(spark, sf):
     base = fresh_path(spark, "dedup")
     for attempt in ("first", "again"):
         docs = _document_stream(spark, sf, "documents", "doc_id", "text")
-        q = start_deduplicated(docs, base + "/out", f"{base}/{attempt}")
+        q = start_deduplicated(docs, base + "/out", f"{base}/{attempt}", buckets=8)
         if q.awaitTermination() is False:
             q.stop()
             raise TimeoutError("stream_dedup_outputs")

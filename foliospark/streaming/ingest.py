@@ -52,23 +52,36 @@ def drain(df: DataFrame, name: str, timeout: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(base + "/data")
 
 
+#: Parts of a target by the hash of its key.
+KEY_BUCKETS = 64
+
+
+def finished_keys(spark: SparkSession, target: str, key: str, kind: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """Keys that other batches have written, read from the buckets of this batch's keys only."""
+    met = [r.bucket for r in batch.select("bucket").distinct().collect()]  # KEY_BUCKETS at most
+    done = spark.read.schema(f"{key} {kind}, bucket int, batch bigint").parquet(target)
+    return done.filter(F.col("bucket").isin(met) & (F.col("batch") != batch_id)).select(key)
+
+
 def start_deduplicated(
-    docs: DataFrame, target: str, checkpoint: str, key: str = "doc_id", once: bool = True
+    docs: DataFrame, target: str, checkpoint: str, key: str = "doc_id", once: bool = True, buckets: int = KEY_BUCKETS
 ) -> StreamingQuery:
     """Append only documents whose output is not there yet.
 
-    Each batch is anti-joined with the finished keys (one narrow column) and
-    written to its own folder, so a batch replayed after a failure overwrites
-    itself instead of adding rows.
+    The target is partitioned by a hash of the key, and a batch is anti-joined with the finished keys (one narrow column)
+    of the buckets it meets, so its cost follows its own keys and not all that was ever written.  Each batch writes
+    partitions of its own, so a batch replayed after a failure overwrites itself instead of adding rows.  ``buckets`` must
+    stay the same for a target.
     """
+    kind = docs.schema[key].dataType.simpleString()
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
+        fresh = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         if folder_exists(target):  # a folder without batches yet has no columns to infer
-            done = spark.read.schema(f"{key} {docs.schema[key].dataType.simpleString()}, batch bigint").parquet(target)
-            fresh = fresh.join(done.filter(F.col("batch") != batch_id).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+            fresh = fresh.join(finished_keys(spark, target, key, kind, fresh, batch_id), key, "left_anti")
+        placed = fresh.withColumn("batch", F.lit(batch_id).cast("bigint")).repartition("bucket")
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(target)
 
     writer = docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
