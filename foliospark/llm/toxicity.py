@@ -6,8 +6,12 @@ words that appear only once disguises such as ``1d10t`` or ``i.d.i.o.t`` are und
 of emphasis and word shape.  Spark's GBT classifier is fitted on part of the training rows, isotonic regression on the
 rest turns its probability into a calibrated score.
 
-Learning sees only rows with a label whose crc32(id as text) mod 4 is not ``HELD_OUT``.  The lexicon is counted over all
-of them, the trees and the calibration see at most ``MAX_TRAIN`` in hash order; label, language, source and id are no features.  Every document is scored by its whole text.
+Learning sees only rows with a label whose crc32(id as text) mod 4 is not ``HELD_OUT``.  A third of them, by a hash of the
+id, is for the calibration alone: neither the lexicon nor the trees see it, so that its features are like those of new
+documents.  The lexicon is counted over all others; every entry over the bounds on support and precision is kept.  The
+support is at least a ``SUPPORT_SHARE``-th of the toxic documents, so the lexicon does not grow with the corpus.  Trees and
+calibration see at most ``MAX_TRAIN`` rows in hash order; label, language, source and id are no features.  Every document
+is scored by its whole text.
 
 Null and empty texts have all features zero and get a score like any other.  Rows that repeat an id are scored each; of
 contradicting labels the larger counts.  With no labels, or labels of one kind only, the score is that share (0 if none).
@@ -30,8 +34,8 @@ from .common import text_or_empty
 HELD_OUT = 2
 THRESHOLD = 0.3
 MAX_TRAIN = 20_000
-MAX_LEXICON = 2_000
 MIN_TOXIC_DOCS = 4
+SUPPORT_SHARE = 2_000
 MIN_PRECISION = 0.9
 PREFIXES = range(3, 9)
 CACHE_WORDS = 500_000
@@ -119,6 +123,11 @@ def training_rows(labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
     return usable_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def calibrates(id_col: str = "doc_id"):
+    """Whether a labelled row is kept for the calibration."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(1)), F.lit(3)) == 0
+
+
 def without_implied(found: DataFrame) -> DataFrame:
     """Entries whose words do not all begin with a shorter entry."""
     word = F.ltrim("entry", F.lit("="))
@@ -129,8 +138,8 @@ def without_implied(found: DataFrame) -> DataFrame:
     return found.join(implied, "entry", "left_anti")
 
 
-def learn_lexicon(texts: DataFrame) -> list[str]:
-    """Entries from (text, toxic) rows."""
+def learn_lexicon(texts: DataFrame, support: int = MIN_TOXIC_DOCS) -> list[str]:
+    """Entries from (text, toxic) rows that ``support`` toxic texts hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(seen):
@@ -151,10 +160,9 @@ def learn_lexicon(texts: DataFrame) -> list[str]:
         texts.mapInArrow(count, "entry string, other long, toxic long")
         .groupBy("entry")
         .agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") >= MIN_TOXIC_DOCS) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("other"))))
+        .filter((F.col("toxic") >= support) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("other"))))
     )
-    kept = without_implied(durable(found, "toxicity-lexicon")).orderBy(F.desc("toxic"), "entry").limit(MAX_LEXICON)
-    return [r.entry for r in kept.collect()]
+    return sorted(r.entry for r in without_implied(durable(found, "toxicity-lexicon")).select("entry").collect())
 
 
 def feature_rows(docs: DataFrame, lexicon: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,12 +188,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     train = durable(training_rows(labels), "toxicity-train")  # MAX_TRAIN rows, so fit to broadcast
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    usable = usable_labels(labels).hint("shuffle_hash")  # one plan for all sizes, texts unsorted
-    lexicon = learn_lexicon(named.join(usable, "doc_id").select("text", "toxic"))
+    usable = usable_labels(labels).filter(~calibrates())
+    support = max(MIN_TOXIC_DOCS, (usable.agg(F.sum("toxic")).first()[0] or 0) // SUPPORT_SHARE)
+    usable = usable.hint("shuffle_hash")  # one plan for all sizes, texts unsorted
+    lexicon = learn_lexicon(named.join(usable, "doc_id").select("text", "toxic"), support)
     rows = durable(feature_rows(docs, lexicon, id_col, text_col), "toxicity-features")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="vector").transform(rows)
     known = rows.join(F.broadcast(train.withColumnRenamed("doc_id", "label_id")), F.col("doc_id").cast("long") == F.col("label_id"))
-    known = known.select("vector", F.col("toxic").cast("double").alias("label"), (F.pmod(F.xxhash64("label_id", F.lit(1)), F.lit(3)) == 0).alias("calibrate"))
+    known = known.select("vector", F.col("toxic").cast("double").alias("label"), calibrates("label_id").alias("calibrate"))
     known = durable(known, "toxicity-known")
     share = known.agg(F.avg("label").alias("p"), F.count_if("calibrate").alias("n"), F.countDistinct(F.when(~F.col("calibrate"), F.col("label"))).alias("k")).first()
     if share.p is None or share.k < 2 or not share.n:

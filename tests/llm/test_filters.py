@@ -190,14 +190,25 @@ def test_held_out_rows_are_never_learned_from(spark):
     assert toxicity.training_rows(labels, 10).count() == 10
 
 
-def test_lexicon_is_counted_over_all_usable_labels(spark, monkeypatch):
+def test_lexicon_is_counted_over_all_usable_labels_but_the_calibrating_third(spark, monkeypatch):
     few, seen = toxicity.training_rows, []
     monkeypatch.setattr(toxicity, "training_rows", lambda labels: few(labels, 10))
-    monkeypatch.setattr(toxicity, "learn_lexicon", lambda texts: seen.append(texts.count()) or [])
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda texts, support: seen.append((texts.count(), support)) or [])
     docs = spark.createDataFrame([(i, "some text", None, None) for i in range(200)], "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, 1, 1) for i in range(200)], "doc_id long, quality int, toxic int")
     toxicity.score_documents(docs, labels)
-    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))]
+    kept = {r.doc_id for r in docs.filter(toxicity.calibrates()).collect()}
+    assert 40 < len(kept) < 95
+    usable = {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert seen == [(len(usable - kept), toxicity.MIN_TOXIC_DOCS)]
+
+
+def test_lexicon_keeps_every_entry_over_its_bounds(spark):
+    words = ["".join("abcdefghij"[int(c)] for c in f"{i:04d}") for i in range(3000)]
+    texts = spark.createDataFrame([(" ".join(f"{w}" for w in words), 1)] * 4, "text string, toxic int")
+    found = toxicity.learn_lexicon(texts)
+    assert all(any(f"={w}" == e or w.startswith(e) for e in found) for w in words[:50])
+    assert toxicity.learn_lexicon(texts, 5) == []
 
 
 def test_lexicon_has_no_implied_entries(spark):
