@@ -55,4 +55,4 @@ def test_a_batch_reads_its_buckets_only(spark, tmp_path):
     done = finished_keys(spark, str(tmp_path / "t"), "doc_id", "bigint", batch, 0)
     met = batch.first().bucket
     assert {r.doc_id for r in done.collect()} == {r.doc_id for r in rows.filter(f"bucket = {met} AND batch <> 0").collect()}
-    assert f"bucket#" in (plan := done._jdf.queryExecution().executedPlan().toString()) and "PartitionFilters: [" in plan and f"IN ({met})" in plan or f"= {met})" in plan
+    assert "bucket#" in (plan := done._jdf.queryExecution().executedPlan().toString()) and "PartitionFilters: [" in plan and f"IN ({met})" in plan or f"= {met})" in plan
