@@ -3,13 +3,12 @@
 Blocks are independent: each starts with an empty model.  That also lets numpy code them side by side, one id of every
 block per step; a block's bytes do not depend on its neighbours.
 
-For the next id, order 2 (the last two ids) and order 1 (the last id) each name the id that followed their context,
-with a confidence.  Only one candidate is checked, order 2's where its context was seen before, else order 1's; what
-this costs in bits is not measured.  The confidences of order 2 and order 1 and the order-0
-count of the candidate select three adaptive probabilities, which a small integer logistic mixer joins into the
-probability of a hit.  After a miss the id's magnitude (its bit length and second bit) is coded under order-0 counts and its
-lower bits follow evenly; in byte-pair vocabularies the magnitude tells common from rare.  All arithmetic is in integers,
-so every machine decodes what any other has written.
+For the next id, order 2 (the last two ids) and order 1 (the last id) each name the id that followed their context, with a
+confidence, and order 0 counts ids.  The first candidate is order 2's where its context was seen before, else order 1's.
+The confidences of both orders and the order-0 count of the candidate select three adaptive probabilities, which a small
+integer logistic mixer joins into the probability of a hit.  After a miss order 1's id, if it is another one, is checked
+under its confidence and its count.  After a second miss the id is coded by order 0 alone: four digits of four bits, each
+under adaptive counts of its own prefix.  All arithmetic is in integers, so every machine decodes what any other has written.
 
 The range coder holds 48 bits, writes 16-bit words and settles carries afterwards.
 """
@@ -21,8 +20,10 @@ import numpy as np
 MAX_ID = 1 << 16
 CONTEXT_BITS = 12
 _SLOTS = 1 << CONTEXT_BITS
-_CLASSES = 32
-_STEP, _FULL = 24, 16_000
+#: Order-0 digits: what a digit seen adds to its count of at first 1, and the sum at which a prefix's counts are halved.
+_DIGITS = 4
+_STEPS = (12, 12, 12, 12)
+_FULL = (16_000, 4_000, 1_500, 230)
 _LOW = np.uint64(0xFFFFFFFF)
 _TOP = np.uint64(1) << np.uint64(32)
 _W, _D = np.uint64(16), np.uint64(32)
@@ -30,27 +31,21 @@ _START = np.uint64((1 << 48) - 1)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Logistic and its inverse in 12 bits; built from integers only, by interpolating a fixed curve."""
-    curve = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4022, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]
-    x = np.arange(4096)
-    low = np.array(curve)[np.minimum(x >> 7, 31)]
-    high = np.array(curve)[np.minimum((x >> 7) + 1, 32)]
-    squash = np.clip((low * (128 - (x & 127)) + high * (x & 127) + 64) >> 7, 1, 4095)
-    return squash.astype(np.int64), (np.searchsorted(squash, x).clip(0, 4095) - 2048).astype(np.int64)
-
-
-def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each id; lowest id and number of free bits of each class."""
-    bits = np.array([0, 0, *(n.bit_length() - 2 for n in range(2, MAX_ID))])
-    ids = np.arange(MAX_ID)
-    of = np.where(ids < 2, ids, 2 * bits + (ids >> bits))
-    least = np.zeros(_CLASSES, np.int64)
-    least[of[::-1]] = ids[::-1]
-    return of, least, bits[least].astype(np.uint64)
+    """4096 / (1 + e^(-x / 256)) for x from -2048 and its inverse, in integers only."""
+    one = 1 << 96
+    root = term = one
+    k = 0
+    while term := term // (256 * (k := k + 1)):
+        root += term  # e^(1 / 256) by its series
+    grown = [one]
+    for _ in range(2048):
+        grown.append(grown[-1] * root >> 96)
+    curve = [4096 * one // (one + grown[-x]) if x < 0 else 4096 * grown[x] // (one + grown[x]) for x in range(-2048, 2048)]
+    squash = np.clip(np.array(curve, np.int64), 1, 4095)
+    return squash, (np.searchsorted(squash, np.arange(4096)).clip(0, 4095) - 2048).astype(np.int64)
 
 
 _SQUASH, _STRETCH = _tables()
-_CLASS_OF, _LEAST, _FREE = _classes()
 MAX_LANES = 1024
 _LANES = np.arange(MAX_LANES)
 
@@ -60,13 +55,15 @@ class _Model:
 
     def __init__(self, lanes: int):
         lane = np.arange(lanes)
-        self.slots, self.odds_of, self.class_of = lane * _SLOTS, lane * 16, lane * _CLASSES
+        self.slots, self.odds_of = lane * _SLOTS, lane * 16
         self.next_id = np.zeros((2, lanes * _SLOTS), np.uint16)
         self.sure = np.zeros((2, lanes * _SLOTS), np.uint8)
         self.seen = np.zeros(lanes * _SLOTS, np.uint8)
         self.hit_odds = np.full((3, lanes * 16), 1 << 14, np.int32)
         self.weight = np.full((3, lanes), 24_000, np.int64)
-        self.counts = np.ones((lanes, _CLASSES), np.uint16)
+        self.second_odds = np.full(lanes * 128, 1 << 14, np.int32)
+        # Counts less one of the 16 digits after every prefix of 0 to 3 digits.
+        self.counts = [np.zeros((lanes << 4 * d, 16), np.uint8 if d == _DIGITS - 1 else np.uint16) for d in range(_DIGITS)]
         self.mixed_last = np.zeros((2, lanes), np.int64)  # last id; hash of the one before
 
     def predict(self, n: int) -> np.ndarray:
@@ -89,8 +86,32 @@ class _Model:
         w, x = self.weight, self.inputs
         mixed = (w[0, :n] * x[0] + w[1, :n] * x[1] + w[2, :n] * x[2]) >> 16
         self.p = _SQUASH.take(mixed + 2048, mode="clip")
+        self.other = (sure2 > 0) & (sure1 > 0) & ~agree
         return best
 
+    def second(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order 1's ids in these lanes and their probabilities (of 4096) after the first miss."""
+        ids = self.known[1].take(lanes).astype(np.int64)
+        seen = self.seen.take((ids * 40503 >> 4 & (_SLOTS - 1)) + self.slots.take(lanes))
+        self.second_at = lanes * 128 + self.confidence[1].take(lanes).astype(np.int64) * 16 + seen
+        self.second_was = self.second_odds.take(self.second_at)
+        return ids, np.maximum(self.second_was >> 4, 1)
+
+    def learn_second(self, hit: np.ndarray) -> None:
+        target = hit.astype(np.int32) * 65471 + 32
+        self.second_odds.put(self.second_at, self.second_was + ((target - self.second_was) >> 4))
+
+    def digit_counts(self, digit: int, node: np.ndarray) -> np.ndarray:
+        """Running sums of the counts of each node's 16 digits."""
+        return (self.counts[digit].take(node, 0).astype(np.uint32) + np.uint32(1)).cumsum(1, dtype=np.uint32)
+
+    def learn_digit(self, digit: int, node: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
+        counts = self.counts[digit]
+        full = np.flatnonzero(total > _FULL[digit])
+        if len(full):
+            counts[node[full]] >>= 1
+        counts.ravel()[node * 16 + value] += counts.dtype.type(_STEPS[digit])
+
     def learn(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
         one = hit.astype(np.int64)
         error = ((one << 12) - self.p) * 6
@@ -111,12 +132,6 @@ class _Model:
         self.mixed_last[1, :n] = self.mixed_last[0, :n] * 30011
         self.mixed_last[0, :n] = ids
 
-    def count(self, lanes: np.ndarray, rows: np.ndarray, symbol: np.ndarray, upto: np.ndarray) -> None:
-        self.counts.ravel()[lanes * _CLASSES + symbol] += np.uint16(_STEP)
-        full = np.flatnonzero(upto[:, -1] > _FULL)
-        if len(full):
-            self.counts[lanes[full]] = (self.counts[lanes[full]] >> np.uint16(1)) | np.uint16(1)
-
 
 #: Next confidence of a context by its confidence: after a miss (first 8), after a hit (last 8).
 _SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.uint8)
@@ -151,7 +166,7 @@ def _words_of(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
 
     for t in range(steps):
         n = int(active[t])
-        if t % 16 == 0 and int(used.max()) + 16 * 3 + 8 > out.shape[1]:
+        if t % 16 == 0 and int(used.max()) + 16 * 6 + 8 > out.shape[1]:
             out = np.concatenate([out, np.zeros((lanes, max(256, out.shape[1] // 2)), np.int32)], 1)
         now = ids[t, :n].astype(np.int64)
         hit = model.predict(n) == now
@@ -159,17 +174,27 @@ def _words_of(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         unit = size[:n] >> np.uint64(12)
         put(slice(0, n), unit, np.where(hit, 0, p).astype(np.uint64), np.where(hit, p, 4096 - p).astype(np.uint64))
         miss = np.flatnonzero(~hit)
+        again = miss[model.other.take(miss)]
+        if len(again):
+            guess, q = model.second(again)
+            right = guess == now.take(again)
+            put(again, size.take(again) >> np.uint64(12), np.where(right, 0, q).astype(np.uint64), np.where(right, q, 4096 - q).astype(np.uint64))
+            model.learn_second(right)
+            left = ~hit
+            left[again[right]] = False
+            miss = np.flatnonzero(left)
         if len(miss):
-            x = now.take(miss)
-            symbol = _CLASS_OF.take(x)
-            rows = model.counts.take(miss, 0)
-            upto = rows.cumsum(1, dtype=np.uint32)
-            k = _LANES[: len(miss)] * _CLASSES + symbol
-            width = rows.take(k).astype(np.uint64)
-            put(miss, size.take(miss) // upto[:, -1], upto.take(k) - width, width)
-            model.count(miss, rows, symbol, upto)
-            unit = size.take(miss) >> _FREE.take(symbol)
-            put(miss, unit, (x - _LEAST.take(symbol)).astype(np.uint64), np.uint64(1))
+            x, prefix = now.take(miss), np.zeros(len(miss), np.int64)
+            first = _LANES[: len(miss)] * 16
+            for d in range(_DIGITS):
+                digit = x >> 4 * (_DIGITS - 1 - d) & 15
+                node = (miss << 4 * d) + prefix
+                upto = model.digit_counts(d, node)
+                total, end = upto[:, 15], upto.take(first + digit)
+                start = np.where(digit > 0, upto.take(first + np.maximum(digit - 1, 0)), np.uint32(0))
+                put(miss, size.take(miss) // total, start.astype(np.uint64), (end - start).astype(np.uint64))
+                model.learn_digit(d, node, digit, total)
+                prefix = prefix * 16 + digit
         model.learn(n, now, hit)
     if int(used.max()) + 3 > out.shape[1]:
         out = np.concatenate([out, np.zeros((lanes, 8), np.int32)], 1)
@@ -248,22 +273,33 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
         take(slice(0, n), unit, np.where(hit, 0, p).astype(np.uint64), np.where(hit, p, 4096 - p).astype(np.uint64))
         now = best
         miss = np.flatnonzero(~hit)
+        again = miss[model.other.take(miss)]
+        if len(again):
+            guess, q = model.second(again)
+            unit = size.take(again) >> np.uint64(12)
+            right = code.take(again) < unit * q.astype(np.uint64)
+            take(again, unit, np.where(right, 0, q).astype(np.uint64), np.where(right, q, 4096 - q).astype(np.uint64))
+            model.learn_second(right)
+            left = ~hit
+            left[again[right]] = False
+            now[again[right]] = guess[right]
+            miss = np.flatnonzero(left)
         if len(miss):
-            rows = model.counts.take(miss, 0)
-            upto = rows.cumsum(1, dtype=np.uint32)
-            unit = size.take(miss) // upto[:, -1]
-            value = np.minimum(code.take(miss) // unit, upto[:, -1] - np.uint32(1)).astype(np.uint32)
-            symbol = (upto <= value[:, None]).sum(1)
-            k = _LANES[: len(miss)] * _CLASSES + symbol
-            width = rows.take(k).astype(np.uint64)
-            take(miss, unit, upto.take(k) - width, width)
-            model.count(miss, rows, symbol, upto)
-            free = _FREE.take(symbol)
-            unit = size.take(miss) >> free
-            value = np.minimum(code.take(miss) // unit, (np.uint64(1) << free) - np.uint64(1))
-            take(miss, unit, value, np.uint64(1))
-            x = _LEAST.take(symbol) + value.astype(np.int64)
-            now[miss] = x
+            prefix = np.zeros(len(miss), np.int64)
+            first = _LANES[: len(miss)] * 16
+            for d in range(_DIGITS):
+                node = (miss << 4 * d) + prefix
+                upto = model.digit_counts(d, node)
+                total = upto[:, 15]
+                unit = size.take(miss) // total
+                value = np.minimum(code.take(miss) // unit, total - np.uint32(1)).astype(np.uint32)
+                digit = (upto <= value[:, None]).sum(1)
+                end = upto.take(first + digit)
+                start = np.where(digit > 0, upto.take(first + np.maximum(digit - 1, 0)), np.uint32(0))
+                take(miss, unit, start.astype(np.uint64), (end - start).astype(np.uint64))
+                model.learn_digit(d, node, digit, total)
+                prefix = prefix * 16 + digit
+            now[miss] = prefix
         ids[t, :n] = now
         model.learn(n, now, hit)
     out = [np.zeros(0, np.int64)] * lanes

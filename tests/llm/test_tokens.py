@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from edge_rows import empty, rows, table
@@ -79,6 +80,21 @@ def test_coder_learns_and_checks_range():
     assert idcoder.encode_blocks([]) == [] and idcoder.decode_blocks([], []) == []
 
 
+def test_coder_is_smaller_than_general_compression():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    ids = np.concatenate(list(token_files.LibraryTokenizer(JSON, P.PATTERN).encode(texts)))
+    blocks = [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+    codes = idcoder.encode_blocks(blocks)
+    assert sum(map(len, codes)) < 0.9 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    assert 8 * sum(map(len, codes)) / len(ids) < 9
+    assert all((a == b).all() for a, b in zip(idcoder.decode_blocks(codes, [len(b) for b in blocks]), blocks))
+
+
+def test_logistic_tables():
+    x = np.arange(-2048, 2048)
+    assert (np.abs(idcoder._SQUASH - (4096 / (1 + np.exp(-x / 256)))) <= 1).all()
+
+
 def file_of(docs):
     out = io.BytesIO()
     w = token_files.IdFileWriter(out)
