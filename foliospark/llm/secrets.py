@@ -1,16 +1,21 @@
 """Secret scan: base patterns, and random strings told apart from identifiers by character Markov models.
 
-Base kinds are regular expressions.  Besides, every other run of ``CANDIDATE`` characters that does not touch a base span is
-compared under two first-order Markov chains over characters, one of random strings and one of ordinary identifiers;
-its mean log-likelihood ratio per step decides.  The chains are trained from labelled samples of the corpus itself: what
-the base patterns matched is labelled random, words of ``MAX_SAMPLE_DOCS`` documents (in hash order of their ids) are
-labelled identifiers.  Each sample is bounded by ``MAX_SAMPLE`` strings in hash order; the chains have ``len(ALPHABET) + 1`` squared steps.
+Base kinds are regular expressions.  Besides, every other run of ``LEAST`` or more candidate characters, or what base spans
+leave of one, is compared under two first-order Markov chains over characters, one of random strings and one of ordinary
+words.  Their log-likelihood ratio decides: its mean a step must pass a threshold and its sum ``LEAST_SUM``, more for runs under
+``SURE`` characters, of which there are many.  Steps to or from a separator say nothing, so paths and dates are judged by
+their parts.
+
+The chains are trained from labelled samples of the corpus itself.  What the base patterns matched is labelled random; as
+this is mostly hexadecimal, the chain gives a part ``EVEN`` of its weight to even chances.  Words found in ``RECURS`` different
+texts among ``MAX_SAMPLE_DOCS`` documents (in hash order of their ids) are labelled ordinary: random strings do not recur.
+Each sample is bounded by ``MAX_SAMPLE`` strings in hash order; the chains have ``len(ALPHABET) + 1`` squared steps.
 
 Everything is DataFrame expressions.  A span's position is the summed length of the pieces between matches, in code
 points; running sums go over blocks of about the square root of their number, so texts with very many matches stay cheap.
 
 Null and empty texts have no spans.  Repeated rows are scanned each.  A corpus without base matches gives no random
-sample and so no added spans.
+sample and so no added spans.  Input columns other than id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,17 +31,20 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+LEAST, SURE = 16, 20
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-#: Ordinary words are shorter than candidates, so that unlabelled secrets are no samples of them.
-IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z0-9_]{5,18}(?![A-Za-z0-9+/_-])"
+SEPARATORS = "+/_-"
+IDENTIFIER = r"(?<![A-Za-z0-9+/_-])[A-Za-z][A-Za-z0-9_]{3,18}(?![A-Za-z0-9+/_-])"
+RECURS = 3
 MAX_SAMPLE = 50_000
 MAX_SAMPLE_DOCS = 2_000
 BACKOFF = 5.0
-#: Nats a step; over the shortest candidate that is odds of about 150 to 1.
-THRESHOLD = 0.25
+EVEN = 0.75
+#: Nats: a step; for the whole run; and more for each character under SURE.
+THRESHOLD, LEAST_SUM, SHORT_SUM = 0.25, 4.75, 0.75
 
 
 def _total(lengths: Column) -> Column:
@@ -100,8 +108,8 @@ def _step_codes(value: Column) -> Column:
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
-    """Log-likelihood ratio of every step (random over ordinary); a step seen rarely leans on how common its
-    second character is."""
+    """Log-likelihood ratio of every step (random over ordinary).  An ordinary step seen rarely leans on how common its
+    second character is, a random one on even chances.  Zero for steps to or from a separator, and without both samples."""
     import math
 
     m = len(ALPHABET) + 1
@@ -110,26 +118,54 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     counts = [[0] * (m * m) for _ in range(2)]
     for r in counted.collect():  # 2 * m * m rows at most
         counts[r["kind"]][r["step"]] = r["count"]
-    if not sum(counts[1]):
+    if not all(map(sum, counts)):
         return [0.0] * (m * m)
-    alone = [[sum(c[b::m]) + 0.5 for b in range(m)] for c in counts]
+    rows = [[sum(c[a * m : (a + 1) * m]) for a in range(m)] for c in counts]
+    alone = [sum(counts[0][b::m]) + 0.5 for b in range(m)]
+    silent = {0, *(ALPHABET.index(c) + 1 for c in SEPARATORS)}
 
-    def chance(kind: int, a: int, b: int) -> float:
-        row = sum(counts[kind][a * m : (a + 1) * m])
-        return (counts[kind][a * m + b] + BACKOFF * alone[kind][b] / sum(alone[kind])) / (row + BACKOFF)
+    def ratio(a: int, b: int) -> float:
+        if a in silent or b in silent:
+            return 0.0
+        learned = (counts[1][a * m + b] + BACKOFF / m) / (rows[1][a] + BACKOFF)
+        plain = (counts[0][a * m + b] + BACKOFF * alone[b] / sum(alone)) / (rows[0][a] + BACKOFF)
+        return math.log(EVEN / m + (1 - EVEN) * learned) - math.log(plain)
 
-    out = [math.log(chance(1, a, b)) - math.log(chance(0, a, b)) for a in range(m) for b in range(m)]
-    return out
+    return [ratio(a, b) for a in range(m) for b in range(m)]
 
 
-def mean_ratio(value: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of a string's steps."""
+def sum_of_ratios(value: Column, ratios: list[float]) -> Column:
+    """The log-likelihood ratio of a string, summed over its steps."""
     import json
 
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # a constant of fixed size
-    steps = _step_codes(value)
-    total = F.aggregate(steps, F.lit(0.0), lambda a, s: a + F.get(table, s))
-    return total / (F.length(value) - 1)
+    return F.aggregate(_step_codes(value), F.lit(0.0), lambda a, s: a + F.get(table, s))
+
+
+def is_random(value: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
+    n = F.length(value)
+    least = F.lit(LEAST_SUM) + F.lit(SHORT_SUM) * F.greatest(F.lit(0), F.lit(SURE) - n)
+    return sum_of_ratios(value, ratios) > F.greatest(least, F.lit(threshold) * (n - 1))
+
+
+def free_pieces(candidates: Column, base: Column) -> Column:
+    """What the base spans leave of the candidates, in pieces of at least LEAST characters."""
+
+    def pieces(c: Column) -> Column:
+        met = F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+        def cut(spans_met: Column) -> Column:
+            starts = F.array_distinct(F.concat(F.array(c["start"]), F.transform(spans_met, lambda b: b["end"])))
+            starts = F.filter(starts, lambda s: ~F.exists(spans_met, lambda b: (b["start"] <= s) & (s < b["end"])))
+            ends = lambda s: F.least(c["end"], F.array_min(F.transform(F.filter(spans_met, lambda b: b["start"] >= s), lambda b: b["start"])))
+            found = F.transform(starts, lambda s: F.struct(s.alias("start"), ends(s).alias("end")))
+            found = F.filter(found, lambda x: x["end"] - x["start"] >= LEAST)
+            part = lambda x: F.substring(c["value"], x["start"] - c["start"] + 1, x["end"] - x["start"])
+            return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), part(x).alias("value")))
+
+        return F.flatten(F.transform(F.array(met), cut))
+
+    return F.flatten(F.transform(candidates, pieces))
 
 
 def _texts_of(kinds: tuple[str, ...]) -> Column:
@@ -148,17 +184,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     named = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     found = base_spans(named).withColumn("candidates", spans(F.col("text"), CANDIDATE))
     base = F.concat(*BASE)
-    free = F.filter("candidates", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = free_pieces(F.col("candidates"), base)
     found = durable(found.select("doc_id", *BASE, free.alias("candidates")), "secret-spans")
 
     secret = F.concat(F.transform("assign", lambda s: F.regexp_extract(s["value"], ASSIGN, 1)), F.transform("access", lambda s: s["value"]), F.transform("hex", lambda s: s["value"]))
     random = _sample(found.filter(F.size(base) > 0).select(F.explode(secret).alias("value")))
     ids = named.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE_DOCS)
     bare = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
-    plain = named.join(F.broadcast(ids), "doc_id").select(F.explode(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+    words = F.array_distinct(F.regexp_extract_all(bare, F.lit(IDENTIFIER), F.lit(0)))
+    plain = named.join(F.broadcast(ids), "doc_id").select("text", F.explode(words).alias("value"))
+    texts = F.count_distinct(F.xxhash64("text"))
+    plain = plain.groupBy("value").agg(texts.alias("texts")).filter(F.col("texts") >= RECURS).select("value")
     ratios = train(random, _sample(plain))
 
-    markov = F.filter("candidates", lambda c: mean_ratio(c["value"], ratios) > threshold)
+    markov = F.filter("candidates", lambda c: is_random(c["value"], ratios, threshold))
     judged = found.withColumn("markov", markov)
     return judged.select(
         "doc_id",

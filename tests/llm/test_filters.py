@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -149,6 +150,81 @@ def test_markov_adds_random_strings_only(spark):
     assert all(got[i].n_assign == 1 and got[i].n_markov == 0 for i in range(60))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+RANDOM_KINDS = [LETTERS + "0123456789", LETTERS + LETTERS.upper(), LETTERS + LETTERS.upper() + "0123456789"]
+
+
+def hexadecimal_corpus(spark, rng, planted):
+    """Texts of sf0.001 whose only base matches are hexadecimal; every tenth text also holds a short random string."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts = [re.sub(f"{ASSIGN.pattern}|AKIA[A-Z0-9]+|[0-9a-f]{{16,}}", "", t) for t in texts]
+    texts = [t + (" " + "".join(rng.choices(RANDOM_KINDS[2], k=16)) if i % 10 == 0 else "") for i, t in enumerate(texts)]
+    texts = [t + (" " + "".join(rng.choices("0123456789abcdef", k=32)) if i % 3 == 0 else "") for i, t in enumerate(texts)]
+    data = list(enumerate(texts + [f"see {s} here" for s in planted]))
+    return texts, spark.createDataFrame(data, "doc_id long, text string")
+
+
+def test_markov_recall_with_a_hexadecimal_sample(spark):
+    rng = random.Random(11)
+    planted = ["".join(rng.choices(kind, k=20)) for kind in RANDOM_KINDS for _ in range(200)]
+    texts, df = hexadecimal_corpus(spark, rng, planted)
+    got = {r.doc_id: r.n_markov for r in secrets.scan(df).collect()}
+    for k in range(3):
+        assert sum(got[len(texts) + 200 * k + i] == 1 for i in range(200)) >= 180, RANDOM_KINDS[k]
+    assert all(got[i] == 0 for i in range(len(texts)) if i % 10)
+
+
+def test_markov_equals_plain_chains(spark):
+    """The same scores from chains counted in plain Python."""
+    rng = random.Random(12)
+    ordinary = ["configuration", "management", "Report", "identifier_of"]
+    keys = ["".join(rng.choices("0123456789abcdef", k=24)) for _ in range(30)]
+    tested = ["".join(rng.choices(RANDOM_KINDS[i % 3], k=15 + i % 12)) for i in range(60)] + ["2024-01-05/report-management-version-03", "managementconfiguration", "é" * 20]
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "value string")
+    ratios = secrets.train(frame(keys), frame(ordinary))
+    got = {r.value: (r.total, r.flag) for r in frame(tested).select("value", secrets.sum_of_ratios(F.col("value"), ratios).alias("total"), secrets.is_random(F.col("value"), ratios).alias("flag")).collect()}
+    symbols = secrets.ALPHABET + "?"
+    pairs = lambda values: [(a, b) for v in values for a, b in zip(v, v[1:])]
+    seen, common = pairs(keys), pairs(ordinary)
+    ends = {c: sum(b == c for _, b in common) + 0.5 for c in symbols}
+
+    def step(a, b):
+        if not (a.isascii() and a.isalnum() and b.isascii() and b.isalnum()):
+            return 0.0
+        known = (seen.count((a, b)) + 5 / 67) / (sum(x == a for x, _ in seen) + 5)
+        plain = (common.count((a, b)) + 5 * ends[b] / sum(ends.values())) / (sum(x == a for x, _ in common) + 5)
+        return math.log(0.75 / 67 + 0.25 * known) - math.log(plain)
+
+    for v in tested:
+        total = sum(step(a, b) for a, b in zip(v, v[1:]))
+        least = max(4.75 + 0.75 * max(0, 20 - len(v)), 0.25 * (len(v) - 1))
+        assert abs(got[v][0] - total) < 1e-6 and got[v][1] == (total > least), v
+    assert not got["2024-01-05/report-management-version-03"][1] and not got["managementconfiguration"][1]
+
+
+def test_pieces_beside_base_spans(spark):
+    rng = random.Random(13)
+    for _ in range(30):
+        c = [(s, s + int(rng.random() * 120) + 16) for s in (3, 400)]
+        base = [(s, s + rng.randrange(1, 60)) for s in sorted(rng.randrange(0, 520) for _ in range(rng.randrange(0, 6)))]
+        value = lambda a, b: "".join(chr(97 + i % 26) for i in range(a, b))
+        row = ([(a, b, value(a, b)) for a, b in c], [(a, b, "") for a, b in base])
+        kind = "array<struct<start:int,end:int,value:string>>"
+        df = spark.createDataFrame([row], f"candidates {kind}, base {kind}")
+        got = df.select(secrets.free_pieces(F.col("candidates"), F.col("base")).alias("x")).first().x
+        want = []
+        for a, b in c:
+            free = [not any(x <= i < y for x, y in base) for i in range(a, b)] + [False]
+            start = None
+            for i, f in enumerate(free):
+                if f and start is None:
+                    start = a + i
+                elif not f and start is not None:
+                    want += [(start, a + i, value(start, a + i))] * (a + i - start >= 16)
+                    start = None
+        assert sorted(map(tuple, got)) == want
+
+
 # --- toxicity ---
 
 
