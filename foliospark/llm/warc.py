@@ -8,12 +8,17 @@ Each task writes one file and reports its name; a lost attempt's file is never r
 
 Reading.  Tasks parse whole files record by record.  Records are grouped by origin, continuation records are put in order of
 their segment number, the numbers must be 1 to n and the joined block must have the stated total length; then the
-chunked framing is undone and the payload's digest compared.  What fails is returned with its ``problem``, never dropped.
-A group is the segments of one record, so nothing larger than one payload is gathered.
+chunked framing is undone and the payload's digest compared.  What fails is returned with its ``problem``, never dropped:
+a damaged gzip member, a header without a usable length or a record cut short gives a row with what is known of it, and
+reading goes on at the next record that can be found.  Resource and conversion records are returned with their block as
+payload; warcinfo, request and metadata records are not pages and are passed over.  Ids come from a header that only this
+writer sets; pages of other archives have null ids and are told apart by URL.  A group is the segments of one record, so
+nothing larger than one payload is gathered.
 
 A null payload is the empty one, a null URL or id is left out and read as null.  Which page of a frequent payload stays
 is settled by heavy-hitter winners (see ``exact_dedup``), so equal payloads never meet in one task in masses.
-Repeated rows (same id and payload) give one response and revisits of it.
+Repeated rows (same id and payload) give one response and revisits of it.  Other input columns are not read.  An empty
+table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +44,7 @@ CHUNK_BYTES = 4096
 #: Fixed values of the archive format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MEMBER = b"\x1f\x8b\x08"  # a gzip member begins so
 HTTP_TYPE = "application/http; msgtype=response"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -111,44 +118,109 @@ def page_records(page_id, url, payload: bytes, digest: str, refers_to, is_revisi
         yield record(more, part)
 
 
-def read_records(stream) -> Iterator[tuple[dict, bytes]]:
-    """(fields in lower case, block) of a plain or gzipped archive, one at a time."""
+class _Members:
+    """Reads the members of a gzip file one after another; a damaged one raises ``zlib.error`` or ``EOFError``."""
+
+    def __init__(self, stream):
+        self.stream, self.raw, self.at = stream, b"", 0
+        self._open()
+
+    def _open(self) -> None:
+        self.member, self.start = zlib.decompressobj(31), self.at
+
+    def read(self, size: int) -> bytes:
+        while True:
+            if self.member.eof:
+                self.raw = self.member.unused_data
+                self._open()
+            self.raw = self.raw or self.stream.read(1 << 16)
+            if not self.raw:
+                if self.at > self.start:
+                    raise EOFError("member cut short")
+                return b""
+            taken, self.raw = self.raw, b""
+            out = self.member.decompress(taken)
+            self.at += len(taken) - len(self.member.unused_data)
+            if out:
+                return out
+
+    def skip(self) -> None:
+        """Go on at the next place behind the start of this member that looks like a member."""
+        at = self.start + 1
+        self.stream.seek(at)
+        held = b""
+        while more := self.stream.read(1 << 16):
+            held += more
+            if (found := held.find(MEMBER)) >= 0:
+                at += found
+                break
+            at, held = at + max(0, len(held) - 2), held[-2:]
+        else:
+            at = self.stream.seek(0, 2)
+        self.stream.seek(at)
+        self.raw, self.at = b"", at
+        self._open()
+
+
+def read_records(stream) -> Iterator[tuple[dict, bytes, str | None]]:
+    """(fields in lower case, block, problem) of a plain or gzipped archive, one at a time.  After a problem reading goes on
+    at the next line that begins a record."""
     start = stream.read(2)
     stream.seek(0)
-    source = gzip.GzipFile(fileobj=stream) if start == b"\x1f\x8b" else stream
+    source = _Members(stream) if start == MEMBER[:2] else stream
     pending = b""
+    lost = False  # between a problem and the next record
 
     def line() -> bytes:
         nonlocal pending
-        while (stop := pending.find(b"\n")) < 0:
-            more = source.read(1 << 16)
-            if not more:
-                out, pending = pending, b""
-                return out
-            pending += more
+        parts, stop = [], pending.find(b"\n")
+        while stop < 0:
+            parts.append(pending)
+            pending = b""
+            if not (pending := source.read(1 << 16)):
+                return b"".join(parts)
+            stop = pending.find(b"\n")
         out, pending = pending[: stop + 1], pending[stop + 1 :]
-        return out
+        return b"".join((*parts, out))
 
     while True:
-        first = line()
-        if not first:
-            return
-        if not first.strip():
+        fields, block = {}, b""
+        try:
+            first = line()
+            if not first:
+                return
+            if not first.strip():
+                continue
+            if not first.startswith(b"WARC/"):
+                if not lost:
+                    lost = True
+                    yield fields, block, "not a WARC record"
+                continue
+            lost = False
+            while (x := line()).strip():
+                k, _, v = x.decode("utf-8", "replace").partition(":")
+                fields[k.strip().lower()] = v.strip()
+            stated = fields.get("content-length", "")
+            if not (stated.isascii() and stated.isdigit()):
+                lost = True
+                yield fields, block, "no usable length"
+                continue
+            size = int(stated)
+            parts, have = [pending], len(pending)
+            pending = b""
+            while have < size and (more := source.read(min(max(1 << 16, size - have), 1 << 24))):
+                parts.append(more)
+                have += len(more)
+            joined = b"".join(parts)
+            block, pending = joined[:size], joined[size:]
+        except (zlib.error, EOFError) as e:
+            pending = b""
+            if not lost:
+                lost = True
+                yield fields, block, f"damaged compression: {e}"
+            source.skip()
             continue
-        if not first.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {}
-        while (x := line()).strip():
-            k, _, v = x.decode("utf-8", "replace").partition(":")
-            fields[k.strip().lower()] = v.strip()
-        size = int(fields["content-length"])
-        parts, have = [pending], len(pending)
-        while have < size and (more := source.read(max(1 << 16, size - have))):
-            parts.append(more)
-            have += len(more)
-        joined = b"".join(parts)
-        block, pending = joined[:size], joined[size:]
-        yield fields, block
+        yield fields, block, None if len(block) == size else "record cut short"
 
 
 # --- whole tables ---
@@ -199,10 +271,6 @@ def write_archives(
     return durable(rows.mapInArrow(write, "uri string, bytes long, records long"), "warc-files")
 
 
-def _id_of(text: str | None) -> int | None:
-    return int(text) if text is not None else None
-
-
 _PAGE = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()),
     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("n_segments", pa.int64()), ("problem", pa.string()),
@@ -225,21 +293,40 @@ def _checked(block: bytes, stated: str | None) -> tuple:
     return payload, len(payload), digest, None if stated in (None, digest) else "digest differs"
 
 
-def _row_of(fields: dict, block: bytes, with_payload: bool) -> tuple | None:
-    """A row of _READ.  Whole records are decoded at once; only segments keep their block."""
+def _number(fields: dict, name: str) -> int | None:
+    """An integer field; None if it is missing or not one."""
+    text = fields.get(name, "")
+    return int(text) if re.fullmatch(r"-?[0-9]{1,18}", text) else None
+
+
+#: Kinds of records that are pages or parts of them, and those that say something about others.
+PAGES, OTHERS = ("response", "revisit", "continuation", "resource", "conversion"), ("warcinfo", "request", "metadata")
+
+
+def _row_of(fields: dict, block: bytes, problem: str | None, name: str, with_payload: bool) -> tuple | None:
+    """A row of _READ.  Whole records are decoded at once; only segments keep their block.  ``name`` stands in for a record id."""
     kind = fields.get("warc-type")
-    if kind not in ("response", "revisit", "continuation"):
+    if kind in OTHERS and problem is None:
         return None
-    segment = _id_of(fields.get("warc-segment-number"))
+    if kind not in PAGES and problem is None:
+        problem = f"unknown kind of record: {kind}"
+    segment = _number(fields, "warc-segment-number")
+    if problem is None and segment is None and "warc-segment-number" in fields:
+        problem = "segment without a number"
     digest = fields.get("warc-payload-digest")
     digest = digest and digest.removeprefix("sha1:")
-    payload, size, problem = None, _id_of(fields.get("x-payload-length")), None
-    if segment is None and kind == "response":
+    payload, size = None, _number(fields, "x-payload-length")
+    if problem is None and segment is None and kind == "response":
         payload, size, digest, problem = _checked(block, digest)
+    elif problem is None and segment is None and kind in ("resource", "conversion"):
+        found = payload_digest(block)
+        payload, size, digest, problem = block, len(block), found, None if digest in (None, found) else "digest differs"
+    if problem is not None:
+        segment = segment and -segment  # a damaged segment leaves a gap
     return (
-        fields.get("warc-segment-origin-id") or fields["warc-record-id"], segment, _id_of(fields.get("warc-segment-total-length")),
-        None if segment is None else block, _id_of(fields.get("x-page-id")), fields.get("warc-target-uri"),
-        None if kind == "continuation" else kind, _id_of(fields.get("x-refers-to-page-id")), payload if with_payload else None,
+        fields.get("warc-segment-origin-id") or fields.get("warc-record-id") or name, segment, _number(fields, "warc-segment-total-length"),
+        None if segment is None else block, _number(fields, "x-page-id"), fields.get("warc-target-uri"),
+        None if kind == "continuation" else kind, _number(fields, "x-refers-to-page-id"), payload if with_payload else None,
         size, digest, 1, problem,
     )
 
@@ -268,8 +355,8 @@ def read_archives(spark: SparkSession, files: DataFrame, with_payload: bool = Tr
             for uri in batch.column("uri").to_pylist():
                 rows, size = [], 0
                 with open_file(uri) as stream:
-                    for fields, block in read_records(stream):
-                        if row := _row_of(fields, block, with_payload):
+                    for n, (fields, block, problem) in enumerate(read_records(stream)):
+                        if row := _row_of(fields, block, problem, f"{uri}#{n}", with_payload):
                             rows.append(row)
                             size += len(block) + 200
                         if size > 8 << 20 and rows:
@@ -288,8 +375,10 @@ def read_archives(spark: SparkSession, files: DataFrame, with_payload: bool = Tr
                     payload, size, digest = None, r["payload_bytes"], r["payload_digest"]
                     if r["record_type"] is None:
                         problem = "no first segment"
-                    elif problem is None:
+                    elif problem is None and r["record_type"] == "response":
                         payload, size, digest, problem = _checked(block, digest)
+                    elif problem is None:
+                        payload, size = block, len(block)
                     row[4:] = payload if with_payload else None, size, digest, len(r["parts"]), problem
                 out.append(row)
             columns = list(zip(*out)) or [()] * len(_PAGE)

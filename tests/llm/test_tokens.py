@@ -1,7 +1,9 @@
 import base64
+import gzip
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -223,4 +225,47 @@ def test_plain_archives_are_read_too():
 
     raw = b"".join(gzip.decompress(warc.record({"WARC-Type": "response", "WARC-Record-ID": f"<{i}>"}, b"x" * i * 50_000)) for i in range(4))
     got = list(warc.read_records(io.BytesIO(raw)))
-    assert [len(b) for _, b in got] == [0, 50_000, 100_000, 150_000] and got[2][0]["warc-record-id"] == "<2>"
+    assert [len(b) for _, b, _ in got] == [0, 50_000, 100_000, 150_000] and got[2][0]["warc-record-id"] == "<2>"
+
+
+def damaged(kind):
+    """An archive of ten records with the sixth damaged."""
+    fields = lambda i: {"WARC-Type": "resource" if i == 2 else "response", "WARC-Record-ID": f"<{i}>", "WARC-Target-URI": f"u{i}"}
+    noise = lambda i: random.Random(i).randbytes(3000).replace(b"\n", b"x")
+    made = [warc.record(fields(i), (b"" if i == 2 else b"HTTP/1.1 200 OK\r\n\r\n") + noise(i)) for i in range(10)]
+    if kind == "member":
+        made[5] = made[5][:1500] + b"\0" * 40 + made[5][1540:]
+    elif kind == "cut member":
+        made = made[:5] + [made[5][:1500]]
+    elif kind == "no length":
+        made[5] = gzip.compress(gzip.decompress(made[5]).replace(b"Content-Length: 3019\r\n", b""))
+    elif kind == "cut plain":
+        made = [gzip.decompress(m) for m in made[:6]]
+        made[5] = made[5][:1000]
+    elif kind == "no record":
+        made[5] = gzip.compress(b"something else\r\n" * 9)
+    return b"".join(made)
+
+
+@pytest.mark.parametrize("kind", ["member", "cut member", "no length", "cut plain", "no record"])
+def test_damaged_archives_give_problem_rows(spark, tmp_path, kind):
+    (tmp_path / "x.warc.gz").write_bytes(damaged(kind))
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "uri string")
+    got = warc.read_archives(spark, files).collect()
+    good = {r.url: r for r in got if r.problem is None}
+    assert set(good) == {f"u{i}" for i in range(5 if kind.startswith("cut") else 10) if i != 5}
+    assert all(r.payload_bytes == 3000 for r in good.values()) and good["u2"].record_type == "resource"
+    bad = [r for r in got if r.problem is not None]
+    assert len(bad) == 1 and bad[0].url in ("u5", None) and bad[0].payload is None
+
+
+def test_damaged_segment_is_a_problem(spark, tmp_path):
+    files = warc.write_archives(pages(spark, [(1, "u", "y" * 30_000), (2, "v", "short")]).coalesce(1), f"{tmp_path}/a")
+    path = files.first().uri.removeprefix("file://")
+    raw = bytearray(open(path, "rb").read())
+    members = [m.start() for m in re.finditer(rb"\x1f\x8b\x08", bytes(raw))]
+    third = members[3]
+    raw[third + 60] ^= 0x55
+    open(path, "wb").write(raw)
+    got = {r.url: r.problem for r in warc.read_archives(spark, files).collect() if r.url}
+    assert got["v"] is None and got["u"] is not None
