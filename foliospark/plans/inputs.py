@@ -69,6 +69,16 @@ MARKDOWN_REWRITES = (
 )
 
 
+BROKEN_REWRITES = (
+    (" de ", "-\n"), (", ", "\n 12 \nPage 7\n"), (" the ", " \t  "), (" und ", "■□ ????? "), (" la ", "\n \n\n"), (" ", "\n"),
+)
+
+
+def broken_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as a bad extraction leaves them."""
+    return _replaced(documents(spark, sf), BROKEN_REWRITES)
+
+
 def code_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _replaced(documents(spark, sf), CODE_REWRITES)
 

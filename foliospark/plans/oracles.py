@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import budget, metadata
 from ..functions.text import SPACE_CHARS
 from ..operators import chunk_structure as cst
-from .inputs import CODE_REWRITES, CS, MARKDOWN_REWRITES, SAMPLE, WORDS_CS
+from .inputs import BROKEN_REWRITES, CODE_REWRITES, CS, MARKDOWN_REWRITES, SAMPLE, WORDS_CS
 from .queries import ERROR_TEXTS, GENERATED
 
 NL = "chr(10)"
@@ -28,6 +28,7 @@ def replaced(pairs) -> str:
     return f"SELECT doc_id, {text} AS text FROM documents"
 
 
+BROKEN_DOCS = replaced(BROKEN_REWRITES)
 CODE_DOCS = replaced(CODE_REWRITES)
 MD_DOCS = replaced(MARKDOWN_REWRITES)
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -417,6 +418,23 @@ ORACLES = {
     "job_documents": f"""{CHUNKS} SELECT doc_id, count(c.doc_id) AS n_chunks, d.text AS output_text,
       CASE WHEN count(c.doc_id) = 0 THEN 'empty' ELSE 'ok' END AS status FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY doc_id, d.text""",
     "job_failures": f"""{CHUNKS} SELECT doc_id, chunk_index + 1 AS chunk_number, 'refused' AS error FROM chunks WHERE starts_with(text, 'D')""",
+    # Documents of one text are one in the log.
+    "run_progress": f"""{CHUNKS}, c AS (SELECT DISTINCT d.text AS whole, c.chunk_index, c.text, c.token_count FROM chunks c JOIN documents d USING (doc_id))
+      SELECT count(*) AS answers, count(*) FILTER (text LIKE 'D%') AS failed_answers, count(DISTINCT whole) AS documents,
+        CAST(sum(token_count) AS BIGINT) AS chunk_tokens FROM c""",
+    "dehyphenate": rf"SELECT doc_id, regexp_replace(text, '(\p{{L}})-\n[ \t\r\n]*(\p{{Ll}})', '\1\2', 'g') AS text FROM ({BROKEN_DOCS})",
+    "clean_spacing": rf"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n ?(?:\n ?)+', {NL} || {NL}, 'g') AS text FROM ({BROKEN_DOCS})",
+    "drop_page_numbers": rf"""SELECT doc_id, array_to_string(list_filter(string_split(text, {NL}),
+        lambda s: NOT regexp_full_match(s, '[ \t]*([Pp]age|[Ss]eite|[Pp]ágina)?[ \t]*-?[ \t]*[0-9]{{1,4}}[ \t]*-?[ \t\r]*')), {NL}) AS text FROM ({BROKEN_DOCS})""",
+    "drop_garble": rf"SELECT doc_id, regexp_replace(text, '[■□▪▫\x{{FFFD}}]+|\?{{4,}}', '', 'g') AS text FROM ({BROKEN_DOCS})",
+    # Without look-around, a line of one letter needs a second pass.
+    "merge_lines": rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '([^.!?:;\n])\n(\p{{L}})', '\1 \2', 'g'), '([^.!?:;\n])\n(\p{{L}})', '\1 \2', 'g') AS text
+      FROM ({BROKEN_DOCS})""",
+    "drop_repeated_lines": f"""WITH l AS (SELECT doc_id, source, i, p[i] AS s FROM (SELECT doc_id, source, string_split(text, {NL}) AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i)),
+      size AS (SELECT source, count(*) AS size FROM documents GROUP BY source),
+      common AS (SELECT source, s FROM l JOIN size USING (source) WHERE trim(s) <> '' GROUP BY source, s, size HAVING count(DISTINCT doc_id) >= 3 AND 100 * count(DISTINCT doc_id) >= 2 * size)
+      SELECT doc_id, coalesce(string_agg(l.s, {NL} ORDER BY i) FILTER (c.s IS NULL), '') AS text, count(c.s) AS n_dropped
+      FROM l LEFT JOIN common c ON l.source = c.source AND l.s = c.s GROUP BY doc_id""",
     "resumed_run": """SELECT doc_id, text AS output_text, CASE WHEN text = '' THEN NULL WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS models FROM documents""",
     "chunk_code_reference_tally": code_chunks(20, True),
     "code_line_features": f"""WITH {lines(CODE_DOCS)}, {FEATURES}

@@ -11,7 +11,7 @@ from ..functions import budget, metadata, rates, text as tx
 from ..functions.sql import register_functions
 from ..functions.tokens import token_count
 from ..functions.xml import xml_normalize, xml_spans
-from ..operators import chunk_code, chunk_structure, chunk_text, chunk_xml, pack_lines, pacing, reports
+from ..operators import chunk_code, chunk_structure, chunk_text, chunk_xml, pack_lines, pacing, reports, text_repair
 from ..operators import requests as rq
 from ..operators.explain import complete_metadata
 from ..operators.pack import greedy_cuts
@@ -21,6 +21,7 @@ from ..operators.transform import diagnostics, pick_fallback, transform_chunks
 from ..session import durable, fresh_path
 from ..sources import documents as store
 from ..sources import manifest, paths
+from ..sources.answer_log import run_progress
 from ..streaming.ingest import drain, read_stream, start_deduplicated, stream_chunks
 from ..streaming.quota import stream_quota
 from ..streaming.state import track_documents
@@ -607,6 +608,47 @@ def resumed_run(spark, sf):
     return whole.documents.join(models, "doc_id", "left").select("doc_id", "output_text", "models")
 
 
+@query
+def run_progress_query(spark, sf):
+    """What the log of a run holds; a run with failed chunks."""
+    log, refuse = fresh_path(spark, "log"), Scripted(fail_when=lambda chunk: chunk.startswith("D"), message="refused")
+    run_job(spark, inputs.documents(spark, sf), TEXT, refuse, log_dir=log)
+    return run_progress(spark, log).select("answers", "failed_answers", "documents", "chunk_tokens")
+
+
+# --- text repair ---
+
+
+@query
+def dehyphenate(spark, sf):
+    return inputs.broken_documents(spark, sf).select("doc_id", text_repair.dehyphenate("text").alias("text"))
+
+
+@query
+def clean_spacing(spark, sf):
+    return inputs.broken_documents(spark, sf).select("doc_id", text_repair.clean_spacing("text").alias("text"))
+
+
+@query
+def drop_page_numbers(spark, sf):
+    return inputs.broken_documents(spark, sf).select("doc_id", text_repair.drop_page_numbers("text").alias("text"))
+
+
+@query
+def drop_garble(spark, sf):
+    return inputs.broken_documents(spark, sf).select("doc_id", text_repair.drop_garble("text").alias("text"))
+
+
+@query
+def merge_lines(spark, sf):
+    return inputs.broken_documents(spark, sf).select("doc_id", text_repair.merge_lines("text").alias("text"))
+
+
+@query
+def drop_repeated_lines(spark, sf):
+    return text_repair.drop_repeated_lines(inputs.documents(spark, sf, "source"), least_docs=3, percent=2).select("doc_id", "text", "n_dropped")
+
+
 # --- reports ---
 
 
@@ -667,6 +709,7 @@ def progress(spark, sf):
 @query
 def topk_preview(spark, sf):
     c = inputs.chunks(spark, sf, "source").select("source", "doc_id", "chunk_index", "token_count")
+    c = durable(c, "preview")  # read twice, packed once
     order = [F.desc("token_count"), F.asc("doc_id"), F.asc("chunk_index")]
     return reports.top_per_group(c, "source", order, 3)
 

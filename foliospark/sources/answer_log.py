@@ -71,3 +71,21 @@ def whole_documents(answers: DataFrame, key: str, run: str, max_age_hours: float
         tries = tries.filter(F.col("age") <= max_age_hours)
     best = F.max_by(F.struct("attempt", "failed"), F.struct(-F.col("failed"), "answered_at", "attempt"))
     return tries.groupBy(key, "doc_hash").agg(best.alias("best")).select(key, "doc_hash", "best.attempt", "best.failed")
+
+
+def run_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the runs of a log have come, one row each; may be asked at any time, while a run goes on too.
+
+    An answer counts once, however often it was logged; it counts as failed only if no attempt brought a text."""
+    fields = "run string, doc_hash bigint, chunk_index int, chunk_tokens int, response_tokens bigint, error string, answered_at timestamp"
+    schema = spark.createDataFrame([], fields).schema
+    ok = F.col("error").isNull()
+    once = read_answers(spark, folder, schema).groupBy("run", "doc_hash", "chunk_index").agg(
+        F.max(ok).alias("ok"), F.max("chunk_tokens").alias("chunk_tokens"), F.max(F.when(ok, F.col("response_tokens"))).alias("response_tokens"),
+        F.min("answered_at").alias("first"), F.max("answered_at").alias("last"),
+    )
+    return once.groupBy("run").agg(
+        F.count("*").alias("answers"), F.count_if(~F.col("ok")).alias("failed_answers"), F.count_distinct("doc_hash").alias("documents"),
+        F.sum("chunk_tokens").alias("chunk_tokens"), F.sum("response_tokens").alias("output_tokens"),
+        F.min("first").alias("first_answer"), F.max("last").alias("last_answer"),
+    )

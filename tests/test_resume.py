@@ -1,6 +1,8 @@
 """Runs that are started again, and runs that wait for their quota."""
 
 import sys
+import threading
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -180,3 +182,39 @@ def test_pacer_follows_the_rules():
     assert shared.delay(21) == 30 and shared.delay(20) < 30
     fresh = Pacer(1, Clock(), lambda s: pytest.fail("the first call waits for nothing"))
     fresh.before(10)
+
+
+class Waiting(Responder):
+    """Answers one document only when told to."""
+
+    def __init__(self, flag):
+        super().__init__("m")
+        self.flag = str(flag)
+
+    def reply(self, chunk):
+        import os
+        import time
+
+        until = time.monotonic() + 120
+        while "doc 4 " in chunk and not os.path.exists(self.flag) and time.monotonic() < until:
+            time.sleep(0.1)
+        return chunk
+
+
+def test_progress_is_seen_before_the_end(spark, tmp_path):
+    docs, log = documents(spark, 12), str(tmp_path / "log")
+    assert answer_log.run_progress(spark, log).count() == 0
+    result = []
+    thread = threading.Thread(target=lambda: result.append(run_job(spark, docs, CONFIG, Waiting(tmp_path / "go"), log_dir=log)))
+    thread.start()
+    try:
+        until, seen = time.monotonic() + 60, 0
+        while not seen and time.monotonic() < until and thread.is_alive():
+            time.sleep(0.5)
+            seen = sum(r.answers for r in answer_log.run_progress(spark, log).collect())
+        assert thread.is_alive() and seen > 0
+    finally:
+        (tmp_path / "go").write_text("")
+        thread.join(120)
+    done = answer_log.run_progress(spark, log).first()
+    assert done.answers == result[0].chunks.count() > seen and done.failed_answers == 0 and done.documents == 12
