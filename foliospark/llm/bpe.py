@@ -5,7 +5,8 @@ distinct pre-tokens of an Arrow batch at once, which of them are tokens as they
 over a linked list of bytes, with a heap of (rank, position) that gives the next pair; stale heap entries are skipped.
 
 Texts are encoded whole; null and empty texts give no ids.  Repeated rows are encoded each.  Work per task is bounded by
-one Arrow batch, cut by bytes; nothing is shuffled.
+one Arrow batch, cut by bytes, and by the pre-tokens of the longest text; nothing is shuffled.  Columns besides id and text are
+not read.  Empty tables give empty results.
 """
 
 from __future__ import annotations

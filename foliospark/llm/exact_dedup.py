@@ -7,7 +7,8 @@ digest are settled in the map task that read them and never shuffled.  All other
 digest, where no group holds more than about 2/``counters`` of the rows.
 
 Of equal texts, the row with the largest id stays; a null id loses against any other, and of rows that repeat both id
-and text exactly one stays.  An empty table gives an empty result.
+and text exactly one stays.  A very long text travels as its digest.  ``drop_exact_copies`` keeps the columns of its
+input, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ numbers rows inside partitions, and one small row per (partition, source) carrie
 the rows simply spans more partitions.
 
 Null texts have size 0.  Rows that repeat an id are documents of their own.  A source without words has target 0 and no
-copies.  The offset is derived from the seed and the source's name, so reruns agree.
+copies.  The offset is derived from the seed and the source's name, so reruns agree.  Sizes
+of very long texts are counted as any other's.  ``mix`` keeps the columns of its input, whatever their names.  Empty tables
+give empty results.
 """
 
 from __future__ import annotations

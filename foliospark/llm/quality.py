@@ -11,7 +11,8 @@ ones (see ``threshold_of``).  All counts and quantiles cover all documents; only
 quantile come to the driver.
 
 Null and empty texts have no words and fail the base rules.  Without labels every score is 0 and the base rules decide.
-Repeated rows are separate documents with equal results.
+Repeated rows are separate documents with equal results.  The words of a very long text are held by one task.  ``keep_good``
+keeps the columns of its input, whatever their names.  Empty tables give empty results.
 """
 
 from __future__ import annotations

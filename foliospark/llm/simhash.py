@@ -5,7 +5,7 @@ differ in at most ``MAX_BITS`` bits are linked; linked documents form components
 
 Distinct fingerprints are routed by pigeonhole: of four equal parts of the bits, linked fingerprints share at least one,
 so four buckets per fingerprint bring all links together.  A bucket beyond ``BUCKET_ROWS`` is divided by the same rule
-on its remaining bits, so no link is lost and no task gets an unbounded bucket.  Inside a bucket, fingerprints are sorted by
+on its remaining bits, twice at most, so no link is lost; fingerprints that agree in 37 bits may meet in one task.  Inside a bucket, fingerprints are sorted by
 their rank in the Gray code.  Neighbours are then alike, and every eight of them form a node that holds the bits they
 all share, as a value and a mask; eight nodes form an upper node, up to a root.  Two nodes are compared by the
 differences of the bits both share, which only grow on the way down: a pair of groups is dropped whole as soon as these
@@ -14,7 +14,9 @@ exceed ``MAX_BITS``, or once all its members are known to be in one component.
 A bucket returns one edge per member to its local component, never all pairs, and ``graph.components`` joins them.
 
 Null and empty texts have the fingerprint zero and are linked like any other.  A null id takes part; a component of
-null ids only has a null id.  Repeated rows share a component.  Empty tables give empty results.
+null ids only has a null id.  Repeated rows share a component.  A text's words are held by one task, so a very long one costs some times
+its length.  Columns besides id and text are not read by ``near_groups`` and kept as they are by ``drop_near_copies``.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -216,8 +218,8 @@ def _parts(width: int) -> list:
 
 
 def _buckets(nodes: DataFrame, most: int) -> DataFrame:
-    """(bucket, fp) so that linked fingerprints share a bucket; buckets over ``most`` rows are divided, twice at most
-    (36 fixed bits leave 28 others, so none can then be large)."""
+    """(bucket, fp) so that linked fingerprints share a bucket; buckets over ``most`` rows are divided, twice at
+    most.  A bucket of the last round has 37 bits fixed; what agrees in all of these meets in one task, whatever its number."""
     pending, ready = nodes.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("bucket")), None
     for width in (64, 48, 36):
         split = pending.select("fp", F.explode(F.array(*_parts(width))).alias("x")).select("fp", "x.bucket", "x.rest")

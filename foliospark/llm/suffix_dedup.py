@@ -19,6 +19,8 @@ depends on the string alone.  About one position in sixteen is such an anchor.
 
 Null and empty texts, and texts below MIN_BYTES, keep all bytes.  Ids that are equal are not smaller than each other, so
 repeated rows do not remove each other; a null id counts as larger than any other.  Matches never cross documents.
+A text is held by one task, with some 30 bytes for each of its own, so texts of more than about 90 MB need larger executors
+than 3 GB.  Input columns other than id and text are not read.  Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -13,6 +13,7 @@ whatever the length of its documents.  Files are named by their writer and liste
 the list, the number of ids before each file comes from a running sum over that list.
 
 Null and empty texts have the end id only.  Null doc ids come first; rows that repeat an id are documents of their own.
+Columns besides id and text are not read.  An empty table gives no files and no rows.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ is scored by its whole text.
 
 Null and empty texts have all features zero and get a score like any other.  Rows that repeat an id are scored each; of
 contradicting labels the larger counts.  With no labels, or labels of one kind only, the score is that share (0 if none).
+Input columns other than id and text are not read, so none can clash.  An empty table of documents gives no rows.
 """
 
 from __future__ import annotations
