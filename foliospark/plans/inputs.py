@@ -110,8 +110,8 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def written_files(spark: SparkSession, sf: str) -> DataFrame:
-    """The listing of a folder with one file per document: hidden names, sub-folders and empty files among them."""
+def written_folder(spark: SparkSession, sf: str) -> str:
+    """A folder with one file per document: hidden names, sub-folders and empty files among them."""
     folder = fresh_path(spark, "files")
     place = F.element_at(F.array(*[F.lit(x) for x in ("", "a/", "_b/", ".c/d/")]), (F.col("doc_id") % 4 + 1).cast("int"))
     start = F.element_at(F.array(*[F.lit(x) for x in ("", "_", ".")]), (F.col("doc_id") % 3 + 1).cast("int"))
@@ -121,7 +121,11 @@ def written_files(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("doc_id") % 10 == 1, "").otherwise(F.col("text")).alias("output_text"),
     )
     durable(write_files(docs), "files-status")
-    return list_files(spark, folder)
+    return folder
+
+
+def written_files(spark: SparkSession, sf: str) -> DataFrame:
+    return list_files(spark, written_folder(spark, sf))
 
 
 def wrapped_lines(spark: SparkSession, sf: str) -> DataFrame:

@@ -385,6 +385,7 @@ ORACLES = {
              CAST(max(tk) AS INTEGER) AS token_count, max(k) > {CS} AS solo FROM walk GROUP BY doc_id, c""",
     "chunk_text": ALL_CHUNKS,
     "chunk_lines": ALL_CHUNKS,
+    "sql_chunk_text": ALL_CHUNKS,
     "chunk_semantic": ALL_CHUNKS,
     "stream_chunks": ALL_CHUNKS,
     "chunk_markdown": f"{chunk_ctes(MD_DOCS)} SELECT {CHUNK_COLUMNS} FROM chunks",
@@ -418,6 +419,14 @@ ORACLES = {
     "job_documents": f"""{CHUNKS} SELECT doc_id, count(c.doc_id) AS n_chunks, d.text AS output_text,
       CASE WHEN count(c.doc_id) = 0 THEN 'empty' ELSE 'ok' END AS status FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY doc_id, d.text""",
     "job_failures": f"""{CHUNKS} SELECT doc_id, chunk_index + 1 AS chunk_number, 'refused' AS error FROM chunks WHERE starts_with(text, 'D')""",
+    # A document that fails wholly adds nothing; one without text counts as done.
+    "job_summary": f"""{CHUNKS}, st AS (SELECT doc_id, count(*) FILTER (NOT starts_with(c.text, 'D')) AS done,
+          CAST(coalesce(sum(length(c.text) // 4 + 1) FILTER (NOT starts_with(c.text, 'D')), 0) AS BIGINT) AS tokens, count(c.doc_id) AS n
+        FROM documents d LEFT JOIN chunks c USING (doc_id) GROUP BY doc_id)
+      SELECT count(*) FILTER (done > 0 OR n = 0) AS successful, count(*) FILTER (done = 0 AND n > 0) AS failed,
+        CAST(sum(tokens) AS BIGINT) AS total_output_tokens FROM st""",
+    "folder_outputs": f"""SELECT rel_path, upper(replace(text, 'ß', 'SS')) AS text FROM ({FILES.replace(' FROM documents', ", CASE WHEN doc_id % 10 = 1 THEN '' ELSE text END AS text FROM documents")})
+      WHERE rel_path LIKE '%.md'""",
     # Documents of one text are one in the log.
     "run_progress": f"""{CHUNKS}, c AS (SELECT DISTINCT d.text AS whole, c.chunk_index, c.text, c.token_count FROM chunks c JOIN documents d USING (doc_id))
       SELECT count(*) AS answers, count(*) FILTER (text LIKE 'D%') AS failed_answers, count(DISTINCT whole) AS documents,

@@ -27,7 +27,7 @@ from ..streaming.quota import stream_quota
 from ..streaming.state import track_documents
 from . import inputs
 from .inputs import CS, SAMPLE
-from .job import run_job
+from .job import run_folder, run_job
 
 QUERIES = {}
 TEXT = JobConfig(data_format="text", chunk_size=CS, sample_size=SAMPLE)
@@ -598,6 +598,23 @@ def job_failures(spark, sf):
     return run_job(spark, inputs.documents(spark, sf), TEXT, refuse).failures.select("doc_id", "chunk_number", "error")
 
 
+@query
+def job_summary(spark, sf):
+    """A run in which some documents fail wholly, some in part and some are empty."""
+    refuse = Scripted(fail_when=lambda chunk: chunk.startswith("D"), message="refused")
+    summary = run_job(spark, inputs.documents(spark, sf), TEXT, refuse).summary
+    return summary.select("successful", "failed", "total_output_tokens")
+
+
+@query
+def folder_outputs(spark, sf):
+    """Files of a folder tree, written in capitals to another one; what the pattern leaves out has no output."""
+    source, target = inputs.written_folder(spark, sf), fresh_path(spark, "outputs")
+    run_folder(spark, source, JobConfig(data_format="text", chunk_size=CS, sample_size=SAMPLE, recurse="*.md"), Upper(), target)
+    made = store.read_manifest(manifest.list_files(spark, target))
+    return made.select(F.expr("substr(path, instr(path, 'outputs-') + 41)").alias("rel_path"), "text")
+
+
 @query
 def resumed_run(spark, sf):
     """A run over half of the documents, then one over all: the second asks for the other half only."""
@@ -771,3 +788,13 @@ def sql_functions(spark, sf):
                    piece_index, piece, piece_tokens
             FROM folio_documents, LATERAL split_overlong(text, {CS})"""
     )
+
+
+@query
+def sql_chunk_text(spark, sf):
+    register_functions(spark)
+    inputs.documents(spark, sf).createOrReplaceTempView("folio_documents")
+    return spark.sql(
+        f"""SELECT doc_id, chunk_index, chunk AS text, chunk_tokens AS token_count
+            FROM folio_documents, LATERAL chunk_text(text, {CS})"""
+    )

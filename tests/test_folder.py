@@ -1,6 +1,7 @@
 import pytest
 
 from foliospark import JobConfig, Upper, register_functions, run_folder
+from foliospark.operators.chunk_text import chunk_text
 from foliospark.sources.paths import load_ignore_lines
 
 
@@ -77,6 +78,21 @@ def test_sql_names(spark):
     assert spark.sql("SELECT piece FROM VALUES ('abcdefgh') AS v(x), LATERAL split_overlong(x, 2)").count() == 2
 
 
+def test_sql_chunker_equals_the_chunker_without_a_shuffle(spark, capsys):
+    texts = [None, "", "a\r\nb\rc\x85d\n\n", "x" * 2000 + "\ny\n" + "z" * 399, "line of text\n" * 5000, "\U0001f600" * 50 + "\u2028end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    register_functions(spark)
+    docs.createOrReplaceTempView("sql_chunker_docs")
+    for size in (5, 100):
+        got = spark.sql(f"SELECT doc_id, chunk_index, chunk, chunk_tokens FROM sql_chunker_docs, LATERAL chunk_text(text, {size})")
+        want = chunk_text(docs, size).select("doc_id", "chunk_index", "text", "token_count")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "posexplode" in plan and "Exchange" not in plan and "Join" not in plan
+
+
 def test_relative_root(spark, tree, tmp_path, monkeypatch):
     from foliospark.sources.manifest import list_files
 

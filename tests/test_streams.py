@@ -1,7 +1,9 @@
+import time
+
 from pyspark.sql import functions as F
 
 from foliospark import JobConfig, create_chunks
-from foliospark.streaming.ingest import drain, read_stream, start_deduplicated, stream_chunks
+from foliospark.streaming.ingest import drain, read_stream, start_deduplicated, start_parquet, stream_chunks
 from foliospark.streaming.quota import stream_quota
 from foliospark.streaming.state import track_documents
 
@@ -55,3 +57,41 @@ def test_quota_drops_late_rows_and_waits_for_the_watermark(spark, tmp_path):
     log(("2024-01-01 00:10:00", 1))
     q = drain(stream_quota(read_stream(spark, str(tmp_path), schema), "1 minute", "5 minutes", 10, 5), "q").collect()
     assert [(r.tokens, r.requests, r.tokens_over, r.requests_over) for r in q] == [(11, 2, True, False)]
+
+
+def answers(spark, folder, *rows):
+    df = spark.createDataFrame(rows, "part string, no int, chunk_index int, text string, token_count int, response string")
+    df.coalesce(1).write.mode("append").parquet(str(folder))
+    return df.schema
+
+
+def test_state_keeps_inputs_and_outputs_under_any_key(spark, tmp_path):
+    """Two keys of different types, nulls among them; chunks without an answer are passed over; order of arrival is free."""
+    schema = answers(spark, tmp_path, ("a", 1, 1, "bbbb", 2, "BBBB!"), ("a", 1, 0, "aaaa", 2, "AAAA"), (None, None, 0, "nnnn", 2, "N"))
+    answers(spark, tmp_path, ("a", 1, 2, "cccc", 2, None), ("a", 2, 0, "dddd", 2, ""), (None, None, 1, "mmmm", 2, "MMMMMM"))
+    docs = read_stream(spark, str(tmp_path), schema, max_files=1)
+    rows = drain(track_documents(docs, 1, None, ["part", "no"], "response"), "s").collect()
+    last = {(r.part, r.no): r for r in sorted(rows, key=lambda r: r.chunks)}
+    short = {k: (r.chunks, r.tokens, r.last_index, r.last_text, r.output_tokens, r.last_output) for k, r in last.items()}
+    assert short == {
+        ("a", 1): (2, 4, 1, "bbbb", 4, "BBB!"), ("a", 2): (1, 2, 0, "dddd", 1, ""), (None, None): (2, 4, 1, "mmmm", 3, "MMMM"),
+    }
+
+
+def test_state_survives_a_restart_and_expires(spark, tmp_path):
+    def run(hours, name):
+        docs = read_stream(spark, str(tmp_path / "in"), SCHEMA, max_files=1)
+        states = track_documents(stream_chunks(docs, CFG), 1, hours)
+        q = start_parquet(states, name, str(tmp_path / f"{name}-out"), str(tmp_path / name), once=False)
+        until = time.monotonic() + 60
+        while sum(p.numInputRows for p in q.recentProgress) < 1 and time.monotonic() < until:
+            time.sleep(0.2)
+        q.stop()
+        return [r.chunks for r in spark.read.parquet(str(tmp_path / f"{name}-out")).orderBy("chunks").collect()]
+
+    put(spark, tmp_path / "in", [(1, "aaaa\nbbbb\n")])
+    assert run(24, "kept") == run(1 / 3600, "brief") == [1]
+    time.sleep(1.5)
+    put(spark, tmp_path / "in", [(1, "cccc\n")])
+    assert run(24, "kept") == [1, 2]
+    assert run(1 / 3600, "brief") == [1, 1]
