@@ -8,7 +8,8 @@ A suffix array over the whole corpus would need all suffixes in one order.  Here
 equal strings meet: every string of MIN_BYTES bytes has a minimizer, the ``GRAM`` bytes in it with the least hash, which
 depends on the string alone.  About one position in sixteen is such an anchor.
 
-1. Texts are packed into chunks of about ``CHUNK_BYTES`` (written once; all later steps speak of positions in chunks).
+1. Texts are packed into chunks of about ``CHUNK_BYTES``, longer ones are cut (written once; all later steps speak of
+   positions in chunks).
 2. Each chunk sends the distinct hashes of its anchors; hashes that two chunks have are sent back.
 3. Each chunk builds the suffix array of the strings around anchors that repeat inside it and settles these copies at
    once.  For strings it is the first to have, around anchors that other chunks have too, it sends the bytes, dealt by
@@ -19,8 +20,9 @@ depends on the string alone.  About one position in sixteen is such an anchor.
 
 Null and empty texts, and texts below MIN_BYTES, keep all bytes.  Ids that are equal are not smaller than each other, so
 repeated rows do not remove each other; a null id counts as larger than any other.  Matches never cross documents.
-A text is held by one task, with some 30 bytes for each of its own, so texts of more than about 90 MB need larger executors
-than 3 GB.  Input columns other than id and text are not read.  Empty tables give empty results.
+A text of more than a chunk is cut into pieces, each with the first MIN_BYTES - 1 bytes of the next one, so that every string
+lies in just one piece; the pieces are chunks of their own, and what they keep is put together in order.  A task then needs
+some 30 bytes for each byte of a chunk, whatever a text's length.  Input columns other than id and text are not read.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -245,33 +247,54 @@ class _Chunk:
         self.anchors = Anchors(self.x, self.ends)
 
 
+def _pieces(text: pa.Buffer, step: int) -> Iterator[tuple[bytes, bool]]:
+    """Pieces of a text, ``step`` strings each, and whether one is the last."""
+    at, size = 0, text.size
+    while True:
+        last = at + step + (MIN_BYTES - 1) >= size
+        yield text.slice(at, min(step + (MIN_BYTES - 1), size - at)).to_pybytes(), last
+        if last:
+            return
+        at += step
+
+
 def pack_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
-    """(chunk, ids, lengths, nulls, data): whole documents, about ``chunk_bytes`` of text a row.  No shuffle."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"))
+    """(chunk, ids, lengths, nulls, data, seat, part, last): about ``chunk_bytes`` of text a row.  No shuffle.
+
+    A row holds whole documents, or one piece of a longer one: ``seat`` then names the document, ``part`` counts its pieces."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("data"), F.monotonically_increasing_id().alias("seat")
+    )
+    kinds = pa.schema([(n, pa.binary()) for n in ("ids", "lengths", "nulls", "data")] + [("seat", pa.int64()), ("part", pa.int64()), ("last", pa.bool_())])
+
+    def row(ids: list[int | None], texts: list[bytes], seat=None, part=None, last=None) -> pa.RecordBatch:
+        numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        nulls = np.array([i is None for i in ids])
+        made = [numbers.tobytes(), lengths.tobytes(), nulls.tobytes(), _shrink(b"".join(texts)), seat, part, last]
+        return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(kinds, made)}, kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
         texts: list[bytes] = []
         size = 0
-
-        def row():
-            numbers = np.array([NO_ID if i is None else i for i in ids], np.int64)
-            lengths = np.array([len(t) for t in texts], np.int64)
-            nulls = np.array([i is None for i in ids])
-            return pa.RecordBatch.from_pydict({"ids": [numbers.tobytes()], "lengths": [lengths.tobytes()], "nulls": [nulls.tobytes()], "data": [_shrink(b"".join(texts))]})
-
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("data")):
+            for i, t, seat in zip(batch.column("doc_id").to_pylist(), batch.column("data"), batch.column("seat").to_pylist()):
+                text = t.as_buffer()
+                if text.size > chunk_bytes:
+                    for part, (piece, last) in enumerate(_pieces(text, chunk_bytes)):
+                        yield row([i], [piece], seat, part, last)
+                    continue
                 ids.append(i)
-                texts.append(t.as_py())
-                size += len(texts[-1])
+                texts.append(text.to_pybytes())
+                size += text.size
                 if size >= chunk_bytes or len(ids) >= chunk_bytes // 16:
-                    yield row()
+                    yield row(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
-            yield row()
+            yield row(ids, texts)
 
-    packed = rows.mapInArrow(run, "ids binary, lengths binary, nulls binary, data binary")
+    packed = rows.mapInArrow(run, "ids binary, lengths binary, nulls binary, data binary, seat long, part long, last boolean")
     return durable(packed.withColumn("chunk", F.monotonically_increasing_id()), "suffix-chunks")
 
 
@@ -329,7 +352,7 @@ def shared_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
 def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """(bucket, chunk, runs, strings): ``runs`` of copies settled inside a chunk, or ``strings`` for a bucket to compare."""
     lists = shared.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
-    both = chunks.drop("nulls").join(lists, "chunk", "left")
+    both = chunks.drop("nulls", "seat", "part", "last").join(lists, "chunk", "left")
 
     def run(batches):
         for batch in batches:
@@ -411,41 +434,116 @@ def bucket_copies(found: DataFrame, buckets: int) -> DataFrame:
     return _spread(found, "bucket", buckets).mapInArrow(run, "chunk long, runs binary")
 
 
-def _kept_rows(chunks: DataFrame, copies: DataFrame, finish, fields: dict) -> DataFrame:
-    """Apply ``finish(id, is_null, bytes, removed mask)`` to every document."""
-    lists = copies.groupBy("chunk").agg(F.collect_list("runs").alias("runs"))
-    kinds = pa.schema([(n, pa.type_for_alias({"long": "int64"}.get(k, k))) for n, k in fields.items()])
+class _Report:
+    """What is left of a document, taken in piece by piece."""
+
+    FIELDS = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
+
+    def __init__(self):
+        self.bytes = self.removed = self.spans = 0
+        self.open = False  # the last byte was removed
+        self.kept = hashlib.sha256()
+
+    def add(self, x: np.ndarray, gone: np.ndarray) -> None:
+        if not len(x):
+            return
+        self.bytes += len(x)
+        self.removed += int(gone.sum())
+        self.spans += int((gone & ~np.r_[self.open, gone[:-1]]).sum())
+        self.open = bool(gone[-1])
+        self.kept.update(x[~gone].tobytes())
+
+    def row(self, doc_id: int | None) -> dict:
+        return {"doc_id": doc_id, "n_bytes": self.bytes, "n_removed": self.removed, "n_spans": self.spans, "kept_sha256": self.kept.hexdigest()}
+
+
+class _Text:
+    """The bytes that are left."""
+
+    FIELDS = {"doc_id": "long", "data": "binary"}
+
+    def __init__(self):
+        self.kept: list[bytes] = []
+
+    def add(self, x: np.ndarray, gone: np.ndarray) -> None:
+        self.kept.append(x[~gone].tobytes())
+
+    def row(self, doc_id: int | None) -> dict:
+        return {"doc_id": doc_id, "data": b"".join(self.kept)}
+
+
+def _arrow(fields: dict) -> pa.Schema:
+    return pa.schema([(n, pa.type_for_alias({"long": "int64", "boolean": "bool"}.get(k, k))) for n, k in fields.items()])
+
+
+def _ddl(fields: dict) -> str:
+    return ", ".join(f"{n} {k}" for n, k in fields.items())
+
+
+_PIECE = {"doc_id": "long", "seat": "long", "part": "long", "last": "boolean", "data": "binary", "gone": "binary"}
+
+
+def _marked(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a chunk and the mask of those that go."""
+    x = np.frombuffer(_restore(r["data"]), np.uint8)
+    edge = np.zeros(len(x) + 1, np.int32)
+    for b in r["runs"] or []:
+        first, count = np.frombuffer(b, "<i8").reshape(-1, 2).T
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + count + (MIN_BYTES - 1), -1)
+    return x, np.cumsum(edge[:-1]) > 0
+
+
+def _joined(pieces: DataFrame, kind: type) -> DataFrame:
+    """Rows of documents that were cut: their pieces are streamed in order, one at a time."""
+    kinds = _arrow(kind.FIELDS)
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                x = np.frombuffer(_restore(r["data"]), np.uint8)
-                edge = np.zeros(len(x) + 1, np.int32)
-                for b in r["runs"] or []:
-                    first, count = np.frombuffer(b, "<i8").reshape(-1, 2).T
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + count + (MIN_BYTES - 1), -1)
-                gone = np.cumsum(edge[:-1]) > 0
+                if r["part"] == 0:
+                    whole, over = kind(), np.zeros(0, bool)
+                x, gone = np.frombuffer(_restore(r["data"]), np.uint8), np.frombuffer(_restore(r["gone"]), bool).copy()
+                gone[: len(over)] |= over
+                own = len(x) if r["last"] else len(x) - (MIN_BYTES - 1)
+                over = gone[own:]
+                whole.add(x[:own], gone[:own])
+                if r["last"]:
+                    yield pa.RecordBatch.from_pylist([whole.row(r["doc_id"])], kinds)
+
+    return pieces.repartition("seat").sortWithinPartitions("seat", "part").mapInArrow(run, _ddl(kind.FIELDS))
+
+
+def _kept_rows(chunks: DataFrame, copies: DataFrame, kind: type) -> DataFrame:
+    """One row of ``kind`` for every document."""
+    both = chunks.join(copies.groupBy("chunk").agg(F.collect_list("runs").alias("runs")), "chunk", "left")
+    cut = not chunks.filter("seat IS NOT NULL").select("seat").isEmpty()
+    fields = {**kind.FIELDS, **{f"piece_{n}": k for n, k in _PIECE.items()}} if cut else kind.FIELDS
+    kinds = _arrow(fields)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, gone = _marked(r)
+                ids = [None if null else int(i) for i, null in zip(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["nulls"], bool))]
+                if r["seat"] is not None:
+                    piece = {"doc_id": ids[0], "seat": r["seat"], "part": r["part"], "last": r["last"], "data": r["data"], "gone": _shrink(gone.tobytes())}
+                    yield pa.RecordBatch.from_pylist([{f"piece_{n}": v for n, v in piece.items()}], kinds)
+                    continue
                 ends = np.cumsum(np.frombuffer(r["lengths"], np.int64))
-                out = [
-                    finish(None if null else int(i), x[s:e], gone[s:e])
-                    for i, null, s, e in zip(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["nulls"], bool), np.r_[0, ends], ends)
-                ]
+                out = []
+                for i, s, e in zip(ids, np.r_[0, ends], ends):
+                    whole = kind()
+                    whole.add(x[s:e], gone[s:e])
+                    out.append(whole.row(i))
                 yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return chunks.join(lists, "chunk", "left").mapInArrow(run, ", ".join(f"{n} {k}" for n, k in fields.items()))
-
-
-def _report(doc_id, x, gone) -> dict:
-    first = gone & ~np.r_[False, gone[:-1]] if len(gone) else gone
-    return {
-        "doc_id": doc_id, "n_bytes": len(x), "n_removed": int(gone.sum()), "n_spans": int(first.sum()),
-        "kept_sha256": hashlib.sha256(x[~gone].tobytes()).hexdigest(),
-    }
-
-
-def _text(doc_id, x, gone) -> dict:
-    return {"doc_id": doc_id, "data": x[~gone].tobytes()}
+    made = both.mapInArrow(run, _ddl(fields))
+    if not cut:
+        return made
+    made = durable(made, "suffix-kept")
+    pieces = made.filter("piece_seat IS NOT NULL").select(*[F.col(f"piece_{n}").alias(n) for n in _PIECE])
+    return made.filter("piece_seat IS NULL").select(*kind.FIELDS).unionByName(_joined(pieces, kind))
 
 
 def _copies(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -458,10 +556,10 @@ def _copies(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, bucke
 def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     parts = _copies(docs, id_col, text_col, chunk_bytes, bucket_bytes)
-    return _kept_rows(*parts, _report, {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"})
+    return _kept_rows(*parts, _Report)
 
 
 def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id and ``data``, the remaining bytes (removal may cut a character in two)."""
     parts = _copies(docs, id_col, text_col, chunk_bytes, bucket_bytes)
-    return _kept_rows(*parts, _text, {"doc_id": "long", "data": "binary"})
+    return _kept_rows(*parts, _Text)

@@ -206,6 +206,25 @@ def test_suffix_dedup_against_all_strings(spark, seed):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("chunk_bytes", [50, 64, 300])
+def test_suffix_dedup_cuts_long_texts(spark, chunk_bytes):
+    """Passages over the cuts, pieces shorter than a passage, a text that repeats itself, null and repeated ids."""
+    rng = random.Random(chunk_bytes)
+    a, b = ("".join(rng.choices("abcdefg", k=n)) for n in (700, 160))
+    data = [(5, a), (1, b + "x"), (7, "q" * 33 + b + a[100:420] + b), (None, a[50:] + b), (None, a[:99]), (7, a), (3, "zz" * 130), (4, "z" * 99), (8, "s" * 50), (9, a[651:])]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    docs = [(i, t.encode()) for i, t in data]
+    want, left = [], []
+    for (i, t), gone in zip(docs, plain_removal(docs)):
+        kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        want.append((str(i), len(t), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()), hashlib.sha256(kept).hexdigest()))
+        left.append((str(i), kept))
+    got = suffix_dedup.dedup_report(df, chunk_bytes=chunk_bytes, bucket_bytes=500).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    texts = suffix_dedup.remove_copies(df, chunk_bytes=chunk_bytes, bucket_bytes=500).collect()
+    assert sorted((str(r.doc_id), bytes(r.data)) for r in texts) == sorted(left)
+
+
 def test_suffix_dedup_edges(spark):
     got = suffix_dedup.dedup_report(table(spark)).collect()
     assert len(got) == len(rows())
