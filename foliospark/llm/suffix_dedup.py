@@ -22,7 +22,13 @@ Null and empty texts, and texts below MIN_BYTES, keep all bytes.  Ids that are e
 repeated rows do not remove each other; a null id counts as larger than any other.  Matches never cross documents.
 A text of more than a chunk is cut into pieces, each with the first MIN_BYTES - 1 bytes of the next one, so that every string
 lies in just one piece; the pieces are chunks of their own, and what they keep is put together in order.  A task then needs
-some 30 bytes for each byte of a chunk, whatever a text's length.  Input columns other than id and text are not read.  Empty tables give empty results.
+some 30 bytes for each byte of a chunk, whatever a text's length.  Input columns other than id and text are not read.
+Empty tables give empty results.
+
+A passage that very many chunks have would meet in one bucket.  Anchors that more than ``FAN`` chunks have are compared in a
+tree: ``FAN`` chunks at a time, and only strings that no smaller document has there go on to the next level.  No task gets
+more than FAN chunks' share of an anchor, however large the corpus; only rows that repeat an id, or have none, cannot settle
+each other and go on together.
 """
 
 from __future__ import annotations
@@ -43,6 +49,7 @@ GRAM = 20
 WINDOW = MIN_BYTES - GRAM + 1  # grams in a string
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 4 << 20
+FAN = 1024
 COMPARE_AT_ONCE = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _U = np.uint64
@@ -317,8 +324,9 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[in
         yield now, held
 
 
-def shared_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, hashes): for each chunk, its anchors' hashes that another chunk has too."""
+def shared_hashes(chunks: DataFrame, buckets: int, fan: int | None = None) -> DataFrame:
+    """(chunk, hashes, hot): for each chunk, its anchors' hashes that another chunk has too, and those that more than ``fan``
+    chunks have (null without ``fan``)."""
 
     def send(batches):
         for batch in batches:
@@ -341,17 +349,35 @@ def shared_hashes(chunks: DataFrame, buckets: int) -> DataFrame:
             shared = np.zeros(len(h), bool)
             shared[order] = np.r_[same, False] | np.r_[False, same]
             at = np.cumsum([0, *map(len, parts)])
-            out = [(r["chunk"], _pack_hashes(p[shared[s:e]])) for r, p, s, e in zip(rows, parts, at, at[1:]) if shared[s:e].any()]
+            hot = np.zeros(len(h), bool)
+            if fan is not None and len(h):  # a chunk sends a hash once
+                run = np.cumsum(np.r_[True, ~same]) - 1
+                hot[order] = np.bincount(run)[run] > fan
+            out = [
+                (r["chunk"], _pack_hashes(p[shared[s:e]]), _pack_hashes(p[hot[s:e]]) if hot[s:e].any() else None)
+                for r, p, s, e in zip(rows, parts, at, at[1:])
+                if shared[s:e].any()
+            ]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["chunk", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "hashes", "hot"])
 
     sent = chunks.mapInArrow(send, "bucket long, chunk long, hashes binary")
-    return _spread(sent, "bucket", buckets).mapInArrow(compare, "chunk long, hashes binary")
+    return _spread(sent, "bucket", buckets).mapInArrow(compare, "chunk long, hashes binary, hot binary")
+
+
+def _unpacked(parts: list[bytes] | None) -> np.ndarray:
+    return np.concatenate([_unpack_hashes(b) for b in parts or []] or [np.zeros(0, _U)])
+
 
+def _node(chunk: int, nodes: int) -> int:
+    return ((chunk * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32) % nodes
 
-def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, runs, strings): ``runs`` of copies settled inside a chunk, or ``strings`` for a bucket to compare."""
-    lists = shared.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"))
+
+def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int, nodes: int = 1) -> DataFrame:
+    """(bucket, chunk, runs, strings): ``runs`` of copies settled inside a chunk, or ``strings`` for a bucket to compare.
+
+    Numbers from ``buckets`` on are the lowest nodes of the trees of hot anchors: bucket + buckets * (1 + node)."""
+    lists = shared.groupBy("chunk").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("hot").alias("hot"))
     both = chunks.drop("nulls", "seat", "part", "last").join(lists, "chunk", "left")
 
     def run(batches):
@@ -359,7 +385,10 @@ def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFram
             for r in batch.to_pylist():
                 c = _Chunk(r["ids"], r["lengths"], r["data"])
                 a = c.anchors
-                elsewhere = np.isin(a.hash, np.concatenate([_unpack_hashes(b) for b in r["hashes"] or []] or [np.zeros(0, _U)]))
+                elsewhere = np.isin(a.hash, _unpacked(r["hashes"]))
+                place = _bucket_of(a.hash, buckets)
+                if r["hot"]:
+                    place[np.isin(a.hash, _unpacked(r["hot"]))] += buckets * (1 + _node(r["chunk"], nodes))
                 here = _repeated_within(a) if len(a.at) else elsewhere
                 start, k = a.strings(here | elsewhere)
                 doc = c.ids[np.searchsorted(c.ends, start, side="right")]
@@ -376,7 +405,7 @@ def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFram
                     first = np.flatnonzero(np.r_[True, (np.diff(start[sent]) != 1) | (np.diff(k[sent]) != 0)])
                     count = np.diff(np.r_[first, len(sent)])
                     first = sent[first]
-                    bucket, bucket_again = _bucket_of(a.hash[k[first]], buckets), _bucket_of(a.hash[k[again]], buckets)
+                    bucket, bucket_again = place[k[first]], place[k[again]]
                     order, order_again = np.argsort(bucket, kind="stable"), np.argsort(bucket_again, kind="stable")
                     edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
                     for piece in np.split(order, edges[1:]):
@@ -395,43 +424,68 @@ def chunk_copies(chunks: DataFrame, shared: DataFrame, buckets: int) -> DataFram
     return both.mapInArrow(run, "bucket long, chunk long, runs binary, strings binary")
 
 
-def bucket_copies(found: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, runs): all copies, those settled before and those that buckets find."""
-
-    def compare(rows):
-        texts, starts, docs, chunks, offset = [], [], [], [], 0
-        at = []
-        for r in rows:
-            raw = _restore(r["strings"])
-            n, m = np.frombuffer(raw, np.int64, 2).tolist()
-            s, count, doc = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(3, n)
-            text = np.frombuffer(raw, np.uint8, offset=16 + 24 * n + 16 * m).copy()
-            size = count + (MIN_BYTES - 1)
-            at.append(_ranges(offset + np.cumsum(size) - size, count))
-            starts.append(_ranges(s, count))
-            docs.append(np.repeat(doc, count))
-            chunks.append(len(starts[-1]))
-            texts.append(text)
-            offset += len(text)
-        copy = later_copies(_bytes_at(np.concatenate(texts), np.concatenate(at)), np.concatenate(docs))
-        edge = np.cumsum([0, *chunks])
-        for r, s, i, j in zip(rows, starts, edge, edge[1:]):
-            if copy[i:j].any():
-                raw = _restore(r["strings"])
-                n, m = np.frombuffer(raw, np.int64, 2).tolist()
-                again, first = np.frombuffer(raw, np.int64, 2 * m, 16 + 24 * n).reshape(2, m)
-                found = np.concatenate([s[copy[i:j]], again[np.isin(first, s[copy[i:j]])]])
-                yield r["chunk"], _runs(np.sort(found)).astype("<i8").tobytes()
-
-    def run(batches):
-        for _, rows in _groups(batches, "bucket"):
-            out = [(r["chunk"], r["runs"]) for r in rows if r["runs"] is not None]
-            if rows := [r for r in rows if r["strings"] is not None]:
-                out += compare(rows)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["chunk", "runs"])
-
-    return _spread(found, "bucket", buckets).mapInArrow(run, "chunk long, runs binary")
+def _survivors(starts: np.ndarray, docs: np.ndarray, at: np.ndarray, x: np.ndarray, again: np.ndarray, first: np.ndarray) -> bytes:
+    """Strings that go on, packed as they came: runs of neighbours, with the other places of each."""
+    new = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(at) != 1) | (np.diff(docs) != 0)])
+    count = np.diff(np.r_[new, len(starts)])
+    numbers = [np.int64([len(new), len(again)]), starts[new], count, docs[new], again, first]
+    text = x[_ranges(at[new], count + (MIN_BYTES - 1))]
+    return _shrink(b"".join(n.astype(np.int64).tobytes() for n in numbers) + text.tobytes())
+
+
+def _compared(rows: list[dict], go_on: bool) -> Iterator[tuple[int, bytes | None, bytes | None]]:
+    """(chunk, runs, strings): the later copies among the strings of one bucket or node, and, if asked, the others."""
+    texts, starts, docs, at, more, offset = [], [], [], [], [], 0
+    for r in rows:
+        raw = _restore(r["strings"])
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        s, count, doc = np.frombuffer(raw, np.int64, 3 * n, 16).reshape(3, n)
+        text = np.frombuffer(raw, np.uint8, offset=16 + 24 * n + 16 * m).copy()
+        size = count + (MIN_BYTES - 1)
+        at.append(_ranges(offset + np.cumsum(size) - size, count))
+        starts.append(_ranges(s, count))
+        docs.append(np.repeat(doc, count))
+        more.append(np.frombuffer(raw, np.int64, 2 * m, 16 + 24 * n).reshape(2, m).copy())
+        texts.append(text)
+        offset += len(text)
+    x = np.concatenate(texts)
+    copy = later_copies(_bytes_at(x, np.concatenate(at)), np.concatenate(docs))
+    edge = np.cumsum([0, *map(len, starts)])
+    for r, s, d, p, (again, first), i, j in zip(rows, starts, docs, at, more, edge, edge[1:]):
+        gone = copy[i:j]
+        also = np.isin(first, s[gone])
+        if gone.any():
+            yield r["chunk"], _runs(np.sort(np.concatenate([s[gone], again[also]]))).astype("<i8").tobytes(), None
+        if go_on and not gone.all():
+            yield r["chunk"], None, _survivors(s[~gone], d[~gone], p[~gone], x, again[~also], first[~also])
+
+
+def bucket_copies(found: DataFrame, buckets: int, fan: int = FAN, depth: int = 1) -> DataFrame:
+    """(chunk, runs): all copies, those settled before and those that buckets and the ``depth`` levels of trees find."""
+
+    def level(rows: DataFrame, step: int) -> DataFrame:
+        def run(batches):
+            for place, group in _groups(batches, "bucket"):
+                out = [(place, r["chunk"], r["runs"], None) for r in group if r["runs"] is not None]
+                if group := [r for r in group if r["strings"] is not None]:
+                    go_on, up = place >= buckets and step < depth, place
+                    if go_on:
+                        up = place % buckets + buckets * (1 + (place // buckets - 1) % fan ** (depth - 1 - step))
+                    out += [(up, *found) for found in _compared(group, go_on)]
+                if out:
+                    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["bucket", "chunk", "runs", "strings"])
+
+        return _spread(rows, "bucket", buckets).mapInArrow(run, "bucket long, chunk long, runs binary, strings binary")
+
+    found = level(found, 1)
+    settled = None
+    for step in range(2, depth + 1):  # what is settled stays where it is
+        found = durable(found, "suffix-level")
+        done = found.filter("runs IS NOT NULL")
+        settled = done if settled is None else settled.unionByName(done)
+        found = level(found.filter("strings IS NOT NULL"), step)
+    return (found if settled is None else settled.unionByName(found)).select("chunk", "runs")
 
 
 class _Report:
@@ -546,20 +600,32 @@ def _kept_rows(chunks: DataFrame, copies: DataFrame, kind: type) -> DataFrame:
     return made.filter("piece_seat IS NULL").select(*kind.FIELDS).unionByName(_joined(pieces, kind))
 
 
-def _copies(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+def tree_depth(chunks: int, fan: int) -> int:
+    """Levels at which ``fan`` at a time become one."""
+    depth = 1
+    while fan**depth < chunks:
+        depth += 1
+    return depth
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int, bucket_bytes: int, fan: int) -> tuple[DataFrame, DataFrame]:
     chunks = pack_chunks(docs, id_col, text_col, chunk_bytes)
     size = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)))).first()[0] or 0
     buckets = max(16, -(-size // bucket_bytes))
-    return chunks, bucket_copies(chunk_copies(chunks, shared_hashes(chunks, buckets), buckets), buckets)
+    depth = tree_depth(chunks.count(), fan)
+    shared = shared_hashes(chunks, buckets, fan if depth > 1 else None)
+    return chunks, bucket_copies(chunk_copies(chunks, shared, buckets, fan ** (depth - 1)), buckets, fan, depth)
 
 
-def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup_report(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN
+) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    parts = _copies(docs, id_col, text_col, chunk_bytes, bucket_bytes)
-    return _kept_rows(*parts, _Report)
+    return _kept_rows(*_copies(docs, id_col, text_col, chunk_bytes, bucket_bytes, fan), _Report)
 
 
-def remove_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN
+) -> DataFrame:
     """One row per document: doc_id and ``data``, the remaining bytes (removal may cut a character in two)."""
-    parts = _copies(docs, id_col, text_col, chunk_bytes, bucket_bytes)
-    return _kept_rows(*parts, _Text)
+    return _kept_rows(*_copies(docs, id_col, text_col, chunk_bytes, bucket_bytes, fan), _Text)

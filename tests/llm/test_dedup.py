@@ -206,6 +206,38 @@ def test_suffix_dedup_against_all_strings(spark, seed):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_trees_of_frequent_passages(spark, seed):
+    """Anchors that more than two chunks have go through trees of several levels."""
+    data = passages(seed)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.dedup_report(df, chunk_bytes=250, bucket_bytes=2000, fan=2).collect()
+    docs = [(i, t.encode()) for i, t in data]
+    want = sorted((str(i), len(b), int(gone.sum())) for (i, b), gone in zip(docs, plain_removal(docs)))
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in got) == want
+
+
+def test_suffix_dedup_busiest_task_does_not_grow(spark):
+    """One passage in every document: four times the chunks, the same largest number of rows in one place and level."""
+    rng, fan = random.Random(5), 4
+    passage = "".join(rng.choices("abcdefghijklmnop", k=120))
+
+    def busiest(n):
+        texts = [(i, passage + "".join(rng.choices("qrstuvwxyz", k=300))) for i in range(n)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+        chunks = suffix_dedup.pack_chunks(docs, "doc_id", "text", 400)
+        shared = suffix_dedup.shared_hashes(chunks, 16, fan)
+        depth = suffix_dedup.tree_depth(chunks.count(), fan)
+        found = suffix_dedup.chunk_copies(chunks, shared, 16, fan ** (depth - 1))
+        widest = found.filter("strings IS NOT NULL").groupBy("bucket").count().agg({"count": "max"}).first()[0]
+        copies = suffix_dedup.bucket_copies(found, 16, fan, depth)
+        assert copies.select("chunk").distinct().count() == n - 1
+        return widest
+
+    few, many = busiest(60), busiest(240)
+    assert many <= 2 * max(few, fan) and many < 30
+
+
 @pytest.mark.parametrize("chunk_bytes", [50, 64, 300])
 def test_suffix_dedup_cuts_long_texts(spark, chunk_bytes):
     """Passages over the cuts, pieces shorter than a passage, a text that repeats itself, null and repeated ids."""
