@@ -737,7 +737,8 @@ def topk_preview(spark, sf):
 def _document_stream(spark, sf, name="documents", *columns):
     inputs.utc(spark)
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return read_stream(spark, sf, schema, f"{name}.parquet").select(*columns)
+    # A table is one file or a folder of them.  A stream takes a plain path for a folder, and what a glob matches for either.
+    return read_stream(spark, f"{sf}/{{{name}}}.parquet", schema).select(*columns)
 
 
 @query

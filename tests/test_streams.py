@@ -3,6 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from foliospark import JobConfig, create_chunks
+from foliospark.plans.queries import QUERIES
 from foliospark.streaming.ingest import drain, read_stream, start_deduplicated, start_parquet, stream_chunks
 from foliospark.streaming.quota import stream_quota
 from foliospark.streaming.state import track_documents
@@ -95,3 +96,18 @@ def test_state_survives_a_restart_and_expires(spark, tmp_path):
     put(spark, tmp_path / "in", [(1, "cccc\n")])
     assert run(24, "kept") == [1, 2]
     assert run(1 / 3600, "brief") == [1, 1]
+
+
+def test_a_table_that_is_a_folder_streams_like_one_that_is_a_file(spark, tmp_path):
+    docs = [(i, f"text {i}\n") for i in range(30)]
+    table = tmp_path / "folder" / "documents.parquet"
+    spark.createDataFrame(docs, SCHEMA).repartition(3).write.parquet(str(table))
+    spark.createDataFrame(docs, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "one"))
+    single = next((tmp_path / "one").glob("part-*.parquet"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "documents.parquet").write_bytes(single.read_bytes())
+    for sf in ("folder", "file"):
+        got = QUERIES["stream_dedup_outputs"](spark, str(tmp_path / sf))
+        assert sorted(map(tuple, got.collect())) == docs
+        got = QUERIES["stream_chunks"](spark, str(tmp_path / sf)).select("doc_id", "text")
+        assert sorted(map(tuple, got.collect())) == docs
