@@ -71,7 +71,9 @@ def _logged_answers(
     done = whole_documents(read_answers(spark, log_dir, schema), key, run_name(config), CHECKPOINT_MAX_AGE_HOURS).filter("failed = 0")
     todo = durable(named.join(done, pair, "left_anti"), "to-ask")
     asked = transform_chunks(chunks.join(todo, key), config, responder, fallbacks, key, log_dir=log_dir)
-    _observed(asked, seen).write.format("noop").mode("overwrite").save()
+    # The answers are in the log by then: only what is counted is worked out for them here.
+    counted = asked.select("error", "total_input_tokens", "response_tokens")
+    _observed(counted, seen).write.format("noop").mode("overwrite").save()
     answers = read_answers(spark, log_dir, schema)
     chosen = whole_documents(answers, key, run_name(config)).join(named, pair, "left_semi").select(*pair, "attempt")
     once = answers.join(chosen, [*pair, "attempt"]).dropDuplicates([key, "chunk_index"])

@@ -21,6 +21,8 @@ from .manifest import rooted
 
 #: A file is written after so many answers or seconds.
 LOG_ROWS, LOG_SECONDS = 200, 30.0
+#: A file waits for this part of the answers that its task has logged, so that fast answers do not fill a folder with files.
+LOG_PART = 16
 
 
 class AnswerWriter:
@@ -28,10 +30,10 @@ class AnswerWriter:
 
     def __init__(self, folder: str, schema: pa.Schema):
         self.folder, self.schema, self.attempt = folder, schema, uuid.uuid4().hex
-        self.due = time.monotonic() + LOG_SECONDS
+        self.due, self.logged = time.monotonic() + LOG_SECONDS, 0
 
     def is_due(self, rows: int) -> bool:
-        return rows >= LOG_ROWS or (rows > 0 and time.monotonic() >= self.due)
+        return rows >= max(LOG_ROWS, self.logged // LOG_PART) or (rows > 0 and time.monotonic() >= self.due)
 
     def write(self, answers: pd.DataFrame) -> None:
         from pyarrow import fs, parquet
@@ -43,7 +45,7 @@ class AnswerWriter:
         with store.open_output_stream(f"{base}/_{name}") as out:  # readers pass over names that start so
             parquet.write_table(table, out)
         store.move(f"{base}/_{name}", f"{base}/{name}")
-        self.due = time.monotonic() + LOG_SECONDS
+        self.due, self.logged = time.monotonic() + LOG_SECONDS, self.logged + len(answers)
 
 
 def read_answers(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:

@@ -4,7 +4,10 @@ import sys
 import threading
 import time
 
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyarrow import parquet
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -218,3 +221,19 @@ def test_progress_is_seen_before_the_end(spark, tmp_path):
         thread.join(120)
     done = answer_log.run_progress(spark, log).first()
     assert done.answers == result[0].chunks.count() > seen and done.failed_answers == 0 and done.documents == 12
+
+
+def test_fast_answers_fill_few_files(tmp_path):
+    """A file follows 200 answers or 30 seconds, and later on a sixteenth of what its task has logged."""
+    writer = answer_log.AnswerWriter(str(tmp_path), pa.schema([("n", pa.int64()), ("attempt", pa.string())]))
+    held, logged = [], 0
+    for n in range(100_000):
+        held.append(n)
+        if writer.is_due(len(held)):
+            assert len(held) <= max(200, logged / 16 + 1)
+            writer.write(pd.DataFrame({"n": held}))
+            held, logged = [], n + 1
+    assert logged > 90_000 and len(list(tmp_path.iterdir())) < 100
+    assert sorted(parquet.read_table(str(tmp_path)).column("n").to_pylist()) == list(range(logged))
+    writer.due = 0
+    assert writer.is_due(1) and not writer.is_due(0)
