@@ -167,3 +167,21 @@ def test_chunking_evaluates_the_fold_once(spark):
         plan = chunks._jdf.queryExecution().optimizedPlan().toString()
         assert "Filter (size(" not in plan
         assert plan.count("aggregate(") <= 4, fmt
+
+
+def test_xml_udfs_hold_few_texts_at_a_time(spark):
+    """A batch of thousands of long texts would fill a task's memory; so a batch is what Spark pickles, a hundred rows."""
+    from pyspark.sql import functions as F
+
+    from foliospark.functions.xml import xml_children, xml_normalize, xml_parts, xml_spans, xml_wrap
+
+    rows = [(1, None), (2, ""), (3, "a & b"), (4, "<a><b/>t</a>")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id")
+    got = d.select(xml_normalize("text").alias("n"), xml_spans("text").alias("s"), xml_parts("text", F.lit(1)).alias("p"), xml_wrap("text").alias("w"), xml_children("text").alias("c"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    none, empty, wrapped, formed = got.collect()
+    assert (none.n, none.s, tuple(none.p), none.w, none.c) == (None, None, (None, None), None, None)
+    assert (empty.n, empty.s, empty.w, empty.c) == ("<x></x>", [], "<x></x>", [])
+    assert wrapped.n == wrapped.p.norm == "<p>a &amp; b</p>" and wrapped.p.elements == ["<p>a &amp; b</p>"]
+    assert formed.n == formed.w == "<a><b/>t</a>" and [tuple(s) for s in formed.s] == [(0, 12)] and formed.c == ["<b/>", "t"]
