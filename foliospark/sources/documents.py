@@ -12,6 +12,8 @@ from ..session import spread
 
 #: Bytes and files that one task reads.
 TASK_BYTES, TASK_FILES = 64 << 20, 2_000
+#: Bytes and files that a task holds before it passes them on; a longer file stands alone.
+BATCH_BYTES, BATCH_FILES = 1 << 20, 500
 
 
 def read_table(spark: SparkSession, path: str, key: str, *columns: str) -> DataFrame:
@@ -44,8 +46,17 @@ def read_manifest(manifest: DataFrame, limit: int | None = None, task_bytes: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        rows, size = [], 0
+
+        def held() -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["path", "length", "content", "problem"])
+
         for batch in batches:
             for path, length in batch.itertuples(index=False, name=None):
+                # Memory holds one document, or many small ones.
+                if rows and (len(rows) >= BATCH_FILES or size + (0 if pd.isna(length) else length) > BATCH_BYTES):
+                    yield held()
+                    rows, size = [], 0
                 data, problem = b"", None
                 try:
                     if limit is None or length <= limit:
@@ -54,8 +65,10 @@ def read_manifest(manifest: DataFrame, limit: int | None = None, task_bytes: int
                             data = f.read()
                 except Exception as e:
                     problem = str(e)
-                # One file per batch: memory holds one document at a time.
-                yield pd.DataFrame({"path": [path], "length": [length], "content": [data], "problem": [problem]})
+                rows.append((path, length, data, problem))
+                size += len(data)
+        if rows:
+            yield held()
 
     raw = (
         manifest.select("path", "length")
@@ -96,6 +109,7 @@ def write_files(docs: DataFrame, backup: bool = False) -> DataFrame:
 
         from pyarrow import fs
 
+        made = set()
         for batch in batches:
             rows = []
             for path, text in batch.itertuples(index=False, name=None):
@@ -103,7 +117,9 @@ def write_files(docs: DataFrame, backup: bool = False) -> DataFrame:
                 try:
                     store, name = fs.FileSystem.from_uri(path)
                     parent = name.rsplit("/", 1)[0]
-                    store.create_dir(parent, recursive=True)
+                    if parent not in made:
+                        store.create_dir(parent, recursive=True)
+                        made.add(parent)
                     if backup and store.get_file_info(name).type != fs.FileType.NotFound:
                         store.copy_file(name, name + ".bak")
                     temp = f"{parent}/.{uuid.uuid4().hex}.tmp"

@@ -141,3 +141,25 @@ def test_links_to_folders_are_not_followed(spark, tmp_path):
     (base / "a" / "loop").symlink_to(base / "a", target_is_directory=True)
     (base / "b.md").symlink_to(base / "a" / "one.md")
     assert sorted(r.rel_path for r in list_files(spark, str(base)).collect()) == ["a/one.md", "b.md"]
+
+
+def test_small_files_are_passed_on_together(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    from foliospark.sources import documents
+
+    table = spark.createDataFrame([("x", 1)], "path string, length bigint")
+    taken, real = [], type(table).mapInPandas
+    monkeypatch.setattr(type(table), "mapInPandas", lambda self, run, schema: taken.append(run) or real(self, run, schema))
+    documents.read_manifest(table)
+    texts = [b"%d" % i for i in range(1_100)]
+    texts[700] = b"x" * (documents.BATCH_BYTES + 1)
+    rows = []
+    for i, data in enumerate(texts):
+        (tmp_path / str(i)).write_bytes(data)
+        rows.append((str(tmp_path / str(i)), len(data)))
+    rows.append((str(tmp_path / "none"), None))
+    parts = list(taken[0](iter([pd.DataFrame(rows[:400]), pd.DataFrame(rows[400:])])))
+    assert [len(p) for p in parts] == [500, 200, 1, 400]
+    assert [bytes(c) for p in parts for c in p["content"]] == [*texts, b""]
+    assert [p for part in parts for p in part["problem"] if p] != [] and parts[-1]["problem"].iloc[0] is None
