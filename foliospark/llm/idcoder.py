@@ -1,16 +1,19 @@
-"""Adaptive context-mixing range coder for token ids below 65536, for many blocks at once.
+"""Adaptive context-mixing range coder for token ids below 65536.
 
-Blocks are independent: each starts with an empty model.  That also lets numpy code them side by side, one id of every
-block per step; a block's bytes do not depend on its neighbours.
+Blocks are independent: each starts with an empty model, and its bytes do not depend on other blocks.  A block is cut into
+up to ``MAX_LANES`` lanes of consecutive ids, which numpy codes side by side, one id of every lane per step.  The lanes have
+coders of their own and share the block's model, which learns from all of them after each step.
 
 For the next id, order 2 (the last two ids) and order 1 (the last id) each name the id that followed their context, with a
 confidence, and order 0 counts ids.  The first candidate is order 2's where its context was seen before, else order 1's.
-The confidences of both orders and the order-0 count of the candidate select three adaptive probabilities, which a small
+The confidences of both orders and the order-0 share of the candidate select three adaptive probabilities, which a small
 integer logistic mixer joins into the probability of a hit.  After a miss order 1's id, if it is another one, is checked
-under its confidence and its count.  After a second miss the id is coded by order 0 alone: four digits of four bits, each
-under adaptive counts of its own prefix.  All arithmetic is in integers, so every machine decodes what any other has written.
+under its confidence and its share.  After a second miss the id is coded by order 0 alone: the ids that came this far are
+counted, half a count of each distinct one goes to the 64 ids around it, and the shares are drawn up anew as the block grows.
+All arithmetic is in integers, so every machine decodes what any other has written.
 
-The range coder holds 48 bits, writes 16-bit words and settles carries afterwards.
+The range coder holds 48 bits, writes 16-bit words and settles carries afterwards.  The words of all lanes are stored in the
+order in which the decoder asks for them.
 """
 
 from __future__ import annotations
@@ -18,14 +21,11 @@ from __future__ import annotations
 import numpy as np
 
 MAX_ID = 1 << 16
-CONTEXT_BITS = 12
-_SLOTS = 1 << CONTEXT_BITS
-#: Order-0 digits: what a digit seen adds to its count of at first 1, and the sum at which a prefix's counts are halved.
-_DIGITS = 4
-_STEPS = (12, 12, 12, 12)
-_FULL = (16_000, 4_000, 1_500, 230)
-_LOW = np.uint64(0xFFFFFFFF)
-_TOP = np.uint64(1) << np.uint64(32)
+MAX_LANES, LEAST_STEPS = 4096, 512
+#: Bits of a hit's probability, of the three-way choice and of order 0's shares.
+_HIT, _CHOICE, _SHARE = 12, 24, 22
+_TOP = np.uint64(1 << 32)
+_LOW = np.uint64((1 << 32) - 1)
 _W, _D = np.uint64(16), np.uint64(32)
 _START = np.uint64((1 << 48) - 1)
 
@@ -46,263 +46,244 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _SQUASH, _STRETCH = _tables()
-MAX_LANES = 1024
-_LANES = np.arange(MAX_LANES)
+#: Next entry's confidence by the old one, after a miss (first 8) and after a hit; a miss at 0 or 1 replaces the id.
+_SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int64) << 16
+_KEEPS = np.array([0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], np.int64) * 0xFFFF
+#: Share of an id not seen yet, 2048 being that of one seen: vocabularies give low ids to frequent tokens.
+_FLOOR = 1 + (1 << 14) // (np.arange(MAX_ID, dtype=np.int64) + 64)
+_POWERS = 1 << np.arange(31)
+#: Sum at which odds are halved; most ids between two drawings of the shares; most lanes whose errors add up in the mixer.
+_FULL, _REFRESH, _SPEED = 4096, 1 << 17, 8
+
+
+class _Odds:
+    """Adaptive probabilities (of 4096) by small contexts."""
+
+    def __init__(self, contexts: int):
+        self.seen = np.ones((2, contexts), np.int64)  # misses, hits
+        self.seen[0] = 2
+        self.contexts = contexts
+
+    def p(self) -> np.ndarray:
+        return np.clip((self.seen[1] << _HIT) // self.seen.sum(0), 1, 4095)
+
+    def learn(self, context_and_hit: np.ndarray) -> None:
+        self.seen += np.bincount(context_and_hit, minlength=2 * self.contexts).reshape(2, -1) << 1
+        full = self.seen.sum(0) > _FULL
+        if full.any():
+            self.seen[:, full] = (self.seen[:, full] >> 1) + 1
 
 
 class _Model:
-    """State of ``lanes`` blocks."""
-
-    def __init__(self, lanes: int):
-        lane = np.arange(lanes)
-        self.slots, self.odds_of = lane * _SLOTS, lane * 16
-        self.next_id = np.zeros((2, lanes * _SLOTS), np.uint16)
-        self.sure = np.zeros((2, lanes * _SLOTS), np.uint8)
-        self.seen = np.zeros(lanes * _SLOTS, np.uint8)
-        self.hit_odds = np.full((3, lanes * 16), 1 << 14, np.int32)
-        self.weight = np.full((3, lanes), 24_000, np.int64)
-        self.second_odds = np.full(lanes * 128, 1 << 14, np.int32)
-        # Counts less one of the 16 digits after every prefix of 0 to 3 digits.
-        self.counts = [np.zeros((lanes << 4 * d, 16), np.uint8 if d == _DIGITS - 1 else np.uint16) for d in range(_DIGITS)]
-        self.mixed_last = np.zeros((2, lanes), np.int64)  # last id; hash of the one before
-
-    def predict(self, n: int) -> np.ndarray:
-        """Candidate ids of the first n lanes; leaves the hit probability (of 4096) in ``p``."""
-        slots = self.slots[:n]
-        one = self.mixed_last[0, :n] * 40503
-        at2 = (((one ^ self.mixed_last[1, :n]) * 2654435761 >> 18) & (_SLOTS - 1)) + slots
-        at1 = ((one >> 4) & (_SLOTS - 1)) + slots
-        self.known = id2, id1 = self.next_id[0].take(at2), self.next_id[1].take(at1)
-        self.confidence = sure2, sure1 = self.sure[0].take(at2), self.sure[1].take(at1)
-        best = np.where(sure2 > 0, id2, id1)
+    """What a block has taught so far, and its lanes' contexts."""
+
+    def __init__(self, lanes: int, n: int):
+        bits = min(20, max(12, n.bit_length()))
+        self.shift, self.mask = 32 - bits, (1 << bits) - 1
+        self.follow2, self.follow1 = np.zeros(1 << bits, np.int32), np.zeros(MAX_ID, np.int32)  # id | confidence << 16
+        self.odds = _Odds(64)  # 16 of order 2, 16 of order 1, 32 of order 0
+        self.second_odds = _Odds(256)
+        self.weight = [24_000, 24_000, 24_000]
+        self.counts, self.coded = np.zeros(MAX_ID, np.int64), np.zeros(MAX_ID, np.int64)
+        self.held_ids: list[np.ndarray] = []
+        self.held_coded: list[np.ndarray] = []
+        self.n = self.due = 0
+        self.last, self.at2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self._share()
+
+    def _share(self) -> None:
+        """Order 0's shares by all counts so far."""
+        if self.held_ids:
+            self.counts += np.bincount(np.concatenate(self.held_ids), minlength=MAX_ID)
+            self.coded += np.bincount(np.concatenate(self.held_coded), minlength=MAX_ID)
+            self.held_ids, self.held_coded = [], []
+        known = self.coded > 0
+        around = known.reshape(-1, 64).sum(1)
+        part = (self.coded << 11) - (known << 10) + _FLOOR
+        part = (part.reshape(-1, 64) + (around << 4)[:, None]).ravel()
+        upto = np.zeros(MAX_ID + 1, np.int64)
+        np.cumsum(part, out=upto[1:])
+        scale = (((1 << _SHARE) - MAX_ID) << 30) // int(upto[-1])
+        upto = (upto * scale >> 30) + np.arange(MAX_ID + 1)  # no share is empty
+        upto[-1] = 1 << _SHARE
+        self.upto = upto.astype(np.uint32)
+        self.level = np.searchsorted(_POWERS, self.counts * (1 << 16) // max(1, self.n), side="right")
+        self.due = self.n + min(_REFRESH, max(64, self.n >> 3))
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and second candidate of the first n lanes; the ends of their parts of the three-way choice."""
+        self.at = at2, at1 = self.at2[:n], self.last[:n]
+        self.entry = e2, e1 = self.follow2.take(at2).astype(np.int64), self.follow1.take(at1).astype(np.int64)
+        id2, id1 = e2 & 0xFFFF, e1 & 0xFFFF
+        self.sure = sure2, sure1 = e2 >> 16, e1 >> 16
+        known2 = sure2 > 0
+        best = np.where(known2, id2, id1)
         agree = id1 == best
-        best = best.astype(np.int64)
-        self.at = at2, at1
-        seen = self.seen.take((best * 40503 >> 4 & (_SLOTS - 1)) + slots)
-        odds_of = self.odds_of[:n] + agree
-        self.odds_at = odds_of + 2 * sure2, odds_of + 2 * sure1, self.odds_of[:n] + seen
-        self.odds = [self.hit_odds[i].take(self.odds_at[i]) for i in range(3)]
-        self.inputs = [_STRETCH.take(o >> 4) for o in self.odds]
-        w, x = self.weight, self.inputs
-        mixed = (w[0, :n] * x[0] + w[1, :n] * x[1] + w[2, :n] * x[2]) >> 16
-        self.p = _SQUASH.take(mixed + 2048, mode="clip")
-        self.other = (sure2 > 0) & (sure1 > 0) & ~agree
-        return best
-
-    def second(self, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order 1's ids in these lanes and their probabilities (of 4096) after the first miss."""
-        ids = self.known[1].take(lanes).astype(np.int64)
-        seen = self.seen.take((ids * 40503 >> 4 & (_SLOTS - 1)) + self.slots.take(lanes))
-        self.second_at = lanes * 128 + self.confidence[1].take(lanes).astype(np.int64) * 16 + seen
-        self.second_was = self.second_odds.take(self.second_at)
-        return ids, np.maximum(self.second_was >> 4, 1)
-
-    def learn_second(self, hit: np.ndarray) -> None:
-        target = hit.astype(np.int32) * 65471 + 32
-        self.second_odds.put(self.second_at, self.second_was + ((target - self.second_was) >> 4))
-
-    def digit_counts(self, digit: int, node: np.ndarray) -> np.ndarray:
-        """Running sums of the counts of each node's 16 digits."""
-        return (self.counts[digit].take(node, 0).astype(np.uint32) + np.uint32(1)).cumsum(1, dtype=np.uint32)
-
-    def learn_digit(self, digit: int, node: np.ndarray, value: np.ndarray, total: np.ndarray) -> None:
-        counts = self.counts[digit]
-        full = np.flatnonzero(total > _FULL[digit])
-        if len(full):
-            counts[node[full]] >>= 1
-        counts.ravel()[node * 16 + value] += counts.dtype.type(_STEPS[digit])
-
-    def learn(self, n: int, ids: np.ndarray, hit: np.ndarray) -> None:
-        one = hit.astype(np.int64)
-        error = ((one << 12) - self.p) * 6
-        target = (one * 65471 + 32).astype(np.int32)
-        for i in range(3):
-            self.weight[i, :n] += (self.inputs[i] * error + 512) >> 10
-            self.hit_odds[i].put(self.odds_at[i], self.odds[i] + ((target - self.odds[i]) >> 5))
-        small = ids.astype(np.uint16)
-        for i in range(2):
-            at, known, sure = self.at[i], self.known[i], self.confidence[i]
-            right = known == small
-            replace = ~right & (sure <= 1)
-            self.next_id[i].put(at, np.where(replace, small, known))
-            self.sure[i].put(at, _SURER.take(sure + np.uint8(8) * right))
-        hashed = ids * 40503
-        at = (hashed >> 4 & (_SLOTS - 1)) + self.slots[:n]
-        self.seen.put(at, np.minimum(self.seen.take(at) + np.uint8(1), np.uint8(15)))
-        self.mixed_last[1, :n] = self.mixed_last[0, :n] * 30011
-        self.mixed_last[0, :n] = ids
-
-
-#: Next confidence of a context by its confidence: after a miss (first 8), after a hit (last 8).
-_SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.uint8)
-
-
-def _words_of(ids: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Code the columns (sorted by falling length) of a padded id matrix; the words of each."""
-    steps, lanes = ids.shape
-    model = _Model(lanes)
-    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _START, np.uint64)
-    used = np.zeros(lanes, np.int64)
-    out = np.zeros((lanes, steps + 64), np.int32)
-    active = lanes - np.searchsorted(lengths[::-1], np.arange(steps), side="right")
+        self.contexts = (sure2 << 1) + agree, (sure1 << 1) + agree + 16, self.level.take(best) + 32
+        p = self.odds.p()
+        stretch = _STRETCH.take(p)
+        self.inputs = [stretch.take(c) for c in self.contexts]
+        mixed = self.inputs[0] * self.weight[0] + self.inputs[1] * self.weight[1] + self.inputs[2] * self.weight[2] >> 16
+        mixed += 2048
+        self.p = _SQUASH.take(mixed, mode="clip")
+        self.other = (sure1 > 0) > agree
+        self.second_at = (sure1 << 5) + self.level.take(id1)
+        end1 = self.p << (_CHOICE - _HIT)
+        end2 = end1 + ((1 << _HIT) - self.p) * (self.second_odds.p().take(self.second_at) * self.other)
+        self.known = id2, id1
+        return best, id1, end1, end2
+
+    def learn(self, n: int, ids: np.ndarray, hit: np.ndarray, left: np.ndarray) -> None:
+        """``left``: lanes of ids coded by order 0."""
+        target = hit.astype(np.int64)
+        error = (target << _HIT) - self.p
+        for i, (x, context) in enumerate(zip(self.inputs, self.contexts)):
+            self.weight[i] += int(np.dot(x, error)) * 6 * _SPEED // (n + _SPEED - 1) >> 10
+        half = self.odds.contexts
+        self.odds.learn(np.concatenate([c + half * target for c in self.contexts]))
+        tried = np.flatnonzero(self.other > hit)
+        if len(tried):
+            self.second_odds.learn(self.second_at.take(tried) + 256 * (self.known[1].take(tried) == ids.take(tried)))
+        for table, at, entry, known, sure in zip((self.follow2, self.follow1), self.at, self.entry, self.known, self.sure):
+            state = sure + ((known == ids) << 3)
+            keep = _KEEPS.take(state)
+            table[at] = (known & keep) | (ids & (keep ^ 0xFFFF)) | _SURER.take(state)  # of equal places the last lane's holds
+        self.at2[:n] = ((ids * 2654435761 ^ self.last[:n] * 2246822519) >> self.shift) & self.mask
+        self.last[:n] = ids
+        self.held_ids.append(ids)
+        self.held_coded.append(ids.take(left))
+        self.n += n
+        if self.n >= self.due:
+            self._share()
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block."""
+    steps = min(n, max(LEAST_STEPS, -(-n // MAX_LANES)))
+    return -(-n // steps), steps
+
+
+def _active(n: int, lanes: int, steps: int, t: int) -> int:
+    return lanes if t < n - (lanes - 1) * steps else lanes - 1
+
+
+def _encode(block: np.ndarray) -> bytes:
+    n = len(block)
+    lanes, steps = _shape(n)
+    ids = np.zeros(lanes * steps, np.uint16)
+    ids[:n] = block
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T)
+    model = _Model(lanes, n)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, _START)
+    words, owners = [], []
 
     def put(lane, unit, start, width):
         """Narrow the interval of these lanes; unit: size of one count."""
         new = unit * width
         low[lane] += unit * start
         small = np.flatnonzero(new < _TOP)
-        if len(small):
-            s = lane[small] if isinstance(lane, np.ndarray) else small
-            word = low[s] >> _D
-            pos = used[s]
-            out[s, pos] = (word & np.uint64(0xFFFF)).astype(np.int32)
-            carry = np.flatnonzero(word >> _W)
-            if len(carry):
-                out[s[carry], pos[carry] - 1] += 1
-            low[s] = (low[s] & _LOW) << _W
-            used[s] = pos + 1
+        while len(small):
+            s = lane.take(small) if isinstance(lane, np.ndarray) else small
+            at = low.take(s)
+            words.append((at >> _D).astype(np.uint32))
+            owners.append(s.astype(np.uint16))
+            low[s] = (at & _LOW) << _W
             new[small] <<= _W
+            small = small[new.take(small) < _TOP]
         size[lane] = new
 
     for t in range(steps):
-        n = int(active[t])
-        if t % 16 == 0 and int(used.max()) + 16 * 6 + 8 > out.shape[1]:
-            out = np.concatenate([out, np.zeros((lanes, max(256, out.shape[1] // 2)), np.int32)], 1)
-        now = ids[t, :n].astype(np.int64)
-        hit = model.predict(n) == now
-        p = model.p
-        unit = size[:n] >> np.uint64(12)
-        put(slice(0, n), unit, np.where(hit, 0, p).astype(np.uint64), np.where(hit, p, 4096 - p).astype(np.uint64))
-        miss = np.flatnonzero(~hit)
-        again = miss[model.other.take(miss)]
-        if len(again):
-            guess, q = model.second(again)
-            right = guess == now.take(again)
-            put(again, size.take(again) >> np.uint64(12), np.where(right, 0, q).astype(np.uint64), np.where(right, q, 4096 - q).astype(np.uint64))
-            model.learn_second(right)
-            left = ~hit
-            left[again[right]] = False
-            miss = np.flatnonzero(left)
-        if len(miss):
-            x, prefix = now.take(miss), np.zeros(len(miss), np.int64)
-            first = _LANES[: len(miss)] * 16
-            for d in range(_DIGITS):
-                digit = x >> 4 * (_DIGITS - 1 - d) & 15
-                node = (miss << 4 * d) + prefix
-                upto = model.digit_counts(d, node)
-                total, end = upto[:, 15], upto.take(first + digit)
-                start = np.where(digit > 0, upto.take(first + np.maximum(digit - 1, 0)), np.uint32(0))
-                put(miss, size.take(miss) // total, start.astype(np.uint64), (end - start).astype(np.uint64))
-                model.learn_digit(d, node, digit, total)
-                prefix = prefix * 16 + digit
-        model.learn(n, now, hit)
-    if int(used.max()) + 3 > out.shape[1]:
-        out = np.concatenate([out, np.zeros((lanes, 8), np.int32)], 1)
-    every = np.arange(lanes)
-    for shift in (32, 16, 0):
-        word = low >> np.uint64(shift)
-        out[every, used] = (word & np.uint64(0xFFFF)).astype(np.int32)
-        if shift == 32:
-            carry = np.flatnonzero(word >> _W)
-            out[carry, used[carry] - 1] += 1
-        used += 1
-    for j in range(int(used.max()) - 1, 0, -1):
-        over = out[:, j] >> 16
-        if over.any():
-            out[:, j] &= 0xFFFF
-            out[:, j - 1] += over
-    return [out[i, : used[i]].astype("<u2") for i in range(lanes)]
+        m = _active(n, lanes, steps, t)
+        now = ids[t, :m].astype(np.int64)
+        best, second, end1, end2 = model.predict(m)
+        hit = now == best
+        again = (now == second) & model.other
+        start = np.where(hit, 0, np.where(again, end1, end2))
+        end = np.where(hit, end1, np.where(again, end2, 1 << _CHOICE))
+        put(slice(0, m), size[:m] >> np.uint64(_CHOICE), start.astype(np.uint64), (end - start).astype(np.uint64))
+        left = np.flatnonzero(~(hit | again))
+        if len(left):
+            x = now.take(left)
+            start = model.upto.take(x)
+            width = model.upto.take(x + 1) - start
+            put(left, size.take(left) >> np.uint64(_SHARE), start.astype(np.uint64), width.astype(np.uint64))
+        model.learn(m, now, hit, left)
+    # Each lane ends with the three words it still holds; grouped by lane, carries go to the word before.
+    words += [(low >> _D).astype(np.uint32), (low >> _W & np.uint64(0xFFFF)).astype(np.uint32), (low & np.uint64(0xFFFF)).astype(np.uint32)]
+    owners += [np.arange(lanes, dtype=np.uint16)] * 3
+    words, owners = np.concatenate(words), np.concatenate(owners)
+    by_lane = np.argsort(owners, kind="stable")
+    grouped = words[by_lane]
+    while (over := grouped >> np.uint32(16)).any():
+        grouped &= np.uint32(0xFFFF)
+        grouped[:-1] += over[1:]
+    # The decoder holds three words of a lane and asks for the next when the coder writes one.
+    begins = np.searchsorted(owners[by_lane], np.arange(lanes))
+    place = np.empty(len(words), np.int64)
+    place[by_lane] = np.arange(len(words))
+    ahead = place[: len(words) - 3 * lanes] + 3
+    first = grouped[begins[:, None] + np.arange(3)].ravel()
+    return np.concatenate([first, grouped[ahead]]).astype("<u2").tobytes()
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The code of each block of ids, in the given order."""
-    if len(blocks) > MAX_LANES:
-        return encode_blocks(blocks[:MAX_LANES]) + encode_blocks(blocks[MAX_LANES:])
-    lengths = np.array([len(b) for b in blocks])
-    if not len(lengths) or not lengths.max():
-        return [b""] * len(blocks)
-    order = np.argsort(-lengths, kind="stable")
-    if max(int(b.max()) for b in blocks if len(b)) >= MAX_ID:
-        raise ValueError("ids must be below 65536")
-    ids = np.zeros((int(lengths.max()), len(blocks)), np.uint16)
-    for i, k in enumerate(order):
-        ids[: lengths[k], i] = blocks[k]
-    out = [b""] * len(blocks)
-    for i, words in zip(order, _words_of(ids, lengths[order])):
-        out[i] = words.tobytes() if lengths[i] else b""
-    return out
-
-
-def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
-    """Inverse of ``encode_blocks``; lengths: ids of each block."""
-    lengths = np.asarray(lengths)
-    if len(codes) > MAX_LANES:
-        return decode_blocks(codes[:MAX_LANES], lengths[:MAX_LANES]) + decode_blocks(codes[MAX_LANES:], lengths[MAX_LANES:])
-    if not len(lengths) or not lengths.max():
-        return [np.zeros(0, np.int64) for _ in codes]
-    order = np.argsort(-lengths, kind="stable")
-    words = np.zeros((len(codes), max(len(c) for c in codes) // 2 + 8), np.uint16)
-    for i, k in enumerate(order):
-        words[i, : len(codes[k]) // 2] = np.frombuffer(codes[k], "<u2")
-    sorted_lengths, lanes = lengths[order], len(codes)
-    steps = int(sorted_lengths[0])
-    model = _Model(lanes)
-    code = (words[:, 0].astype(np.uint64) << _D) | (words[:, 1].astype(np.uint64) << _W) | words[:, 2]
-    size, used = np.full(lanes, _START, np.uint64), np.full(lanes, 3)
+def _decode(code: bytes, n: int) -> np.ndarray:
+    lanes, steps = _shape(n)
+    words = np.frombuffer(code, "<u2").astype(np.uint64)
+    if len(words) < 3 * lanes:
+        raise ValueError("damaged block")
+    held = words[: 3 * lanes].reshape(lanes, 3)
+    value = held[:, 0] << _D | held[:, 1] << _W | held[:, 2]
+    size, used = np.full(lanes, _START), 3 * lanes
+    model = _Model(lanes, n)
     ids = np.zeros((steps, lanes), np.uint16)
-    last_word = words.shape[1] - 1
-    active = lanes - np.searchsorted(sorted_lengths[::-1], np.arange(steps), side="right")
 
     def take(lane, unit, start, width):
+        nonlocal used
         new = unit * width
-        code[lane] -= unit * start
+        value[lane] -= unit * start
         small = np.flatnonzero(new < _TOP)
-        if len(small):
-            s = lane[small] if isinstance(lane, np.ndarray) else small
-            code[s] = (code[s] << _W) | words[s, np.minimum(used[s], last_word)]
-            used[s] += 1
+        while len(small):
+            s = lane.take(small) if isinstance(lane, np.ndarray) else small
+            if used + len(s) > len(words):
+                raise ValueError("damaged block")
+            value[s] = value.take(s) << _W | words[used : used + len(s)]
+            used += len(s)
             new[small] <<= _W
+            small = small[new.take(small) < _TOP]
         size[lane] = new
 
     for t in range(steps):
-        n = int(active[t])
-        best = model.predict(n)
-        p = model.p
-        unit = size[:n] >> np.uint64(12)
-        hit = code[:n] < unit * p.astype(np.uint64)
-        take(slice(0, n), unit, np.where(hit, 0, p).astype(np.uint64), np.where(hit, p, 4096 - p).astype(np.uint64))
-        now = best
-        miss = np.flatnonzero(~hit)
-        again = miss[model.other.take(miss)]
-        if len(again):
-            guess, q = model.second(again)
-            unit = size.take(again) >> np.uint64(12)
-            right = code.take(again) < unit * q.astype(np.uint64)
-            take(again, unit, np.where(right, 0, q).astype(np.uint64), np.where(right, q, 4096 - q).astype(np.uint64))
-            model.learn_second(right)
-            left = ~hit
-            left[again[right]] = False
-            now[again[right]] = guess[right]
-            miss = np.flatnonzero(left)
-        if len(miss):
-            prefix = np.zeros(len(miss), np.int64)
-            first = _LANES[: len(miss)] * 16
-            for d in range(_DIGITS):
-                node = (miss << 4 * d) + prefix
-                upto = model.digit_counts(d, node)
-                total = upto[:, 15]
-                unit = size.take(miss) // total
-                value = np.minimum(code.take(miss) // unit, total - np.uint32(1)).astype(np.uint32)
-                digit = (upto <= value[:, None]).sum(1)
-                end = upto.take(first + digit)
-                start = np.where(digit > 0, upto.take(first + np.maximum(digit - 1, 0)), np.uint32(0))
-                take(miss, unit, start.astype(np.uint64), (end - start).astype(np.uint64))
-                model.learn_digit(d, node, digit, total)
-                prefix = prefix * 16 + digit
-            now[miss] = prefix
-        ids[t, :n] = now
-        model.learn(n, now, hit)
-    out = [np.zeros(0, np.int64)] * lanes
-    for i, k in enumerate(order):
-        out[k] = ids[: lengths[k], i]
-    return out
+        m = _active(n, lanes, steps, t)
+        best, second, end1, end2 = model.predict(m)
+        unit, v = size[:m] >> np.uint64(_CHOICE), value[:m]
+        hit = v < unit * end1.astype(np.uint64)
+        again = (v < unit * end2.astype(np.uint64)) > hit
+        start = np.where(hit, 0, np.where(again, end1, end2))
+        end = np.where(hit, end1, np.where(again, end2, 1 << _CHOICE))
+        take(slice(0, m), unit, start.astype(np.uint64), (end - start).astype(np.uint64))
+        now = np.where(again, second, best)
+        left = np.flatnonzero(~(hit | again))
+        if len(left):
+            unit = size.take(left) >> np.uint64(_SHARE)
+            at = np.minimum(value.take(left) // unit, np.uint64((1 << _SHARE) - 1)).astype(np.uint32)
+            x = np.searchsorted(model.upto, at, side="right") - 1
+            start = model.upto.take(x)
+            take(left, unit, start.astype(np.uint64), (model.upto.take(x + 1) - start).astype(np.uint64))
+            now[left] = x
+        ids[t, :m] = now
+        model.learn(m, now, hit, left)
+    if used != len(words):
+        raise ValueError("damaged block")
+    return ids.T.ravel()[:n]
+
+
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """The code of each block of ids, in the given order."""
+    if any(len(b) and int(b.max()) >= MAX_ID for b in blocks):
+        raise ValueError("ids must be below 65536")
+    return [_encode(b) if len(b) else b"" for b in blocks]
+
+
+def decode_blocks(codes: list[bytes], lengths: np.ndarray) -> list[np.ndarray]:
+    """Inverse of ``encode_blocks``; lengths: ids of each block."""
+    return [_decode(c, int(n)) if n else np.zeros(0, np.int64) for c, n in zip(codes, lengths)]

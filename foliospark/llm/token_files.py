@@ -5,7 +5,7 @@ A file holds, in ascending order of the documents' ids:
     magic | blocks | index | index length (8 bytes) | index checksum (4 bytes) | magic
 
 A block is at most ``BLOCK_IDS`` ids, coded by ``idcoder`` on its own: its model starts empty and its CRC-32 over the ids
-is kept in the index.  The index is zlib-compressed and has, after three counts, (ids, bytes, checksum) per block and
+is kept in the index.  Blocks are large because their lanes, not their neighbours, are coded side by side.  The index is zlib-compressed and has, after three counts, (ids, bytes, checksum) per block and
 (id, is null, ids) per document.  Documents run on through block borders; the end id closes each.
 
 Documents are range-partitioned by id and sorted, one file per task.  A task holds ``GROUP_BLOCKS`` blocks at a time,
@@ -18,6 +18,7 @@ Columns besides id and text are not read.  An empty table gives no files and no
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,14 +33,18 @@ from ..session import durable, fresh_path
 from .common import text_or_empty
 from .bpe import by_chars
 from .files import new_file, open_file
-from .idcoder import MAX_ID, MAX_LANES, decode_blocks, encode_blocks
+from .idcoder import MAX_ID, decode_blocks, encode_blocks
 
-MAGIC = b"IDSTREAM"
-BLOCK_IDS, LEAST_BLOCK = 4096, 512
-GROUP_BLOCKS = MAX_LANES
-MEMO, SLICE = 100_000, 2_000
+MAGIC = b"IDSTRM02"
+BLOCK_IDS, GROUP_BLOCKS = 1 << 22, 1
+MEMO, SLICE, LINE = 400_000, 2_000, 50
 SPLIT_CHARS = 1_000_000
 END_ID = 0
+_END = (END_ID,)  # no word
+#: White space that needs its neighbours: a text that has any is cut at plain borders only.
+_ODD_SPACE = re.compile(r" \s|[^\S ] |\n\n(?!\S)|\n[^\S\n]|[^\S\n]\n").search
+_BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)").split
+_PROBE, _PROBE_PIECES = "a b\n1 ,\n\nb", ["a", " b", "\n", "1", " ,", "\n", "\n", "b"]
 
 
 def _checksum(ids: np.ndarray, start: int = 0) -> int:
@@ -70,10 +75,8 @@ class IdFileWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.held)
-        # The rest of a file is spread over more and smaller blocks, so that coding side by side still pays.
-        size = BLOCK_IDS if not last else min(BLOCK_IDS, max(LEAST_BLOCK, -(-len(ids) // GROUP_BLOCKS)))
-        most = len(ids) if last else GROUP_BLOCKS * size
-        blocks = [ids[i : min(i + size, most)] for i in range(0, most, size)]
+        most = len(ids) if last else GROUP_BLOCKS * BLOCK_IDS
+        blocks = [ids[i : min(i + BLOCK_IDS, most)] for i in range(0, most, BLOCK_IDS)]
         for block, code in zip(blocks, encode_blocks(blocks)):
             self.size += self.out.write(code)
             self.blocks.append((len(block), len(code), _checksum(block)))
@@ -120,9 +123,10 @@ def read_id_file(stream) -> Iterator[tuple[int | None, list[np.ndarray] | None,
 
 
 class LibraryTokenizer:
-    """The tokenizers library over distinct pre-tokens: a byte-level vocabulary encodes these one by one anyway, so the ids
-    of a text are those of its pre-tokens in turn.  Added tokens are cut out of a text first, longest first, as the library
-    does; each is a piece of its own."""
+    """The tokenizers library over distinct words: cut before each single space or line end between other characters, a text
+    falls into words that the library's pattern cuts there too, so the ids of a text are those of its words in turn.  New
+    words go to the library as lines of many, and the lengths of its tokens tell whose they are.  Added tokens are cut out
+    of a text first, longest first, as the library does; each is a word of its own."""
 
     def __init__(self, path: str, pattern: str):
         import os
@@ -134,33 +138,85 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(pattern).findall
+        if regex.compile(pattern).findall(_PROBE) != _PROBE_PIECES:
+            raise ValueError("a pattern that joins words over white space")
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.single_word or t.lstrip or t.rstrip for t in added):
             raise ValueError("added tokens that depend on their neighbours")
         longest = sorted((t.content for t in added), key=len, reverse=True)
         self.added = regex.compile(f"({'|'.join(map(regex.escape, longest))})") if longest else None
-        self.known: dict[str, list[int]] = {}
-
-    def cut(self, text: str) -> list[str]:
-        if not self.added or not self.added.search(text):
-            return self.pieces(text)
-        parts = self.added.split(text)  # every second one is an added token
-        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.pieces(part))]
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= MAX_ID:
+            raise ValueError("the vocabulary has ids over 65535")
+        #: Bytes of each token: a byte-level vocabulary spells them in one character each.
+        self.n_bytes = np.zeros(MAX_ID, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: The number of each known word; the ids of all of them in turn and where each word's begin (and the last one's end).
+        self.known: dict[str | tuple, int] = {_END: 0}
+        self.ids, self.starts = np.array([END_ID], np.uint16), np.array([0, 1])
+
+    def cut(self, text: str) -> list[str | tuple]:
+        """Words without the space before them; those that have neither that nor a line end in front are in tuples."""
+        if self.added and self.added.search(text):
+            parts = self.added.split(text)  # every second one is an added token
+            return [w for k, part in enumerate(parts) for w in ([(part,)] if k % 2 else self._cut(part))]
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[str | tuple]:
+        if _ODD_SPACE(text):
+            first, *words = _BORDER(text)
+            return [(first,), *(w[1:] if w[0] == " " else w for w in words)]
+        words = text.replace("\n", " \n").split(" ")
+        words[:1] = [(words[0],)] if words[0] else []
+        return words
+
+    def _learn(self, words: list[str | tuple]) -> None:
+        spelt = [w[0] if isinstance(w, tuple) else w if w[:1] == "\n" else " " + w for w in words]
+        # Words in tuples, and white space at a word's end, would not stand alone among others.
+        alone = np.array([isinstance(w, tuple) or not w or w[-1].isspace() for w in words])
+        found = [self.ids]
+        size = np.zeros(len(words), np.int64)
+        for part in np.split(np.flatnonzero(~alone), range(SLICE, len(words), SLICE)):
+            texts = [spelt[i] for i in part]
+            got = self.tokenizer.encode_batch_fast(["".join(texts[i : i + LINE]) for i in range(0, len(texts), LINE)], add_special_tokens=False)
+            ids = np.array([x for e in got for x in e.ids], np.uint16)
+            upto = self.n_bytes.take(ids).cumsum()
+            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts], dtype=np.int64)
+            last = np.searchsorted(upto, ends)
+            if not np.array_equal(upto.take(last, mode="clip"), ends):  # a vocabulary that does not spell out all bytes
+                alone[part] = True
+                continue
+            size[part] = np.diff(last, prepend=-1)
+            found.append(ids)
+        rest = np.flatnonzero(alone)
+        for part in np.split(rest, range(SLICE, len(rest), SLICE)):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([spelt[i] for i in part], add_special_tokens=False)]
+            size[part] = [len(x) for x in got]
+            found.append(np.array([x for ids in got for x in ids], np.uint16))
+        in_turn = np.concatenate([np.flatnonzero(~alone), rest])
+        first = len(self.known)
+        self.known.update(zip([words[i] for i in in_turn], range(first, first + len(words))))
+        self.ids = np.concatenate(found)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + size[in_turn].cumsum()])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        cut = [self.cut(t) for t in texts]
-        distinct = set().union(*cut)
+        cut = [[*self.cut(t), _END] for t in texts]
+        words = list(chain.from_iterable(cut))
         if len(self.known) > MEMO:
-            self.known.clear()
-        new = list(distinct.difference(self.known))
-        for at in range(0, len(new), SLICE):  # the library's results are large
-            part = new[at : at + SLICE]
-            self.known.update(zip(part, [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]))
-        get = self.known.__getitem__
-        for pieces in cut:
-            yield np.fromiter(chain(chain.from_iterable(map(get, pieces)), (END_ID,)), np.int32)
+            self._forget()
+        if new := list(set(words).difference(self.known)):
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        start = self.starts.take(number)
+        size = self.starts.take(number + 1) - start
+        upto = size.cumsum()
+        ids = self.ids.take(np.repeat(start - upto + size, size) + np.arange(size.sum())).astype(np.int32)
+        ends = upto.take(np.cumsum([len(c) for c in cut], dtype=np.int64) - 1)
+        yield from np.split(ids, ends[:-1]) if cut else ()
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

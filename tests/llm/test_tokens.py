@@ -92,6 +92,23 @@ def test_coder_is_smaller_than_general_compression():
     assert all((a == b).all() for a, b in zip(idcoder.decode_blocks(codes, [len(b) for b in blocks]), blocks))
 
 
+def test_long_block_is_coded_side_by_side(monkeypatch):
+    """The steps of a long block are a small share of its ids; before, a block took a step for each of them."""
+    steps, predict = [], idcoder._Model.predict
+    monkeypatch.setattr(idcoder._Model, "predict", lambda self, n: (steps.append(n), predict(self, n))[1])
+    rng = np.random.default_rng(5)
+    block = rng.zipf(1.3, 60_000) % 50_000
+    block[20_000:30_000] = 7  # long runs that ids never seen before break
+    block[20_000:30_000:997] = 65_535 - np.arange(11)
+    code = idcoder.encode_blocks([block])
+    assert len(steps) <= 600 and sum(steps) == len(block)
+    assert (idcoder.decode_blocks(code, [len(block)])[0] == block).all()
+    assert len(code[0]) < len(zlib.compress(block.astype("<u2").tobytes(), 9))
+    for wrong in (code[0][:-2], code[0] + b"ab"):
+        with pytest.raises(ValueError):
+            idcoder.decode_blocks([wrong], [len(block)])
+
+
 def test_logistic_tables():
     x = np.arange(-2048, 2048)
     assert (np.abs(idcoder._SQUASH - (4096 / (1 + np.exp(-x / 256)))) <= 1).all()
@@ -156,6 +173,40 @@ def test_token_files_know_added_tokens(spark):
         start += len(ids)
 
 
+def test_words_are_encoded_as_in_their_text():
+    """White space of all kinds, and added tokens beside it, as the library has them in the whole text."""
+    library, mine = Tokenizer.from_file(JSON), token_files.LibraryTokenizer(JSON, P.PATTERN)
+    rng, parts = random.Random(3), [" ", "\n", "\t", "\r", "\xa0", "\x1c", "\u3000", "\x85", "a", "é", "日", "1", "²", "'s", ".", "<|endoftext|>", "<|end", " the", "\n\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
+    for at in range(0, len(texts), 400):
+        for text, ids in zip(texts[at : at + 400], mine.encode(texts[at : at + 400]), strict=True):
+            assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], text
+    assert list(mine.encode([])) == []
+
+
+def test_new_words_go_to_the_library_together(monkeypatch):
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.given = inner, 0
+
+        def encode_batch(self, texts, **how):
+            self.given += len(texts)
+            return self.inner.encode_batch(texts, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.given += len(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    mine = token_files.LibraryTokenizer(JSON, P.PATTERN)
+    mine.tokenizer = Counted(mine.tokenizer)
+    text = "first " + " ".join(f"w{i:x}é." for i in range(3000)) + "\nend"
+    (ids,) = mine.encode([text])
+    assert mine.tokenizer.given < 100
+    assert ids.tolist() == [*Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids, 0]
+    monkeypatch.setattr(token_files, "MEMO", 10)
+    assert [x.tolist() for x in mine.encode([text, text])] == [ids.tolist()] * 2  # after the memo was dropped
+
+
 # --- archives ---
 
 
