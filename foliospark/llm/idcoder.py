@@ -27,7 +27,7 @@ _HIT, _CHOICE, _SHARE = 12, 24, 22
 _TOP = np.uint64(1 << 32)
 _LOW = np.uint64((1 << 32) - 1)
 _W, _D = np.uint64(16), np.uint64(32)
-_START = np.uint64((1 << 48) - 1)
+_START, _WHOLE = np.uint64((1 << 48) - 1), np.uint64(1 << _CHOICE)
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _SQUASH, _STRETCH = _tables()
 #: Next entry's confidence by the old one, after a miss (first 8) and after a hit; a miss at 0 or 1 replaces the id.
 _SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int64) << 16
-_KEEPS = np.array([0, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1], np.int64) * 0xFFFF
 #: Share of an id not seen yet, 2048 being that of one seen: vocabularies give low ids to frequent tokens.
 _FLOOR = 1 + (1 << 14) // (np.arange(MAX_ID, dtype=np.int64) + 64)
 _POWERS = 1 << np.arange(31)
@@ -131,7 +130,7 @@ class _Model:
         end1 = self.p << (_CHOICE - _HIT)
         end2 = end1 + ((1 << _HIT) - self.p) * (self.second_odds.p().take(self.second_at) * self.other)
         self.known = id2, id1
-        return best, id1, end1, end2
+        return best, id1, end1.astype(np.uint64), end2.astype(np.uint64)
 
     def learn(self, n: int, ids: np.ndarray, hit: np.ndarray, left: np.ndarray) -> None:
         """``left``: lanes of ids coded by order 0."""
@@ -146,8 +145,7 @@ class _Model:
             self.second_odds.learn(self.second_at.take(tried) + 256 * (self.known[1].take(tried) == ids.take(tried)))
         for table, at, entry, known, sure in zip((self.follow2, self.follow1), self.at, self.entry, self.known, self.sure):
             state = sure + ((known == ids) << 3)
-            keep = _KEEPS.take(state)
-            table[at] = (known & keep) | (ids & (keep ^ 0xFFFF)) | _SURER.take(state)  # of equal places the last lane's holds
+            table[at] = np.where(state > 1, known, ids) | _SURER.take(state)  # of equal places the last lane's holds
         self.at2[:n] = ((ids * 2654435761 ^ self.last[:n] * 2246822519) >> self.shift) & self.mask
         self.last[:n] = ids
         self.held_ids.append(ids)
@@ -198,9 +196,11 @@ def _encode(block: np.ndarray) -> bytes:
         best, second, end1, end2 = model.predict(m)
         hit = now == best
         again = (now == second) & model.other
-        start = np.where(hit, 0, np.where(again, end1, end2))
-        end = np.where(hit, end1, np.where(again, end2, 1 << _CHOICE))
-        put(slice(0, m), size[:m] >> np.uint64(_CHOICE), start.astype(np.uint64), (end - start).astype(np.uint64))
+        start = np.where(again, end1, end2)
+        start[hit] = 0
+        end = np.where(hit, end1, _WHOLE)
+        np.copyto(end, end2, where=again)
+        put(slice(0, m), size[:m] >> np.uint64(_CHOICE), start, end - start)
         left = np.flatnonzero(~(hit | again))
         if len(left):
             x = now.take(left)
@@ -256,11 +256,13 @@ def _decode(code: bytes, n: int) -> np.ndarray:
         m = _active(n, lanes, steps, t)
         best, second, end1, end2 = model.predict(m)
         unit, v = size[:m] >> np.uint64(_CHOICE), value[:m]
-        hit = v < unit * end1.astype(np.uint64)
-        again = (v < unit * end2.astype(np.uint64)) > hit
-        start = np.where(hit, 0, np.where(again, end1, end2))
-        end = np.where(hit, end1, np.where(again, end2, 1 << _CHOICE))
-        take(slice(0, m), unit, start.astype(np.uint64), (end - start).astype(np.uint64))
+        hit = v < unit * end1
+        again = (v < unit * end2) > hit
+        start = np.where(again, end1, end2)
+        start[hit] = 0
+        end = np.where(hit, end1, _WHOLE)
+        np.copyto(end, end2, where=again)
+        take(slice(0, m), unit, start, end - start)
         now = np.where(again, second, best)
         left = np.flatnonzero(~(hit | again))
         if len(left):

@@ -42,7 +42,7 @@ SPLIT_CHARS = 1_000_000
 END_ID = 0
 _END = (END_ID,)  # no word
 #: White space that needs its neighbours: a text that has any is cut at plain borders only.
-_ODD_SPACE = re.compile(r" \s|[^\S ] |\n\n(?!\S)|\n[^\S\n]|[^\S\n]\n").search
+_ODD_SPACE = re.compile(r"[\s](?:(?<= )\s|(?<!\n)[ \n]|(?<=\n)(?:[^\S\n]|\n(?!\S)))").search
 _BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)").split
 _PROBE, _PROBE_PIECES = "a b\n1 ,\n\nb", ["a", " b", "\n", "1", " ,", "\n", "\n", "b"]
 
@@ -122,6 +122,23 @@ def read_id_file(stream) -> Iterator[tuple[int | None, list[np.ndarray] | None,
             yield doc_id, not left, part
 
 
+class _Numbers(dict):
+    """Gives each new key the next number and keeps it for ``take_new``."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def take_new(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
 class LibraryTokenizer:
     """The tokenizers library over distinct words: cut before each single space or line end between other characters, a text
     falls into words that the library's pattern cuts there too, so the ids of a text are those of its words in turn.  New
@@ -154,9 +171,9 @@ class LibraryTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        #: The number of each known word; the ids of all of them in turn and where each word's begin (and the last one's end).
-        self.known: dict[str | tuple, int] = {_END: 0}
-        self.ids, self.starts = np.array([END_ID], np.uint16), np.array([0, 1])
+        #: The number of each known word; where its ids begin in ``ids``, and how many they are.
+        self.known = _Numbers({_END: 0})
+        self.ids, self.starts, self.sizes = np.array([END_ID], np.uint16), np.array([0]), np.array([1])
 
     def cut(self, text: str) -> list[str | tuple]:
         """Words without the space before them; those that have neither that nor a line end in front are in tuples."""
@@ -174,48 +191,53 @@ class LibraryTokenizer:
         return words
 
     def _learn(self, words: list[str | tuple]) -> None:
-        spelt = [w[0] if isinstance(w, tuple) else w if w[:1] == "\n" else " " + w for w in words]
-        # Words in tuples, and white space at a word's end, would not stand alone among others.
-        alone = np.array([isinstance(w, tuple) or not w or w[-1].isspace() for w in words])
-        found = [self.ids]
-        size = np.zeros(len(words), np.int64)
-        for part in np.split(np.flatnonzero(~alone), range(SLICE, len(words), SLICE)):
-            texts = [spelt[i] for i in part]
-            got = self.tokenizer.encode_batch_fast(["".join(texts[i : i + LINE]) for i in range(0, len(texts), LINE)], add_special_tokens=False)
-            ids = np.array([x for e in got for x in e.ids], np.uint16)
+        # Words in tuples, and those with white space inside or behind, would not stand alone in a line.
+        alone = [type(w) is tuple or not w or " " in w or "\n" in w[1:] or w[-1].isspace() for w in words]
+        rest = [i for i, x in enumerate(alone) if x]
+        plain = [i for i, x in enumerate(alone) if not x] if rest else range(len(words))
+        found, in_turn, sizes = [self.ids], [], []
+        for at in range(0, len(plain), SLICE):  # the library's results are large
+            part = plain[at : at + SLICE]
+            given = [words[i] for i in part]
+            lines = [" " + " ".join(given[i : i + LINE]) for i in range(0, len(given), LINE)]
+            lines = [x.replace(" \n", "\n") for x in lines]
+            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]), np.uint16)
+            spelt = np.frombuffer("".join(lines).encode(), np.uint8)
+            ends = np.append(np.flatnonzero((spelt == 32) | (spelt == 10))[1:], len(spelt))
             upto = self.n_bytes.take(ids).cumsum()
-            ends = np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in texts], dtype=np.int64)
             last = np.searchsorted(upto, ends)
-            if not np.array_equal(upto.take(last, mode="clip"), ends):  # a vocabulary that does not spell out all bytes
-                alone[part] = True
+            if len(ends) != len(part) or not np.array_equal(upto.take(last, mode="clip"), ends):  # not all bytes are spelt out
+                rest += part
                 continue
-            size[part] = np.diff(last, prepend=-1)
             found.append(ids)
-        rest = np.flatnonzero(alone)
-        for part in np.split(rest, range(SLICE, len(rest), SLICE)):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([spelt[i] for i in part], add_special_tokens=False)]
-            size[part] = [len(x) for x in got]
-            found.append(np.array([x for ids in got for x in ids], np.uint16))
-        in_turn = np.concatenate([np.flatnonzero(~alone), rest])
-        first = len(self.known)
-        self.known.update(zip([words[i] for i in in_turn], range(first, first + len(words))))
+            in_turn.append(np.array(part))
+            sizes.append(np.diff(last, prepend=-1))
+        for at in range(0, len(rest), SLICE):
+            part = rest[at : at + SLICE]
+            texts = [w[0] if type(w := words[i]) is tuple else w if w[:1] == "\n" else " " + w for i in part]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            found.append(np.fromiter(chain.from_iterable(got), np.uint16))
+            in_turn.append(np.array(part))
+            sizes.append(np.array([len(x) for x in got]))
+        size = np.concatenate(sizes)
+        start = np.empty((2, len(words)), np.int64)
+        start[:, np.concatenate(in_turn)] = len(self.ids) + size.cumsum() - size, size
         self.ids = np.concatenate(found)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + size[in_turn].cumsum()])
+        self.starts, self.sizes = np.append(self.starts, start[0]), np.append(self.sizes, start[1])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        cut = [[*self.cut(t), _END] for t in texts]
-        words = list(chain.from_iterable(cut))
         if len(self.known) > MEMO:
             self._forget()
-        if new := list(set(words).difference(self.known)):
+        cut = [[*self.cut(t), _END] for t in texts]
+        counts = [len(c) for c in cut]
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int32, sum(counts))
+        if new := self.known.take_new():
             self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
-        start = self.starts.take(number)
-        size = self.starts.take(number + 1) - start
+        start, size = self.starts.take(number), self.sizes.take(number)
         upto = size.cumsum()
         ids = self.ids.take(np.repeat(start - upto + size, size) + np.arange(size.sum())).astype(np.int32)
-        ends = upto.take(np.cumsum([len(c) for c in cut], dtype=np.int64) - 1)
+        ends = upto.take(np.cumsum(counts, dtype=np.int64) - 1)
         yield from np.split(ids, ends[:-1]) if cut else ()
 
 
