@@ -37,7 +37,8 @@ from .idcoder import MAX_ID, decode_blocks, encode_blocks
 
 MAGIC = b"IDSTRM02"
 BLOCK_IDS, GROUP_BLOCKS = 1 << 22, 1
-MEMO, SLICE, LINE = 400_000, 2_000, 50
+MEMO, MEMO_CHARS, LONG_WORD = 400_000, 8_000_000, 256
+SLICE, LINE = 2_000, 50
 SPLIT_CHARS = 1_000_000
 END_ID = 0
 _END = (END_ID,)  # no word
@@ -155,7 +156,8 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if regex.compile(pattern).findall(_PROBE) != _PROBE_PIECES:
+        self.pieces = regex.compile(pattern).findall
+        if self.pieces(_PROBE) != _PROBE_PIECES:
             raise ValueError("a pattern that joins words over white space")
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.single_word or t.lstrip or t.rstrip for t in added):
@@ -174,6 +176,7 @@ class LibraryTokenizer:
         #: The number of each known word; where its ids begin in ``ids``, and how many they are.
         self.known = _Numbers({_END: 0})
         self.ids, self.starts, self.sizes = np.array([END_ID], np.uint16), np.array([0]), np.array([1])
+        self.n_chars = 0
 
     def cut(self, text: str) -> list[str | tuple]:
         """Words without the space before them; those that have neither that nor a line end in front are in tuples."""
@@ -185,12 +188,19 @@ class LibraryTokenizer:
     def _cut(self, text: str) -> list[str | tuple]:
         if _ODD_SPACE(text):
             first, *words = _BORDER(text)
-            return [(first,), *(w[1:] if w[0] == " " else w for w in words)]
-        words = text.replace("\n", " \n").split(" ")
-        words[:1] = [(words[0],)] if words[0] else []
-        return words
+            words = [w[1:] if w[0] == " " else w for w in words]
+        else:
+            first, *words = text.replace("\n", " \n").split(" ")
+        if words and max(map(len, words)) > LONG_WORD:
+            words = [p for w in words for p in (self._pieces(w if w[:1] == "\n" else " " + w) if len(w) > LONG_WORD else [w])]
+        return [*(self._pieces(first) if len(first) > LONG_WORD else [(first,)] if first else []), *words]
+
+    def _pieces(self, word: str) -> list[tuple]:
+        """A long word by the pattern, so that texts without spaces don't fill the memo or the library's results."""
+        return [(piece,) for piece in self.pieces(word)]
 
     def _learn(self, words: list[str | tuple]) -> None:
+        self.n_chars += sum(len(w[0]) if type(w) is tuple else len(w) for w in words)
         # Words in tuples, and those with white space inside or behind, would not stand alone in a line.
         alone = [type(w) is tuple or not w or " " in w or "\n" in w[1:] or w[-1].isspace() for w in words]
         rest = [i for i, x in enumerate(alone) if x]
@@ -227,7 +237,7 @@ class LibraryTokenizer:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, with the end id."""
-        if len(self.known) > MEMO:
+        if len(self.known) > MEMO or self.n_chars > MEMO_CHARS:
             self._forget()
         cut = [[*self.cut(t), _END] for t in texts]
         counts = [len(c) for c in cut]

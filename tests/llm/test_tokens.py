@@ -207,6 +207,16 @@ def test_new_words_go_to_the_library_together(monkeypatch):
     assert [x.tolist() for x in mine.encode([text, text])] == [ids.tolist()] * 2  # after the memo was dropped
 
 
+def test_texts_without_spaces_are_cut_by_the_pattern():
+    library, mine = Tokenizer.from_file(JSON), token_files.LibraryTokenizer(JSON, P.PATTERN)
+    texts = ["字，" * 3000, "a  b\t\tc  " * 400, "x " + "ab1." * 900 + " y\n" + "é-" * 700, "\r\n".join(["    q = 1"] * 200)]
+    for text, ids in zip(texts, mine.encode(texts), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert max(len(k[0] if isinstance(k, tuple) else k) for k in mine.known if k != token_files._END) <= token_files.LONG_WORD
+    mine.n_chars = token_files.MEMO_CHARS + 1
+    assert [len(x) for x in mine.encode(["one"])] == [2] and mine.n_chars == 3  # the memo was dropped
+
+
 # --- archives ---
 
 
